@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from textquarry.functions.embedding import embed_with, hashed_unit
 from textquarry.functions.text import snippet_id
 
 METADATA_MARK = "\n\n--- Metadata ---\n"
 
 
-def upsert_latest(old: DataFrame, new: DataFrame, order: str = "version") -> DataFrame:
-    """Union keeping, per id, the row with the highest ``order``; rows without embedding are skipped.
+def newest_by_id(rows: DataFrame, order: str = "version") -> DataFrame:
+    """Per id, the row with the highest ``order``.
 
     The rank filter is applied before the shuffle too, so an id repeated in many
     rows sends one row per task.
     """
     newest = Window.partitionBy("id").orderBy(F.desc(order))
-    both = old.unionByName(new.filter(F.col("embedding").isNotNull()))
-    return both.withColumn("newest", F.row_number().over(newest)).filter("newest = 1").drop("newest")
+    return rows.withColumn("newest", F.row_number().over(newest)).filter("newest = 1").drop("newest")
+
+
+def upsert_latest(old: DataFrame, new: DataFrame, order: str = "version") -> DataFrame:
+    """``old`` with ``new`` inserted or replacing by id; new rows without embedding are skipped."""
+    return newest_by_id(old.unionByName(new.filter(F.col("embedding").isNotNull())), order)
 
 
 def with_id(snips: DataFrame) -> DataFrame:
@@ -32,11 +37,26 @@ def clean_on_read(snips: DataFrame) -> DataFrame:
             .withColumn("metadata", F.map_filter("metadata", lambda k, v: v != "")))
 
 
+def text_id(text: Column) -> Column:
+    """Id of a text stored without a file."""
+    return snippet_id(F.lit(""), F.lit(0).cast("long"), text)
+
+
+def fallback_name(text: Column) -> Column:
+    return F.concat(F.lit("vector_store_fallback_"), F.sha2(text, 256), F.lit(".txt"))
+
+
+def embed_texts(texts: DataFrame, model=None, column: str = "text_content") -> DataFrame:
+    """Add ``embedding`` by the user's model, or by the built-in embedder."""
+    text = F.col(column)
+    return texts.withColumn("embedding", embed_with(model, text) if model else hashed_unit(text))
+
+
 def text_snippets(texts: DataFrame) -> DataFrame:
     """``texts``: text_content, metadata, embedding -> SNIPPET rows without path, lines or symbols."""
     nowhere, line = F.lit(""), F.lit(0).cast("long")
     return texts.select(
-        snippet_id(nowhere, line, F.col("text_content")).alias("id"), F.col("text_content").alias("content"),
+        text_id(F.col("text_content")).alias("id"), F.col("text_content").alias("content"),
         nowhere.alias("file_path"), line.alias("start_line"), line.alias("end_line"),
         F.array().cast("array<string>").alias("symbols"), "embedding", "metadata")
 
@@ -54,9 +74,8 @@ def is_embedded(embedding: Column) -> Column:
 
 def fallback_files(texts: DataFrame) -> DataFrame:
     """Texts without a usable vector as fallback files: filename, content."""
-    name = F.concat(F.lit("vector_store_fallback_"), F.sha2("text_content", 256), F.lit(".txt"))
     return texts.filter(~is_embedded(F.col("embedding"))).select(
-        name.alias("filename"), fallback_text(F.col("text_content"), F.col("metadata")).alias("content"))
+        fallback_name(F.col("text_content")).alias("filename"), fallback_text(F.col("text_content"), F.col("metadata")).alias("content"))
 
 
 def fallback_docs(files: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textquarry.functions.embedding import DEFAULT_DIM, checked_dim
-from textquarry.operators.upsert import clean_on_read, upsert_latest, with_id
+from textquarry.operators.upsert import clean_on_read, newest_by_id, with_id
 from textquarry.operators.vector_search import DEFAULT_K, search
 from textquarry.schemas import SNIPPET
 
@@ -81,7 +81,7 @@ class VectorTable:
         deltas = self._deltas(state)
         if deltas is None:
             return base
-        newest = upsert_latest(deltas.limit(0), deltas).drop("version")
+        newest = newest_by_id(deltas).drop("version")
         # The base is unique by id already: it only loses what a delta replaced,
         # and a small delta reaches it as a broadcast.
         return base.join(deltas.select("id"), "id", "left_anti").unionByName(newest)
