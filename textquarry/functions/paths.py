@@ -19,6 +19,11 @@ def is_go_file(path: Column) -> Column:
     return path.endswith(".go")
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out a single time."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_path(path: Column) -> Column:
     """Lexically shortest equal path: no ``.``, no ``//``, ``..`` resolved.
 
@@ -27,18 +32,20 @@ def clean_path(path: Column) -> Column:
     """
     rooted = path.startswith("/")
     parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    can_pop = lambda acc: (F.size(acc) > 0) & (F.element_at(acc, -1) != "..")
+    # ``get`` is null on an empty list, so nothing is taken off it.
+    can_pop = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1) != "..", F.lit(False))
     folded = F.aggregate(
         parts,
         F.array().cast("array<string>"),
-        lambda acc, p: F.when(p != "..", F.array_append(acc, p))
-        .when(F.when(F.size(acc) > 0, can_pop(acc)).otherwise(F.lit(False)),
-              F.slice(acc, F.lit(1), F.size(acc) - 1))
+        lambda acc, p: F.when(p != "..", F.concat(acc, F.array(p)))
+        .when(can_pop(acc), F.slice(acc, F.lit(1), F.size(acc) - 1))
         .when(rooted, acc)
-        .otherwise(F.array_append(acc, p)),
+        .otherwise(F.concat(acc, F.array(p))),
     )
-    joined = F.array_join(folded, "/")
-    return F.when(rooted, F.concat(F.lit("/"), joined)).when(joined == "", F.lit(".")).otherwise(joined)
+    cleaned = _once(F.array_join(folded, "/"), lambda joined: F.when(rooted, F.concat(F.lit("/"), joined))
+                    .when(joined == "", F.lit(".")).otherwise(joined))
+    # Only a path with an empty, '.' or '..' element needs the fold.
+    return F.when(path.rlike(r"(^|/)\.{0,2}(/|$)"), cleaned).otherwise(path)
 
 
 def escapes_workspace(path: Column) -> Column:
@@ -48,7 +55,7 @@ def escapes_workspace(path: Column) -> Column:
 
 def workspace_path(path: Column) -> Column:
     """Key of a path inside the workspace: cleaned, without a leading slash, '.' for the root."""
-    return F.coalesce(F.nullif(F.ltrim(clean_path(path), F.lit("/")), F.lit("")), F.lit("."))
+    return _once(F.ltrim(clean_path(path), F.lit("/")), lambda key: F.when(key == "", F.lit(".")).otherwise(key))
 
 
 def traversal_error(path: Column) -> Column:

@@ -104,16 +104,12 @@ def apply_creates(files: DataFrame, created: DataFrame) -> DataFrame:
 _EDIT_FIELDS = "seq", "path", "old_str", "new_str"
 
 
-def _checked_edits(edits: DataFrame, files: DataFrame) -> DataFrame:
-    """Edits with key, file content and the errors known before counting."""
-    found = files.select(F.col("path").alias("key"), "content")
-    error = (
+def _request_error() -> Column:
+    """What is wrong with an edit before any file is looked at; needs ``is_dir``."""
+    return (
         F.when((F.col("path") == "") | (F.col("old_str") == ""), F.lit("path and old_str are required for edit_file"))
         .when(escapes_workspace(F.col("path")), traversal_error(F.col("path")))
-        .when(F.col("is_dir"), _said("path '%s' is a directory, cannot edit", "path"))
-        .when(F.col("content").isNull(), _said("file not found at path '%s' within workspace", "path")))
-    return (_keyed(edits.select(*_EDIT_FIELDS)).join(found, "key", "left").join(directories(files), "key", "left")
-            .withColumn("error", error).drop("is_dir"))
+        .when(F.col("is_dir"), _said("path '%s' is a directory, cannot edit", "path")))
 
 
 def edit_once(edits: DataFrame, files: DataFrame) -> DataFrame:
@@ -121,50 +117,53 @@ def edit_once(edits: DataFrame, files: DataFrame) -> DataFrame:
 
     Adds key, new content (null on error), error and message.
     """
+    found = files.select(F.col("path").alias("key"), "content")
+    asked = (_keyed(edits.select(*_EDIT_FIELDS)).join(found, "key", "left").join(directories(files), "key", "left"))
     text = F.col("content").cast("string")
-    n = F.when(F.col("error").isNull(), count_occurrences(text, F.col("old_str")))
-    counted = _checked_edits(edits, files).withColumn("n", n)
-    error = (
-        F.coalesce("error", F.when(F.col("n") == 0, _said("string '%s' not found in file '%s'", "old_str", "path")),
-                   F.when(F.col("n") > 1, _said(
-                       "string '%s' found multiple times (%d) in file '%s', expected exactly one",
-                       "old_str", "n", "path"))))
-    done = counted.withColumn("error", error)
+    counted = asked.withColumn("n", count_occurrences(text, F.col("old_str")))
+    error = F.coalesce(
+        _request_error(),
+        F.when(F.col("content").isNull(), _said("file not found at path '%s' within workspace", "path")),
+        F.when(F.col("n") == 0, _said("string '%s' not found in file '%s'", "old_str", "path")),
+        F.when(F.col("n") > 1, _said(
+            "string '%s' found multiple times (%d) in file '%s', expected exactly one", "old_str", "n", "path")))
     replaced = F.replace(text, F.col("old_str"), F.col("new_str")).cast("binary")
-    return done.select(
+    return counted.withColumn("error", error).select(
         *_EDIT_FIELDS, "key", F.when(F.col("error").isNull(), replaced).alias("content"), "error",
         F.coalesce("error", _said("Successfully edited file '%s'", "path")).alias("message"))
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Apply edits in order; rows arrive sorted by key and seq, the file itself first."""
-    key, content = None, None
-
-    def final() -> dict:
-        return {"seq": None, "key": key, "content": content, "error": None}
-
+    """Apply edits in order; rows arrive sorted by key, the file itself before its edits."""
+    key, content, changed = None, None, False
+
+    def apply(edit) -> str | None:
+        nonlocal content, changed
+        if edit.key != key:
+            return f"file not found at path '{edit.path}' within workspace"
+        old, n = edit.old_str.encode(), content.count(edit.old_str.encode())
+        if n == 0:
+            return f"string '{edit.old_str}' not found in file '{edit.path}'"
+        if n > 1:
+            return (f"string '{edit.old_str}' found multiple times ({n}) in file '{edit.path}',"
+                    " expected exactly one")
+        content, changed = content.replace(old, edit.new_str.encode(), 1), True
+        return None
+
+    columns = ["seq", "call_id", "key", "content", "error"]
     for batch in batches:
         out = []
         for row in batch.itertuples(index=False):
             if row.is_file:
-                if key is not None:
-                    out.append(final())
-                key, content = row.key, row.content
-                continue
-            old, n = row.old_str.encode(), content.count(row.old_str.encode())
-            error = None
-            if n == 0:
-                error = f"string '{row.old_str}' not found in file '{row.path}'"
-            elif n > 1:
-                error = (f"string '{row.old_str}' found multiple times ({n}) in file '{row.path}',"
-                         " expected exactly one")
+                if changed:
+                    out.append((None, None, key, content, None))
+                key, content, changed = row.key, row.content, False
             else:
-                content = content.replace(old, row.new_str.encode(), 1)
-            out.append({"seq": row.seq, "key": row.key, "content": None, "error": error})
+                out.append((row.seq, row.call_id, row.key, None, row.error or apply(row)))
         if out:
-            yield pd.DataFrame(out).astype({"seq": "Int64"})
-    if key is not None:
-        yield pd.DataFrame([final()]).astype({"seq": "Int64"})
+            yield pd.DataFrame(out, columns=columns).astype({"seq": "Int64"})
+    if changed:
+        yield pd.DataFrame([(None, None, key, content, None)], columns=columns).astype({"seq": "Int64"})
 
 
 def edit_sequence(edits: DataFrame, files: DataFrame) -> DataFrame:
@@ -172,21 +171,26 @@ def edit_sequence(edits: DataFrame, files: DataFrame) -> DataFrame:
 
     Edits of one file depend on each other and so share a task, but they stream
     through it sorted: memory holds one file and one batch, however many edits
-    there are. Returns one row per edit (seq, key, null, error) and one row per
-    touched file (null seq, key, final content, null).
+    there are. ``call_id`` is carried along if the edits have one. Returns one
+    row per edit (seq, call_id, key, null, error) and one row per changed file
+    (null, null, key, final content, null).
     """
-    checked = _checked_edits(edits, files)
-    bad = checked.filter("error is not null").select("seq", "key", F.lit(None).cast("binary").alias("content"), "error")
-    good = checked.filter("error is null").select(
-        "key", "seq", "path", "old_str", "new_str", F.lit(None).cast("binary").alias("content"),
-        F.lit(False).alias("is_file"))
+    call_id = F.col("call_id") if "call_id" in edits.columns else F.lit(None).cast("string")
+    asked = (_keyed(edits.select(*_EDIT_FIELDS, call_id.alias("call_id"))).join(directories(files), "key", "left")
+             .select("key", *_EDIT_FIELDS, "call_id", _request_error().alias("error"),
+                     F.lit(None).cast("binary").alias("content"), F.lit(False).alias("is_file")))
+    wanted = _keyed(edits.select("path")).select(F.col("key").alias("path")).distinct()
     nothing = F.lit(None).cast("string")
-    touched = (files.join(good.select(F.col("key").alias("path")).distinct(), "path", "left_semi").select(
+    touched = files.join(wanted, "path", "left_semi").select(
         F.col("path").alias("key"), F.lit(None).cast("long").alias("seq"), nothing.alias("path"),
-        nothing.alias("old_str"), nothing.alias("new_str"), "content", F.lit(True).alias("is_file")))
-    stream = (touched.unionByName(good).repartition("key")
-              .sortWithinPartitions("key", F.desc("is_file"), "seq"))
-    return stream.mapInPandas(_fold, "seq bigint, key string, content binary, error string").unionByName(bad)
+        nothing.alias("old_str"), nothing.alias("new_str"), nothing.alias("call_id"), nothing.alias("error"),
+        "content", F.lit(True).alias("is_file"))
+    # Hashing the key first makes this shuffle differ from any the two sides may
+    # already have; a union of equally partitioned sides would otherwise stand in
+    # for it, and adaptive execution may coalesce those sides unequally.
+    stream = (touched.unionByName(asked).repartition(F.xxhash64("key"))
+              .sortWithinPartitions("key", F.desc("is_file"), "seq", "call_id"))
+    return stream.mapInPandas(_fold, "seq bigint, call_id string, key string, content binary, error string")
 
 
 def apply_edits(files: DataFrame, edited: DataFrame) -> DataFrame:

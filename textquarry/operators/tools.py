@@ -114,8 +114,8 @@ class ToolBox:
         asked = decode_inputs(calls, self._name("edit_file"), fields)
         bad = asked.filter("format_error is not null")
         good = asked.filter("format_error is null")
-        done = (mutations.edit_sequence(good.select("seq", *fields), self.files)
-                .filter("seq is not null").select("seq", "error").join(good.select("seq", "call_id", "path"), "seq"))
+        done = (mutations.edit_sequence(good.select("seq", "call_id", *fields), self.files)
+                .filter("call_id is not null").select("call_id", "error").join(good.select("call_id", "path"), "call_id"))
         return (_answer(done, F.format_string("Successfully edited file '%s'", "path"), F.col("error"))
                 .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
 

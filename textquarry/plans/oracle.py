@@ -256,13 +256,13 @@ with e as (select doc_id, {DOC_PATH} as path, right(text, 12) as old, text, {_ed
 select doc_id as seq, path as key, {_edit_error('old', 'path')} as error, case when n = 1 then md5(new) end as content_md5 from e"""
 
 EDIT_FOLD = f"""
-with a as (select doc_id, {DOC_PATH} as path, right(text, 12) as old, {_edited('text', 'right(text, 12)', "'<<one>>'")} as t from documents),
-b as (select doc_id, path, t as t1, {_edited('t', "'<<one>>'", "'<<two>>'")} as t2 from a),
-c as (select doc_id, path, {_edited('t2', "' the '", "' a '")} as t3 from b)
+with a as (select doc_id, text, {DOC_PATH} as path, right(text, 12) as old, {_edited('text', 'right(text, 12)', "'<<one>>'")} as t from documents),
+b as (select doc_id, text, path, t as t1, {_edited('t', "'<<one>>'", "'<<two>>'")} as t2 from a),
+c as (select doc_id, text, path, {_edited('t2', "' the '", "' a '")} as t3 from b)
 select doc_id * 3 as seq, path as key, {_edit_error('old', 'path')} as error, null as content_md5 from a
 union all select doc_id * 3 + 1, path, {_edit_error("'<<one>>'", 'path')}, null from b
 union all select doc_id * 3 + 2, path, {_edit_error("' the '", 'path')}, null from c
-union all select null, path, null, md5(t3) from c"""
+union all select null, path, null, md5(t3) from c where t3 <> text"""
 
 UPSERT = """
 select vec_id as id, case when label > 3 and label <> 9 then 2 else 1 end as version,
