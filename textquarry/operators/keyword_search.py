@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textquarry.functions.text import count_occurrences, query_terms
+from textquarry.functions.text import query_terms
 from textquarry.operators.topk import top_k
 
 # Fixed value: hits per query.
@@ -35,7 +36,7 @@ class TermCounts:
     def __init__(self, column: str = "terms", text: str = "content"):
         self.column = column
         self.text = text
-        self.automaton = None
+        self.vocabulary = self.automaton = None
         self.seen: dict[str, list[int]] = {}
 
     def query_bytes(self) -> Column:
@@ -54,15 +55,10 @@ class TermCounts:
         return weights, vocabulary
 
     def rows(self, q, rows: pd.DataFrame):
-        if self.automaton is None:
-            self.automaton = ahocorasick.Automaton()
-            for i, term in enumerate(q[1]):
-                self.automaton.add_word(term, (i, len(term)))
-            if q[1]:
-                self.automaton.make_automaton()
+        self.fit(q[1])
         counts = np.zeros((len(rows), q[0].shape[1]))
         for i, text in enumerate(rows[self.column]):
-            found = [term for word in _GAP.split(text) for term in self._terms_in(word)]
+            found = [term for word in _GAP.split(text) for term in self.terms_in(word)]
             if found:
                 counts[i] = np.bincount(found, minlength=counts.shape[1])
         return (counts,)
@@ -70,7 +66,18 @@ class TermCounts:
     def exact(self, q, m, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", q[0][qi], m[0][ri])
 
-    def _terms_in(self, word: str) -> list[int]:
+    def fit(self, vocabulary: list[str]) -> None:
+        """Build the automaton, once per block of queries."""
+        if vocabulary is self.vocabulary:
+            return
+        self.vocabulary, self.seen, self.automaton = vocabulary, {}, ahocorasick.Automaton()
+        for i, term in enumerate(vocabulary):
+            self.automaton.add_word(term, (i, len(term)))
+        if vocabulary:
+            self.automaton.make_automaton()
+
+    def terms_in(self, word: str) -> list[int]:
+        """Vocabulary places found in a lowered word, repeated per occurrence."""
         found = self.seen.get(word)
         if found is None:
             found, ends = [], {}
@@ -87,12 +94,27 @@ class TermCounts:
 
 def best_line(content: Column, terms: Column) -> Column:
     """First line with the strictly highest score, null if none scores."""
-    scored = F.transform(F.split(content, "\n"), lambda line, i: F.struct(
-        F.aggregate(terms, F.lit(0).cast("long"),
-                    lambda acc, t: acc + count_occurrences(F.lower(line), t)).alias("score"),
-        (-i).alias("pos"), line.alias("line")))
-    top = F.array_max(scored)
-    return F.when(top["score"] > 0, F.nullif(top["line"], F.lit("")))
+
+    @F.pandas_udf("string")
+    def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        asked, counter, weights = None, None, None
+        for contents, term_lists in batches:
+            out = []
+            for text, words in zip(contents, term_lists):
+                if asked != tuple(words):
+                    asked, counter = tuple(words), TermCounts()
+                    weights, vocabulary = counter.queries(pd.DataFrame({"terms": [words]}))
+                    counter.fit(vocabulary)
+                    weights = weights[0]
+                best, found = 0, None
+                for line in text.split("\n"):
+                    score = sum(weights[t] for word in _GAP.split(line.lower()) for t in counter.terms_in(word))
+                    if score > best:
+                        best, found = score, line
+                out.append(found)
+            yield pd.Series(out, index=contents.index, dtype=object)
+
+    return find(content, terms)
 
 
 def keyword_search(queries: DataFrame, docs: DataFrame, k: int = KEYWORD_K) -> DataFrame:
@@ -104,7 +126,8 @@ def keyword_search(queries: DataFrame, docs: DataFrame, k: int = KEYWORD_K) -> D
     terms = queries.select("query_id", query_terms(F.col("query")).alias("terms")).filter(F.size("terms") > 0)
     rows = docs.select(F.col("filename").alias("id"), "content", F.lower("content").alias("terms"))
     hits = top_k(terms, rows, TermCounts(), k, payload=["content"])
-    # The few survivors meet their terms again only to find the line to show.
-    return hits.join(terms, "query_id").select(
+    # The survivors, at most k per query, meet their terms again for the line to show.
+    shown = hits.join(terms, "query_id").repartition(hits.sparkSession.sparkContext.defaultParallelism)
+    return shown.select(
         "query_id", "rank", F.col("id").alias("filename"), "content", F.col("score").alias("relevance"),
         best_line(F.col("content"), F.col("terms")).alias("matched_line"))

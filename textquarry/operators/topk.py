@@ -32,6 +32,7 @@ SCORE_CELLS = 8_000_000
 ROWS_PER_CELL = 100_000
 SCORE_DECIMALS = 9
 EXACT_PAIRS = 4096
+HIT_BYTES = 256
 
 
 class DenseVectors:
@@ -112,12 +113,12 @@ class HashedText:
 class _Best:
     """The k best rows per query a task has seen: score descending, then id."""
 
-    def __init__(self, scorer, prepared, query_ids: np.ndarray, k: int, columns: list[str]):
-        self.scorer, self.q, self.query_ids, self.k, self.columns = scorer, prepared, query_ids, k, columns
+    def __init__(self, scorer, prepared, query_ids: np.ndarray, k: int):
+        self.scorer, self.q, self.query_ids, self.k = scorer, prepared, query_ids, k
         self.floor = np.full(len(query_ids), -np.inf)
         self.at = np.empty(0, dtype=np.int64)
         self.score = np.empty(0)
-        self.rows: pd.DataFrame | None = None
+        self.ids = np.empty(0, dtype=object)
 
     def add(self, rows: pd.DataFrame) -> None:
         # Of rows with one and the same content only the k lowest ids can place.
@@ -146,36 +147,33 @@ class _Best:
             for i in range(0, len(qi), EXACT_PAIRS)])
         keep = score >= self.floor[qi]
         qi, ri, score = qi[keep], ri[keep], score[keep]
-        fresh = rows[self.columns].iloc[ri]
-        self.rows = fresh if self.rows is None else pd.concat([self.rows, fresh])
+        self.ids = np.concatenate([self.ids, rows["id"].to_numpy(dtype=object)[ri]])
         self.at = np.concatenate([self.at, qi])
         self.score = np.concatenate([self.score, score])
         self._prune()
 
     def _prune(self) -> None:
-        id_rank = np.unique(self.rows["id"].to_numpy(), return_inverse=True)[1]
+        id_rank = np.unique(self.ids, return_inverse=True)[1]
         order = np.lexsort((id_rank, -self.score, self.at))
         at = self.at[order]
         place = np.arange(len(at)) - np.searchsorted(at, at)
         order = order[place < self.k]
-        self.at, self.score, self.rows = self.at[order], self.score[order], self.rows.iloc[order]
+        self.at, self.score, self.ids = self.at[order], self.score[order], self.ids[order]
         full = place == self.k - 1
         kept_score = np.full(len(self.floor), -np.inf)
         kept_score[at[full]] = self.score[place[place < self.k] == self.k - 1]
         self.floor = kept_score
 
     def hits(self) -> Iterator[pd.DataFrame]:
-        if self.rows is not None:
-            out = self.rows.reset_index(drop=True)
-            out.insert(0, "query_id", self.query_ids[self.at])
-            out.insert(1, "score", self.score)
-            yield out
+        if len(self.at):
+            yield pd.DataFrame({"query_id": self.query_ids[self.at], "score": self.score, "id": self.ids})
 
 
-def _hit_schema(queries: DataFrame, rows: DataFrame, columns: list[str]) -> T.StructType:
-    return T.StructType(
-        [T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("score", T.DoubleType())]
-        + [T.StructField(c, rows.schema[c].dataType) for c in columns])
+def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
+    return T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("id", rows.schema["id"].dataType)])
 
 
 def keep_best(hits: DataFrame, k: int, per_query_k: DataFrame | None = None) -> DataFrame:
@@ -195,41 +193,52 @@ def top_k(queries: DataFrame, rows: DataFrame, scorer, k: int, payload: list[str
     ``rows``: a unique ``id``, the scorer's column, payload columns.
     Returns ``query_id, rank, score, id, <payload>``.
     """
-    columns = ["id"] + list(payload or [])
     per_query_k = None
     if "k" in queries.columns:
         per_query_k = queries.select("query_id", "k")
     queries = queries.select("query_id", scorer.column).filter(F.col(scorer.column).isNotNull())
-    rows = rows.select(*dict.fromkeys(columns + [scorer.column])).filter(F.col(scorer.column).isNotNull())
+    table, rows = rows, rows.select("id", scorer.column).filter(F.col(scorer.column).isNotNull())
     size = queries.agg(scorer.query_bytes().alias("bytes"), F.count("*").alias("n")).first()
     if per_query_k is not None:
         k = per_query_k.agg(F.max("k")).first()[0] or 0
-    schema = _hit_schema(queries, rows, columns)
     if k <= 0 or not size["n"]:
-        return queries.sparkSession.createDataFrame([], schema).withColumn("rank", F.lit(1))
+        none = queries.sparkSession.createDataFrame([], _hit_schema(queries, rows)).withColumn("rank", F.lit(1))
+        return with_payload(none, table, payload, 0)
     if size["bytes"] <= broadcast_bytes:
-        hits = _broadcast_scan(queries, rows, scorer, k, columns, schema)
+        hits = _broadcast_scan(queries, rows, scorer, k)
     else:
         cell = F.lit(0)
-        hits = cell_scan(queries.withColumn("cell", cell), rows.withColumn("cell", cell), scorer, k, columns)
-    return keep_best(hits, k, per_query_k)
+        hits = cell_scan(queries.withColumn("cell", cell), rows.withColumn("cell", cell), scorer, k)
+    return with_payload(keep_best(hits, k, per_query_k), table, payload, size["n"] * k)
 
 
-def _broadcast_scan(queries, rows, scorer, k, columns, schema):
+def with_payload(hits: DataFrame, table: DataFrame, payload: list[str] | None, at_most: int) -> DataFrame:
+    """Fetch the hits' other columns by id, after ranking.
+
+    There are at most ``at_most`` hits; if so many fit a broadcast, the table is
+    only scanned and never shuffled.
+    """
+    if not payload:
+        return hits
+    small = at_most * HIT_BYTES <= BROADCAST_BYTES
+    return table.select("id", *payload).join(F.broadcast(hits) if small else hits, "id")
+
+
+def _broadcast_scan(queries, rows, scorer, k):
     small = queries.toPandas()
     shared = queries.sparkSession.sparkContext.broadcast((scorer.queries(small), small["query_id"].to_numpy()))
 
     def scan(batches):
         prepared, query_ids = shared.value
-        best = _Best(scorer, prepared, query_ids, k, columns)
+        best = _Best(scorer, prepared, query_ids, k)
         for rows_batch in batches:
             best.add(rows_batch)
         yield from best.hits()
 
-    return spread(rows).mapInPandas(scan, schema)
+    return spread(rows).mapInPandas(scan, _hit_schema(queries, rows))
 
 
-def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int, columns: list[str],
+def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int,
               rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """k best rows per query within each ``cell``, both sides carrying the cell key.
 
@@ -248,14 +257,14 @@ def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int, columns: list
          .withColumn("q_part", every("q_parts")).drop("q_parts", "r_parts"))
     # Fresh column identities: both sides may come from one table.
     r = r.select(*[F.col(c).alias(c) for c in r.columns])
-    schema = _hit_schema(queries, rows, columns)
+    schema = _hit_schema(queries, rows)
     names = schema.fieldNames()
 
     def scan(query_part: pd.DataFrame, row_part: pd.DataFrame) -> pd.DataFrame:
         if query_part.empty or row_part.empty:
             return pd.DataFrame(columns=names)
         query_ids = query_part["query_id"].to_numpy()
-        best = _Best(scorer, scorer.queries(query_part), query_ids, k, columns)
+        best = _Best(scorer, scorer.queries(query_part), query_ids, k)
         best.add(row_part)
         for found in best.hits():
             return found[names]

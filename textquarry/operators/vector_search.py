@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from textquarry.operators.topk import DenseVectors, HashedText, cell_scan, keep_best, top_k
+from textquarry.operators.topk import DenseVectors, HashedText, cell_scan, keep_best, top_k, with_payload
 
 # Hits per chat turn and per search call.
 CHAT_K = 3
@@ -44,7 +44,7 @@ def search_buckets(queries: DataFrame, table: DataFrame, k: int = DEFAULT_K, pay
     signature = F.transform(
         literal, lambda group, i: F.concat_ws(":", i.cast("string"), F.array_join(F.transform(group, side), "")))
     bucketed = lambda df: df.filter(F.col(column).isNotNull()).withColumn("cell", F.explode(signature))
-    columns = ["id"] + list(payload or [])
-    hits = cell_scan(bucketed(queries.select("query_id", column)),
-                     bucketed(table.select(*columns, column)), DenseVectors(column), k, columns)
-    return keep_best(hits.dropDuplicates(["query_id", "id"]), k)
+    hits = cell_scan(bucketed(queries.select("query_id", column)), bucketed(table.select("id", column)),
+                     DenseVectors(column), k)
+    best = keep_best(hits.dropDuplicates(["query_id", "id"]), k)
+    return with_payload(best, table, payload, queries.count() * k if payload else 0)

@@ -60,7 +60,7 @@ def vector_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The same by blocks, the way taken when queries outgrow a broadcast."""
     table = vectors(spark, folder).withColumn("cell", F.lit(0))
     queries = table.select(F.col("id").alias("query_id"), "embedding", "cell")
-    return _scored(keep_best(cell_scan(queries, table.select("id", "embedding", "cell"), DenseVectors(), 3, ["id"],
+    return _scored(keep_best(cell_scan(queries, table.select("id", "embedding", "cell"), DenseVectors(), 3,
                                        rows_per_cell=50_000), 3))
 
 

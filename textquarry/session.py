@@ -37,14 +37,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+# Below this size per core an input may come in fewer partitions than there are cores.
+SPREAD_BYTES = 128 * 1024 * 1024
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; nothing is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give CPU-heavy tasks enough partitions.
 
-    A table of a few small files arrives in fewer partitions than there are
-    cores; only then is a round-robin shuffle worth its cost. Large tables
-    already have more partitions than cores and pass through untouched.
+    A small table arrives in fewer partitions than there are cores; only then
+    is a round-robin shuffle worth its cost. Large tables have more partitions
+    than cores anyway and pass through untouched.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < 2 * cores:
+    if estimated_bytes(df) < cores * SPREAD_BYTES:
         return df.repartition(cores)
     return df
