@@ -95,9 +95,9 @@ def embedding_text(path: Column, symbols: Column, content: Column) -> Column:
 
 
 def count_occurrences(text: Column, needle: Column) -> Column:
-    """Non-overlapping literal occurrences of a non-empty needle, counted on bytes."""
+    """Non-overlapping literal occurrences, counted on bytes; null for an empty needle."""
     removed = F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))
-    return F.floor(removed / F.octet_length(needle)).cast("long")
+    return F.floor(F.try_divide(removed, F.octet_length(needle))).cast("long")
 
 
 def query_terms(query: Column) -> Column:
