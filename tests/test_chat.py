@@ -105,12 +105,13 @@ def test_turn_groups(spark):
 
 def test_decode(spark):
     inputs = ['{"query": "q", "k": 2}', '{"query": "q"}', '{"k": "2", "query": "q"}', '{"query": 5}', "nonsense", "null", "{}",
-              "[1]", '{"query": null, "extra": {}}', '{"k": 1.5}', ""]
+              "[1]", '{"query": null, "extra": {}}', '{"k": 1.5}', "", '{"Query": "Q", "K": 3}']
     calls = spark.createDataFrame(list(enumerate(inputs)), "i long, input string")
     got = sorted(decode_inputs(calls, "t", {"query": "string", "k": "int"}).select("i", "query", "k", "format_error").collect())
     bad = "invalid input format for t"
-    assert [r.format_error for r in got] == [None, None, bad, bad, bad, None, None, bad, None, bad, bad]
+    assert [r.format_error for r in got] == [None, None, bad, bad, bad, None, None, bad, None, bad, bad, None]
     assert (got[0].query, got[0].k, got[1].k, got[5].query, got[8].query) == ("q", 2, 0, "", "")
+    assert (got[11].query, got[11].k) == ("Q", 3)
     blank = decode_inputs(calls.filter("i = 10"), "t", {"query": "string"}, blank_ok=True).first()
     assert blank.format_error is None
     maps = spark.createDataFrame([(0, '{"m": {"a": "b", "c": null}}'), (1, '{"m": {"a": 1}}'), (2, '{"m": "x"}'), (3, "{}")],
@@ -160,6 +161,9 @@ def test_tools(spark):
     assert execute(frame.filter("call_id = 'r'"), box.handlers(), off).first().content == "tool not found"
     bare = ToolBox(files, names={"read_file": "cat"})
     assert set(bare.handlers()) == {"cat", "list_files", "edit_file", "create_file"}
+    shown = {r.name: json.loads(r.input_schema) for r in bare.definitions().collect()}
+    assert set(shown) == set(bare.handlers()) and shown["cat"]["properties"] == {"path": {"type": "string"}}
+    assert box.definitions().count() == 7
 
 
 def test_long_listing_comes_in_pages(spark, monkeypatch):

@@ -180,3 +180,19 @@ def test_workspace(spark, tmp_path):
     with pytest.raises(Exception):
         read_workspace(spark, str(tmp_path / "gone")).collect()
     assert os.path.isdir(out)
+
+
+def test_jobs(spark, tmp_path):
+    from textquarry.__main__ import main
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "a.go").write_bytes(b"package a\n\nfunc Alpha() {\n}\n")
+    table, turns, calls = (str(tmp_path / n) for n in ("table", "turns", "calls"))
+    main(["index", str(root), table])
+    spark.createDataFrame([(1, 1, "user", "alpha")], "conv_id long, turn long, role string, text string").write.parquet(turns)
+    spark.createDataFrame([("r", 1, "read_file", '{"path": "a.go"}')],
+                          "call_id string, seq long, name string, input string").write.parquet(calls)
+    main(["prompts", turns, table, str(tmp_path / "p")])
+    main(["tools", calls, str(root), table, str(tmp_path / "t")])
+    assert "func Alpha() {\n}\n```" in spark.read.parquet(str(tmp_path / "p")).first().prompt
+    assert spark.read.parquet(str(tmp_path / "t")).first().content.startswith("package a")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 # Texts per model call, and the declared vector size.
@@ -70,17 +71,17 @@ def hashed(text: Column, dim: int = DEFAULT_DIM) -> Column:
     One row in, one row out: no shuffle, whatever the length of the text.
     """
 
-    @F.pandas_udf(HASHED_TYPE)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(HASHED_TYPE)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = WordBuckets(dim)
-        for series in batches:
-            idx, cnt, norm2 = [], [], []
-            for text in series:
-                i, c = np.unique(np.array(buckets.of(text), dtype=np.int64), return_counts=True)
-                idx.append(i.astype(np.int32))
-                cnt.append(c.astype(np.int32))
-                norm2.append(int((c.astype(np.int64) ** 2).sum()))
-            yield pd.DataFrame({"idx": idx, "cnt": cnt, "norm2": norm2})
+        for texts in batches:
+            found = [np.unique(np.array(buckets.of(t), dtype=np.int32), return_counts=True) for t in texts.to_pylist()]
+            ends = np.cumsum([0] + [len(idx) for idx, _ in found]).astype(np.int32)
+            flat = lambda part: np.concatenate([f[part] for f in found] or [[]]).astype(np.int32)
+            norm2 = np.array([(cnt ** 2).sum() for _, cnt in found], dtype=np.int64)
+            yield pa.StructArray.from_arrays(
+                [pa.ListArray.from_arrays(ends, flat(0)), pa.ListArray.from_arrays(ends, flat(1)), pa.array(norm2)],
+                ["idx", "cnt", "norm2"])
 
     return run(text)
 
@@ -88,16 +89,19 @@ def hashed(text: Column, dim: int = DEFAULT_DIM) -> Column:
 def hashed_unit(text: Column, dim: int = DEFAULT_DIM) -> Column:
     """Built-in embedder, dense form: a unit vector, null for a text without words."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = WordBuckets(dim)
-        for series in batches:
-            out = []
-            for text in series:
-                counts = np.bincount(buckets.of(text), minlength=dim).astype(np.float64)
+        for texts in batches:
+            vectors = np.zeros((len(texts), dim), dtype=np.float32)
+            for i, t in enumerate(texts.to_pylist()):
+                counts = np.bincount(buckets.of(t), minlength=dim).astype(np.float64)
                 length = np.sqrt((counts ** 2).sum())
-                out.append((counts / length).astype(np.float32) if length else None)
-            yield pd.Series(out, dtype=object)
+                if length:
+                    vectors[i] = counts / length
+            ends = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * dim)
+            wordless = pa.array(~vectors.any(axis=1))
+            yield pa.ListArray.from_arrays(ends, vectors.ravel(), mask=wordless)
 
     return run(text)
 

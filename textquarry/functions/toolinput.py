@@ -19,32 +19,42 @@ def _kind_of(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
+def _field(given: Column, name: str) -> Column:
+    named = F.filter(given, lambda e: F.lower(e["key"]) == name)
+    return F.try_element_at(named, F.lit(-1))["value"]
+
+
+def _read(value: Column, kind: str) -> tuple[Column, Column]:
+    """A field's value, and whether the JSON given for it is of the right kind."""
+    if kind == "text_map":
+        entries = F.try_variant_get(value, "$", "map<string,variant>")
+        texts = F.forall(F.map_values(entries), lambda v: _kind_of(v).isin("STRING", "VOID"))
+        ok = (_kind_of(value) == "VOID") | F.coalesce(texts, F.lit(False))
+        read = F.transform_values(F.try_variant_get(value, "$", "map<string,string>"),
+                                  lambda k, v: F.coalesce(v, F.lit("")))
+        return F.coalesce(read, F.create_map().cast("map<string,string>")), ok
+    kinds, target, empty = _KINDS[kind]
+    return F.coalesce(F.try_variant_get(value, "$", target), F.lit(empty).cast(target)), _kind_of(value).isin(kinds)
+
+
 def decode_inputs(calls: DataFrame, tool: str, fields: dict[str, str], blank_ok: bool = False) -> DataFrame:
     """Decode ``input`` of one tool's calls. Field kinds: ``string``, ``int``, ``text_map``.
 
-    JSON null stands for an input without fields; with ``blank_ok`` so does an
-    empty input.
+    Names match in any case. JSON null stands for an input without fields; with
+    ``blank_ok`` so does an empty input.
     """
     source = F.when(F.length(F.trim("input")) == 0, F.lit("{}")).otherwise(F.col("input")) if blank_ok else F.col("input")
-    out = calls.withColumn("_root", F.try_parse_json(source))
-    kind = _kind_of(F.col("_root"))
-    ok = F.col("_root").isNotNull() & (kind.startswith("OBJECT<") | (kind == "VOID"))
-    for name, field in fields.items():
-        value = F.try_variant_get("_root", f"$.{name}", "variant")
-        if field == "text_map":
-            entries = F.try_variant_get("_root", f"$.{name}", "map<string,variant>")
-            values_ok = F.forall(F.map_values(entries), lambda v: _kind_of(v).isin("STRING", "VOID"))
-            ok = ok & ((_kind_of(value) == "VOID") | F.coalesce(values_ok, F.lit(False)))
-            out = out.withColumn(name, F.coalesce(
-                F.transform_values(F.try_variant_get("_root", f"$.{name}", "map<string,string>"),
-                                   lambda k, v: F.coalesce(v, F.lit(""))),
-                F.create_map().cast("map<string,string>")))
-        else:
-            kinds, target, empty = _KINDS[field]
-            ok = ok & _kind_of(value).isin(kinds)
-            out = out.withColumn(name, F.coalesce(F.try_variant_get("_root", f"$.{name}", target), F.lit(empty).cast(target)))
-    wrong = F.lit(f"invalid input format for {tool}")
-    return out.withColumn("format_error", F.when(~ok, wrong)).drop("_root")
+    given = F.map_entries(F.try_variant_get("_root", "$", "map<string,variant>"))
+    found = (calls.withColumn("_root", F.try_parse_json(source)).withColumn("_given", given)
+             .withColumns({f"_{name}": _field(F.col("_given"), name) for name in fields}))
+    ok = F.col("_given").isNotNull() | (F.col("_root").isNotNull() & (_kind_of(F.col("_root")) == "VOID"))
+    values = {}
+    for name, kind in fields.items():
+        values[name], fits = _read(F.col(f"_{name}"), kind)
+        ok = ok & fits
+    error = F.when(~ok, F.lit(f"invalid input format for {tool}"))
+    kept = [c for c in calls.columns if c not in values]
+    return found.select(*kept, *[v.alias(n) for n, v in values.items()], error.alias("format_error"))
 
 
 def whole_k(k: Column, default: int) -> Column:

@@ -39,9 +39,10 @@ def directories(files: DataFrame) -> DataFrame:
     return _entries(files).select(F.col("parent").alias("key")).distinct().withColumn("is_dir", F.lit(True))
 
 
-def directory_entries(files: DataFrame) -> DataFrame:
-    """Distinct immediate children: parent, name, is_dir."""
-    return _entries(files).groupBy("parent", "name").agg(F.max("is_dir").alias("is_dir"))
+def directory_entries(files: DataFrame, asked: DataFrame) -> DataFrame:
+    """Distinct immediate children of the ``asked`` directories (key): key, name, is_dir."""
+    of_asked = _entries(files).withColumnRenamed("parent", "key").join(asked.select("key"), "key", "left_semi")
+    return of_asked.groupBy("key", "name").agg(F.max("is_dir").alias("is_dir"))
 
 
 def read_files(requests: DataFrame, files: DataFrame) -> DataFrame:
@@ -62,7 +63,7 @@ def list_dir(requests: DataFrame, files: DataFrame) -> DataFrame:
     """``requests``: seq, path ('' is the root). One row per entry, or one row with an error."""
     asked = _keyed(requests.withColumn("path", F.when(F.col("path") == "", F.lit(".")).otherwise(F.col("path"))))
     names = files.select(F.col("path").alias("key"), F.lit(True).alias("is_file"))
-    entries = directory_entries(files).withColumnRenamed("parent", "key")
+    entries = directory_entries(files, asked)
     bad = escapes_workspace(F.col("path"))
     error = (
         F.when(bad, traversal_error(F.col("path")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +21,27 @@ LISTING_PAGE = 10_000
 NO_FALLBACK = "No fallback files found. No search results available."
 NO_MATCH = "No relevant information found in fallback files."
 
+# Input fields per tool, and what each tool is for.
+FIELDS = {
+    "read_file": {"path": "string"},
+    "list_files": {"path": "string"},
+    "edit_file": {"path": "string", "old_str": "string", "new_str": "string"},
+    "create_file": {"path": "string", "content": "string"},
+    "search_web": {"query": "string"},
+    "vector_search": {"query": "string", "k": "int"},
+    "vector_upsert": {"text_content": "string", "metadata": "text_map"},
+}
+PURPOSE = {
+    "read_file": "Content of one file of the workspace.",
+    "list_files": "Entries of one workspace directory, the root if no path is given.",
+    "edit_file": "Replace a text that occurs exactly once in a file.",
+    "create_file": "Create a file that does not exist yet.",
+    "search_web": "Results of a web search.",
+    "vector_search": "Snippets nearest to a query, or keyword hits if there are none.",
+    "vector_upsert": "Store a text with its metadata for later search.",
+}
+_JSON_TYPES = {"string": "string", "int": "integer", "text_map": "object"}
+
 Handler = Callable[[DataFrame], DataFrame]
 
 
@@ -79,18 +101,30 @@ class ToolBox:
     def execute(self, calls: DataFrame, registry: DataFrame | None = None) -> DataFrame:
         return execute(calls, self.handlers(), registry)
 
+    def definitions(self) -> DataFrame:
+        """The tools on offer: name, description, input_schema (JSON)."""
+        rows = []
+        for tool, fields in FIELDS.items():
+            if self._name(tool) in self.handlers():
+                properties = {f: {"type": _JSON_TYPES[kind]} for f, kind in fields.items()}
+                rows.append((self._name(tool), PURPOSE[tool], json.dumps({"type": "object", "properties": properties})))
+        return self.files.sparkSession.createDataFrame(rows, "name string, description string, input_schema string")
+
     def _name(self, name: str) -> str:
         return self.names.get(name, name)
 
+    def _decode(self, calls: DataFrame, tool: str) -> DataFrame:
+        return decode_inputs(calls, self._name(tool), FIELDS[tool], blank_ok=tool == "list_files")
+
     def read_file(self, calls: DataFrame) -> DataFrame:
-        asked = decode_inputs(calls, self._name("read_file"), {"path": "string"})
+        asked = self._decode(calls, "read_file")
         done = mutations.read_files(asked, self.files)
         return _answer(done, F.make_valid_utf8(F.col("content").cast("string")),
                        F.coalesce("format_error", "error"))
 
     def list_files(self, calls: DataFrame) -> DataFrame:
         """A JSON list of paths; a listing of over LISTING_PAGE entries comes in several rows."""
-        asked = decode_inputs(calls, self._name("list_files"), {"path": "string"}, blank_ok=True)
+        asked = self._decode(calls, "list_files")
         good = asked.filter("format_error is null")
         entries = mutations.list_dir(good.select(F.col("call_id").alias("seq"), "path"), self.files)
         pages = entries.groupBy("seq").agg(F.ceil(F.count("*") / LISTING_PAGE).alias("pages"))
@@ -102,7 +136,7 @@ class ToolBox:
                 .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
 
     def create_file(self, calls: DataFrame) -> DataFrame:
-        asked = decode_inputs(calls, self._name("create_file"), {"path": "string", "content": "string"})
+        asked = self._decode(calls, "create_file")
         bad = asked.filter("format_error is not null")
         done = mutations.create_files(asked.filter("format_error is null"), self.files)
         return (_answer(done, F.col("message"), F.col("error"))
@@ -110,17 +144,16 @@ class ToolBox:
 
     def edit_file(self, calls: DataFrame) -> DataFrame:
         """Edits in seq order, each seeing the ones before it."""
-        fields = {"path": "string", "old_str": "string", "new_str": "string"}
-        asked = decode_inputs(calls, self._name("edit_file"), fields)
+        asked = self._decode(calls, "edit_file")
         bad = asked.filter("format_error is not null")
         good = asked.filter("format_error is null")
-        done = (mutations.edit_sequence(good.select("seq", "call_id", *fields), self.files)
+        done = (mutations.edit_sequence(good.select("seq", "call_id", *FIELDS["edit_file"]), self.files)
                 .filter("call_id is not null").select("call_id", "error").join(good.select("call_id", "path"), "call_id"))
         return (_answer(done, F.format_string("Successfully edited file '%s'", "path"), F.col("error"))
                 .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
 
     def search_web(self, calls: DataFrame) -> DataFrame:
-        asked = decode_inputs(calls, self._name("search_web"), {"query": "string"})
+        asked = self._decode(calls, "search_web")
         error = F.coalesce("format_error", F.when(
             F.col("query") == "", F.lit(f"query is required for {self._name('search_web')}")))
         checked = asked.withColumn("error", error)
@@ -131,7 +164,7 @@ class ToolBox:
 
     def vector_search(self, calls: DataFrame) -> DataFrame:
         name = self._name("vector_search")
-        asked = decode_inputs(calls, name, {"query": "string", "k": "int"})
+        asked = self._decode(calls, "vector_search")
         error = F.coalesce("format_error", F.when(F.col("query") == "", F.lit(f"query is required for {name}")))
         checked = asked.withColumn("error", error)
         queries = checked.filter("error is null").select(
@@ -167,7 +200,7 @@ class ToolBox:
 
     def _upserts(self, calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         name = self._name("vector_upsert")
-        asked = decode_inputs(calls, name, {"text_content": "string", "metadata": "text_map"})
+        asked = self._decode(calls, "vector_upsert")
         error = F.coalesce("format_error", F.when(
             F.col("text_content") == "", F.lit(f"text_content is required for {name}")))
         embedded = upsert.embed_texts(asked.withColumn("error", error), self.model)

@@ -29,7 +29,8 @@ from textquarry.session import spread
 
 BROADCAST_BYTES = 256 * 1024 * 1024
 SCORE_CELLS = 8_000_000
-ROWS_PER_CELL = 100_000
+ROWS_PER_CELL = 50_000
+TASKS_PER_CORE = 16
 SCORE_DECIMALS = 9
 EXACT_PAIRS = 4096
 HIT_BYTES = 256
@@ -235,7 +236,10 @@ def _broadcast_scan(queries, rows, scorer, k):
             best.add(rows_batch)
         yield from best.hits()
 
-    return spread(rows).mapInPandas(scan, _hit_schema(queries, rows))
+    # Every task hands on up to k rows per query, so a large table is read by a
+    # bounded number of longer tasks; coalescing needs no shuffle.
+    tasks = TASKS_PER_CORE * queries.sparkSession.sparkContext.defaultParallelism
+    return spread(rows).coalesce(tasks).mapInPandas(scan, _hit_schema(queries, rows))
 
 
 def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int,

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textquarry.functions.embedding import embed_with, hashed_unit
 from textquarry.operators.snippets import snippets, with_embedding_text
 from textquarry.session import spread
 from textquarry.sources.vector_table import VectorTable
+from textquarry.sources.workspace import read_workspace, workspace_files
 
 
 def embedded_snippets(files: DataFrame, model=None, dim: int = 1536) -> DataFrame:
@@ -21,3 +22,8 @@ def embedded_snippets(files: DataFrame, model=None, dim: int = 1536) -> DataFram
 def index_files(files: DataFrame, table: VectorTable, model=None) -> int:
     """Index FILE rows into the table; running it again writes the same ids. Returns the version."""
     return table.upsert(embedded_snippets(files, model, table.dim))
+
+
+def index_directory(spark: SparkSession, root: str, table: VectorTable, model=None) -> int:
+    """Index every file below a directory all workers can read; unusable files are left out."""
+    return index_files(workspace_files(read_workspace(spark, root)), table, model)
