@@ -53,14 +53,25 @@ def test_dense_matches_brute_force(spark, cloud):
     assert ranked(top_k(queries, table, DenseVectors(), 5, broadcast_bytes=0)) == want
 
 
+def test_own_k_per_query(spark, cloud):
+    q, rows = cloud
+    queries, table = vector_frames(spark, q, rows)
+    every = brute(q.astype(float), rows.astype(float), len(rows))
+    want = [(i, r, j) for i, r, j in every if r <= (400 if i == 3 else i % 4)]
+    own = F.when(F.col("query_id") == 3, 400).otherwise(F.col("query_id") % 4)
+    for limit in (10 ** 9, 0):
+        assert ranked(top_k(queries.withColumn("k", own), table, DenseVectors(), 5, broadcast_bytes=limit)) == want
+
+
 def test_small_cells_give_the_same(spark, cloud):
     q, rows = cloud
     queries, table = vector_frames(spark, q, rows)
     scorer = DenseVectors()
     scorer.queries_per_cell = 7
     cell = F.lit(0)
-    hits = cell_scan(queries.withColumn("cell", cell), table.withColumn("cell", cell), scorer, 5, rows_per_cell=23)
-    assert ranked(keep_best(hits, 5)) == brute(q.astype(float), rows.astype(float), 5)
+    queries = queries.withColumn("k", F.lit(5))
+    hits = cell_scan(queries.withColumn("cell", cell), table.withColumn("cell", cell), scorer, rows_per_cell=23)
+    assert ranked(keep_best(hits, queries)) == brute(q.astype(float), rows.astype(float), 5)
 
 
 def test_edges(spark):
@@ -155,13 +166,14 @@ def test_keyword_model(spark, queries, texts):
 def test_keyword_in_cells(spark):
     docs = [(f"f{i:02d}", f"term{i % 7} x\nterm{i % 3} term") for i in range(40)]
     queries = [f"term{i} x{i}" for i in range(9)] + ["term"]
-    terms = spark.createDataFrame([(i, q.split()) for i, q in enumerate(queries)], "query_id long, terms array<string>")
+    terms = spark.createDataFrame([(i, q.split(), 5) for i, q in enumerate(queries)],
+                                  "query_id long, terms array<string>, k int")
     rows = spark.createDataFrame([(n, c, c) for n, c in docs], "id string, content string, terms string")
     scorer = TermCounts()
     scorer.queries_per_cell = 3
     cell = F.lit(0)
-    hits = keep_best(cell_scan(terms.withColumn("cell", cell), rows.withColumn("cell", cell), scorer, 5,
-                               rows_per_cell=11), 5)
+    hits = keep_best(cell_scan(terms.withColumn("cell", cell), rows.withColumn("cell", cell), scorer,
+                               rows_per_cell=11), terms)
     got = sorted((r.query_id, r["rank"], r.id, r.score) for r in hits.collect())
     assert got == [(i, r, n, s) for i, q in enumerate(queries) for r, n, s, _ in model_keyword(q, docs)]
 

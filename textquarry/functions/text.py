@@ -78,10 +78,6 @@ def truncated_text(content: Column) -> Column:
     return F.when(F.octet_length(content) > MAX_SNIPPET_BYTES, cut).otherwise(decode_text(content))
 
 
-def line_count(text: Column) -> Column:
-    return F.size(F.split(text, "\n")).cast("long")
-
-
 def snippet_id(path: Column, start_line: Column, content: Column) -> Column:
     """Content-derived id, so indexing the same file twice writes the same rows."""
     return F.sha2(F.concat_ws(UNIT_SEPARATOR, path, start_line.cast("string"), content), 256)

@@ -25,24 +25,19 @@ def with_kind(files: DataFrame) -> DataFrame:
     return files.withColumn("ext", ext).withColumn("error", error)
 
 
-def _snippet_columns(path: Column, content: Column, start: Column, end: Column, symbols: Column,
-                     metadata: Column) -> list[Column]:
-    return [
-        text.snippet_id(path, start, content).alias("id"), content.alias("content"), path.alias("file_path"),
-        start.alias("start_line"), end.alias("end_line"), symbols.alias("symbols"),
-        F.lit(None).cast("array<float>").alias("embedding"), metadata.alias("metadata")]
-
-
-def whole_file_snippets(files: DataFrame) -> DataFrame:
-    """One snippet per usable file, content cut at 10000 bytes."""
-    usable = with_kind(files).filter(F.col("error").isNull())
-    cut = usable.withColumn("text", text.truncated_text(F.col("content")))
-    metadata = F.create_map(
-        F.lit("file_type"), F.regexp_replace("ext", r"^\.", ""),
-        F.lit("file_name"), paths.base_name(F.col("path")))
-    return cut.select(*_snippet_columns(
-        F.col("path"), F.col("text"), F.lit(1).cast("long"), text.line_count(F.col("text")),
-        F.array().cast("array<string>"), metadata))
+def _pieces(content: Column, start: str) -> Column:
+    """The text from each start line to the next one: array of (n, piece), n the 1-based line."""
+    lines = F.transform(F.split(content, "\n"), lambda line, i: F.struct(
+        line.rlike(f"^(?:{start})").alias("hit"), (i + 1).cast("long").alias("n")))
+    starts = F.transform(F.filter(lines, lambda s: s["hit"]), lambda s: s["n"])
+    # A leading newline makes part 0 the text before the first start, always.
+    parts = F.split(F.concat(F.lit("\n"), content), f"\n(?={start})")
+    return F.arrays_zip(starts.alias("n"), F.slice(parts, F.lit(2), F.size(parts)).alias("piece"))
+
+
+def _first_end(lines: Column, end: str) -> Column:
+    """1-based place of the first line that matches ``end``, 0 if none does."""
+    return F.array_position(F.transform(lines, lambda line: line.rlike(end)), True).cast("int")
 
 
 def split_spans(docs: DataFrame, start: str, end: str) -> DataFrame:
@@ -52,18 +47,11 @@ def split_spans(docs: DataFrame, start: str, end: str) -> DataFrame:
     beginning to the first line matching ``end`` before the next start; an
     unclosed span is dropped. Returns path, start_line, end_line, content.
     """
-    lines = F.transform(F.split("text", "\n"), lambda line, i: F.struct(
-        line.rlike(f"^(?:{start})").alias("hit"), (i + 1).alias("n")))
-    starts = F.transform(F.filter(lines, lambda s: s["hit"]), lambda s: s["n"])
-    # A leading newline makes part 0 the text before the first start, always.
-    pieces = F.split(F.concat(F.lit("\n"), "text"), f"\n(?={start})")
-    spans = F.arrays_zip(starts.alias("n"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("piece"))
-    span = docs.select("path", F.explode(spans).alias("span")).select(
-        "path", F.col("span.n").cast("long").alias("start_line"), F.split("span.piece", "\n").alias("lines"))
-    size = F.array_position(F.transform("lines", lambda line: line.rlike(end)), True)
-    return (span.withColumn("size", size).filter(F.col("size") > 0).select(
+    span = docs.select("path", F.inline(_pieces(F.col("text"), start))).select(
+        "path", F.col("n").alias("start_line"), F.split("piece", "\n").alias("lines"))
+    return span.withColumn("size", _first_end(F.col("lines"), end)).filter(F.col("size") > 0).select(
         "path", "start_line", (F.col("start_line") + F.col("size") - 1).alias("end_line"),
-        F.array_join(F.slice("lines", F.lit(1), F.col("size").cast("int")), "\n").alias("content")))
+        F.array_join(F.slice("lines", F.lit(1), F.col("size")), "\n").alias("content"))
 
 
 def go_symbol(content: Column) -> Column:
@@ -72,19 +60,31 @@ def go_symbol(content: Column) -> Column:
     return F.when((part(1) != "") & (part(2) == ""), F.concat(part(1), F.lit("."), part(3))).otherwise(part(3))
 
 
-def go_snippets(files: DataFrame) -> DataFrame:
-    """One snippet per top-level function or method."""
-    docs = files.select("path", text.decode_text(F.col("content")).alias("text"))
-    spans = split_spans(docs, GO_START, GO_END)
-    return spans.select(*_snippet_columns(
-        F.col("path"), F.col("content"), F.col("start_line"), F.col("end_line"),
-        F.array(go_symbol(F.col("content"))), F.lit(None).cast("map<string,string>")))
-
-
 def snippets(files: DataFrame) -> DataFrame:
-    """FILE rows to SNIPPET rows: Go files by declaration, all others whole."""
+    """FILE rows to SNIPPET rows in one scan: Go files by declaration, all others whole.
+
+    A whole file is cut at 10000 bytes; unusable files are left out (see
+    ``file_errors``). Go files are neither cut nor tested.
+    """
     go = paths.is_go_file(F.col("path"))
-    return go_snippets(files.filter(go)).unionByName(whole_file_snippets(files.filter(~go)))
+    kinds = with_kind(files).withColumn("is_go", go).filter(F.col("is_go") | F.col("error").isNull())
+    whole = F.array(F.struct(F.lit(1).cast("long").alias("n"), text.truncated_text(F.col("content")).alias("piece")))
+    declared = _pieces(text.decode_text(F.col("content")), GO_START)
+    pieces = F.when(F.col("is_go"), declared).otherwise(whole)
+    spans = kinds.select("path", "ext", "is_go", F.inline(pieces)).withColumn("lines", F.split("piece", "\n"))
+    size = F.when(F.col("is_go"), _first_end(F.col("lines"), GO_END)).otherwise(F.size("lines"))
+    content = F.when(F.col("is_go"), F.array_join(F.slice("lines", F.lit(1), F.col("size")), "\n")).otherwise(F.col("piece"))
+    cut = spans.withColumn("size", size).filter(F.col("size") > 0).withColumn("content", content)
+    metadata = F.create_map(F.lit("file_type"), F.regexp_replace("ext", r"^\.", ""),
+                            F.lit("file_name"), paths.base_name(F.col("path")))
+    return cut.select(
+        text.snippet_id(F.col("path"), F.col("n"), F.col("content")).alias("id"), "content",
+        F.col("path").alias("file_path"), F.col("n").alias("start_line"),
+        (F.col("n") + F.col("size") - 1).alias("end_line"),
+        F.when(F.col("is_go"), F.array(go_symbol(F.col("content")))).otherwise(
+            F.array().cast("array<string>")).alias("symbols"),
+        F.lit(None).cast("array<float>").alias("embedding"),
+        F.when(~F.col("is_go"), metadata).alias("metadata"))
 
 
 def file_errors(files: DataFrame) -> DataFrame:

@@ -112,9 +112,9 @@ class HashedText:
 
 
 class _Best:
-    """The k best rows per query a task has seen: score descending, then id."""
+    """The k best rows per query a task has seen: score descending, then id. Each query has its own k."""
 
-    def __init__(self, scorer, prepared, query_ids: np.ndarray, k: int):
+    def __init__(self, scorer, prepared, query_ids: np.ndarray, k: np.ndarray):
         self.scorer, self.q, self.query_ids, self.k = scorer, prepared, query_ids, k
         self.floor = np.full(len(query_ids), -np.inf)
         self.at = np.empty(0, dtype=np.int64)
@@ -124,7 +124,7 @@ class _Best:
     def add(self, rows: pd.DataFrame) -> None:
         # Of rows with one and the same content only the k lowest ids can place.
         rows = rows.sort_values("id")
-        rows = rows[rows.groupby(self.scorer.copies(rows), sort=False).cumcount() < self.k]
+        rows = rows[rows.groupby(self.scorer.copies(rows), sort=False).cumcount() < self.k.max()]
         step = max(64, SCORE_CELLS // max(1, *self.q[0].shape))
         for start in range(0, len(rows), step):
             self._add_part(rows.iloc[start:start + step])
@@ -133,10 +133,11 @@ class _Best:
         m = self.scorer.rows(self.q, rows)
         rough = self.q[0] @ m[0].T
         bound = self.floor - self.scorer.slack
-        cold = np.isneginf(self.floor)
         n = len(rows)
-        if cold.any() and n > self.k:
-            bound[cold] = np.partition(rough[cold], n - self.k, axis=1)[:, n - self.k] - 2 * self.scorer.slack
+        cold = np.isneginf(self.floor) & (self.k < n)
+        for k in np.unique(self.k[cold]):
+            some = cold & (self.k == k)
+            bound[some] = np.partition(rough[some], n - k, axis=1)[:, n - k] - 2 * self.scorer.slack
         hit = rough >= bound[:, None].astype(np.float32)
         if self.scorer.positive_only:
             hit &= rough > 0
@@ -158,12 +159,12 @@ class _Best:
         order = np.lexsort((id_rank, -self.score, self.at))
         at = self.at[order]
         place = np.arange(len(at)) - np.searchsorted(at, at)
-        order = order[place < self.k]
+        kept = place < self.k[at]
+        last = place[kept] == self.k[at[kept]] - 1
+        order = order[kept]
         self.at, self.score, self.ids = self.at[order], self.score[order], self.ids[order]
-        full = place == self.k - 1
-        kept_score = np.full(len(self.floor), -np.inf)
-        kept_score[at[full]] = self.score[place[place < self.k] == self.k - 1]
-        self.floor = kept_score
+        self.floor = np.full(len(self.floor), -np.inf)
+        self.floor[self.at[last]] = self.score[last]
 
     def hits(self) -> Iterator[pd.DataFrame]:
         if len(self.at):
@@ -177,13 +178,16 @@ def _hit_schema(queries: DataFrame, rows: DataFrame) -> T.StructType:
         T.StructField("id", rows.schema["id"].dataType)])
 
 
-def keep_best(hits: DataFrame, k: int, per_query_k: DataFrame | None = None) -> DataFrame:
-    """Rank hits per query, score descending then id, and keep the first k."""
+def keep_best(hits: DataFrame, k: int | DataFrame) -> DataFrame:
+    """Rank hits per query, score descending then id, and keep the first k.
+
+    ``k`` is one number, or a table with each query's own (query_id, k).
+    """
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))
-    ranked = hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    if per_query_k is not None:
-        ranked = ranked.join(per_query_k, "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
-    return ranked
+    ranked = hits.withColumn("rank", F.row_number().over(order))
+    if isinstance(k, int):
+        return ranked.filter(F.col("rank") <= k)
+    return ranked.join(k.select("query_id", "k"), "query_id").filter(F.col("rank") <= F.col("k")).drop("k")
 
 
 def top_k(queries: DataFrame, rows: DataFrame, scorer, k: int, payload: list[str] | None = None,
@@ -194,23 +198,20 @@ def top_k(queries: DataFrame, rows: DataFrame, scorer, k: int, payload: list[str
     ``rows``: a unique ``id``, the scorer's column, payload columns.
     Returns ``query_id, rank, score, id, <payload>``.
     """
-    per_query_k = None
-    if "k" in queries.columns:
-        per_query_k = queries.select("query_id", "k")
-    queries = queries.select("query_id", scorer.column).filter(F.col(scorer.column).isNotNull())
+    own = "k" in queries.columns
+    queries = (queries.select("query_id", scorer.column, (F.col("k") if own else F.lit(k)).cast("int").alias("k"))
+               .filter(F.col(scorer.column).isNotNull() & (F.col("k") > 0)))
     table, rows = rows, rows.select("id", scorer.column).filter(F.col(scorer.column).isNotNull())
-    size = queries.agg(scorer.query_bytes().alias("bytes"), F.count("*").alias("n")).first()
-    if per_query_k is not None:
-        k = per_query_k.agg(F.max("k")).first()[0] or 0
-    if k <= 0 or not size["n"]:
+    size = queries.agg(scorer.query_bytes().alias("bytes"), F.count("*").alias("n"), F.sum("k").alias("hits")).first()
+    if not size["n"]:
         none = queries.sparkSession.createDataFrame([], _hit_schema(queries, rows)).withColumn("rank", F.lit(1))
         return with_payload(none, table, payload, 0)
     if size["bytes"] <= broadcast_bytes:
-        hits = _broadcast_scan(queries, rows, scorer, k)
+        hits = _broadcast_scan(queries, rows, scorer)
     else:
         cell = F.lit(0)
-        hits = cell_scan(queries.withColumn("cell", cell), rows.withColumn("cell", cell), scorer, k)
-    return with_payload(keep_best(hits, k, per_query_k), table, payload, size["n"] * k)
+        hits = cell_scan(queries.withColumn("cell", cell), rows.withColumn("cell", cell), scorer)
+    return with_payload(keep_best(hits, queries if own else k), table, payload, size["hits"])
 
 
 def with_payload(hits: DataFrame, table: DataFrame, payload: list[str] | None, at_most: int) -> DataFrame:
@@ -225,13 +226,13 @@ def with_payload(hits: DataFrame, table: DataFrame, payload: list[str] | None, a
     return table.select("id", *payload).join(F.broadcast(hits) if small else hits, "id")
 
 
-def _broadcast_scan(queries, rows, scorer, k):
+def _broadcast_scan(queries: DataFrame, rows: DataFrame, scorer) -> DataFrame:
     small = queries.toPandas()
-    shared = queries.sparkSession.sparkContext.broadcast((scorer.queries(small), small["query_id"].to_numpy()))
+    shared = queries.sparkSession.sparkContext.broadcast(
+        (scorer.queries(small), small["query_id"].to_numpy(), small["k"].to_numpy()))
 
     def scan(batches):
-        prepared, query_ids = shared.value
-        best = _Best(scorer, prepared, query_ids, k)
+        best = _Best(scorer, *shared.value)
         for rows_batch in batches:
             best.add(rows_batch)
         yield from best.hits()
@@ -242,9 +243,8 @@ def _broadcast_scan(queries, rows, scorer, k):
     return spread(rows).coalesce(tasks).mapInPandas(scan, _hit_schema(queries, rows))
 
 
-def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int,
-              rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
-    """k best rows per query within each ``cell``, both sides carrying the cell key.
+def cell_scan(queries: DataFrame, rows: DataFrame, scorer, rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
+    """k best rows per query within each ``cell``; both sides carry the cell key, queries their k.
 
     A cell is cut by its counted rows into even parts by id hash, and every
     query part meets every row part, so a hot cell becomes many bounded tasks.
@@ -252,7 +252,8 @@ def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int,
     """
     n_q = queries.groupBy("cell").agg(F.ceil(F.count("*") / scorer.queries_per_cell).cast("int").alias("q_parts"))
     n_r = rows.groupBy("cell").agg(F.ceil(F.count("*") / rows_per_cell).cast("int").alias("r_parts"))
-    parts = n_q.join(n_r, "cell")
+    # One row per cell, and cells are few: one, or as many as a caller's buckets.
+    parts = F.broadcast(n_q.join(n_r, "cell"))
     part_of = lambda col, n: F.pmod(F.xxhash64(col), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     q = (queries.join(parts, "cell").withColumn("q_part", part_of("query_id", "q_parts"))
@@ -267,8 +268,7 @@ def cell_scan(queries: DataFrame, rows: DataFrame, scorer, k: int,
     def scan(query_part: pd.DataFrame, row_part: pd.DataFrame) -> pd.DataFrame:
         if query_part.empty or row_part.empty:
             return pd.DataFrame(columns=names)
-        query_ids = query_part["query_id"].to_numpy()
-        best = _Best(scorer, scorer.queries(query_part), query_ids, k)
+        best = _Best(scorer, scorer.queries(query_part), query_part["query_id"].to_numpy(), query_part["k"].to_numpy())
         best.add(row_part)
         for found in best.hits():
             return found[names]

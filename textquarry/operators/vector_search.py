@@ -44,7 +44,7 @@ def search_buckets(queries: DataFrame, table: DataFrame, k: int = DEFAULT_K, pay
     signature = F.transform(
         literal, lambda group, i: F.concat_ws(":", i.cast("string"), F.array_join(F.transform(group, side), "")))
     bucketed = lambda df: df.filter(F.col(column).isNotNull()).withColumn("cell", F.explode(signature))
-    hits = cell_scan(bucketed(queries.select("query_id", column)), bucketed(table.select("id", column)),
-                     DenseVectors(column), k)
+    asked = queries.select("query_id", column, F.lit(k).alias("k"))
+    hits = cell_scan(bucketed(asked), bucketed(table.select("id", column)), DenseVectors(column))
     best = keep_best(hits.dropDuplicates(["query_id", "id"]), k)
     return with_payload(best, table, payload, queries.count() * k if payload else 0)

@@ -10,7 +10,7 @@ from textquarry.functions.toolinput import decode_inputs, whole_k
 from textquarry.operators import conversations, mutations, snippets, upsert
 from textquarry.operators.keyword_search import keyword_search
 from textquarry.operators.tools import ToolBox
-from textquarry.operators.topk import DenseVectors, cell_scan, keep_best
+from textquarry.operators.topk import DenseVectors, top_k
 from textquarry.operators.vector_search import DEFAULT_K, search, search_buckets, search_text
 from textquarry.plans import oracle as sql, requests
 from textquarry.plans.chat import contexts, prompts, user_queries
@@ -58,10 +58,9 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql.VECTOR_SELF)
 def vector_topk_cells(spark: SparkSession, folder: str) -> DataFrame:
     """The same by blocks, the way taken when queries outgrow a broadcast."""
-    table = vectors(spark, folder).withColumn("cell", F.lit(0))
-    queries = table.select(F.col("id").alias("query_id"), "embedding", "cell")
-    return _scored(keep_best(cell_scan(queries, table.select("id", "embedding", "cell"), DenseVectors(), 3,
-                                       rows_per_cell=50_000), 3))
+    table = vectors(spark, folder)
+    return _scored(top_k(table.select(F.col("id").alias("query_id"), "embedding"), table, DenseVectors(), 3,
+                         broadcast_bytes=0))
 
 
 @query(sql.VECTOR_LABELS)
@@ -244,7 +243,7 @@ def path_normalise(spark: SparkSession, folder: str) -> DataFrame:
 @query(sql.WORKSPACE)
 def workspace_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """Documents written as hidden and plain files, scanned and read back."""
-    root = scratch_path(spark, "workspace").removeprefix("file:")
+    root = scratch_path(spark, "workspace")
     name = F.concat("source", F.lit("/."), "lang", F.lit("/"), F.col("doc_id").cast("string"))
     write_workspace(spread(as_files(load(spark, folder, "documents"), name, F.col("text"))), root).agg(
         F.sum("bytes")).collect()

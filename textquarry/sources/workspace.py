@@ -22,6 +22,14 @@ LISTING_ROWS = 10_000
 READ_BYTES = 64 * 1024 * 1024
 
 
+def shared_folder(root: str) -> str:
+    """A plain absolute path; other file systems are not readable this way."""
+    root = root.removeprefix("file://").removeprefix("file:")
+    if "://" in root:
+        raise ValueError(f"{root} is not on a mounted file system; read it with binaryFile")
+    return os.path.abspath(root)
+
+
 def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     # An unreadable directory raises and so stops the scan.
     def rows(root: str, rel: str):
@@ -47,7 +55,7 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def list_workspace(spark: SparkSession, root: str) -> DataFrame:
     """Every non-directory below ``root``: root, path (relative), length."""
     schema = "root string, path string, is_dir boolean, length bigint"
-    frontier = spark.createDataFrame([(os.path.abspath(root), "")], "root string, path string")
+    frontier = spark.createDataFrame([(shared_folder(root), "")], "root string, path string")
     files = None
     while True:
         level = cut_lineage(frontier.mapInPandas(_list_level, schema))
@@ -94,7 +102,7 @@ def write_workspace(files: DataFrame, root: str) -> DataFrame:
     Each file appears under its name in one step, so a retried task does no harm.
     Lazy, like any transformation: an action on the result writes the files.
     """
-    root = os.path.abspath(root)
+    root = shared_folder(root)
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
