@@ -42,27 +42,32 @@ def embed_with(model: Callable[[list[str]], list[list[float]]], text: Column) ->
     return run(text)
 
 
+class Remembered(dict):
+    """A function's results by argument; forgets them all when full."""
+
+    def __init__(self, work: Callable, room: int = 500_000):
+        super().__init__()
+        self.work, self.room = work, room
+
+    def __missing__(self, key):
+        if len(self) >= self.room:
+            self.clear()
+        value = self[key] = self.work(key)
+        return value
+
+    def __reduce__(self):
+        return Remembered, (self.work, self.room)
+
+
 class WordBuckets:
-    """Word -> bucket by md5, remembering the words a task has seen."""
+    """Words of a text as buckets, by md5."""
 
     def __init__(self, dim: int, remember: int = 500_000):
         self.dim = dim
-        self.remember = remember
-        self.seen: dict[str, int] = {}
+        self.bucket = Remembered(lambda word: int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim, remember)
 
     def of(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        seen, dim, out = self.seen, self.dim, []
-        for word in _WORD.findall(text.lower()):
-            bucket = seen.get(word)
-            if bucket is None:
-                if len(seen) >= self.remember:
-                    seen.clear()
-                bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dim
-                seen[word] = bucket
-            out.append(bucket)
-        return out
+        return [self.bucket[word] for word in _WORD.findall(text.lower())] if text else []
 
 
 def hashed(text: Column, dim: int = DEFAULT_DIM) -> Column:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from textquarry.functions.embedding import Remembered
 from textquarry.functions.text import query_terms
 from textquarry.operators.topk import top_k
 
@@ -31,13 +32,11 @@ class TermCounts:
     positive_only = True
     slack = 0.5
     queries_per_cell = 500
-    remember = 200_000
 
     def __init__(self, column: str = "terms", text: str = "content"):
         self.column = column
         self.text = text
-        self.vocabulary = self.automaton = None
-        self.seen: dict[str, list[int]] = {}
+        self.vocabulary = self.automaton = self.terms_in = None
 
     def query_bytes(self) -> Column:
         return F.sum(F.size(self.column)) * F.count("*") * 8
@@ -58,11 +57,14 @@ class TermCounts:
         self.fit(q[1])
         counts = np.zeros((len(rows), q[0].shape[1]))
         for i, text in enumerate(rows[self.column]):
-            found = [term for word in _GAP.split(text) for term in self.terms_in(word)]
+            found = [term for word in _GAP.split(text) for term in self.terms_in[word]]
             if found:
                 counts[i] = np.bincount(found, minlength=counts.shape[1])
         return (counts,)
 
+    def rough(self, q, m) -> np.ndarray:
+        return m[0] @ q[0].T
+
     def exact(self, q, m, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", q[0][qi], m[0][ri])
 
@@ -70,45 +72,46 @@ class TermCounts:
         """Build the automaton, once per block of queries."""
         if vocabulary is self.vocabulary:
             return
-        self.vocabulary, self.seen, self.automaton = vocabulary, {}, ahocorasick.Automaton()
+        self.vocabulary, self.automaton = vocabulary, ahocorasick.Automaton()
         for i, term in enumerate(vocabulary):
             self.automaton.add_word(term, (i, len(term)))
         if vocabulary:
             self.automaton.make_automaton()
+        self.terms_in = Remembered(self._terms_in)
 
-    def terms_in(self, word: str) -> list[int]:
+    def _terms_in(self, word: str) -> list[int]:
         """Vocabulary places found in a lowered word, repeated per occurrence."""
-        found = self.seen.get(word)
-        if found is None:
-            found, ends = [], {}
-            if word and len(self.automaton):
-                for end, (term, length) in self.automaton.iter(word):
-                    if end - length >= ends.get(term, -1):
-                        ends[term] = end
-                        found.append(term)
-            if len(self.seen) >= self.remember:
-                self.seen.clear()
-            self.seen[word] = found
+        found, ends = [], {}
+        if word and len(self.automaton):
+            for end, (term, length) in self.automaton.iter(word):
+                if end - length >= ends.get(term, -1):
+                    ends[term] = end
+                    found.append(term)
         return found
 
 
+def word_scores(terms: list[str]) -> Remembered:
+    """Lowered word -> summed counts of the terms in it."""
+    counter = TermCounts()
+    weights, vocabulary = counter.queries(pd.DataFrame({"terms": [terms]}))
+    counter.fit(vocabulary)
+    return Remembered(lambda word: sum(weights[0, t] for t in counter.terms_in[word]))
+
+
 def best_line(content: Column, terms: Column) -> Column:
     """First line with the strictly highest score, null if none scores."""
 
     @F.pandas_udf("string")
     def find(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        asked, counter, weights = None, None, None
+        asked, score_of = None, None
         for contents, term_lists in batches:
             out = []
             for text, words in zip(contents, term_lists):
                 if asked != tuple(words):
-                    asked, counter = tuple(words), TermCounts()
-                    weights, vocabulary = counter.queries(pd.DataFrame({"terms": [words]}))
-                    counter.fit(vocabulary)
-                    weights = weights[0]
+                    asked, score_of = tuple(words), word_scores(words)
                 best, found = 0, None
                 for line in text.split("\n"):
-                    score = sum(weights[t] for word in _GAP.split(line.lower()) for t in counter.terms_in(word))
+                    score = sum([score_of[word] for word in _GAP.split(line.lower())])
                     if score > best:
                         best, found = score, line
                 out.append(found)
