@@ -9,7 +9,7 @@ from textquarry.functions.embedding import WordBuckets, checked_dim, embed_with,
 from textquarry.operators.keyword_search import TermCounts, keyword_search
 from textquarry.operators.topk import DenseVectors, HashedText, cell_scan, keep_best, top_k
 from textquarry.operators.vector_search import search, search_buckets, search_text
-from textquarry.plans.search import cascade
+from textquarry.plans.search import cascade, nearest
 from textquarry.schemas import SNIPPET
 
 FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
@@ -92,7 +92,7 @@ def test_buckets_recall(spark):
     rows = np.repeat(centres, 20, axis=0) + 0.1 * rng.standard_normal((400, 16))
     q = centres + 0.1 * rng.standard_normal((20, 16))
     queries, table = vector_frames(spark, q, rows)
-    got = ranked(search_buckets(queries, table, 5, dim=16))
+    got = ranked(search_buckets(queries, table, 5))
     want = set((i, j) for i, _, j in brute(q.astype(np.float32).astype(float), rows.astype(np.float32).astype(float), 5))
     found = set((i, j) for i, _, j in got)
     assert len(found & want) / len(want) > 0.9
@@ -205,6 +205,14 @@ def test_cascade(spark):
     assert round(by_model.first().score, 6) == round(0.5 ** 0.5, 6)
 
 
+def test_approximate_plan(spark):
+    texts = [f"alpha{i} beta{i} gamma{i}" for i in range(30)]
+    snips = snippet_rows(spark, texts).withColumn("embedding", hashed_unit(F.col("content")))
+    queries = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "query_id long, query string, k int")
+    hits = nearest(queries, snips, 5, approximate=True).collect()
+    assert sorted((r.query_id, r.id, r.content) for r in hits) == [(i, f"s{i}", t) for i, t in enumerate(texts)]
+
+
 def test_embedding_batches(spark):
     df = spark.range(250).coalesce(1).select(F.col("id").cast("string").alias("t"))
     sizes = df.select(embed_with(lambda texts: [[float(len(texts))] for _ in texts], F.col("t"))[0].alias("n"))
