@@ -111,17 +111,6 @@ def test_hashed_text(spark):
     assert u[4].u is None and len(u[0].u) == 16 and abs(sum(x * x for x in u[0].u) - 1) < 1e-6
 
 
-def test_many_queries_take_the_sparse_way(spark):
-    # Over 256 queries short rows are scored by their buckets alone.
-    texts = [" ".join(f"w{(i * j) % 23}" for j in range(1, 2 + i % 7)) for i in range(300)]
-    long = " ".join(f"w{i}" for i in range(400))
-    rows = spark.createDataFrame(list(enumerate(texts[::5] + [long])), "id long, text string")
-    queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
-    few = spark.createDataFrame(list(enumerate(texts))[:100], "query_id long, text string")
-    scored = lambda q: sorted((r.query_id, r["rank"], r.id, r.score) for r in search_text(q, rows, 3).collect())
-    assert [h for h in scored(queries) if h[0] < 100] == scored(few)
-
-
 def test_large_counts_stay_exact(spark):
     # Products beyond single precision.
     rows = spark.createDataFrame([(1, "a " * 5000 + "b"), (2, "a " * 5000 + "b b")], "id long, text string")

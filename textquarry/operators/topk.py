@@ -33,8 +33,6 @@ ROWS_PER_CELL = 50_000
 TASKS_PER_CORE = 16
 SCORE_DECIMALS = 9
 EXACT_PAIRS = 4096
-SHORT_ROW = 12
-MANY_QUERIES = 256
 HIT_BYTES = 256
 
 
@@ -96,45 +94,24 @@ class HashedText:
         return rows[self.column]
 
     def queries(self, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        _, counts, norm2 = self.rows(None, rows)
-        return np.ascontiguousarray(self._unit(counts, norm2).T), counts, norm2
+        return self.rows(None, rows)
 
-    def rows(self, q, rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    def rows(self, q, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         counts = np.zeros((len(rows), self.buckets.dim), dtype=np.float32)
-        norm2 = np.zeros(len(rows))
-        used = []
         for i, text in enumerate(rows[self.column]):
-            row = np.bincount(self.buckets.of(text), minlength=self.buckets.dim)
-            at = np.flatnonzero(row)
-            counts[i, at] = row[at]
-            norm2[i] = (row[at] ** 2).sum()
-            used.append(at)
-        return used, counts, norm2
+            counts[i] = np.bincount(self.buckets.of(text), minlength=self.buckets.dim)
+        norm2 = np.einsum("ij,ij->i", counts, counts, dtype=np.float64)
+        length = np.sqrt(norm2)[:, None].astype(np.float32)
+        return np.divide(counts, length, out=np.zeros_like(counts), where=length > 0), counts, norm2
 
     def rough(self, q, m) -> np.ndarray:
-        """A short text against many queries costs less by its few buckets than as a whole row."""
-        used, counts, norm2 = m
-        unit = self._unit(counts, norm2)
-        short = [len(at) * SHORT_ROW <= self.buckets.dim and q[0].shape[1] >= MANY_QUERIES for at in used]
-        if not any(short):
-            return unit @ q[0]
-        out = np.empty((len(used), q[0].shape[1]), dtype=np.float32)
-        for i in np.flatnonzero(short):
-            np.dot(unit[i, used[i]], q[0][used[i]], out=out[i])
-        long = np.flatnonzero(~np.array(short))
-        out[long] = unit[long] @ q[0]
-        return out
+        return m[0] @ q[0].T
 
     def exact(self, q, m, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
         dot = np.einsum("ij,ij->i", q[1][qi], m[1][ri], dtype=np.float64)
         scale = np.sqrt(q[2][qi] * m[2][ri])
         return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
 
-    @staticmethod
-    def _unit(counts: np.ndarray, norm2: np.ndarray) -> np.ndarray:
-        length = np.sqrt(norm2)[:, None].astype(np.float32)
-        return np.divide(counts, length, out=np.zeros_like(counts), where=length > 0)
-
 
 class _Best:
     """The k best rows per query a task has seen: score descending, then id. Each query has its own k."""
