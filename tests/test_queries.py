@@ -19,7 +19,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.QUERIES))
 def test_query(spark, db, name):
     df = entry.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
