@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import (chat_format, mixing, oracle as sql, quality_classifier, quality_rules, token_counts)
+from textquarry.llm import (chat_format, language_id, mixing, oracle as sql, quality_classifier, quality_rules, token_counts)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    docs = load(spark, folder, "documents").withColumn("held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.fit(docs.where(~F.col("held_out")))
+    return language_id.predict(docs, model, ["doc_id", "held_out"])
+
+
 @query(sql.MIX)
 def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """What a mix of 150 % of all words takes of every document."""
