@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import (chat_format, language_id, mixing, oracle as sql, quality_classifier, quality_rules, token_counts)
+from textquarry.llm import (chat_format, html_text, language_id, mixing, oracle as sql, quality_classifier, quality_rules, token_counts)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -24,6 +24,12 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query()
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.main_text(load(spark, folder, "pages"))
+
+
 @query()
 def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from those not held out."""
