@@ -8,8 +8,8 @@ itself declares (a nav, an article) goes before the statistics, since menus and
 
 from __future__ import annotations
 
-import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -48,7 +48,7 @@ NOISE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advert
 HEAD_WORDS = frozenset({"header", "banner", "masthead"})
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-                  r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+                  r"|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -100,7 +100,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
     """Blocks in page order: text, path of the block's node, whether the markup calls it noise, the main part it stands
     in ('article', 'main' or ''), and the layout of the node's children as read so far."""
     root = _Node("", "", None)
-    stack = [root]
+    stack, nodes, open_tags = [root], [root], Counter()
     blocks: list[tuple[str, _Node]] = []
     pieces: list[str] = []
     links = 0
@@ -115,6 +115,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
     def pop_to(i: int) -> None:
         if not all(n.inline for n in stack[i:]):
             flush()
+        open_tags.subtract([n.tag for n in stack[i:]])
         del stack[i:]
 
     at, search = 0, _TAG.search
@@ -138,7 +139,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
         tag = tag.lower()
         if closing:
             inline = tag in INLINE
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                 if stack[i].tag == tag:
                     pop_to(i)
                     break
@@ -166,6 +167,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
                 _describe(node, _attributes(rest))
                 node.mute |= node.noise
             stack.append(node)
+            open_tags[tag] += 1
         else:
             flush()
             if tag in CLOSES_P:
@@ -175,7 +177,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
                         break
                     if not stack[i].inline:
                         break
-            elif tag in CLOSES:
+            elif tag in CLOSES and any(open_tags[x] for x in CLOSES[tag][0]):
                 ends, stops = CLOSES[tag]
                 low = 0
                 for i in range(len(stack) - 1, 0, -1):
@@ -186,7 +188,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
                 if low:
                     pop_to(low)
             while stack[-1].inline:  # an inline element left open ends where a block starts
-                stack.pop()
+                open_tags[stack.pop().tag] -= 1
             links = 0
             attributes = _attributes(rest)
             parent = stack[-1]
@@ -196,30 +198,25 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
             if not parent.children or parent.children[-1] != label:
                 parent.children.append(label)
             stack.append(node)
+            nodes.append(node)
+            open_tags[tag] += 1
     flush()
-    return _judged(blocks)
-
-
-def _judged(blocks: list[tuple[str, _Node]]) -> list[tuple[str, str, bool, str, str]]:
-    holds_main: set[int] = set()
-    sums: dict[int, list] = {}
-    for text, node in blocks:
-        n: _Node | None = node
-        inside = False
-        while n is not None:
-            if n.main and not n.noise:
-                inside = True
-            if inside:
-                holds_main.add(id(n))
-            n = n.parent
-    for node in {id(n): n for _, n in blocks}.values():
-        n = node
-        while n is not None:
-            s = sums.setdefault(id(n), [0, 0, 0])
-            s[0] += node.chars
-            s[1] += node.linked
-            s[2] += node.links
-            n = n.parent
+    return _judged(blocks, nodes)
+
+
+def _judged(blocks: list[tuple[str, _Node]], nodes: list[_Node]) -> list[tuple[str, str, bool, str, str]]:
+    sums = {id(n): [n.chars, n.linked, n.links] for n in nodes}
+    inside: set[int] = set()
+    for n in nodes:  # parents come before their children
+        if n.main and not n.noise or n.parent is not None and id(n.parent) in inside:
+            inside.add(id(n))
+    holds_main = {id(node) for _, node in blocks if id(node) in inside}
+    for n in reversed(nodes):
+        if n.parent is not None:
+            for k in range(3):
+                sums[id(n.parent)][k] += sums[id(n)][k]
+            if id(n) in holds_main:
+                holds_main.add(id(n.parent))
     verdicts: dict[int, tuple[bool, str]] = {}
 
     def verdict(node: _Node) -> tuple[bool, str]:
