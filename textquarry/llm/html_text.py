@@ -47,8 +47,8 @@ NOISE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advert
 # These may name a page's or an article's wrapper or head, and count only outside the article.
 HEAD_WORDS = frozenset({"header", "banner", "masthead"})
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-                  r"|<(/?)([a-zA-Z][^\s/>]*+)([^<>]*+)>", re.S)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
+                  r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -206,11 +206,13 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
 
 def _judged(blocks: list[tuple[str, _Node]], nodes: list[_Node]) -> list[tuple[str, str, bool, str, str]]:
     sums = {id(n): [n.chars, n.linked, n.links] for n in nodes}
-    inside: set[int] = set()
+    nearest: dict[int, int] = {}  # the main part a node stands in
     for n in nodes:  # parents come before their children
-        if n.main and not n.noise or n.parent is not None and id(n.parent) in inside:
-            inside.add(id(n))
-    holds_main = {id(node) for _, node in blocks if id(node) in inside}
+        if n.main and not n.noise:
+            nearest[id(n)] = id(n)
+        elif n.parent is not None and id(n.parent) in nearest:
+            nearest[id(n)] = nearest[id(n.parent)]
+    holds_main = {nearest[id(node)] for _, node in blocks if id(node) in nearest}
     for n in reversed(nodes):
         if n.parent is not None:
             for k in range(3):
