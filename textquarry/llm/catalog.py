@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import (chat_format, html_text, language_id, mixing, oracle as sql, quality_classifier, quality_rules, token_counts)
+from textquarry.llm import (chat_format, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules, token_counts)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,6 +78,12 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query(sql.NGRAM_JOIN)
+def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose shingle sets are three quarters alike."""
+    return ngram_join.join(load(spark, folder, "documents"))
+
+
 @query()
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Histogram of encoded document lengths with its suffix sums."""

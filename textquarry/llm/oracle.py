@@ -52,3 +52,25 @@ select conv_id, count(*) as n_turns,
        cast(sum(length(text) + marks + length(role) + role_marks + 23) as bigint) as formatted_chars
 from e group by conv_id
 """
+
+NGRAM_JOIN = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') as ws
+  from documents),
+d as (
+  select doc_id, case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+    else list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) end as sh
+  from w),
+e as (select doc_id, unnest(sh) as s from d),
+n as (select doc_id, cast(len(sh) as bigint) as n from d),
+o as (
+  select x.doc_id as a, y.doc_id as b, count(*) as o
+  from e x join e y on x.s = y.s and x.doc_id < y.doc_id group by 1, 2),
+l as (
+  select a, b from o join n na on na.doc_id = a join n nb on nb.doc_id = b
+  where 100 * o >= 75 * (na.n + nb.n - o)),
+both_ways as (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as b from d union select r.a, x.b from r join both_ways x on r.b = x.a)
+select r.a as doc_id, n.n as n_shingles, min(r.b) as component_id from r join n on n.doc_id = r.a group by r.a, n.n
+"""
