@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import (chat_format, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules, token_counts)
+from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules, token_counts)
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,6 +78,13 @@ def op7_chat_format(spark: SparkSession, folder: str) -> DataFrame:
         F.char_length("formatted").cast("long").alias("formatted_chars"))
 
 
+@query(sql.LEAKS)
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document and benchmark item that a window of the document is like."""
+    found = decontamination.matches(load(spark, folder, "documents"), load(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", F.round("similarity", 9).alias("similarity"))
+
+
 @query(sql.NGRAM_JOIN)
 def op9_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose shingle sets are three quarters alike."""

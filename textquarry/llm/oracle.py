@@ -74,3 +74,32 @@ both_ways as (select a, b from l union all select b, a from l),
 r as (select doc_id as a, doc_id as b from d union select r.a, x.b from r join both_ways x on r.b = x.a)
 select r.a as doc_id, n.n as n_shingles, min(r.b) as component_id from r join n on n.doc_id = r.a group by r.a, n.n
 """
+
+LEAKS = r"""
+with d as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as ws from documents),
+i as (select item_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') as ws from benchmark),
+it as (select item_id, cast(len(ws) as bigint) as n, least(len(ws), 5) as w from i where len(ws) > 0),
+ish as (
+  select item_id, n, w, array_to_string(ws[p:p + w - 1], ' ') as s
+  from (select i.item_id, n, w, ws, unnest(range(1, cast(n - w + 2 as bigint))) as p from i join it using (item_id))),
+ic as (select item_id, n, w, s, count(*) as c from ish group by all),
+dsh as (
+  select doc_id, nd, w, p - 1 as pos, array_to_string(ws[p:p + w - 1], ' ') as s
+  from (select doc_id, len(ws) as nd, ws, w, unnest(range(1, cast(len(ws) - w + 2 as bigint))) as p
+        from d, (select distinct w from it) where len(ws) >= w)),
+h as (select distinct doc_id, item_id, n, dsh.w, nd, pos from dsh join ic on dsh.s = ic.s and dsh.w = ic.w),
+st as (
+  select distinct doc_id, item_id, n, w,
+         unnest(range(cast(greatest(0, pos - (n - w)) as bigint), cast(least(pos, nd - n) + 1 as bigint))) as start
+  from h where n <= nd),
+wc as (
+  select st.doc_id, st.item_id, st.n, st.w, st.start, dsh.s, count(*) as c
+  from st join dsh on dsh.doc_id = st.doc_id and dsh.w = st.w and dsh.pos between st.start and st.start + st.n - st.w
+  group by all),
+sm as (
+  select wc.doc_id, wc.item_id, wc.n, wc.w, wc.start, sum(least(wc.c, ic.c)) as inter
+  from wc join ic on ic.item_id = wc.item_id and ic.s = wc.s group by all),
+r as (select *, inter / (2.0 * (n - w + 1) - inter) as sim from sm),
+b as (select *, row_number() over (partition by doc_id, item_id order by sim desc, start) as k from r where sim >= 0.75)
+select doc_id, item_id, cast(start as bigint) as start, n as n_words, round(sim, 9) as similarity from b where k = 1
+"""
