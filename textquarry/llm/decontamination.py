@@ -13,59 +13,58 @@ from pyspark.sql import Column, DataFrame, functions as F
 from textquarry.llm.common import BROADCAST_ROWS, small_side, stored
 
 WIDTH, SIMILARITY = 5, 0.75
-# Fingerprints have 64 bits. Windows at the similarity differ in 11 bits (deviation 3), so that RADIUS leaves four deviations.
-RADIUS = 23
+# Windows at the similarity differ in 11 of 63 bits (deviation 3); RADIUS leaves four deviations.
+BITS, RADIUS = 63, 23
 
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
-def _shingles(words: Column, width: int) -> Column:
+def _shingles(words: str, width: int) -> str:
     """Hashes of every ``width`` neighbouring words, in order."""
-    hashed = lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(width)])
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(0), F.size(words) - width), hashed)).otherwise(
-        F.array().cast("array<bigint>"))
+    parts = ", ".join(f"get({words}, i + {k})" for k in range(width))
+    return (f"if(size({words}) >= {width}, transform(sequence(0, size({words}) - {width}), i -> xxhash64({parts})), "
+            "cast(array() as array<bigint>))")
 
 
-def _lane_bits(most: int) -> int:
-    """Bits of a counter that ``most`` shingles cannot overflow."""
-    return next(b for b in (8, 16, 32) if most < 1 << (b - 1))
+def _by_width(words: str, widths: list[int], width: str) -> Column:
+    return F.expr("case " + " ".join(f"when {width} = {w} then {_shingles(words, w)}" for w in widths) + " end")
+
 
+def _lane_bits(most: int) -> int:
+    """Bits of a counter that ``most`` shingles leave the top bit of free."""
+    return next(b for b in (9, 21) if most < 1 << (b - 1))
 
-def fingerprint(hashes: Column, lane: int) -> Column:
-    """SimHash: a bit is set if most of the hashes have it. Bits are counted in lanes packed in whole numbers."""
-    per, n = 64 // lane, lane
-    mask = F.lit(sum(1 << (n * i) for i in range(per)))
-    names = [f"c{k}" for k in range(n)]
-    start = F.struct(*[F.lit(0).cast("long").alias(c) for c in names])
-    add = lambda acc, h: F.struct(*[(acc[c] + F.shiftrightunsigned(h, k).bitwiseAND(mask)).alias(c)
-                                    for k, c in enumerate(names)])
-    counted = F.aggregate(hashes, start, add)
-    half = F.size(hashes)
 
-    def bits(acc: Column) -> Column:
-        terms = [F.when(F.shiftrightunsigned(acc[names[k]], n * i).bitwiseAND(F.lit((1 << n) - 1)) * 2 > half,
-                        F.lit((1 << (n * i + k)) - (1 << 64 if n * i + k == 63 else 0)).cast("long")).otherwise(F.lit(0).cast("long"))
-                 for i in range(per) for k in range(n)]
-        return reduce(lambda a, b: a.bitwiseOR(b), terms)
+def fingerprint(hashes: str, lane: int) -> Column:
+    """SimHash: a bit is set if more than half of the hashes have it. ``hashes`` names a column.
 
-    return F.get(F.transform(F.array(counted), bits), F.lit(0))
+    Bits are counted in lanes of ``lane`` bits, several to a whole number. Adding the same to every lane brings those over
+    half to their top bit. The sign bit is never used, so that sums do not overflow.
+    """
+    ones = sum(1 << (lane * i) for i in range(BITS // lane))
+    add = ", ".join(f"acc.c{k} + (shiftrightunsigned(h, {k}) & {ones}L) as c{k}" for k in range(lane))
+    lift = f"({(1 << (lane - 1)) - 1}L - size({hashes}) div 2) * {ones}L"
+    tops = " | ".join(f"shiftleft(shiftrightunsigned((acc.c{k} + {lift}) & {ones << (lane - 1)}L, {lane - 1}), {k})" for k in range(lane))
+    return F.expr(f"coalesce(aggregate({hashes}, named_struct({', '.join(f'{chr(39)}c{k}{chr(39)}, 0L' for k in range(lane))}), "
+                  f"(acc, h) -> struct({add}), acc -> {tops}), 0L)")
 
 
-def blocks(fp: Column, radius: int) -> Column:
+def blocks(fp: str, radius: int) -> Column:
     """The fingerprint in radius + 1 blocks: two fingerprints within the radius agree in one of them at least."""
-    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
-    return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits"))
-                     for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    cuts = [BITS * i // (radius + 1) for i in range(radius + 2)]
+    return F.expr("array(" + ", ".join(
+        f"named_struct('block', {i}, 'bits', shiftrightunsigned({fp}, {a}) & {(1 << (b - a)) - 1}L)"
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:]))) + ")")
 
 
 def _items(benchmark: DataFrame, width: int) -> DataFrame:
     """item_id, n_words, w (words per shingle: all of them in a shorter item) and the shingles of every item with a word."""
     items = benchmark.select("item_id", _words(F.col("text")).alias("words")).where(F.size("words") > 0)
-    short = reduce(lambda c, w: c.when(F.size("words") == w, _shingles(F.col("words"), w)), range(1, width), F.when(F.lit(False), None))
-    return items.select("item_id", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(width)).alias("w"),
-                        short.otherwise(_shingles(F.col("words"), width)).alias("shingles"))
+    w = F.least(F.size("words"), F.lit(width)).alias("w")
+    return items.select("item_id", "words", w).select(
+        "item_id", F.size("words").alias("n_words"), "w", _by_width("words", list(range(1, width + 1)), "w").alias("shingles"))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -101,7 +100,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     asked = small_side(stored(asked, "asked"))
     keyed = _keyed(docs.select("doc_id", "text"))
     texts = keyed.select("_key", _words(F.col("text")).alias("words"))
-    found = [texts.select("_key", F.size("words").alias("n"), F.posexplode(_shingles(F.col("words"), w)).alias("pos", "h"))
+    found = [texts.select("_key", F.size("words").alias("n"), F.posexplode(F.expr(_shingles("words", w))).alias("pos", "h"))
              .join(asked.where(F.col("w") == w), "h").select("_key", "n", "w", "pos", F.explode("sizes").alias("n_words")) for w in widths]
     hits = reduce(DataFrame.unionByName, found).where("n_words <= n")
     # All windows of an item's size that hold the shingle found at pos.
@@ -112,14 +111,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     spans = stored(spans.select(F.col("_key").alias("k"), "n_words", "w", starts.alias("starts")), "spans")
     spans = small_side(spans, BROADCAST_ROWS)
     again = keyed.join(spans, F.col("_key") == F.col("k")).select("_key", "doc_id", "w", "n_words", "starts", _words(F.col("text")).alias("words"))
-    hashes = reduce(lambda c, w: c.when(F.col("w") == w, _shingles(F.col("words"), w)), widths, F.when(F.lit(False), None))
-    windows = again.select("_key", "doc_id", "n_words", "w", hashes.alias("h"), F.explode("starts").alias("start"))
-    windows = windows.select("_key", "doc_id", "n_words", "start", F.slice("h", F.col("start") + 1, F.col("n_words") - F.col("w") + 1).alias("x"))
-    windows = windows.withColumn("fp", fingerprint(F.col("x"), lane))
-    marked = items.withColumn("item_fp", fingerprint(F.col("shingles"), lane))
-    index = marked.select(F.explode(blocks(F.col("item_fp"), radius)).alias("b"), "n_words", "item_id", "item_fp", F.col("shingles").alias("y"))
+    again = again.select("_key", "doc_id", "n_words", "w", _by_width("words", widths, "w").alias("h"), "starts")
+    # The generator reads h; beside it, h would be made anew for every window.
+    slices = F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("h", s + 1, F.col("n_words") - F.col("w") + 1).alias("x")))
+    windows = again.select("_key", "doc_id", "n_words", F.inline(slices))
+    windows = windows.withColumn("fp", fingerprint("x", lane))
+    marked = items.withColumn("item_fp", fingerprint("shingles", lane))
+    index = marked.select(F.explode(blocks("item_fp", radius)).alias("b"), "n_words", "item_id", "item_fp", F.col("shingles").alias("y"))
     index = small_side(stored(index.select("n_words", "b.block", "b.bits", "item_id", "item_fp", "y"), "index"))
-    asked_blocks = windows.select("*", F.explode(blocks(F.col("fp"), radius)).alias("b")).select(
+    asked_blocks = windows.select("*", F.explode(blocks("fp", radius)).alias("b")).select(
         "_key", "doc_id", "n_words", "start", "x", "fp", "b.block", "b.bits")
     near = asked_blocks.join(index, ["n_words", "block", "bits"])
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
