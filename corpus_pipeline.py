@@ -1,7 +1,51 @@
-"""Stages from raw documents to a training mix."""
-STAGES = []
+"""From raw documents to a training mix, stage by stage; every stage is one of the operators in textquarry.llm.
+
+Each function takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from textquarry.llm import decontamination, language_id, mixing, ngram_join, quality_classifier
+from textquarry.llm.common import stored
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents the quality classifier keeps, judged with their source and its language folder as their site."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.keep_good(docs, labels, F.col("source"), F.col("lang"))
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that their labels teach."""
+    return language_id.keep_spoken(docs, language_id.fit(docs))
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return ngram_join.one_of_each(docs)
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document left."""
+    return mixing.mix(docs)
+
+
+STAGES = [("quality classifier", good_quality), ("language ID", known_language), ("n-gram Jaccard join", one_of_each_group),
+          ("benchmark decontamination", without_benchmark), ("mixing sources to target weights", mixed)]
+
+# SQL has no word for the learned stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules, token_counts)
+from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules,
+                           recurrent_lm, token_counts)
+from textquarry.llm.common import document_hash
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -44,6 +46,13 @@ def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(load(spark, folder, "documents"))
 
 
+@query()
+def op4_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log10 probability of every document by counts and by the recurrent network."""
+    docs = load(spark, folder, "documents").withColumn("held_out", document_hash(F.col("doc_id")) % 7 == 2)
+    return recurrent_lm.score(docs)
+
+
 @query()
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts and verdicts, and the learned decision list's verdict."""

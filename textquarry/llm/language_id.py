@@ -285,5 +285,14 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], spans: bool =
     return rows.mapInArrow(label, schema).toDF(*keep, "lang_pred", "score", *["runs"] * spans)
 
 
+def keep_spoken(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and at least ``least`` of its words'
+    weight in one language."""
+    columns = [f"d{i}" for i in range(len(docs.columns))]
+    wide = docs.select(*[F.col(c).alias(d) for c, d in zip(docs.columns, columns)], "text")
+    judged = predict(wide, model, columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    return judged.select(*[F.col(d).alias(c) for c, d in zip(docs.columns, columns)])
+
+
 def held_out(doc_id: Column) -> Column:
     return document_hash(doc_id) % 5 == 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -55,39 +57,45 @@ def _shrunk(groups: DataFrame, parent: str) -> DataFrame:
         "posterior", (F.col("rate") * F.col("n") + F.col(parent) * prior) / (F.col("n") + prior))
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5,
-             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """Quality of every document.
+@dataclass
+class Classifier:
+    """What is learned: log odds as an expression over ``features``, and the sites with their posteriors."""
 
-    Input: ``docs`` with doc_id, text and what ``host`` and ``path`` (within the host) are made of; ``labels`` with doc_id
-    and quality (1 good). One row per row of ``docs``: doc_id, host, path, evidence (log odds of the text alone),
-    host_posterior, path_posterior, score and kept.
+    evidence: Column
+    sites: DataFrame | None
 
-    The document classifier is fitted on up to about ``sample_rows`` labelled rows. A labelled document counts as its
-    label at its site, any other as its probability, over all documents; a host is shrunk to the global rate, a path to
-    its host. The score joins the document's log odds with how the path's differ from the global ones. Null hosts and
-    paths are sites of their own; empty and null texts have the evidence of a text without words; labels that disagree
-    are left out. Without labels of both kinds everything is kept with score 0.5.
+    def judged(self, rows: DataFrame, threshold: float) -> DataFrame:
+        """Adds evidence, host_posterior, path_posterior, score and kept to rows with host, path and features."""
+        if self.sites is None:
+            half = F.lit(0.5)
+            return rows.withColumns({"evidence": F.lit(0.0), "host_posterior": half, "path_posterior": half, "score": half,
+                                     "kept": F.lit(True)})
+        rows = rows.withColumn("evidence", self.evidence).join(
+            self.sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+        site = F.greatest(F.lit(-SITE), F.least(F.lit(SITE), _logit(F.col("path_posterior")) - _logit(F.col("global"))))
+        score = 1 / (1 + F.exp(-(F.col("evidence") + site)))
+        return rows.withColumn("score", score).withColumn("kept", F.col("score") >= threshold).drop("h", "p", "global")
 
-    Site sums are combined in the tasks before the shuffle, so a host with a third of all rows is one row per task.
-    """
-    measures = features()
-    names = list(measures)
-    rows = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
-    rows = stored(with_counts(rows, ["doc_id", "host", "path"]), "counts").select(
-        "doc_id", "host", "path", *[c.alias(n) for n, c in measures.items()])
+
+def _measured(docs: DataFrame, keep: list[str]) -> DataFrame:
+    rows = with_counts(docs, [*keep, "host", "path"])
+    return rows.select(*keep, "host", "path", *[c.alias(n) for n, c in features().items()])
+
+
+def fit(rows: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Classifier:
+    """Learn from stored rows with doc_id, host, path and features. Site sums are combined in the tasks before the
+    shuffle, so a host with a third of all rows is one row per task and path."""
+    names = list(features())
     x, y = labelled_sample(rows, labels, "quality", names, sample_rows)
     if not 0 < (y > 0).sum() < len(y):
-        half = F.lit(0.5)
-        return rows.select("doc_id", "host", "path", F.lit(0.0).alias("evidence"), half.alias("host_posterior"),
-                           half.alias("path_posterior"), half.alias("score"), F.lit(True).alias("kept"))
+        return Classifier(F.lit(0.0), None)
     mean, scale, w = fit_logistic(x, (y > 0).astype(float))
     odds = sum(((F.col(n) - F.lit(float(m))) / F.lit(float(s)) * F.lit(float(v))
                 for n, m, s, v in zip(names, mean, scale, w)), F.lit(float(w[-1])))
-    rows = rows.select("doc_id", "host", "path", F.greatest(F.lit(-EVIDENCE), F.least(F.lit(EVIDENCE), odds)).alias("evidence"))
+    evidence = F.greatest(F.lit(-EVIDENCE), F.least(F.lit(EVIDENCE), odds))
     known = (labels.where("quality is not null and doc_id is not null").groupBy("doc_id")
              .agg(F.avg("quality").alias("quality")).select(F.col("doc_id").alias("labelled"), "quality"))
-    good = F.coalesce(F.col("quality"), 1 / (1 + F.exp(-F.col("evidence"))))
+    good = F.coalesce(F.col("quality"), 1 / (1 + F.exp(-evidence)))
     paths = stored(rows.join(known, F.col("doc_id") == F.col("labelled"), "left").groupBy("host", "path").agg(
         F.sum(good).alias("good"), F.count("*").cast("double").alias("n")), "paths")
     rate = (F.sum("good") / F.sum("n")).alias("rate")
@@ -98,9 +106,35 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
     sites = paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).withColumn("rate", F.col("good") / F.col("n"))
     sites = _shrunk(sites, "host_posterior").select(
         "h", F.col("path").alias("p"), "host_posterior", F.col("posterior").alias("path_posterior"), "global")
-    sites = small_side(stored(sites, "sites"))
-    scored = rows.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    site = F.greatest(F.lit(-SITE), F.least(F.lit(SITE), _logit(F.col("path_posterior")) - _logit(F.col("global"))))
-    score = 1 / (1 + F.exp(-(F.col("evidence") + site)))
-    return scored.select("doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", score.alias("score"),
-                         (score >= threshold).alias("kept"))
+    return Classifier(evidence, small_side(stored(sites, "sites")))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5,
+             sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Quality of every document.
+
+    Input: ``docs`` with doc_id, text and what ``host`` and ``path`` (within the host) are made of; ``labels`` with doc_id
+    and quality (1 good). One row per row of ``docs``: doc_id, host, path, evidence (log odds of the text alone),
+    host_posterior, path_posterior, score and kept.
+
+    The document classifier is fitted on up to about ``sample_rows`` labelled rows. A labelled document counts as its
+    label at its site, any other as its probability, over all documents; a host is shrunk to the global rate, a path to
+    its host. The score joins the document's log odds with how the path's differ from the global ones. Null hosts and
+    paths are sites of their own; empty and null texts have the evidence of a text without words; labels that disagree
+    are left out of the fit and count as their mean. Without labels of both kinds everything is kept with score 0.5.
+    """
+    rows = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
+    rows = stored(_measured(rows, ["doc_id"]), "measures")
+    return fit(rows, labels, sample_rows).judged(rows, threshold).select(
+        "doc_id", "host", "path", "evidence", "host_posterior", "path_posterior", "score", "kept")
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``classify`` keeps, all columns. Texts are read once more instead of being shuffled to
+    their verdicts."""
+    slim = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
+    learned = fit(stored(_measured(slim, ["doc_id"]), "measures"), labels)
+    columns = [F.col(c).alias(f"d{i}") for i, c in enumerate(docs.columns)]
+    wide = docs.select(*columns, "text", host.alias("host"), path.alias("path"))
+    judged = learned.judged(_measured(wide, [f"d{i}" for i in range(len(docs.columns))]), threshold).where("kept")
+    return judged.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -19,13 +19,13 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
           "n_bangs", "n_bars", "n_distinct")
 
 
-def chunks(batch: pa.RecordBatch, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of a batch holding about CHUNK_BYTES of text each, with the texts as bytes (null as empty)."""
+def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of a batch holding about ``most`` bytes of text each, with the texts as bytes (null as empty)."""
     texts = [b"" if t is None else t for t in batch.column(column).cast(pa.binary()).to_pylist()]
     start = held = 0
     for i, t in enumerate(texts):
         held += len(t)
-        if held >= CHUNK_BYTES or i + 1 == len(texts):
+        if held >= most or i + 1 == len(texts):
             yield batch.slice(start, i + 1 - start), texts[start:i + 1]
             start, held = i + 1, 0
 
