@@ -27,8 +27,9 @@ from textquarry.llm.text_stats import chunks
 from textquarry.session import estimated_bytes
 
 SIMILARITY = 75  # percent
-# Input bytes a fragment is made for; parts in which the overlap of a pair is counted.
+# Input bytes a fragment is made for, fragments at least; parts in which the overlap of a pair is counted.
 FRAGMENT_BYTES = 8 << 20
+FRAGMENTS = 64
 PAIR_PARTS = 4
 HUB_ROUNDS = 3
 
@@ -38,9 +39,8 @@ _BLOB_NAMES = ["frag", "doc_ids", "keys", "sizes", "toks"]
 
 
 def fragments_for(docs: DataFrame) -> int:
-    """Number of fragments; grows with the input so that one fragment does not."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(1 << 20, max(partitions, estimated_bytes(docs) // FRAGMENT_BYTES)))
+    """Number of fragments; grows with a large input so that one fragment does not."""
+    return int(min(1 << 20, max(FRAGMENTS, estimated_bytes(docs) // FRAGMENT_BYTES)))
 
 
 def _cut(docs: DataFrame, width: int, n_fragments: int) -> DataFrame:
