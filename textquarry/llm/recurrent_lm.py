@@ -114,16 +114,30 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _picked(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Log softmax at the targets alone, in blocks that fit a cache."""
+    out = np.empty(len(target), np.float32)
+    for a in range(0, len(target), 2048):
+        x = h[a:a + 2048] @ weights
+        x += bias
+        x -= x.max(1, keepdims=True)
+        pick = x[np.arange(len(x)), target[a:a + 2048]]
+        out[a:a + 2048] = pick - np.log(np.exp(x, out=x).sum(1))
+    return out
+
+
 def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: Weights | None = None
            ) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of every target after state h: of its class, then of the word within the class. With ``grad``
     also collects gradients and returns that of h."""
     at = np.arange(len(target))
     cls = v.class_of[target]
-    logs = _log_softmax(h @ w.classes + w.class_bias)
-    out = logs[at, cls]
     dh = None
-    if grad is not None:
+    if grad is None:
+        out = _picked(h, w.classes, w.class_bias, cls)
+    else:
+        logs = _log_softmax(h @ w.classes + w.class_bias)
+        out = logs[at, cls]
         d = -np.exp(logs)
         d[at, cls] += 1
         grad.classes += h.T @ d
@@ -137,15 +151,17 @@ def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: W
         if not len(rows) or b - a == 1:
             continue
         inside, t = h[rows], target[rows] - a
+        if grad is None:
+            out[rows] += _picked(inside, w.words[a:b].T, w.word_bias[a:b], t)
+            continue
         logs = _log_softmax(inside @ w.words[a:b].T + w.word_bias[a:b])
         k = np.arange(len(rows))
         out[rows] += logs[k, t]
-        if grad is not None:
-            d = -np.exp(logs)
-            d[k, t] += 1
-            grad.words[a:b] += d.T @ inside
-            grad.word_bias[a:b] += d.sum(0)
-            dh[rows] += d @ w.words[a:b]
+        d = -np.exp(logs)
+        d[k, t] += 1
+        grad.words[a:b] += d.T @ inside
+        grad.word_bias[a:b] += d.sum(0)
+        dh[rows] += d @ w.words[a:b]
     return out, dh
 
 
