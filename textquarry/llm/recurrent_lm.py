@@ -367,7 +367,7 @@ def _scored(docs: DataFrame, w: Weights, v: Vocabulary) -> DataFrame:
                 at, known = v.look_up(line)
                 numbers = np.where(known, v.numbers[at], OTHER).astype(np.int32) if len(v.hashes) else np.zeros(len(line), np.int32)
                 network = score_ids(w, v, numbers, with_end) / np.log(10)
-                sums = lambda x, m: np.bincount(owner[m], x[m], len(texts))
+                sums = lambda x, m: np.bincount(owner[m], x[m], len(texts)).astype(float)
                 logs = np.where(known, log_counts[at], 0.0) if len(v.hashes) else np.zeros(len(line))
                 outside = known & (numbers == OTHER)
                 rare = np.flatnonzero(~known)
