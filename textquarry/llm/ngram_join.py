@@ -7,7 +7,8 @@ Pairs are tested the same way: overlaps are counted per fragment and summed per
 Which pairs are tested follows from what is left, without losing a link:
 - a document links only if three quarters of its set are left, and again after documents that cannot link are gone;
 - linked documents share a shingle of both prefixes, the rarest shingles of what is left;
-- overlap is at most what is left of either, which bounds the size of the other.
+- overlap is at most what is left of either, which bounds the size of the other, less the bits that only one of two
+  bitmaps of shingles has.
 Groups of copies are not paired out. Equal sets are one node. Then documents that share a prefix shingle are tested with
 one of them, in a few rounds; links join components, and only pairs still in different components are tested at the end.
 """
@@ -32,6 +33,8 @@ FRAGMENT_BYTES = 8 << 20
 FRAGMENTS = 64
 PAIR_PARTS = 4
 HUB_ROUNDS = 3
+# Words of 64 bits in a document's bitmap.
+BITMAP = 8
 
 _SEGMENTS = "frag int, key long, doc_id long, n long, toks array<bigint>, freqs array<int>"
 _BLOBS = "frag int, doc_ids array<bigint>, keys binary, sizes binary, toks binary"
@@ -153,6 +156,20 @@ def _bound(similarity: int) -> str:
     return f"(100 + {similarity}) * least(s, t) >= {similarity} * (n + m)"
 
 
+def _bitmap(tokens: str) -> str:
+    """A bit for every token's hash; several tokens may share one."""
+    zeros = ", ".join(f"'b{k}', 0L" for k in range(BITMAP))
+    bit = "shiftleft(1L, cast(shiftrightunsigned(o.t, 8) & 63 as int))"
+    put = ", ".join(f"acc.b{k} | if(o.t & {BITMAP - 1} = {k}, {bit}, 0L) as b{k}" for k in range(BITMAP))
+    return f"aggregate({tokens}, named_struct({zeros}), (acc, o) -> struct({put}))"
+
+
+def _bitmap_bound(similarity: int) -> str:
+    """As ``_bound``, but a bit that only one bitmap (x or y) has is a token that the other document lacks."""
+    only = lambda a, b: " - ".join(f"bit_count({a}.b{k} & ~{b}.b{k})" for k in range(BITMAP))
+    return f"(100 + {similarity}) * least(s - {only('x', 'y')}, t - {only('y', 'x')}) >= {similarity} * (n + m)"
+
+
 def _test(pairs: DataFrame, parts: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a, b, n, m) that link: overlaps per part of the order, summed per pair.
 
@@ -170,8 +187,8 @@ def _relabelled(keys: DataFrame, links: DataFrame) -> DataFrame:
     return stored(keys.join(found, "key", "left").select("key", F.coalesce("label", "key").alias("label")), "labels")
 
 
-def _links(prefixes: DataFrame, parts: DataFrame, keys: DataFrame, similarity: int) -> DataFrame:
-    """Links enough to connect what all links connect. ``prefixes``: tok, key, n, s."""
+def _links(prefixes: DataFrame, bitmaps: DataFrame, parts: DataFrame, keys: DataFrame, similarity: int) -> DataFrame:
+    """Links enough to connect what all links connect. ``prefixes``: tok, key, n, s; ``bitmaps``: key, x."""
     links, labels = None, keys.select("key", F.col("key").alias("label"))
     for turn in range(HUB_ROUNDS + 1):
         members = stored(prefixes.join(labels, "key"), "members")
@@ -188,10 +205,11 @@ def _links(prefixes: DataFrame, parts: DataFrame, keys: DataFrame, similarity: i
             each = members.groupBy("tok", "label").agg(F.count("*").alias("c"))
             most = (each.groupBy("tok").agg(F.max_by("label", F.struct("c", "label")).alias("most"), F.count("*").alias("k"))
                     .where("k > 1").select("tok", "most"))
-            members = members.join(most, "tok")
+            members = stored(members.join(most, "tok").join(bitmaps, "key"), "members")
             other = members.where("label <> most").select("tok", F.col("key").alias("key2"), F.col("label").alias("label2"),
-                                                          F.col("n").alias("m"), F.col("s").alias("t"))
-            found = members.join(other, "tok").where("label <> label2 and (label = most or key < key2)")
+                                                          F.col("n").alias("m"), F.col("s").alias("t"), F.col("x").alias("y"))
+            found = members.join(other, "tok").where("label <> label2 and (label = most or key < key2)").where(
+                _bitmap_bound(similarity))
         pairs = found.where(_bound(similarity)).select(
             F.least("key", "key2").alias("a"), F.greatest("key", "key2").alias("b"),
             F.expr("if(key < key2, n, m)").alias("n"), F.expr("if(key < key2, m, n)").alias("m")).distinct()
@@ -224,13 +242,12 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDTH) -> D
     # The rarest tokens left: any partner within reach shares one of them.
     prefix = F.expr(f"cast(s - ceil({similarity} * n / 100.0) + 1 as int)")
     order = F.array_sort(F.flatten(F.collect_list(F.arrays_zip(F.col("freqs").alias("f"), F.col("toks").alias("t")))))
-    prefixes = segments.groupBy("key", "n", "s").agg(order.alias("o")).select(
-        "key", "n", "s", F.explode(F.slice("o", F.lit(1), prefix)).alias("o")).select(
-        F.col("o")["t"].alias("tok"), "key", "n", "s")
-    prefixes = stored(prefixes, "prefixes")
+    sets = stored(segments.groupBy("key", "n", "s").agg(order.alias("o")).select(
+        "key", "n", "s", F.slice("o", F.lit(1), prefix).alias("p"), F.expr(_bitmap("o")).alias("x")), "sets")
+    prefixes = sets.select(F.explode("p").alias("o"), "key", "n", "s").select(F.col("o.t").alias("tok"), "key", "n", "s")
     part = F.expr(f"cast(frag * {PAIR_PARTS}L div {n_fragments} as int)")
     parts = stored(segments.groupBy("key", part.alias("part")).agg(F.flatten(F.collect_list("toks")).alias("toks")), "parts")
-    labels = components(_links(prefixes, parts, able, similarity)).select(F.col("node").alias("key"), "label")
+    labels = components(_links(prefixes, sets.select("key", "x"), parts, able, similarity)).select(F.col("node").alias("key"), "label")
     labelled = stored(rows.join(labels, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "key")).alias("label")), "labelled")
     smallest = labelled.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
