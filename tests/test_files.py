@@ -124,7 +124,9 @@ def test_table(spark, tmp_path):
     table = VectorTable.ensure(spark, str(tmp_path / "t"), dim=2)
     assert table.read().count() == 0
     table.upsert(snippet_rows(spark, [("a", "1", [1.0, 0.0]), ("b", "1", [0.0, 1.0]), ("n", "1", None), ("", "1", [1.0, 1.0])]))
-    again = VectorTable.ensure(spark, str(tmp_path / "t"), dim=7)
+    with pytest.raises(ValueError):
+        VectorTable.ensure(spark, str(tmp_path / "t"), dim=7)
+    again = VectorTable.ensure(spark, str(tmp_path / "t"))
     assert again.dim == 2
     again.upsert(snippet_rows(spark, [("b", "2", [0.0, 2.0]), ("c", "2", [1.0, 0.1])]))
     contents = lambda: sorted((len(r.id), r.id[:1] if len(r.id) == 1 else "", r.content) for r in again.read().collect())
@@ -196,3 +198,28 @@ def test_jobs(spark, tmp_path):
     main(["tools", calls, str(root), table, str(tmp_path / "t")])
     assert "func Alpha() {\n}\n```" in spark.read.parquet(str(tmp_path / "p")).first().prompt
     assert spark.read.parquet(str(tmp_path / "t")).first().content.startswith("package a")
+
+
+def test_texts_with_other_metadata_are_other_texts(spark):
+    rows = [("hello", {"a": "1"}), ("hello", {"a": "2"}), ("hello", None)]
+    texts = spark.createDataFrame([(t, m, [1.0]) for t, m in rows], "text_content string, metadata map<string,string>, embedding array<float>")
+    assert texts.count() == upsert.text_snippets(texts).select("id").distinct().count() == 3
+    lost = texts.withColumn("embedding", F.lit(None).cast("array<float>"))
+    assert upsert.fallback_files(lost).select("filename").distinct().count() == 3
+
+
+def test_creates_with_equal_seq(spark):
+    files = spark.createDataFrame([("old", 1, bytearray(b"x"))], "path string, length long, content binary")
+    calls = spark.createDataFrame([("b", 1, "new", "2"), ("a", 1, "new", "1"), ("c", 1, "../x", "3"), ("d", 1, "", "4"), ("e", 2, "old", "5")],
+                                  "call_id string, seq long, path string, content string")
+    created = mutations.create_files(calls, files)
+    assert sorted(r.call_id for r in created.filter("error is null").collect()) == ["a"]
+    assert created.count() == 5
+    assert sorted((r.path, bytes(r.content)) for r in mutations.apply_creates(files, created).collect()) == [("new", b"1"), ("old", b"x")]
+
+
+def test_dangling_link_does_not_stop_the_scan(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("hello")
+    (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
+    got = {r.path: r.error for r in read_workspace(spark, str(tmp_path)).collect()}
+    assert got["a.txt"] is None and "failed to read" in got["gone"]

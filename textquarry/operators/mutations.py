@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textquarry.functions.paths import clean_path, escapes_workspace, traversal_error, workspace_path
 from textquarry.functions.text import count_occurrences
@@ -86,11 +86,17 @@ def create_files(creates: DataFrame, files: DataFrame) -> DataFrame:
         .when(escapes_workspace(F.col("path")), traversal_error(F.col("path"))))
     taken = (files.select(F.col("path").alias("key")).unionByName(directories(files).select("key"))
              .withColumn("taken", F.lit(True)))
-    first = asked.filter(invalid.isNull()).groupBy("key").agg(F.min("seq").alias("first_seq"))
-    exists = F.coalesce("taken", F.lit(False)) | (F.col("seq") != F.col("first_seq")) | (F.col("key") == ".")
-    error = F.coalesce(invalid, F.when(exists, _said("file already exists at path '%s'", "path")))
-    return (asked.join(first, "key", "left").join(taken, "key", "left").withColumn("error", error)
-            .withColumn("message", F.coalesce("error", _said("Successfully created file '%s'", "path")))
+    # Rejected requests share a key and so stay out of the joins; of equal seq the lower call, then content, comes first.
+    asked = asked.withColumn("invalid", invalid)
+    tie = [c for c in ("call_id", "content") if c in creates.columns]
+    first = Window.partitionBy("key").orderBy("seq", *tie)
+    valid = asked.filter("invalid is null").withColumn("nth", F.row_number().over(first)).join(taken, "key", "left")
+    exists = F.coalesce("taken", F.lit(False)) | (F.col("nth") > 1) | (F.col("key") == ".")
+    valid = valid.withColumn("error", F.when(exists, _said("file already exists at path '%s'", "path")))
+    columns = [*creates.columns, "key", "error"]
+    judged = valid.select(*columns).unionByName(
+        asked.filter("invalid is not null").withColumn("error", F.col("invalid")).select(*columns))
+    return (judged.withColumn("message", F.coalesce("error", _said("Successfully created file '%s'", "path")))
             .select(*creates.columns, "key", "error", "message"))
 
 

@@ -208,6 +208,6 @@ class ToolBox:
         snips = upsert.text_snippets(good.filter(upsert.is_embedded(F.col("embedding"))))
         checked = embedded.select(
             "call_id", "error", upsert.is_embedded(F.col("embedding")).alias("embedded"),
-            upsert.text_id(F.col("text_content")).alias("id"),
-            upsert.fallback_name(F.col("text_content")).alias("filename"))
+            upsert.text_id(F.col("text_content"), F.col("metadata")).alias("id"),
+            upsert.fallback_name(F.col("text_content"), F.col("metadata")).alias("filename"))
         return snips, upsert.fallback_files(good), checked

@@ -141,7 +141,7 @@ class _Best:
             some = cold & (self.k == k)
             kth = np.partition(np.ascontiguousarray(rough[:, some].T), n - k, axis=1)[:, n - k]
             bound[some] = kth - 2 * self.scorer.slack
-        hit = rough >= bound.astype(np.float32)
+        hit = rough >= bound.astype(rough.dtype)
         if self.scorer.positive_only:
             hit &= rough > 0
         ri, qi = np.nonzero(hit)

@@ -37,13 +37,13 @@ def clean_on_read(snips: DataFrame) -> DataFrame:
             .withColumn("metadata", F.map_filter("metadata", lambda k, v: v != "")))
 
 
-def text_id(text: Column) -> Column:
-    """Id of a text stored without a file."""
-    return snippet_id(F.lit(""), F.lit(0).cast("long"), text)
+def text_id(text: Column, metadata: Column) -> Column:
+    """Id of a text stored without a file: equal texts with other metadata are other texts."""
+    return snippet_id(F.lit(""), F.lit(0).cast("long"), fallback_text(text, metadata))
 
 
-def fallback_name(text: Column) -> Column:
-    return F.concat(F.lit("vector_store_fallback_"), F.sha2(text, 256), F.lit(".txt"))
+def fallback_name(text: Column, metadata: Column) -> Column:
+    return F.concat(F.lit("vector_store_fallback_"), F.sha2(fallback_text(text, metadata), 256), F.lit(".txt"))
 
 
 def embed_texts(texts: DataFrame, model=None, column: str = "text_content") -> DataFrame:
@@ -56,7 +56,7 @@ def text_snippets(texts: DataFrame) -> DataFrame:
     """``texts``: text_content, metadata, embedding -> SNIPPET rows without path, lines or symbols."""
     nowhere, line = F.lit(""), F.lit(0).cast("long")
     return texts.select(
-        text_id(F.col("text_content")).alias("id"), F.col("text_content").alias("content"),
+        text_id(F.col("text_content"), F.col("metadata")).alias("id"), F.col("text_content").alias("content"),
         nowhere.alias("file_path"), line.alias("start_line"), line.alias("end_line"),
         F.array().cast("array<string>").alias("symbols"), "embedding", "metadata")
 
@@ -75,7 +75,7 @@ def is_embedded(embedding: Column) -> Column:
 def fallback_files(texts: DataFrame) -> DataFrame:
     """Texts without a usable vector as fallback files: filename, content."""
     return texts.filter(~is_embedded(F.col("embedding"))).select(
-        fallback_name(F.col("text_content")).alias("filename"), fallback_text(F.col("text_content"), F.col("metadata")).alias("content"))
+        fallback_name(F.col("text_content"), F.col("metadata")).alias("filename"), fallback_text(F.col("text_content"), F.col("metadata")).alias("content"))
 
 
 def fallback_docs(files: DataFrame) -> DataFrame:

@@ -281,13 +281,16 @@ select conv_id, turn, len(s)::bigint as n_symbols, array_to_string(s, ' ') as sy
 
 _TEXT_ID = "sha256(concat_ws(chr(31), '', '0', text))"
 
+_WITH_METADATA = ("text || chr(10) || chr(10) || '--- Metadata ---' || chr(10) || 'role: ' || role || chr(10) "
+                  "|| 'turn: ' || turn || chr(10)")
+
 TEXT_UPSERT = f"""
-select {_TEXT_ID} as id, text as content, 0::bigint as start_line, 1536::bigint as dim, turn::varchar as turn
+select {_TEXT_ID.replace('text', _WITH_METADATA)} as id, text as content, 0::bigint as start_line, 1536::bigint as dim,
+       turn::varchar as turn
 from conversations where regexp_matches(text, '[\\p{{L}}\\p{{N}}]')"""
 
-FALLBACK = """
-select 'vector_store_fallback_' || sha256(text) || '.txt' as filename,
-       text || chr(10) || chr(10) || '--- Metadata ---' || chr(10) || 'role: ' || role || chr(10) || 'turn: ' || turn || chr(10) as content
+FALLBACK = f"""
+select 'vector_store_fallback_' || sha256({_WITH_METADATA}) || '.txt' as filename, {_WITH_METADATA} as content
 from conversations"""
 
 TOOL_INPUTS = """

@@ -29,13 +29,15 @@ class VectorTable:
         self.path = path.rstrip("/")
 
     @classmethod
-    def ensure(cls, spark: SparkSession, path: str, dim: int = DEFAULT_DIM) -> "VectorTable":
-        """Open the table, creating it if it cannot be read."""
+    def ensure(cls, spark: SparkSession, path: str, dim: int | None = None) -> "VectorTable":
+        """Open the table, creating it if there is none. A table of another dimension than the one asked for is an error."""
         table = cls(spark, path)
         if table._state() is None:
-            spark.createDataFrame([(dim, METRIC)], "dim int, metric string").coalesce(1).write.mode(
+            spark.createDataFrame([(dim or DEFAULT_DIM, METRIC)], "dim int, metric string").coalesce(1).write.mode(
                 "overwrite").parquet(f"{table.path}/properties")
             table._commit(0, gen=0, version=0, folded=0)
+        elif dim is not None and dim != table.dim:
+            raise ValueError(f"{path} holds vectors of dimension {table.dim}, not {dim}")
         return table
 
     @property

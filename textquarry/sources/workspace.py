@@ -37,7 +37,11 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for entry in entries:
                 path = f"{rel}/{entry.name}" if rel else entry.name
                 is_dir = entry.is_dir(follow_symlinks=False)
-                yield root, path, is_dir, 0 if is_dir else entry.stat().st_size
+                try:
+                    length = 0 if is_dir else entry.stat().st_size
+                except OSError:  # a dangling link: reading it will say so in its row
+                    length = 0
+                yield root, path, is_dir, length
 
     names = ["root", "path", "is_dir", "length"]
     for batch in batches:
