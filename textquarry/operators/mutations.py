@@ -45,34 +45,44 @@ def directory_entries(files: DataFrame, asked: DataFrame) -> DataFrame:
     return of_asked.groupBy("key", "name").agg(F.max("is_dir").alias("is_dir"))
 
 
+def _rejection(tool: str) -> Column:
+    """What is wrong with a request's path before any file is looked at. Rejected requests share few keys, so they are
+    answered before the joins."""
+    return (F.when(F.col("path") == "", F.lit(f"path is required for {tool}"))
+            .when(escapes_workspace(F.col("path")), traversal_error(F.col("path"))))
+
+
 def read_files(requests: DataFrame, files: DataFrame) -> DataFrame:
     """``requests``: seq, path. Adds content and error."""
     found = files.select(F.col("path").alias("key"), "content")
-    missing = F.col("content").isNull()
+    asked = _keyed(requests).withColumn("rejected", _rejection("read_file"))
     error = (
-        F.when(F.col("path") == "", F.lit("path is required for read_file"))
-        .when(escapes_workspace(F.col("path")), traversal_error(F.col("path")))
-        .when(F.col("is_dir"), _said("path '%s' is a directory, not a file", "path"))
-        .when(missing, _said("file not found at path '%s' within workspace", "path")))
-    out = (_keyed(requests).join(found, "key", "left").join(directories(files), "key", "left")
-           .withColumn("error", error))
-    return out.select(*requests.columns, F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error")
+        F.when(F.col("is_dir"), _said("path '%s' is a directory, not a file", "path"))
+        .when(F.col("content").isNull(), _said("file not found at path '%s' within workspace", "path")))
+    looked = (asked.filter("rejected is null").join(found, "key", "left").join(directories(files), "key", "left")
+              .withColumn("error", error))
+    return looked.select(*requests.columns, F.when(F.col("error").isNull(), F.col("content")).alias("content"), "error").unionByName(
+        asked.filter("rejected is not null").select(
+            *requests.columns, F.lit(None).cast("binary").alias("content"), F.col("rejected").alias("error")))
 
 
 def list_dir(requests: DataFrame, files: DataFrame) -> DataFrame:
     """``requests``: seq, path ('' is the root). One row per entry, or one row with an error."""
-    asked = _keyed(requests.withColumn("path", F.when(F.col("path") == "", F.lit(".")).otherwise(F.col("path"))))
+    every = _keyed(requests.withColumn("path", F.when(F.col("path") == "", F.lit(".")).otherwise(F.col("path"))))
+    every = every.withColumn("rejected", _rejection("list_files"))
+    asked = every.filter("rejected is null")
     names = files.select(F.col("path").alias("key"), F.lit(True).alias("is_file"))
     entries = directory_entries(files, asked)
-    bad = escapes_workspace(F.col("path"))
     error = (
-        F.when(bad, traversal_error(F.col("path")))
-        .when(F.col("is_file"), _said("path '%s' is not a directory", "path"))
+        F.when(F.col("is_file"), _said("path '%s' is not a directory", "path"))
         .when(F.col("name").isNull() & (F.col("key") != "."),
               _said("directory not found at path '%s' within workspace", "path")))
     out = asked.join(entries, "key", "left").join(names, "key", "left").withColumn("error", error)
     entry = F.when(F.col("error").isNull(), clean_path(F.concat("path", F.lit("/"), "name")))
-    return out.select("seq", entry.alias("entry"), "is_dir", "error")
+    return out.select("seq", entry.alias("entry"), "is_dir", "error").unionByName(
+        every.filter("rejected is not null").select(
+            "seq", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("boolean").alias("is_dir"),
+            F.col("rejected").alias("error")))
 
 
 def create_files(creates: DataFrame, files: DataFrame) -> DataFrame:
@@ -81,13 +91,10 @@ def create_files(creates: DataFrame, files: DataFrame) -> DataFrame:
     Adds key, error and message.
     """
     asked = _keyed(creates)
-    invalid = (
-        F.when(F.col("path") == "", F.lit("path is required for create_file"))
-        .when(escapes_workspace(F.col("path")), traversal_error(F.col("path"))))
     taken = (files.select(F.col("path").alias("key")).unionByName(directories(files).select("key"))
              .withColumn("taken", F.lit(True)))
     # Rejected requests share a key and so stay out of the joins; of equal seq the lower call, then content, comes first.
-    asked = asked.withColumn("invalid", invalid)
+    asked = asked.withColumn("invalid", _rejection("create_file"))
     tie = [c for c in ("call_id", "content") if c in creates.columns]
     first = Window.partitionBy("key").orderBy("seq", *tie)
     valid = asked.filter("invalid is null").withColumn("nth", F.row_number().over(first)).join(taken, "key", "left")
@@ -111,12 +118,16 @@ def apply_creates(files: DataFrame, created: DataFrame) -> DataFrame:
 _EDIT_FIELDS = "seq", "path", "old_str", "new_str"
 
 
-def _request_error() -> Column:
-    """What is wrong with an edit before any file is looked at; needs ``is_dir``."""
+def _rejected_edit() -> Column:
+    """What is wrong with an edit before any file is looked at."""
     return (
         F.when((F.col("path") == "") | (F.col("old_str") == ""), F.lit("path and old_str are required for edit_file"))
-        .when(escapes_workspace(F.col("path")), traversal_error(F.col("path")))
-        .when(F.col("is_dir"), _said("path '%s' is a directory, cannot edit", "path")))
+        .when(escapes_workspace(F.col("path")), traversal_error(F.col("path"))))
+
+
+def _not_a_file(missing: Column) -> Column:
+    return (F.when(F.col("is_dir"), _said("path '%s' is a directory, cannot edit", "path"))
+            .when(missing, _said("file not found at path '%s' within workspace", "path")))
 
 
 def edit_once(edits: DataFrame, files: DataFrame) -> DataFrame:
@@ -125,19 +136,22 @@ def edit_once(edits: DataFrame, files: DataFrame) -> DataFrame:
     Adds key, new content (null on error), error and message.
     """
     found = files.select(F.col("path").alias("key"), "content")
-    asked = (_keyed(edits.select(*_EDIT_FIELDS)).join(found, "key", "left").join(directories(files), "key", "left"))
+    every = _keyed(edits.select(*_EDIT_FIELDS)).withColumn("rejected", _rejected_edit())
+    asked = (every.filter("rejected is null").join(found, "key", "left").join(directories(files), "key", "left"))
     text = F.col("content").cast("string")
     counted = asked.withColumn("n", count_occurrences(text, F.col("old_str")))
     error = F.coalesce(
-        _request_error(),
-        F.when(F.col("content").isNull(), _said("file not found at path '%s' within workspace", "path")),
+        _not_a_file(F.col("content").isNull()),
         F.when(F.col("n") == 0, _said("string '%s' not found in file '%s'", "old_str", "path")),
         F.when(F.col("n") > 1, _said(
             "string '%s' found multiple times (%d) in file '%s', expected exactly one", "old_str", "n", "path")))
     replaced = F.replace(text, F.col("old_str"), F.col("new_str")).cast("binary")
-    return counted.withColumn("error", error).select(
-        *_EDIT_FIELDS, "key", F.when(F.col("error").isNull(), replaced).alias("content"), "error",
-        F.coalesce("error", _said("Successfully edited file '%s'", "path")).alias("message"))
+    judged = counted.withColumn("error", error).select(
+        *_EDIT_FIELDS, "key", F.when(F.col("error").isNull(), replaced).alias("content"), "error")
+    rejected = every.filter("rejected is not null").select(
+        *_EDIT_FIELDS, "key", F.lit(None).cast("binary").alias("content"), F.col("rejected").alias("error"))
+    return judged.unionByName(rejected).withColumn(
+        "message", F.coalesce("error", _said("Successfully edited file '%s'", "path")))
 
 
 def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -146,8 +160,6 @@ def _fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def apply(edit) -> str | None:
         nonlocal content, changed
-        if edit.key != key:
-            return f"file not found at path '{edit.path}' within workspace"
         old, n = edit.old_str.encode(), content.count(edit.old_str.encode())
         if n == 0:
             return f"string '{edit.old_str}' not found in file '{edit.path}'"
@@ -183,10 +195,13 @@ def edit_sequence(edits: DataFrame, files: DataFrame) -> DataFrame:
     (null, null, key, final content, null).
     """
     call_id = F.col("call_id") if "call_id" in edits.columns else F.lit(None).cast("string")
-    asked = (_keyed(edits.select(*_EDIT_FIELDS, call_id.alias("call_id"))).join(directories(files), "key", "left")
-             .select("key", *_EDIT_FIELDS, "call_id", _request_error().alias("error"),
+    every = _keyed(edits.select(*_EDIT_FIELDS, call_id.alias("call_id"))).withColumn("rejected", _rejected_edit())
+    valid = every.filter("rejected is null").drop("rejected")
+    names = files.select(F.col("path").alias("key"), F.lit(True).alias("exists"))
+    asked = (valid.join(directories(files), "key", "left").join(names, "key", "left")
+             .select("key", *_EDIT_FIELDS, "call_id", _not_a_file(F.col("exists").isNull()).alias("error"),
                      F.lit(None).cast("binary").alias("content"), F.lit(False).alias("is_file")))
-    wanted = _keyed(edits.select("path")).select(F.col("key").alias("path")).distinct()
+    wanted = valid.select(F.col("key").alias("path")).distinct()
     nothing = F.lit(None).cast("string")
     touched = files.join(wanted, "path", "left_semi").select(
         F.col("path").alias("key"), F.lit(None).cast("long").alias("seq"), nothing.alias("path"),
@@ -195,9 +210,14 @@ def edit_sequence(edits: DataFrame, files: DataFrame) -> DataFrame:
     # Hashing the key first makes this shuffle differ from any the two sides may
     # already have; a union of equally partitioned sides would otherwise stand in
     # for it, and adaptive execution may coalesce those sides unequally.
-    stream = (touched.unionByName(asked).repartition(F.xxhash64("key"))
+    # An edit that is answered already needs no file and goes anywhere.
+    place = F.when(F.col("error").isNull(), F.xxhash64("key")).otherwise(F.xxhash64("seq", "call_id"))
+    stream = (touched.unionByName(asked).repartition(place)
               .sortWithinPartitions("key", F.desc("is_file"), "seq", "call_id"))
-    return stream.mapInPandas(_fold, "seq bigint, call_id string, key string, content binary, error string")
+    folded = stream.mapInPandas(_fold, "seq bigint, call_id string, key string, content binary, error string")
+    return folded.unionByName(every.filter("rejected is not null").select(
+        F.col("seq").cast("long").alias("seq"), "call_id", "key", F.lit(None).cast("binary").alias("content"),
+        F.col("rejected").alias("error")))
 
 
 def apply_edits(files: DataFrame, edited: DataFrame) -> DataFrame:

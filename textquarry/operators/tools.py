@@ -118,9 +118,10 @@ class ToolBox:
 
     def read_file(self, calls: DataFrame) -> DataFrame:
         asked = self._decode(calls, "read_file")
-        done = mutations.read_files(asked, self.files)
-        return _answer(done, F.make_valid_utf8(F.col("content").cast("string")),
-                       F.coalesce("format_error", "error"))
+        bad = asked.filter("format_error is not null")
+        done = mutations.read_files(asked.filter("format_error is null"), self.files)
+        return (_answer(done, F.make_valid_utf8(F.col("content").cast("string")), F.col("error"))
+                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
 
     def list_files(self, calls: DataFrame) -> DataFrame:
         """A JSON list of paths; a listing of over LISTING_PAGE entries comes in several rows."""
