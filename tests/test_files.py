@@ -192,12 +192,18 @@ def test_jobs(spark, tmp_path):
     table, turns, calls = (str(tmp_path / n) for n in ("table", "turns", "calls"))
     main(["index", str(root), table])
     spark.createDataFrame([(1, 1, "user", "alpha")], "conv_id long, turn long, role string, text string").write.parquet(turns)
-    spark.createDataFrame([("r", 1, "read_file", '{"path": "a.go"}')],
-                          "call_id string, seq long, name string, input string").write.parquet(calls)
+    made = [("r", 1, "read_file", '{"path": "a.go"}'), ("c", 2, "create_file", '{"path": "d/new", "content": "x"}'),
+            ("e", 3, "edit_file", '{"path": "a.go", "old_str": "Alpha", "new_str": "Beta"}'),
+            ("u", 4, "vector_upsert", '{"text_content": "kept text"}')]
+    spark.createDataFrame(made, "call_id string, seq long, name string, input string").write.parquet(calls)
     main(["prompts", turns, table, str(tmp_path / "p")])
     main(["tools", calls, str(root), table, str(tmp_path / "t")])
     assert "func Alpha() {\n}\n```" in spark.read.parquet(str(tmp_path / "p")).first().prompt
-    assert spark.read.parquet(str(tmp_path / "t")).first().content.startswith("package a")
+    answers = {r.call_id: r.content for r in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert answers["r"].startswith("package a")
+    after = {r.path: bytes(r.content) for r in spark.read.parquet(str(tmp_path / "t_files")).collect()}
+    assert after == {"a.go": b"package a\n\nfunc Beta() {\n}\n", "d/new": b"x"}
+    assert VectorTable.ensure(spark, table).read().filter("content = 'kept text'").count() == 1
 
 
 def test_texts_with_other_metadata_are_other_texts(spark):

@@ -5,7 +5,8 @@
     python -m textquarry tools CALLS ROOT TABLE OUT
 
 TURNS (conv_id, turn, role, text) and CALLS (call_id, seq, name, input) are
-Parquet; OUT is written as Parquet.
+Parquet; OUT is written as Parquet. ``tools`` also writes the file table after
+the calls to OUT_files and upserts the texts stored by them into TABLE.
 """
 
 from __future__ import annotations
@@ -38,7 +39,11 @@ def main(argv: list[str] | None = None) -> None:
         prompts(spark.read.parquet(args.turns), table.read()).write.parquet(args.out)
     else:
         files = workspace_files(read_workspace(spark, args.root))
-        ToolBox(files, table.read()).execute(spark.read.parquet(args.calls)).write.parquet(args.out)
+        box, calls = ToolBox(files, table.read()), spark.read.parquet(args.calls)
+        after, stored = box.effects(calls)
+        box.execute(calls).write.parquet(args.out)
+        after.write.parquet(f"{args.out.rstrip('/')}_files")
+        table.upsert(stored)
 
 
 if __name__ == "__main__":

@@ -13,6 +13,7 @@ from textquarry.operators import mutations, upsert
 from textquarry.operators.vector_search import DEFAULT_K
 from textquarry.plans.search import cascade
 from textquarry.schemas import WEB_RESPONSE
+from textquarry.session import cut_lineage
 
 # Entries in one directory-listing result row.
 LISTING_PAGE = 10_000
@@ -50,17 +51,20 @@ def _answer(done: DataFrame, content: Column, error: Column) -> DataFrame:
     return done.select("call_id", F.when(error.isNull(), content).alias("content"), error.alias("error"))
 
 
+def _live(calls: DataFrame, handlers: dict[str, Handler], registry: DataFrame | None) -> DataFrame:
+    """Names of the enabled tools; the registry has one row per tool in code, a fixed handful."""
+    if registry is None:
+        registry = calls.sparkSession.createDataFrame([(n, True) for n in handlers], "name string, enabled boolean")
+    return F.broadcast(registry.filter(F.col("enabled") & F.col("name").isin(list(handlers))).select("name"))
+
+
 def execute(calls: DataFrame, handlers: dict[str, Handler], registry: DataFrame | None = None) -> DataFrame:
     """TOOL_CALL rows to TOOL_RESULT rows.
 
     ``registry``: name, enabled; by default every handler is enabled. A call of
     an unknown or disabled tool is answered ``tool not found``.
     """
-    spark = calls.sparkSession
-    if registry is None:
-        registry = spark.createDataFrame([(n, True) for n in handlers], "name string, enabled boolean")
-    # The registry has one row per tool in code, a fixed handful.
-    live = F.broadcast(registry.filter(F.col("enabled") & F.col("name").isin(list(handlers))).select("name"))
+    live = _live(calls, handlers, registry)
     results = calls.join(live, "name", "left_anti").select(
         "call_id", F.lit("tool not found").alias("content"), F.lit(True).alias("is_error"))
     known = calls.join(live, "name", "left_semi")
@@ -101,6 +105,27 @@ class ToolBox:
     def execute(self, calls: DataFrame, registry: DataFrame | None = None) -> DataFrame:
         return execute(calls, self.handlers(), registry)
 
+    def effects(self, calls: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        """What the calls leave behind: the next file table, and SNIPPET rows to upsert (None if nothing can be stored).
+
+        Creates take free paths and edits existing ones, so no file has both. A text without a vector is a fallback
+        file; a file of the same name is replaced.
+        """
+        known = calls.join(_live(calls, self.handlers(), registry), "name", "left_semi")
+        of = lambda tool: known.filter(F.col("name") == self._name(tool))
+        good = lambda tool: self._decode(of(tool), tool).filter("format_error is null")
+        created = mutations.create_files(good("create_file"), self.files)
+        edited = mutations.edit_sequence(
+            good("edit_file").select("seq", "call_id", *FIELDS["edit_file"]), self.files)
+        files = mutations.apply_edits(mutations.apply_creates(self.files, created), edited)
+        if self.snippets is None:
+            return files, None
+        stored, fallback = self.upserts(of("vector_upsert"))
+        body = F.col("content").cast("binary")
+        written = fallback.dropDuplicates(["filename"]).select(
+            F.col("filename").alias("path"), F.octet_length(body).cast("long").alias("length"), body.alias("content"))
+        return files.join(written.select("path"), "path", "left_anti").unionByName(written), stored
+
     def definitions(self) -> DataFrame:
         """The tools on offer: name, description, input_schema (JSON)."""
         rows = []
@@ -188,7 +213,7 @@ class ToolBox:
                        F.coalesce("content", F.lit(nothing)), F.col("error"))
 
     def vector_upsert(self, calls: DataFrame) -> DataFrame:
-        """The answers; ``upserts`` gives the rows to write."""
+        """The answers; ``effects`` gives the rows to write."""
         snips, fallback, checked = self._upserts(calls)
         stored = F.concat(F.lit("Successfully upserted content with ID: "), "id")
         fell_back = F.concat(F.lit("Successfully created file '"), "filename", F.lit("'"))
@@ -205,6 +230,9 @@ class ToolBox:
         error = F.coalesce("format_error", F.when(
             F.col("text_content") == "", F.lit(f"text_content is required for {name}")))
         embedded = upsert.embed_texts(asked.withColumn("error", error), self.model)
+        if self.model:
+            # Snippets, fallback files and answers come from one call of the model per text.
+            embedded = cut_lineage(embedded)
         good = embedded.filter("error is null")
         snips = upsert.text_snippets(good.filter(upsert.is_embedded(F.col("embedding"))))
         checked = embedded.select(

@@ -419,6 +419,25 @@ def tool_route(spark: SparkSession, folder: str) -> DataFrame:
     return box.execute(_calls(spark, folder))
 
 
+def _odd_lengths(texts: list[str]) -> list[list[float]]:
+    """A model that has no vector for texts of even length."""
+    return [[float(len(t))] if len(t) % 2 else [] for t in texts]
+
+
+@query(sql.TOOL_EFFECTS)
+def tool_effects(spark: SparkSession, folder: str) -> DataFrame:
+    """Files and snippets after the calls of ``tool_route``, with a second create of equal seq on every new path."""
+    calls = _calls(spark, folder)
+    path = F.get_json_object("input", "$.path")
+    again = calls.filter("name = 'create_file'").withColumns({
+        "call_id": F.concat(F.lit("again:"), "call_id"),
+        "input": F.to_json(F.struct(path.alias("path"), F.lit("again").alias("content")))})
+    box = ToolBox(doc_files(spark, folder), turn_snippets(spark, folder), model=_odd_lengths)
+    files, stored = box.effects(calls.unionByName(again))
+    row = lambda kind, name: [F.lit(kind).alias("kind"), F.col(name).alias("name"), F.md5(F.col("content").cast("binary")).alias("content_md5")]
+    return files.select(row("file", "path")).unionByName(stored.select(row("snippet", "id")))
+
+
 def _responses(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "pages").select(
         F.col("url").alias("query"), page_response(F.col("url"), F.col("html")).alias("body"))

@@ -333,3 +333,12 @@ union all select 'event:' || event_id, case event_type
     when 'purchase' then {_ERROR.format('edit_file')} 'path and old_str are required for edit_file'
     when 'signup' then {_ERROR.format('vector_upsert')} 'text_content is required for vector_upsert'
     else 'tool not found' end, true from events"""
+
+# Of two creates with equal seq the lower call wins; an even text has no vector and goes to a fallback file.
+TOOL_EFFECTS = f"""
+with docs as (select *, {DOC_PATH} as path from documents),
+e as (select path, {_edited('text', "right(text, 12)", "lang")} as new from docs)
+select 'file' as kind, path as name, md5(new) as content_md5 from e
+union all select 'file', 'bench/' || item_id, md5('again') from benchmark
+union all select distinct 'file', 'vector_store_fallback_' || sha256(text) || '.txt', md5(text) from benchmark where length(text) % 2 = 0
+union all select 'snippet', {_TEXT_ID}, md5(text) from benchmark where length(text) % 2 = 1"""
