@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from textquarry.functions import paths, text
-from textquarry.operators.snippets import extension_stats, file_errors, snippets, with_embedding_text, with_kind
+from textquarry.operators.snippets import extension_stats, file_errors, index_summary, snippets, with_embedding_text, with_kind
 from textquarry.schemas import FILE
 
 FEW = settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
@@ -67,7 +67,7 @@ def test_size_and_kind(spark):
 def test_truncation(spark):
     rows = [("a.txt", b"a" * 10000), ("b.txt", b"a" * 10001), ("c.txt", b"a" * 9999 + "é".encode()),
             ("d.txt", b"a" * 9998 + b"\n" + b"b\nc"), ("e.txt", b""), ("README", b"x\ny\n")]
-    got = {r.file_path: r for r in snippets(file_rows(spark, rows)).collect()}
+    got = {r.file_path: r for r in snippets(file_rows(spark, rows), truncate=True).collect()}
     mark = "... [content truncated]"
     assert got["a.txt"].content == "a" * 10000
     assert got["b.txt"].content == "a" * 10000 + mark
@@ -77,6 +77,23 @@ def test_truncation(spark):
     assert got["README"].metadata == {"file_type": "", "file_name": "README"} and got["README"].symbols == []
 
 
+def test_long_files_go_on(spark):
+    texts = {"a.txt": "", "b.txt": "é" * 10 + "\n" + "x" * 30, "c.txt": "ab\n" * 12, "d.txt": "aaaaaaaaa" * 9, "e.txt": "x" * 16,
+             "f.txt": "€" * 40, "g.txt": "𐍈\n" * 21, "h.txt": "x" * 26 + "€"}
+    rows = [(p, t.encode()) for p, t in texts.items()] + [("i.txt", b"\x80" * 31)]
+    got = sorted(snippets(file_rows(spark, rows), max_bytes=16).collect(), key=lambda r: (r.file_path, r.start_line))
+    assert len({r.id for r in got}) == len(got) and all(len(r.content.encode()) <= 16 for r in got if r.file_path != "i.txt")
+    assert {r.file_path for r in got} == {p for p, _ in rows}
+    for path, t in texts.items():
+        mine = [r for r in got if r.file_path == path]
+        assert sorted("".join(r.content for r in mine)) == sorted(t) and (len(mine) == 1) == (len(t.encode()) <= 16)
+        lines = t.split("\n")
+        for r in mine:
+            span = r.content.split("\n")
+            assert r.end_line - r.start_line + 1 == len(span)
+            assert all(part in lines[r.start_line - 1 + i] for i, part in enumerate(span))
+
+
 def test_extension(spark):
     cases = {".gitignore": ".gitignore", "README": "", "a.tar.gz": ".gz", "foo.": ".", "A.GO": ".go", "dir.d/file": ""}
     df = spark.createDataFrame([(p,) for p in cases], "path string")
@@ -152,12 +169,12 @@ func Last() {
 
 
 def test_go_files(spark):
-    files = file_rows(spark, [("m.go", GO), ("none.go", b"package x\n"), ("first.go", b"func A() {\n}\n"),
+    files = file_rows(spark, [("m.go", GO), ("none.go", b"package x\n"), ("first.go", b"package x;\nfunc A() {\n}\n"),
                               ("open.go", b"func A() {\n")])
     got = [(r.file_path, r.symbols[0], r.start_line, r.end_line) for r in snippets(files).collect()]
     assert sorted(got) == sorted([
         ("m.go", "Plain", 4, 8), ("m.go", "T.Value", 10, 10), ("m.go", "T.Pointer", 11, 15), ("m.go", "Generic", 20, 21),
-        ("m.go", "T.Unnamed", 23, 23), ("m.go", "Last", 24, 25), ("first.go", "A", 1, 2)])
+        ("m.go", "T.Unnamed", 23, 23), ("m.go", "Last", 24, 25), ("first.go", "A", 2, 3)])
     plain = with_embedding_text(snippets(files)).filter("get(symbols, 0) = 'Plain'").first()
     assert plain.content.startswith("func Plain") and plain.content.endswith("return a\n}")
     assert plain.metadata is None and plain.embedding_text.startswith("File: m.go\nSymbols: Plain\nfunc Plain")
@@ -172,3 +189,51 @@ def test_snippet_ids_repeat(spark):
 def test_query_terms(spark):
     df = spark.createDataFrame([("  The the CAT\n",), ("",), (" \t",)], "q string")
     assert [r.t for r in df.select(text.query_terms(F.col("q")).alias("t")).collect()] == [["the", "the", "cat"], [], []]
+
+
+GO_QUOTES = b"""// Package x {
+package x
+
+func A() int { return 1 } // one
+
+type T struct{}
+
+func bare(a int) int
+func many(
+\ta interface{},
+) (
+\tint)
+
+func raw() string {
+\treturn `
+}
+func notReal() {
+}
+`
+}
+/* func no() {
+} */
+func quoted() string { return "} \\" {" + string('"') }
+"""
+
+
+def test_go_strings_and_comments(spark):
+    files = file_rows(spark, [("q.go", GO_QUOTES), ("open.go", b"package x\nfunc A() {\n\tx := 1\n"),
+                              ("string.go", b"package x\nvar s = `a\n"), ("empty.go", b""), ("bytes.go", b"package x\n\xff\x00")])
+    got = sorted((r.start_line, r.end_line, r.symbols[0]) for r in snippets(files).collect())
+    assert got == [(4, 4, "A"), (8, 8, "bare"), (9, 12, "many"), (14, 20, "raw"), (23, 23, "quoted")]
+    errors = {r.path: r.error for r in file_errors(files).collect()}
+    assert errors == {p: f"failed to parse file: {p}" for p in ("open.go", "string.go", "empty.go")}
+    summary = {(r.kind, r.name): r.n for r in index_summary(files).collect()}
+    assert summary["snippets", "(all)"] == 5 and summary["files", ".go"] == 5 and len(summary) == 6
+
+
+def test_own_parser(spark):
+    def one_line(rows):
+        span = F.struct(F.lit(1).cast("long").alias("start_line"), F.lit(1).cast("long").alias("end_line"),
+                        F.col("source").alias("content"), F.array(F.lit("s")).alias("symbols"))
+        return rows.withColumn("declarations", F.when(F.col("source") != "bad", F.array(span)))
+
+    files = file_rows(spark, [("a.go", b"x"), ("b.go", b"bad"), ("c.txt", b"t")])
+    assert {(r.file_path, r.content) for r in snippets(files, one_line).collect()} == {("a.go", "x"), ("c.txt", "t")}
+    assert [r.path for r in file_errors(files, one_line).collect()] == ["b.go"]

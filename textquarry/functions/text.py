@@ -72,15 +72,19 @@ def decode_text(content: Column) -> Column:
     return F.make_valid_utf8(content.cast("string"))
 
 
-def truncated_text(content: Column) -> Column:
-    """Bytes as text, cut to the first 10000 bytes plus a mark if longer."""
-    cut = F.concat(decode_text(F.substring(content, 1, MAX_SNIPPET_BYTES)), F.lit(TRUNCATION_MARK))
-    return F.when(F.octet_length(content) > MAX_SNIPPET_BYTES, cut).otherwise(decode_text(content))
+def truncated_text(content: Column, max_bytes: int = MAX_SNIPPET_BYTES) -> Column:
+    """Bytes as text, cut to the first ``max_bytes`` plus a mark if longer."""
+    cut = F.concat(decode_text(F.substring(content, 1, max_bytes)), F.lit(TRUNCATION_MARK))
+    return F.when(F.octet_length(content) > max_bytes, cut).otherwise(decode_text(content))
 
 
-def snippet_id(path: Column, start_line: Column, content: Column) -> Column:
-    """Content-derived id, so indexing the same file twice writes the same rows."""
-    return F.sha2(F.concat_ws(UNIT_SEPARATOR, path, start_line.cast("string"), content), 256)
+def snippet_id(path: Column, start_line: Column, content: Column, at: Column | None = None) -> Column:
+    """Content-derived id, so indexing the same file twice writes the same rows.
+
+    ``at``: the byte where a continued file goes on, 0 elsewhere; long lines may repeat themselves.
+    """
+    later = F.lit(None).cast("string") if at is None else F.when(at > 0, at.cast("string"))
+    return F.sha2(F.concat_ws(UNIT_SEPARATOR, path, start_line.cast("string"), content, later), 256)
 
 
 def embedding_text(path: Column, symbols: Column, content: Column) -> Column:

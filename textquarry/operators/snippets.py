@@ -2,24 +2,29 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions import paths, text
 
-# Patterns for gofmt-shaped code: a declaration starts in column 0 and ends at
-# a closing brace in column 0, or on its own line.
-GO_START = r"func[ (]"
-GO_END = r"^\}|^func[ (].*\}\s*$"
+Parser = Callable[[DataFrame], DataFrame]
+
+# Patterns for Go code without its strings and comments: a declaration starts in column 0.
+GO_START = r"^func[ (]"
+GO_TOKEN = r"""\"(?:[^"\\\n]++|\\.)*+"|`[^`]*+`|'(?:[^'\\\n]++|\\.)++'|//[^\n]*+|(?s:/\*.*?\*/)"""
 GO_SYMBOL = (r"^func\s*(?:\(\s*(?:[\p{L}_][\p{L}\p{N}_]*\s+)?\*?\s*([\p{L}_][\p{L}\p{N}_]*)(\[[^)]*\])?\s*\)\s*)?"
              r"([\p{L}_][\p{L}\p{N}_]*)")
 
 
-def with_kind(files: DataFrame) -> DataFrame:
+def with_kind(files: DataFrame, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
     """Add ``ext``, ``error`` (null if usable) to FILE rows that take the whole-file way."""
     ext = paths.extension(F.col("path"))
     known = ext.isin(text.TEXT_EXTENSIONS)
+    limit = f"{max_file_bytes >> 20}MB" if max_file_bytes >= 1 << 20 else f"{max_file_bytes} bytes"
     error = (
-        F.when(F.col("length") > text.MAX_FILE_BYTES, F.concat(F.lit("file too large (>10MB): "), "path"))
+        F.when(F.col("length") > max_file_bytes, F.concat(F.lit(f"file too large (>{limit}): "), "path"))
         .when(~known & text.is_binary(text.binary_profile(F.col("content"))),
               F.concat(F.lit("skipping binary file: "), "path")))
     return files.withColumn("ext", ext).withColumn("error", error)
@@ -60,36 +65,125 @@ def go_symbol(content: Column) -> Column:
     return F.when((part(1) != "") & (part(2) == ""), F.concat(part(1), F.lit("."), part(3))).otherwise(part(3))
 
 
-def snippets(files: DataFrame) -> DataFrame:
+def go_shape(source: Column) -> Column:
+    """Go source with strings, runes and comments blanked, line breaks kept."""
+    between = F.split(source, GO_TOKEN)
+    tokens = F.regexp_extract_all(source, F.lit(GO_TOKEN), F.lit(0))
+    blank = lambda token: F.coalesce(F.regexp_replace(token, r"[^\n]", " "), F.lit(""))
+    return F.array_join(F.zip_with(between, tokens, lambda code, token: F.concat(code, blank(token))), "")
+
+
+def _go_broken(shape: Column) -> Column:
+    """No package clause, an open string or comment, or brackets that do not balance."""
+    count = lambda char: F.regexp_count(shape, F.lit(re.escape(char)))
+    return (~shape.rlike(r"^\s*package\s") | shape.rlike("[`\"']") | F.contains(shape, F.lit("/*"))
+            | (count("{") != count("}")) | (count("(") != count(")")) | (count("[") != count("]")))
+
+
+def _closed(depths: Column) -> Column:
+    """1-based place where the brackets opened so far are closed again, 0 if they never are."""
+    state = lambda place, depth, end: F.struct(place.alias("place"), depth.alias("depth"), end.alias("end"))
+    step = lambda s, change: state(s["place"] + 1, s["depth"] + change, F.when(
+        (s["end"] == 0) & (s["depth"] + change == 0), s["place"] + 1).otherwise(s["end"]))
+    return F.aggregate(depths, state(F.lit(0), F.lit(0), F.lit(0)), step, lambda s: s["end"])
+
+
+def go_declarations(rows: DataFrame) -> DataFrame:
+    """The built-in parser: functions that start in column 0, up to where their brackets are closed, with a body or none.
+
+    A parser takes rows with ``source`` (null for files that are not parsed) and adds ``declarations``: an array of
+    (start_line, end_line, content, symbols), null for a file with an error.
+    """
+    shaped = rows.withColumn("shape", go_shape(F.col("source")))
+    lines = shaped.withColumn("lines", F.split("source", "\n")).withColumn(
+        "shape", F.when(~_go_broken(F.col("shape")), F.split("shape", "\n")))
+    depth = lambda line: F.regexp_count(line, F.lit(r"[({\[]")) - F.regexp_count(line, F.lit(r"[)}\]]"))
+    found = lines.withColumn("depths", F.transform("shape", depth)).withColumn("starts", F.filter(
+        F.transform("shape", lambda line, i: F.when(line.rlike(GO_START), i + 1)), lambda n: n.isNotNull()))
+    upto = lambda i: F.coalesce(F.get("starts", i + 1), F.size("lines") + 1)
+    sized = found.withColumn("starts", F.transform("starts", lambda n, i: F.struct(
+        n.alias("n"), _closed(F.slice("depths", n, upto(i) - n)).alias("size"))))
+    closed = F.filter("starts", lambda s: s["size"] > 0)
+    content = lambda s: F.array_join(F.slice("lines", s["n"], s["size"]), "\n")
+    return sized.withColumn("declarations", F.transform(closed, lambda s: F.struct(
+        s["n"].cast("long").alias("start_line"), (s["n"] + s["size"] - 1).cast("long").alias("end_line"),
+        content(s).alias("content"), F.array(go_symbol(content(s))).alias("symbols")))).drop("shape", "lines", "depths", "starts")
+
+
+def _whole(rows: DataFrame, max_bytes: int, truncate: bool) -> DataFrame:
+    """Add ``whole``: the snippets of a file that is not parsed, as (start_line, end_line, content, at), ``at`` the byte.
+
+    A file above ``max_bytes`` goes on in further snippets, cut between characters, so that all snippets together are the
+    file. Line numbers add up the line breaks before; that work grows with the square of the number of snippets.
+    """
+    span = lambda start, content, at: F.struct(
+        start.cast("long").alias("start_line"), (start + F.size(F.split(content, "\n")) - 1).cast("long").alias("end_line"),
+        content.alias("content"), at.cast("long").alias("at"))
+    if truncate:
+        only = text.truncated_text(F.col("content"), max_bytes)
+        return rows.withColumn("whole", F.array(span(F.lit(1), only, F.lit(0))))
+    step = max_bytes - 3
+    size = F.octet_length("content")
+    inside = lambda at: F.substr("content", at + 1, F.lit(1)).between(F.lit(b"\x80"), F.lit(b"\xbf"))
+    moved = lambda at: F.when(at == 0, 0).when(~inside(at), at).when(~inside(at + 1), at + 1).when(
+        ~inside(at + 2), at + 2).otherwise(at + 3)
+    starts = F.transform(F.sequence(F.lit(0), F.floor((size - 1) / step).cast("int")), lambda i: moved(i * step))
+    cut = rows.withColumn("starts", F.when(size <= max_bytes, F.array(F.lit(0))).otherwise(starts))
+    piece = lambda at, i: F.substr("content", at + 1, F.coalesce(F.get("starts", i + 1), size) - at)
+    cut = cut.withColumn("pieces", F.filter(F.transform("starts", lambda at, i: F.struct(
+        at.alias("at"), text.decode_text(piece(at, i)).alias("content"))), lambda p: (p["at"] == 0) | (p["content"] != "")))
+    cut = cut.withColumn("breaks", F.transform("pieces", lambda p: F.size(F.split(p["content"], "\n")) - 1))
+    first = lambda i: F.aggregate(F.slice("breaks", F.lit(1), i), F.lit(1), lambda total, n: total + n)
+    return cut.withColumn("whole", F.transform("pieces", lambda p, i: span(first(i), p["content"], p["at"]))).drop(
+        "starts", "pieces", "breaks")
+
+
+def _parsed(files: DataFrame, parser: Parser, max_file_bytes: int) -> DataFrame:
+    """FILE rows with ext, error, is_go and declarations."""
+    kinds = with_kind(files, max_file_bytes).withColumn("is_go", paths.is_go_file(F.col("path")))
+    rows = parser(kinds.withColumn("source", F.when(F.col("is_go"), text.decode_text(F.col("content")))))
+    broken = F.when(F.col("declarations").isNull(), F.concat(F.lit("failed to parse file: "), "path"))
+    return rows.withColumn("error", F.when(F.col("is_go"), broken).otherwise(F.col("error")))
+
+
+def snippets(files: DataFrame, parser: Parser = go_declarations, max_bytes: int = text.MAX_SNIPPET_BYTES,
+             truncate: bool = False, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
     """FILE rows to SNIPPET rows in one scan: Go files by declaration, all others whole.
 
-    A whole file is cut at 10000 bytes; unusable files are left out (see
-    ``file_errors``). Go files are neither cut nor tested.
+    A whole file of more than ``max_bytes`` goes on in further snippets; with ``truncate`` it is cut there, with a mark.
+    Unusable files are left out (see ``file_errors``). Go files are neither cut nor tested for being binary.
     """
-    go = paths.is_go_file(F.col("path"))
-    kinds = with_kind(files).withColumn("is_go", go).filter(F.col("is_go") | F.col("error").isNull())
-    whole = F.array(F.struct(F.lit(1).cast("long").alias("n"), text.truncated_text(F.col("content")).alias("piece")))
-    declared = _pieces(text.decode_text(F.col("content")), GO_START)
-    pieces = F.when(F.col("is_go"), declared).otherwise(whole)
-    spans = kinds.select("path", "ext", "is_go", F.inline(pieces)).withColumn("lines", F.split("piece", "\n"))
-    size = F.when(F.col("is_go"), _first_end(F.col("lines"), GO_END)).otherwise(F.size("lines"))
-    content = F.when(F.col("is_go"), F.array_join(F.slice("lines", F.lit(1), F.col("size")), "\n")).otherwise(F.col("piece"))
-    cut = spans.withColumn("size", size).filter(F.col("size") > 0).withColumn("content", content)
+    usable = F.when(~F.col("is_go") & F.col("error").isNull(), F.col("content"))
+    rows = _whole(_parsed(files, parser, max_file_bytes).withColumn("content", usable), max_bytes, truncate)
     metadata = F.create_map(F.lit("file_type"), F.regexp_replace("ext", r"^\.", ""),
                             F.lit("file_name"), paths.base_name(F.col("path")))
-    return cut.select(
-        text.snippet_id(F.col("path"), F.col("n"), F.col("content")).alias("id"), "content",
-        F.col("path").alias("file_path"), F.col("n").alias("start_line"),
-        (F.col("n") + F.col("size") - 1).alias("end_line"),
-        F.when(F.col("is_go"), F.array(go_symbol(F.col("content")))).otherwise(
-            F.array().cast("array<string>")).alias("symbols"),
-        F.lit(None).cast("array<float>").alias("embedding"),
-        F.when(~F.col("is_go"), metadata).alias("metadata"))
-
-
-def file_errors(files: DataFrame) -> DataFrame:
-    """Files the whole-file way leaves out, with the reason."""
-    return with_kind(files.filter(~paths.is_go_file(F.col("path")))).filter("error is not null").select("path", "error")
+    declared = F.transform("declarations", lambda d: F.struct(
+        d["start_line"].alias("start_line"), d["end_line"].alias("end_line"), d["content"].alias("content"),
+        F.lit(0).cast("long").alias("at"), d["symbols"].alias("symbols"), F.lit(None).cast("map<string,string>").alias("metadata")))
+    whole = F.transform("whole", lambda w: F.struct(
+        w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["content"].alias("content"),
+        w["at"].alias("at"), F.array().cast("array<string>").alias("symbols"), metadata.alias("metadata")))
+    # A filter on the arrays would be pushed below all the columns they are made of, and repeat their work.
+    found = rows.select("path", F.inline_outer(F.when(F.col("is_go"), declared).otherwise(whole))).filter("content is not null")
+    return found.select(
+        text.snippet_id(F.col("path"), F.col("start_line"), F.col("content"), F.col("at")).alias("id"), "content",
+        F.col("path").alias("file_path"), "start_line", "end_line", "symbols",
+        F.lit(None).cast("array<float>").alias("embedding"), "metadata")
+
+
+def file_errors(files: DataFrame, parser: Parser = go_declarations, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
+    """Files that ``snippets`` leaves out, with the reason."""
+    reason = F.explode_outer(F.array("error")).alias("error")  # as in snippets
+    return _parsed(files, parser, max_file_bytes).select("path", reason).filter("error is not null")
+
+
+def index_summary(files: DataFrame, parser: Parser = go_declarations, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
+    """What indexing does with the files: kind, name, n. Files by extension and in all, snippets made, files left out."""
+    row = lambda kind, name, n: [F.lit(kind).alias("kind"), name.alias("name"), n.alias("n")]
+    made = snippets(files, parser, max_file_bytes=max_file_bytes).agg(F.count("*").alias("n"))
+    return (extension_stats(files).select(row("files", F.col("ext"), F.col("n_files")))
+            .unionByName(made.select(row("snippets", F.lit("(all)"), F.col("n"))))
+            .unionByName(file_errors(files, parser, max_file_bytes).select(row("left out", F.col("error"), F.lit(1).cast("long")))))
 
 
 def with_embedding_text(snips: DataFrame) -> DataFrame:

@@ -206,8 +206,8 @@ def binary_classify(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(sql.SNIPPETS)
 def snippets_from_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as whole-file snippets with the text to embed."""
-    cut = snippets.with_embedding_text(snippets.snippets(doc_files(spark, folder)))
+    """Documents as whole-file snippets with the text to embed, in the form that cuts long files with a mark."""
+    cut = snippets.with_embedding_text(snippets.snippets(doc_files(spark, folder), truncate=True))
     return cut.select("id", "file_path", "start_line", "end_line", F.element_at("metadata", "file_type").alias("file_type"),
                       F.element_at("metadata", "file_name").alias("file_name"),
                       F.size("symbols").cast("long").alias("n_symbols"), _md5("content").alias("content_md5"),
@@ -224,6 +224,33 @@ def go_snippets(spark: SparkSession, folder: str) -> DataFrame:
         _md5("embedding_text").alias("embedding_md5"))
 
 
+@query(sql.SNIPPETS_FULL)
+def snippets_full(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as snippets that go on through long files; together they are the whole texts."""
+    return snippets.snippets(doc_files(spark, folder)).select(
+        "id", "file_path", "start_line", "end_line", F.octet_length("content").cast("long").alias("n_bytes"),
+        _md5("content").alias("content_md5"))
+
+
+def _mixed_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as Go files that quote them, beside the documents themselves."""
+    go = as_files(load(spark, folder, "documents"), doc_path(".go"), requests.go_text_source())
+    return go.unionByName(doc_files(spark, folder))
+
+
+@query(sql.MIXED_SNIPPETS)
+def mixed_snippets(spark: SparkSession, folder: str) -> DataFrame:
+    """Go and other files in one table, each cut its own way; broken Go files give nothing."""
+    return snippets.snippets(_mixed_files(spark, folder)).select(
+        "file_path", "start_line", "end_line", F.array_join("symbols", ",").alias("symbol"), _md5("content").alias("content_md5"))
+
+
+@query(sql.INDEX_SUMMARY)
+def index_summary(spark: SparkSession, folder: str) -> DataFrame:
+    """Files by extension, snippets made and files left out, documents over 20,000 bytes among them."""
+    return snippets.index_summary(_mixed_files(spark, folder), max_file_bytes=20_000)
+
+
 @query(sql.SPANS)
 def snippet_spans(spark: SparkSession, folder: str) -> DataFrame:
     """Document spans from a capital at line start to a full stop at line end."""

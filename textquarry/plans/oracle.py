@@ -166,8 +166,53 @@ with {_TRUNCATED}
 select id, path as file_path, 1::bigint as start_line, end_line, 'txt' as file_type, doc_id || '.txt' as file_name,
        0::bigint as n_symbols, md5(content) as content_md5, md5(embed_text) as embedding_md5 from snips"""
 
+# Pieces start 9,997 bytes apart, moved on to the next character.
+_CONTINUED = """
+docs as (select *, source || '/' || lang || '/' || doc_id || '.txt' as path, hex(encode(text)) as h, strlen(text) as size from documents),
+steps as (select doc_id, path, h, size, unnest(range(0, case when size <= 10000 then 1 else (size - 1) // 9997 + 1 end)) * 9997 as p from docs),
+starts as (select doc_id, path, h, size, case when p = 0 then 0 else p + case
+    when substr(h, (2 * p + 1)::int, 1) not between '8' and 'B' then 0 when substr(h, (2 * p + 3)::int, 1) not between '8' and 'B' then 1
+    when substr(h, (2 * p + 5)::int, 1) not between '8' and 'B' then 2 else 3 end end as pos from steps),
+ends as (select *, coalesce(lead(pos) over (partition by doc_id order by pos), size) as upto from starts),
+parts as (select doc_id, path, pos, decode(unhex(substr(h, (2 * pos + 1)::int, (2 * (upto - pos))::int))) as content
+          from ends where pos = 0 or upto > pos),
+placed as (select *, len(string_split(content, chr(10))) - 1 as breaks, 1 + coalesce(sum(len(string_split(content, chr(10))) - 1) over (
+    partition by doc_id order by pos rows between unbounded preceding and 1 preceding), 0) as start_line from parts),
+snips as (select sha256(concat_ws(chr(31), path, start_line::bigint, content, case when pos > 0 then pos::bigint end)) as id, path, doc_id,
+    content, start_line::bigint as start_line, (start_line + breaks)::bigint as end_line, 'File: ' || path || chr(10) || content as embed_text
+  from placed)"""
+
+SNIPPETS_FULL = f"""
+with {_CONTINUED}
+select id, path as file_path, start_line, end_line, strlen(content) as n_bytes, md5(content) as content_md5 from snips"""
+
+_GO_TEXT = """
+gdocs as (select doc_id, source || '/' || lang || '/' || doc_id || '.go' as p, replace(replace(text, '`', chr(39)), '*/', '* /') as body from documents),
+lined as (select *, len(string_split(body, chr(10))) - 1 as n from gdocs where doc_id % 5 <> 0),
+go as (
+  select p, 6 + n as a, 6 + 2 * n as b, 'Doc' || doc_id as symbol,
+    'func Doc' || doc_id || '() string { return `' || body || '` } // {' as content from lined
+  union all select p, 8 + 2 * n, 8 + 2 * n, 'bare' || doc_id, 'func bare' || doc_id || '(a int, b interface{}) int' from lined
+  union all select p, 11 + 2 * n, 21 + 3 * n, 'Run.Multi' || doc_id, 'func (r *Run) Multi' || doc_id || '(' || chr(10) || chr(9) || 'a int,'
+    || chr(10) || ') string {' || chr(10) || chr(9) || 's := "} \\" func (" + `' || chr(10) || body || chr(10) || 'func notReal() {' || chr(10)
+    || '}' || chr(10) || '`' || chr(10) || chr(9) || 'c := ' || chr(39) || '{' || chr(39) || chr(10) || chr(9) || 'return s' || chr(10) || '}' from lined)"""
+
+MIXED_SNIPPETS = f"""
+with {_CONTINUED}, {_GO_TEXT}
+select p as file_path, a::bigint as start_line, b::bigint as end_line, symbol, md5(content) as content_md5 from go
+union all select path, start_line, end_line, '', md5(content) from snips"""
+
+INDEX_SUMMARY = f"""
+with {_CONTINUED}, {_GO_TEXT},
+exts as (select unnest(['.go', '.txt']) as ext from documents),
+fit as (select path from docs where size <= 20000)
+select 'files' as kind, coalesce(ext, '(all)') as name, count(*)::bigint as n from exts group by rollup (ext)
+union all select 'snippets', '(all)', (select count(*) from go) + (select count(*) from snips join fit using (path))
+union all select 'left out', 'file too large (>20000 bytes): ' || path, 1 from docs where size > 20000
+union all select 'left out', 'failed to parse file: ' || p, 1 from gdocs where doc_id % 5 = 0"""
+
 INDEX = f"""
-with {_TRUNCATED}, {words('s', 'snips', 'id', 'embed_text')}
+with {_CONTINUED}, {words('s', 'snips', 'id', 'embed_text')}
 select id, path as file_path, end_line, 1536::bigint as dim, round(max(c / sqrt(n2))::float::double, 4) as top_weight
 from snips join s_b using (id) join s_n using (id) group by 1, 2, 3"""
 

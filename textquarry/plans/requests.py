@@ -17,6 +17,17 @@ def go_source() -> Column:
                                                      "\tf()\n\treturn b.v\n}\n"))
 
 
+def go_text_source() -> Column:
+    """A document's text in comments and raw strings of a Go file; every fifth file leaves its last brace open."""
+    id_, line = F.col("doc_id").cast("string"), F.lit("\n")
+    body = F.replace(F.replace(F.col("text"), F.lit("`"), F.lit("'")), F.lit("*/"), F.lit("* /"))
+    return F.concat(
+        F.lit("package main\n\n/*\n"), body, F.lit("\n*/\nfunc Doc"), id_, F.lit("() string { return `"), body,
+        F.lit("` } // {\n\nfunc bare"), id_, F.lit("(a int, b interface{}) int\n\n// func not() {\nfunc (r *Run) Multi"), id_,
+        F.lit("(\n\ta int,\n) string {\n\ts := \"} \\\" func (\" + `\n"), body,
+        F.lit("\nfunc notReal() {\n}\n`\n\tc := '{'\n\treturn s\n"), F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.lit("}")), line)
+
+
 def path_variants(url: Column) -> Column:
     path = F.regexp_extract(url, r"^https?://[^/]+(.*)$", 1)
     return F.array(path, F.concat(F.lit("a/../.."), path), F.concat(F.lit("."), path, F.lit("/../x//y/.")),
