@@ -95,6 +95,24 @@ def test_history_model(spark, keys, n, chunk):
     assert all(g.turn_group == users(g.conv_id, g.turn) for g in groups) and len(groups) == len(rows)
 
 
+def test_ranked(spark):
+    from textquarry.operators.ranks import ranked
+    rows = [(k, i * 10**9, "x") for k, n in ((1, 500), (2, 1), (None, 7)) for i in range(n)]
+    frame = spark.createDataFrame(rows, "k int, at long, v string").repartition(5)
+    got = {(r.k, r["at"]): r.place for r in ranked(frame, ["k"], ["at"]).collect()}
+    assert got == {(k, at): at // 10**9 for k, at, _ in rows}
+    assert ranked(frame.limit(0), ["k"], ["at"]).count() == 0
+
+
+def test_sparse_turn_numbers(spark):
+    rows = [(1, t * 86_400_000, "user" if t % 3 else "assistant", f"m{t}") for t in range(30)]
+    for n, chunk in ((3, 4), (40, 8)):
+        got = conversations.history_before_turn(turn_frame(spark, rows), n, chunk).collect()
+        assert {(r.conv_id, r.turn): [m.text for m in r.history] for r in got} == model_history(rows, n)
+    groups = conversations.with_turn_group(turn_frame(spark, rows), 4).collect()
+    assert all(g.turn_group == sum(r[2] == "user" for r in rows if r[1] <= g.turn) for g in groups) and len(groups) == 30
+
+
 def test_turn_groups(spark):
     for chunk in (2, 1024):
         got = sorted(conversations.turn_groups(turn_frame(spark, TURNS), chunk).collect())
@@ -173,7 +191,8 @@ def test_long_listing_comes_in_pages(spark, monkeypatch):
                                    F.lit(b"").alias("content"))
     call = spark.createDataFrame([("l", 0, "list_files", '{"path": "d"}')], TOOL_CALL)
     rows = ToolBox(files).execute(call).collect()
-    assert len(rows) > 1 and sorted(p for r in rows for p in json.loads(r.content)) == [f"d/{i:03d}" for i in range(95)]
+    assert [(r.page, r.pages) for r in sorted(rows, key=lambda r: r.page)] == [(i, 10) for i in range(1, 11)]
+    assert [p for r in sorted(rows, key=lambda r: r.page) for p in json.loads(r.content)] == [f"d/{i:03d}" for i in range(95)]
 
 
 def test_web(spark):
@@ -197,7 +216,7 @@ def test_streams(spark, tmp_path):
     got = sorted(spark.read.parquet(out).select(*columns).collect())
     assert got == sorted(prompts(turn_frame(spark, rows), snips).select(*columns).collect()) and len(got) == 2
 
-    files = spark.createDataFrame([("a.txt", 3, bytearray(b"one")), ("b.go", 12, bytearray(b"func A() {\n}"))], FILE)
+    files = spark.createDataFrame([("a.txt", 3, bytearray(b"one")), ("b.go", 22, bytearray(b"package b\nfunc A() {\n}"))], FILE)
     source = str(tmp_path / "files")
     files.write.parquet(source)
     table = VectorTable.ensure(spark, str(tmp_path / "table"))

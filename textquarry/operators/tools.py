@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions.toolinput import decode_inputs, whole_k
 from textquarry.operators import mutations, upsert
+from textquarry.operators.ranks import ranked
 from textquarry.operators.vector_search import DEFAULT_K
 from textquarry.plans.search import cascade
 from textquarry.schemas import WEB_RESPONSE
@@ -46,9 +47,9 @@ _JSON_TYPES = {"string": "string", "int": "integer", "text_map": "object"}
 Handler = Callable[[DataFrame], DataFrame]
 
 
-def _answer(done: DataFrame, content: Column, error: Column) -> DataFrame:
+def _answer(done: DataFrame, content: Column, error: Column, *more: str) -> DataFrame:
     """call_id, content, error of one tool's calls; an error leaves no content."""
-    return done.select("call_id", F.when(error.isNull(), content).alias("content"), error.alias("error"))
+    return done.select("call_id", F.when(error.isNull(), content).alias("content"), error.alias("error"), *more)
 
 
 def _live(calls: DataFrame, handlers: dict[str, Handler], registry: DataFrame | None) -> DataFrame:
@@ -58,22 +59,28 @@ def _live(calls: DataFrame, handlers: dict[str, Handler], registry: DataFrame |
     return F.broadcast(registry.filter(F.col("enabled") & F.col("name").isin(list(handlers))).select("name"))
 
 
+def _pages(done: DataFrame | None = None) -> list[Column]:
+    number = lambda name: F.coalesce(F.col(name), F.lit(1)) if done is not None and name in done.columns else F.lit(1)
+    return [number(name).cast("int").alias(name) for name in ("page", "pages")]
+
+
 def execute(calls: DataFrame, handlers: dict[str, Handler], registry: DataFrame | None = None) -> DataFrame:
     """TOOL_CALL rows to TOOL_RESULT rows.
 
     ``registry``: name, enabled; by default every handler is enabled. A call of
-    an unknown or disabled tool is answered ``tool not found``.
+    an unknown or disabled tool is answered ``tool not found``. An answer of
+    several rows numbers them by page, of pages; other answers are page 1 of 1.
     """
     live = _live(calls, handlers, registry)
     results = calls.join(live, "name", "left_anti").select(
-        "call_id", F.lit("tool not found").alias("content"), F.lit(True).alias("is_error"))
+        "call_id", F.lit("tool not found").alias("content"), F.lit(True).alias("is_error"), *_pages())
     known = calls.join(live, "name", "left_semi")
     for name, handler in handlers.items():
         done = handler(known.filter(F.col("name") == name))
         failed = F.concat(F.lit(f"Error executing tool '{name}': "), "error")
         results = results.unionByName(done.select(
             "call_id", F.coalesce(failed, F.col("content")).alias("content"),
-            F.col("error").isNotNull().alias("is_error")))
+            F.col("error").isNotNull().alias("is_error"), *_pages(done)))
     return results
 
 
@@ -83,7 +90,8 @@ class ToolBox:
 
     ``files``: FILE rows. ``snippets``: SNIPPET rows to search. ``model``: an
     embedding model, or None for the built-in one. ``web``: query, body (JSON
-    responses fetched elsewhere). ``names`` renames tools.
+    responses fetched elsewhere). ``names`` renames tools. ``listing_page``:
+    entries in one row of a directory listing, by default LISTING_PAGE.
     """
 
     files: DataFrame
@@ -91,6 +99,7 @@ class ToolBox:
     model: Callable[[list[str]], list[list[float]]] | None = None
     web: DataFrame | None = None
     names: dict[str, str] = field(default_factory=dict)
+    listing_page: int | None = None
 
     def handlers(self) -> dict[str, Handler]:
         offered = {"read_file": self.read_file, "list_files": self.list_files,
@@ -149,17 +158,22 @@ class ToolBox:
                 .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
 
     def list_files(self, calls: DataFrame) -> DataFrame:
-        """A JSON list of paths; a listing of over LISTING_PAGE entries comes in several rows."""
+        """JSON lists of paths in order of name, a row per page; a short listing is page 1 of 1.
+
+        Places come from ranges of names, so a directory of any size is listed by many tasks.
+        """
         asked = self._decode(calls, "list_files")
         good = asked.filter("format_error is null")
         entries = mutations.list_dir(good.select(F.col("call_id").alias("seq"), "path"), self.files)
-        pages = entries.groupBy("seq").agg(F.ceil(F.count("*") / LISTING_PAGE).alias("pages"))
-        page = F.pmod(F.xxhash64("entry"), "pages")
-        listed = (entries.join(pages, "seq").groupBy(F.col("seq").alias("call_id"), page.alias("page")).agg(
-            F.to_json(F.array_sort(F.collect_list("entry"))).alias("content"), F.max("error").alias("error")))
+        size = self.listing_page or LISTING_PAGE
+        listed = (ranked(entries, ["seq"], ["entry"]).withColumn("page", F.floor(F.col("place") / size) + 1)
+                  .groupBy("seq", "page").agg(F.to_json(F.array_sort(F.collect_list("entry"))).alias("content"),
+                                              F.max("error").alias("error")))
+        pages = listed.groupBy(F.col("seq").alias("call_id")).agg(F.max("page").alias("pages"))
+        listed = listed.withColumnRenamed("seq", "call_id").join(pages, "call_id")
         bad = asked.filter("format_error is not null")
-        return (_answer(listed, F.col("content"), F.col("error"))
-                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
+        return (_answer(listed, F.col("content"), F.col("error"), "page", "pages")
+                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error")), allowMissingColumns=True))
 
     def create_file(self, calls: DataFrame) -> DataFrame:
         asked = self._decode(calls, "create_file")

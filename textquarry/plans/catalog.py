@@ -139,15 +139,26 @@ def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("conv_id", "turn", "prompt")
 
 
-@query(sql.HISTORY)
-def history_before_turn(spark: SparkSession, folder: str) -> DataFrame:
+def _history(spark: SparkSession, folder: str, n: int) -> DataFrame:
     turns = load(spark, folder, "conversations")
     said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
-    return conversations.history_before_turn(turns, 4).select(
+    return conversations.history_before_turn(turns, n).select(
         "conv_id", "turn", F.size("history").cast("long").alias("n_before"),
         F.array_join(said, "\n").alias("history"))
 
 
+@query(sql.history(4))
+def history_before_turn(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with the 4 messages before it, a window of the conversation."""
+    return _history(spark, folder, 4)
+
+
+@query(sql.history(1000))
+def history_before_turn_long(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with up to 1,000 messages before it, here all of them."""
+    return _history(spark, folder, 1000)
+
+
 @query(sql.TURN_GROUPS)
 def turn_groups(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.turn_groups(load(spark, folder, "conversations"))
@@ -443,7 +454,18 @@ def tool_inputs(spark: SparkSession, folder: str) -> DataFrame:
 def tool_route(spark: SparkSession, folder: str) -> DataFrame:
     """Calls of every tool made from the tables, answered set by set."""
     box = ToolBox(doc_files(spark, folder), turn_snippets(spark, folder), web=_responses(spark, folder))
-    return box.execute(_calls(spark, folder))
+    return box.execute(_calls(spark, folder)).drop("page", "pages")
+
+
+@query(sql.LISTING_PAGES)
+def listing_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Every directory of the documents listed in pages of 20 entries."""
+    docs = load(spark, folder, "documents")
+    path = F.explode(F.array(F.lit(""), F.col("source"), F.concat("source", F.lit("/"), "lang")))
+    calls = docs.select(path.alias("path")).distinct().select(
+        F.concat(F.lit("list:"), "path").alias("call_id"), F.lit(0).cast("long").alias("seq"), F.lit("list_files").alias("name"),
+        F.to_json(F.struct("path")).alias("input"))
+    return ToolBox(doc_files(spark, folder), listing_page=20).execute(calls)
 
 
 def _odd_lengths(texts: list[str]) -> list[list[float]]:

@@ -79,10 +79,20 @@ RAG_PROMPT = _CONTEXT + """
 select conv_id, turn, coalesce(context || chr(10) || chr(10) || 'User Query:' || chr(10) || text, text) as prompt
 from turns left join contexts using (query_id)"""
 
-HISTORY = """
+def history(n: int) -> str:
+    return f"""
 select conv_id, turn, coalesce(len(h), 0)::bigint as n_before, coalesce(array_to_string(h, chr(10)), '') as history from (
   select conv_id, turn, list(role || ': ' || text) over (
-    partition by conv_id order by turn rows between 4 preceding and 1 preceding) as h from conversations)"""
+    partition by conv_id order by turn rows between {n} preceding and 1 preceding) as h from conversations)"""
+
+
+LISTING_PAGES = """
+with e as (select distinct '' as path, source as entry from documents union select source, source || '/' || lang from documents
+           union select source || '/' || lang, source || '/' || lang || '/' || doc_id || '.txt' from documents),
+r as (select path, entry, (row_number() over (partition by path order by entry) - 1) // 20 + 1 as page from e),
+p as (select path, page, '[' || string_agg('"' || entry || '"', ',' order by entry) || ']' as content from r group by 1, 2)
+select 'list:' || path as call_id, content, false as is_error, page::int as page,
+  (max(page) over (partition by path))::int as pages from p"""
 
 TURN_GROUPS = """
 select conv_id, turn_group::bigint as turn_group, min(turn) as first_turn, max(turn) as last_turn, count(*) as n_messages,
