@@ -194,6 +194,29 @@ def test_cascade(spark):
     assert round(by_model.first().score, 6) == round(0.5 ** 0.5, 6)
 
 
+def test_model_failures(spark, tmp_path):
+    calls = tmp_path / "calls"
+
+    def model(texts):
+        with open(calls, "a") as f:
+            f.write("".join(f"{t}\n" for t in texts))
+        if "boom" in texts:
+            raise RuntimeError("down")
+        return [[float(t.count("a")), float(t.count("b"))] for t in texts]
+
+    snips = snippet_rows(spark, ["aa", "bb"]).withColumn("embedding", F.when(F.col("content") == "aa", F.array(
+        F.lit(1.0), F.lit(0.0))).otherwise(F.array(F.lit(0.0), F.lit(1.0))).cast("array<float>"))
+    docs = spark.createDataFrame([("f", "a boom"), ("g", "bb")], "filename string, content string")
+    queries = spark.createDataFrame([(1, "a"), (2, "b"), (4, "aab")], "query_id long, query string").coalesce(1)
+    vector, keyword = cascade(queries, snips, docs, model, k=1)
+    assert {(r.query_id, r.id) for r in vector.collect()} == {(1, "s0"), (2, "s1"), (4, "s0")} and not keyword.count()
+    assert sorted(calls.read_text().split()) == ["a", "aab", "b"]  # one call per text
+    failing = spark.createDataFrame([(1, "a"), (3, "boom"), (5, None)], "query_id long, query string").coalesce(1)
+    vector, keyword = cascade(failing, snips, docs, model, k=1)
+    assert [(r.query_id, r.id) for r in vector.collect()] == [(1, "s0")]
+    assert [(r.query_id, r.filename) for r in keyword.collect()] == [(3, "f")]
+
+
 def test_approximate_plan(spark):
     texts = [f"alpha{i} beta{i} gamma{i}" for i in range(30)]
     snips = snippet_rows(spark, texts).withColumn("embedding", hashed_unit(F.col("content")))

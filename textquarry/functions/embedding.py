@@ -20,8 +20,15 @@ _WORD = re.compile(r"[^\W_]+")
 HASHED_TYPE = "struct<idx: array<int>, cnt: array<int>, norm2: bigint>"
 
 
+def _vectors(model: Callable[[list[str]], list[list[float]]], texts: list[str]) -> list:
+    got = model(texts)
+    if len(got) != len(texts):
+        raise ValueError(f"mismatch between number of batch texts ({len(texts)}) and embeddings ({len(got)})")
+    return list(got)
+
+
 def embed_with(model: Callable[[list[str]], list[list[float]]], text: Column) -> Column:
-    """Apply a user's model to a text column, 100 texts per call.
+    """Apply a user's model to a text column, 100 texts per call; an error of the model ends the job.
 
     ``model`` takes a list of texts and returns one vector per text, in order.
     """
@@ -31,17 +38,46 @@ def embed_with(model: Callable[[list[str]], list[list[float]]], text: Column) ->
         for series in batches:
             vectors: list = []
             for at in range(0, len(series), EMBED_BATCH):
-                texts = series.iloc[at:at + EMBED_BATCH].tolist()
-                got = model(texts)
-                if len(got) != len(texts):
-                    raise ValueError(
-                        f"mismatch between number of batch texts ({len(texts)}) and embeddings ({len(got)})")
-                vectors.extend(got)
+                vectors.extend(_vectors(model, series.iloc[at:at + EMBED_BATCH].tolist()))
             yield pd.Series(vectors, index=series.index, dtype=object)
 
     return run(text)
 
 
+def embed_or_reason(model: Callable[[list[str]], list[list[float]]], text: Column) -> Column:
+    """Struct of ``embedding`` and ``reason``: a text the model fails on has no vector and the model's error as reason.
+
+    The texts of a failed call are asked for again one by one, so that a text only fails on its own account. Null texts
+    are not sent; an empty vector is none.
+    """
+
+    def one(asked: str) -> tuple:
+        try:
+            return _vectors(model, [asked])[0], None
+        except Exception as e:  # whatever the user's model raises
+            return None, f"{type(e).__name__}: {e}"
+
+    @F.pandas_udf("struct<embedding: array<float>, reason: string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for series in batches:
+            found: list = [(None, "no text")] * len(series)
+            present = [i for i, t in enumerate(series) if isinstance(t, str)]
+            for at in range(0, len(present), EMBED_BATCH):
+                some = present[at:at + EMBED_BATCH]
+                texts = [series.iloc[i] for i in some]
+                try:
+                    got = [(v, None) for v in _vectors(model, texts)]
+                except Exception:  # asked again below
+                    got = [one(t) for t in texts]
+                for i, (vector, reason) in zip(some, got):
+                    empty = reason is None and (vector is None or not len(vector))
+                    found[i] = (None, "empty vector") if empty else (vector, reason)
+            yield pd.DataFrame({"embedding": pd.Series([v for v, _ in found], dtype=object),
+                                "reason": pd.Series([r for _, r in found], dtype=object)})
+
+    return run(text)
+
+
 class Remembered(dict):
     """A function's results by argument; forgets them all when full."""
 

@@ -88,7 +88,7 @@ class HashedText:
         self.buckets = WordBuckets(dim)
 
     def query_bytes(self) -> Column:
-        return F.count("*") * (self.buckets.dim * 8)
+        return F.count("*") * (self.buckets.dim * 8) + F.sum(F.octet_length(self.column))
 
     def copies(self, rows: pd.DataFrame) -> pd.Series:
         return rows[self.column]

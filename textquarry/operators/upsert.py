@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textquarry.functions.embedding import embed_with, hashed_unit
+from textquarry.functions.embedding import embed_or_reason, hashed_unit
 from textquarry.functions.text import snippet_id
 
 METADATA_MARK = "\n\n--- Metadata ---\n"
@@ -47,9 +47,9 @@ def fallback_name(text: Column, metadata: Column) -> Column:
 
 
 def embed_texts(texts: DataFrame, model=None, column: str = "text_content") -> DataFrame:
-    """Add ``embedding`` by the user's model, or by the built-in embedder."""
+    """Add ``embedding`` by the user's model (null where it fails), or by the built-in embedder."""
     text = F.col(column)
-    return texts.withColumn("embedding", embed_with(model, text) if model else hashed_unit(text))
+    return texts.withColumn("embedding", embed_or_reason(model, text)["embedding"] if model else hashed_unit(text))
 
 
 def text_snippets(texts: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textquarry.functions import paths, text
-from textquarry.functions.embedding import embed_with, hashed
+from textquarry.functions.embedding import embed_or_reason, embed_with, hashed
 from textquarry.functions.toolinput import decode_inputs, whole_k
 from textquarry.operators import conversations, mutations, snippets, upsert
 from textquarry.operators.keyword_search import keyword_search
@@ -487,6 +487,21 @@ def tool_effects(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(row("file", "path")).unionByName(stored.select(row("snippet", "id")))
 
 
+def _moody(texts: list[str]) -> list[list[float]]:
+    """A model that fails on texts of a length divisible by 3, and has no vector for those of 1 more."""
+    if any(len(t) % 3 == 0 for t in texts):
+        raise RuntimeError("no capacity")
+    return [[float(len(t)), 1.0] if len(t) % 3 == 2 else [] for t in texts]
+
+
+@query(sql.MODEL_ERRORS)
+def model_errors(spark: SparkSession, folder: str) -> DataFrame:
+    """Messages through a model that fails on some of them, with the reason."""
+    turns = spread(load(spark, folder, "conversations"))
+    return turns.withColumn("got", embed_or_reason(_moody, F.col("text"))).select(
+        "conv_id", "turn", F.get("got.embedding", F.lit(0)).cast("double").alias("first_weight"), F.col("got.reason").alias("reason"))
+
+
 def _responses(spark: SparkSession, folder: str) -> DataFrame:
     return load(spark, folder, "pages").select(
         F.col("url").alias("query"), page_response(F.col("url"), F.col("html")).alias("body"))

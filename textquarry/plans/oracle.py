@@ -86,6 +86,10 @@ select conv_id, turn, coalesce(len(h), 0)::bigint as n_before, coalesce(array_to
     partition by conv_id order by turn rows between {n} preceding and 1 preceding) as h from conversations)"""
 
 
+MODEL_ERRORS = """
+select conv_id, turn, case when length(text) % 3 = 2 then length(text)::double end as first_weight,
+  case length(text) % 3 when 0 then 'RuntimeError: no capacity' when 1 then 'empty vector' end as reason from conversations"""
+
 LISTING_PAGES = """
 with e as (select distinct '' as path, source as entry from documents union select source, source || '/' || lang from documents
            union select source || '/' || lang, source || '/' || lang || '/' || doc_id || '.txt' from documents),
