@@ -394,6 +394,18 @@ def test_language_model_gradients():
         assert (up - down) / (2 * step) == pytest.approx(g[at], rel=0.05, abs=0.02)
 
 
+def test_language_model_learns_from_every_token(spark, docs):
+    """All tokens of every training document are learned once; a long text is several blocks in several rounds."""
+    line = np.arange(2 * recurrent_lm.BLOCK + 8)
+    blocks = recurrent_lm.blocks_of(line)
+    assert np.concatenate([b[1:] for b in blocks]).tolist() == line[1:].tolist() and len(blocks) == 3
+    rows = recurrent_lm._gathered(docs.select("doc_id", "text")).collect()
+    learned = sum(len(r["span"]) // 8 - 1 for r in rows if r["span"] is not None)
+    assert learned == sum(r["n"] for r in rows if r["n"] is not None) > 30_000
+    long_text = recurrent_lm._gathered(docs.where("doc_id = 204").select("doc_id", "text")).where("span is not null")
+    assert long_text.select(F.col("shard") % recurrent_lm.ROUNDS).distinct().count() == recurrent_lm.ROUNDS
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     folder = str(tmp_path)
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")

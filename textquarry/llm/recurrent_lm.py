@@ -24,10 +24,10 @@ from textquarry.llm.text_stats import chunks
 # Words whose counts are sent to the workers, and words of the network, at most.
 HEAVY, VOCABULARY = 1 << 17, 4096
 CLASSES, EMBED, HIDDEN = 64, 16, 24
-# Every training document gives a run of SPAN tokens from a place that its hash names; windows of backpropagation.
-SPAN, WINDOW, BATCH = 48, 16, 128
+# Training documents are learned from whole, in blocks of BLOCK tokens; windows of backpropagation, blocks side by side.
+BLOCK, WINDOW, BATCH = 512, 16, 128
 # Rounds between which the trainers' weights are averaged; tokens a trainer is made for.
-ROUNDS, TRAINER_TOKENS = 4, 500_000
+ROUNDS, TRAINER_TOKENS = 4, 2_000_000
 RATE = 0.05
 END = int(xxhash.xxh3_64_intdigest(b"\n"))  # no word is a line feed
 SCORED_BYTES = 16_000_000
@@ -201,17 +201,22 @@ def _window(w: Weights, v: Vocabulary, ids: np.ndarray, h: np.ndarray, grad: Wei
     return h, int(live.sum())
 
 
-def train(w: Weights, v: Vocabulary, spans: np.ndarray, seed: int) -> Weights:
-    """One pass of Adagrad over spans (rows x (SPAN + 1) numbers, -1 after the end), state carried from window to window."""
+def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Weights:
+    """One pass of Adagrad over every token of the blocks (numbers, the first one only read), state carried from window to
+    window. Blocks of about the same length run side by side, in random order."""
     squares = w.like(np.full(w.flat().size, 1e-3, np.float32))
-    order = np.random.default_rng(seed).permutation(len(spans))
-    for at in range(0, len(order), BATCH):
-        batch = spans[order[at:at + BATCH]]
+    rng = np.random.default_rng(seed)
+    windows = np.array([-(-(len(x) - 1) // WINDOW) for x in blocks], np.int64)
+    order = rng.permutation(len(blocks))
+    order = order[np.argsort(windows[order], kind="stable")]
+    for at in rng.permutation(np.arange(0, len(order), BATCH)):
+        rows = order[at:at + BATCH]
+        batch = np.full((len(rows), int(windows[rows].max()) * WINDOW + 1), -1, np.int32)
+        for i, row in enumerate(rows):
+            batch[i, :len(blocks[row])] = blocks[row]
         h = np.zeros((len(batch), HIDDEN), np.float32)
-        for start in range(0, SPAN, WINDOW):
+        for start in range(0, batch.shape[1] - 1, WINDOW):
             live = batch[:, start + 1] >= 0
-            if not live.any():
-                break
             batch, h = batch[live], h[live]
             grad = w.like(np.zeros(w.flat().size, np.float32))
             h, n = _window(w, v, batch[:, start:start + WINDOW + 1], h, grad)
@@ -270,12 +275,20 @@ def score_ids(w: Weights, v: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -
     return out
 
 
+def blocks_of(line: np.ndarray) -> list[np.ndarray]:
+    """A text's tokens in consecutive blocks; each begins with the token before, so that every token but the first is
+    learned once."""
+    return [line[a:a + BLOCK + 1] for a in range(0, len(line) - 1, BLOCK)]
+
+
 def _gathered(docs: DataFrame) -> DataFrame:
-    """Of the training documents: word counts per batch (hash, n), and one span each (shard, span)."""
+    """Of the training documents: word counts per batch (hash, n), and all their tokens in blocks (shard, span)."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hash", "n", "span", "shard"]
         for batch in batches:
-            found, spans, shards = [], [], []
+            found = []
             for _, texts in chunks(batch):
+                spans, shards = [], []
                 hashes, lengths = word_hashes(texts)
                 words, n = np.unique(hashes, return_counts=True)
                 found.append((np.append(words, np.uint64(END)), np.append(n, len(texts))))
@@ -283,17 +296,18 @@ def _gathered(docs: DataFrame) -> DataFrame:
                 for text, k in zip(texts, lengths):
                     line = np.concatenate([[np.uint64(END)], hashes[at:at + k], [np.uint64(END)]])
                     name = xxhash.xxh3_64_intdigest(text)
-                    start = name % max(1, len(line) - SPAN)
-                    spans.append(line[start:start + SPAN + 1].tobytes())
-                    shards.append(name >> 40)
+                    for i, span in enumerate(blocks_of(line)):
+                        spans.append(span.tobytes())
+                        shards.append(xxhash.xxh3_64_intdigest(f"{name} {i}".encode()) >> 40)
                     at += k
+                gone = pa.nulls(len(spans), pa.int64())
+                yield pa.RecordBatch.from_arrays([gone, gone, pa.array(spans, pa.binary()), pa.array(shards, pa.int64())], names)
+            if not found:
+                continue
             words, where = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
             n = np.bincount(where, np.concatenate([c for _, c in found])).astype(np.int64)
             none = pa.nulls(len(words), pa.binary()), pa.nulls(len(words), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), *none], ["hash", "n", "span", "shard"])
-            gone = pa.nulls(len(spans), pa.int64())
-            yield pa.RecordBatch.from_arrays([gone, gone, pa.array(spans, pa.binary()), pa.array(shards, pa.int64())],
-                                             ["hash", "n", "span", "shard"])
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), *none], names)
 
     return docs.select("text").mapInArrow(gather, "hash long, n long, span binary, shard long")
 
@@ -308,34 +322,32 @@ def frequent(counts: DataFrame, most: int = HEAVY) -> pd.DataFrame:
     return counts.where(level >= least).toPandas().sort_values("hash")
 
 
-def fit(spans: DataFrame, v: Vocabulary, total_spans: int) -> Weights:
-    """Rounds of training in tasks, weights averaged in between. Trainers grow in number with the spans."""
+def fit(spans: DataFrame, v: Vocabulary, tokens: int) -> Weights:
+    """Rounds of training in tasks, weights averaged in between. Trainers grow in number with the tokens."""
     spark = spans.sparkSession
-    trainers = int(max(1, min(4096, total_spans * SPAN // TRAINER_TOKENS)))
+    trainers = int(max(1, min(4096, tokens // TRAINER_TOKENS)))
     vocabulary = spark.sparkContext.broadcast(v)
     w = initial(v)
-    for turn in range(ROUNDS if total_spans else 0):
+    for turn in range(ROUNDS if tokens else 0):
         now = spark.sparkContext.broadcast(w)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:  # used up within this turn
             v = vocabulary.value
             rows = rows.sort_values(["shard", "span"])
-            numbers = np.full((len(rows), SPAN + 1), -1, np.int64)
-            for i, span in enumerate(rows["span"]):
-                hashes = np.frombuffer(span, np.uint64)
-                at, known = v.look_up(hashes)
-                numbers[i, :len(hashes)] = np.where(known, v.numbers[at], OTHER)
+            lengths = rows["span"].map(len).to_numpy() // 8
+            at, known = v.look_up(np.frombuffer(b"".join(rows["span"]), np.uint64))
+            numbers = np.where(known, v.numbers[at], OTHER).astype(np.int32)
             start = now.value.like(now.value.flat())
-            flat = train(start, v, numbers, 1000 * turn + int(rows["trainer"].iloc[0])).flat()
-            return pd.DataFrame({"part": np.arange(PARTS), "weight": float(len(rows)),
+            flat = train(start, v, np.split(numbers, np.cumsum(lengths)[:-1]), 1000 * turn + int(rows["trainer"].iloc[0])).flat()
+            return pd.DataFrame({"part": np.arange(PARTS), "weight": float((lengths - 1).sum()),
                                  "values": [p.tobytes() for p in np.array_split(flat, PARTS)]})
 
         def average(rows: pd.DataFrame) -> pd.DataFrame:
             total = sum(weight * np.frombuffer(values, np.float32).astype(float) for weight, values in zip(rows["weight"], rows["values"]))
             return pd.DataFrame({"part": rows["part"].iloc[:1], "values": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
 
-        # A quarter of the spans a round; all of them in every round while they are too few for one trainer.
-        mine = spans.where(F.col("shard") % ROUNDS == turn) if total_spans * SPAN >= TRAINER_TOKENS else spans
+        # A quarter of the blocks a round; all of them in every round while they are too few for one trainer.
+        mine = spans.where(F.col("shard") % ROUNDS == turn) if tokens >= TRAINER_TOKENS else spans
         trained = mine.withColumn("trainer", F.floor(F.col("shard") / ROUNDS) % trainers).groupBy("trainer").applyInPandas(
             run, "part int, weight double, values binary")
         found = trained.groupBy("part").applyInPandas(average, "part int, values binary").toPandas().sort_values("part")
@@ -405,7 +417,7 @@ def score(docs: DataFrame) -> DataFrame:
     order = np.argsort(v.hashes)
     v.hashes, v.counts, v.numbers = v.hashes[order], v.counts[order], v.numbers[order]
     spans = gathered.where("span is not null").select("span", "shard")
-    w = fit(spans, v, spans.count())
+    w = fit(spans, v, tokens)
     scored = stored(_scored(docs, w, v), "scored")
     rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("hash"), "x.times")
     # Rare words by definition have few training documents each; unknown ones that are frequent elsewhere AQE splits.
