@@ -406,6 +406,30 @@ def test_language_model_learns_from_every_token(spark, docs):
     assert long_text.select(F.col("shard") % recurrent_lm.ROUNDS).distinct().count() == recurrent_lm.ROUNDS
 
 
+def test_language_model_spreads_copies(spark):
+    """Copies of a text, also null ones and whole equal rows, meet different trainers in every round."""
+    rows = [(i, "the same text") for i in range(200)] + [(7, "an equal row")] * 200 + [(None, None)] * 200
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = recurrent_lm._gathered(frame).where("span is not null").groupBy("span").agg(
+        F.count("*").alias("n"), F.countDistinct("shard").alias("shards"),
+        F.countDistinct(F.col("shard") % recurrent_lm.ROUNDS).alias("rounds")).collect()
+    assert [(r["n"], r["rounds"]) for r in found] == [(200, recurrent_lm.ROUNDS)] * 3 and all(r["shards"] > 190 for r in found)
+
+
+def test_language_model_passes_do_not_depend_on_size(spark, monkeypatch):
+    """Every block is trained on once, with few tokens and with many."""
+    v = recurrent_lm.make_vocabulary(np.arange(1, 9, dtype=np.uint64), np.full(8, 5), 99, 9)
+    blocks = [(np.arange(1, 9, dtype=np.uint64).tobytes(), i) for i in range(40)]
+    spans = spark.createDataFrame([(bytearray(b), i) for b, i in blocks], "span binary, shard long")
+    asked = []
+    real = type(spans).where
+    monkeypatch.setattr(type(spans), "where", lambda self, c: asked.append(str(c)) or real(self, c))
+    for tokens in (280, 10 * recurrent_lm.TRAINER_TOKENS):
+        asked.clear()
+        recurrent_lm.fit(spans, v, tokens)
+        assert len([a for a in asked if "shard" in a]) == recurrent_lm.ROUNDS
+
+
 def test_pipeline_stages(spark, docs, labels, tmp_path):
     folder = str(tmp_path)
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")

@@ -7,6 +7,7 @@ probability of such a word, times the word's share among them by smoothed counts
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
@@ -282,23 +283,25 @@ def blocks_of(line: np.ndarray) -> list[np.ndarray]:
 
 
 def _gathered(docs: DataFrame) -> DataFrame:
-    """Of the training documents: word counts per batch (hash, n), and all their tokens in blocks (shard, span)."""
+    """Of the training documents: word counts per batch (hash, n), and all their tokens in blocks (shard, span). Equal texts
+    have shards of their own, by id and, where that is equal too, by their place in the batch."""
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["hash", "n", "span", "shard"]
         for batch in batches:
-            found = []
-            for _, texts in chunks(batch):
+            found, seen = [], Counter()
+            for part, texts in chunks(batch):
                 spans, shards = [], []
                 hashes, lengths = word_hashes(texts)
                 words, n = np.unique(hashes, return_counts=True)
                 found.append((np.append(words, np.uint64(END)), np.append(n, len(texts))))
                 at = 0
-                for text, k in zip(texts, lengths):
+                for doc, text, k in zip(part.column("doc_id").to_pylist(), texts, lengths):
                     line = np.concatenate([[np.uint64(END)], hashes[at:at + k], [np.uint64(END)]])
-                    name = xxhash.xxh3_64_intdigest(text)
+                    name = xxhash.xxh3_64_intdigest(text, xxhash.xxh3_64_intdigest(str(doc).encode()))
                     for i, span in enumerate(blocks_of(line)):
                         spans.append(span.tobytes())
-                        shards.append(xxhash.xxh3_64_intdigest(f"{name} {i}".encode()) >> 40)
+                        shards.append(xxhash.xxh3_64_intdigest(f"{name} {seen[name]} {i}".encode()) >> 40)
+                    seen[name] += 1
                     at += k
                 gone = pa.nulls(len(spans), pa.int64())
                 yield pa.RecordBatch.from_arrays([gone, gone, pa.array(spans, pa.binary()), pa.array(shards, pa.int64())], names)
@@ -309,7 +312,7 @@ def _gathered(docs: DataFrame) -> DataFrame:
             none = pa.nulls(len(words), pa.binary()), pa.nulls(len(words), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n), *none], names)
 
-    return docs.select("text").mapInArrow(gather, "hash long, n long, span binary, shard long")
+    return docs.select("doc_id", "text").mapInArrow(gather, "hash long, n long, span binary, shard long")
 
 
 def frequent(counts: DataFrame, most: int = HEAVY) -> pd.DataFrame:
@@ -323,7 +326,8 @@ def frequent(counts: DataFrame, most: int = HEAVY) -> pd.DataFrame:
 
 
 def fit(spans: DataFrame, v: Vocabulary, tokens: int) -> Weights:
-    """Rounds of training in tasks, weights averaged in between. Trainers grow in number with the tokens."""
+    """One pass over all blocks at every size: rounds of training in tasks, each on its share of the blocks, weights
+    averaged in between. Trainers grow in number with the tokens."""
     spark = spans.sparkSession
     trainers = int(max(1, min(4096, tokens // TRAINER_TOKENS)))
     vocabulary = spark.sparkContext.broadcast(v)
@@ -346,8 +350,7 @@ def fit(spans: DataFrame, v: Vocabulary, tokens: int) -> Weights:
             total = sum(weight * np.frombuffer(values, np.float32).astype(float) for weight, values in zip(rows["weight"], rows["values"]))
             return pd.DataFrame({"part": rows["part"].iloc[:1], "values": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
 
-        # A quarter of the blocks a round; all of them in every round while they are too few for one trainer.
-        mine = spans.where(F.col("shard") % ROUNDS == turn) if tokens >= TRAINER_TOKENS else spans
+        mine = spans.where(F.col("shard") % ROUNDS == turn)
         trained = mine.withColumn("trainer", F.floor(F.col("shard") / ROUNDS) % trainers).groupBy("trainer").applyInPandas(
             run, "part int, weight double, values binary")
         found = trained.groupBy("part").applyInPandas(average, "part int, values binary").toPandas().sort_values("part")
