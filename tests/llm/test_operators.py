@@ -328,6 +328,25 @@ def test_style_tree_cuts_what_repeats(spark):
     assert all(r["n_chars"] == len(r["text"]) for rs in got.values() for r in rs)
 
 
+def test_style_tree_cuts_inside_articles(spark):
+    """Boilerplate in the article, on pages whose body and article have classes of their own; copies of a page stay whole."""
+    def page(i):
+        return (f"<body class='p-{'abcdefghijkl'[i]} tpl'><article class='x{i}'><div class='w-1/2'><p>Read on with a pass</p></div>"
+                f"<section><p>{prose('en', 30, i)}</p></section></article></body>")
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(12)] + [(50 + i, "http://b.example/", page(3)) for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == prose("en", 30, i) for i in range(12))
+    assert all(got[50 + i] == "Read on with a pass\n" + prose("en", 30, 3) for i in range(12))
+
+
+def test_style_tree_keeps_what_holds_something_important():
+    """A node with many children is not cut while one of them differs between pages."""
+    paths = [f"/body/article/c{k}" for k in range(15)] + ["/body/article/p"]
+    tree = html_text.pd.DataFrame({"path": paths, "m": 20, "evenness": [1.0] * 15 + [0.0], "layouts": 0.0})
+    assert sorted(html_text._branches(tree)) == sorted(paths[:-1])
+
+
 def test_token_counts(spark, docs):
     vocabulary = token_counts.Vocabulary(spark)
     lengths = token_counts.encoded_lengths(docs, "text", vocabulary)

@@ -15,6 +15,7 @@ from html import unescape
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.llm.common import small_side, stored
@@ -51,6 +52,7 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:
                   r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORD = re.compile(r"[a-z]+")
+_SEPARATORS = str.maketrans("/.", "||")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -96,6 +98,11 @@ def _describe(node: _Node, attributes: dict[str, str]) -> None:
         node.noise = True
 
 
+def _classes(names: str) -> list[str]:
+    """Up to three classes for a node's label, those without digits first; none has a separator of labels or paths."""
+    return sorted(names.translate(_SEPARATORS).split(), key=lambda c: (any(x.isdigit() for x in c), c))[:3] if names else []
+
+
 def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
     """Blocks in page order: text, path of the block's node, whether the markup calls it noise, the main part it stands
     in ('article', 'main' or ''), and the layout of the node's children as read so far."""
@@ -192,7 +199,7 @@ def read_page(html: str) -> list[tuple[str, str, bool, str, str]]:
             links = 0
             attributes = _attributes(rest)
             parent = stack[-1]
-            label = tag + "".join(f".{c}" for c in sorted(attributes.get("class", "").split())[:3])
+            label = tag + "".join(f".{c}" for c in _classes(attributes.get("class", "")))
             node = _Node(tag, f"{parent.path}/{label}" if len(parent.path) < LONGEST_PATH else parent.path, parent)
             _describe(node, attributes)
             if not parent.children or parent.children[-1] != label:
@@ -249,21 +256,55 @@ _BLOCKS = pa.list_(pa.struct([("text", pa.string()), ("path", pa.string()), ("no
 
 
 def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    """The rows without ``html``, with ``blocks`` as read from the markup; null html has none."""
+    """The rows without ``html``, with ``blocks`` as read from the markup (null html has none) and a number, ``row``."""
     others = [c for c in pages.columns if c != html]
     kept = [f"k{i}" for i in range(len(others))]
     rows = pages.select(*[F.col(c).alias(k) for c, k in zip(others, kept)], F.col(html).alias("html"))
     names = ("text", "path", "noise", "main", "layout")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
+                numbers = pa.array(range(row, row + part.num_rows), pa.int64())
+                row += part.num_rows
                 found = [[dict(zip(names, b)) for b in read_page(h)] if h else [] for h in part.column("html").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(found, _BLOCKS)], [*kept, "blocks"])
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in kept] + [pa.array(found, _BLOCKS), numbers], [*kept, "blocks", "row"])
+
+    schema = ", ".join([f"{k} {t}" for k, t in rows.dtypes if k != "html"] + [f"blocks {BLOCKS}", "row long"])
+    return rows.mapInArrow(read, schema).toDF(*others, "blocks", "row")
+
+
+def own_classes(read: DataFrame) -> DataFrame:
+    """``row`` and ``own``: the classes that only this page of its host has, on hosts with pages enough to be judged.
+
+    Counted in the tasks first, so that a class on all pages of a large host is a row per task."""
+    labels = F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.split(F.concat_ws(" ", F.replace(b["path"], F.lit("/"), F.lit(" ")), b["layout"]), " "))))
+    classes = F.array_distinct(F.flatten(F.transform(F.filter(labels, lambda x: F.contains(x, F.lit("."))), lambda x: F.slice(F.split(x, "[.]"), 2, 3))))
+    each = read.select("host", "row", F.explode(classes).alias("class"))
+    single = each.groupBy("host", "class").agg(F.count("*").alias("m"), F.min("row").alias("row")).where("m = 1")
+    pages = read.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= MIN_PAGES)
+    return single.join(pages, "host", "left_semi").groupBy("row").agg(F.collect_list("class").alias("own"))
+
+
+def shared_labels(read: DataFrame, own: DataFrame) -> DataFrame:
+    """The rows with the classes in ``own`` left out of paths and layouts."""
+    def less(path: Column, separator: str) -> Column:
+        def label(x: Column) -> Column:
+            return F.array_join(F.filter(F.split(x, "[.]"), lambda c, i: (i == 0) | ~F.array_contains("own", c)), ".")
+        return F.array_join(F.transform(F.split(path, separator), label), separator)
+
+    joined = read.join(own, "row", "left")
+    cleaned = F.transform("blocks", lambda b: F.struct(b["text"].alias("text"), less(b["path"], "/").alias("path"), b["noise"].alias("noise"),
+                                                       b["main"].alias("main"), less(b["layout"], " ").alias("layout")))
+    return joined.withColumn("blocks", F.when(F.col("own").isNull(), F.col("blocks")).otherwise(cleaned)).drop("own")
+
 
-    schema = ", ".join([f"{k} {t}" for k, t in rows.dtypes if k != "html"] + [f"blocks {BLOCKS}"])
-    return rows.mapInArrow(read, schema).toDF(*others, "blocks")
+def distinct_pages(read: DataFrame) -> DataFrame:
+    """One row of each group of equal pages of a host: copies say nothing about what a site's pages share."""
+    first = read.groupBy("host", F.xxhash64("blocks").alias("h")).agg(F.min("row").alias("row"))
+    return read.join(first.select("row"), "row", "left_semi")
 
 
 def style_tree(blocks: DataFrame) -> DataFrame:
@@ -273,14 +314,16 @@ def style_tree(blocks: DataFrame) -> DataFrame:
     Counts are made per text and per layout first, in the tasks before the shuffle, so that a host with a third of all
     pages is spread over its paths and texts.
     """
-    each = blocks.select("host", F.explode("blocks").alias("b")).select(
-        "host", F.col("b.path").alias("path"), F.xxhash64("b.layout").alias("layout"), F.xxhash64("b.text").alias("text"))
+    hashed = lambda name: F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b[name]).alias(name)))
+    # A line that one page repeats is one page's line.
+    each = blocks.select("host", F.inline(F.array_distinct(hashed("text"))))
     paths = F.array_distinct(F.transform("blocks", lambda b: b["path"]))
     nodes = blocks.select("host", F.explode(paths).alias("path")).groupBy("host", "path").agg(F.count("*").alias("m"))
     base = F.log(F.greatest(F.col("m"), F.lit(2)))
     texts = each.groupBy("host", "path", "text").agg(F.count("*").alias("c"))
     texts = texts.groupBy("host", "path").agg(F.sum(F.col("c") * F.log("c")).alias("tl"), F.sum("c").alias("tn"))
-    layouts = each.groupBy("host", "path", "layout").agg(F.count("*").alias("c"))
+    laid = blocks.select("host", F.inline(hashed("layout")))
+    layouts = laid.groupBy("host", "path", "layout").agg(F.count("*").alias("c"))
     layouts = layouts.groupBy("host", "path").agg(F.sum(F.col("c") * F.log("c")).alias("ll"), F.sum("c").alias("ln"))
     at = ["host", "path"]
     tree = nodes.join(texts, at).join(layouts, at)
@@ -289,13 +332,14 @@ def style_tree(blocks: DataFrame) -> DataFrame:
 
 
 def _branches(rows: pd.DataFrame) -> list[str]:
-    """Paths to cut: the highest nodes of the tree whose importance is low, judged on enough pages."""
+    """Paths to cut: the highest nodes of the tree where neither they nor any node below is important, judged on enough pages."""
     own = {p: (m, 1 - e, s) for p, m, e, s in zip(rows["path"], rows["m"], rows["evenness"], rows["layouts"])}
     every = {p.rsplit("/", k)[0] if k else p for p in own for k in range(p.count("/"))} - {""}
     children: dict[str, list[str]] = {}
     for p in every:
         children.setdefault(p.rpartition("/")[0], []).append(p)
     importance: dict[str, float] = {}
+    highest: dict[str, float] = {}
     pages: dict[str, int] = {}
     for p in sorted(every, key=lambda p: -p.count("/")):
         below = children.get(p, [])
@@ -307,9 +351,10 @@ def _branches(rows: pd.DataFrame) -> list[str]:
             importance[p] = (1 - decay) * layout + decay * max(parts)
         else:
             importance[p] = content
+        highest[p] = max([importance[p], *(highest[c] for c in below)])
     cut: list[str] = []
     for p in sorted(every, key=lambda p: p.count("/")):
-        if importance[p] < LEAST and pages[p] >= MIN_PAGES and not any(p.startswith(c + "/") for c in cut):
+        if highest[p] < LEAST and pages[p] >= MIN_PAGES and not any(p.startswith(c + "/") for c in cut):
             cut.append(p)
     return cut
 
@@ -331,18 +376,23 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Input: page_id, url, html. Null, empty and text-free html gives the empty text; a null or hostless url is a host of
     its own; repeated rows are pages of their own. Kept are the blocks in an article that the markup does not call noise;
-    without an article those in the main element, without either those of the body outside the branches that the host's
-    style tree finds unimportant. Blocks are joined by one line feed.
+    without an article those in the main element, without either those of the body; always outside the branches that the
+    host's style tree of all blocks finds unimportant. An article or main element that would lose all its text keeps it.
+    Blocks are joined by one line feed.
     """
     read = stored(page_blocks(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")), "blocks")
-    low = unimportant(style_tree(read.select("host", F.filter("blocks", lambda b: b["main"] == "").alias("blocks"))))
-    low = small_side(stored(low, "branches"))
+    own = small_side(stored(own_classes(read), "own"))
+    read = stored(shared_labels(read, own), "labels")
+    low = small_side(stored(unimportant(style_tree(distinct_pages(read))), "branches"))
     joined = read.join(low, "host", "left")
     good = F.filter("blocks", lambda b: ~b["noise"])
     part = (F.when(F.exists(good, lambda b: b["main"] == "article"), "article")
             .when(F.exists(good, lambda b: b["main"] == "main"), "main").otherwise(""))
     joined = joined.select("page_id", "url", good.alias("blocks"), part.alias("part"), F.coalesce("cut", F.array().cast("array<string>")).alias("cut"))
-    chosen = F.filter("blocks", lambda b: (b["main"] == F.col("part")) & ((F.col("part") != "") | ~F.exists(
-        "cut", lambda c: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(c, F.lit("/"))))))
-    text = F.array_join(F.transform(chosen, lambda b: b["text"]), "\n")
+    joined = joined.withColumn("blocks", F.filter("blocks", lambda b: b["main"] == F.col("part")))
+    chosen = F.filter("blocks", lambda b: ~F.exists(
+        "cut", lambda c: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(c, F.lit("/")))))
+    joined = joined.withColumn("chosen", F.when(F.size("cut") == 0, F.col("blocks")).otherwise(chosen))
+    kept = F.when((F.size("chosen") == 0) & (F.col("part") != ""), F.col("blocks")).otherwise(F.col("chosen"))
+    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
