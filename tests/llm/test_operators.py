@@ -293,6 +293,16 @@ def test_decontamination_against_all_windows(spark):
     assert decontamination.matches(frame.where("false"), bench).isEmpty() and decontamination.matches(frame, bench.where("false")).isEmpty()
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    words = [f"u{i}" for i in range(59)]
+    rows = [(1, words[1:]), (2, words[:30] + words[31:]), (3, words[:46]), (4, words[:45]), (5, words[:6] + ["no"] * 50), (6, words[20:24])]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["n_words"], r["similarity"]) for r in decontamination.matches(frame, bench).collect()}
+    assert got == {1: (0, 58, 54 / 55), 2: (0, 58, 50 / 59), 3: (0, 46, 42 / 55)}
+    assert {r["doc_id"] for r in decontamination.decontaminate(frame, bench).collect()} == {4, 5, 6}
+
+
 def page_text(html):
     blocks = [b for b in html_text.read_page(html) if not b[2]]
     part = next((p for p in ("article", "main") if any(b[3] == p for b in blocks)), "")

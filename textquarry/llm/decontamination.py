@@ -86,8 +86,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
 
     Input: ``docs`` with doc_id and text, ``benchmark`` with item_id and text; more columns are left aside. One row per
     document and item, for the most similar window, the first of equals. Texts are lower-cased; null and wordless texts
-    and items match nothing; repeated rows give one row; an item of fewer words than ``width`` is one shingle. Of an item
-    that is longer than the document no window exists.
+    and items match nothing; repeated rows give one row; an item of fewer words than ``width`` is one shingle. A document
+    of fewer words than the item is one window, all of it; n_words is that of the window.
 
     The shingles of all items are broadcast as long as they are few by count, else joined by a shuffle. Documents meet
     items by fingerprint blocks within the radius, then by the exact similarity.
@@ -102,10 +102,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     texts = keyed.select("_key", _words(F.col("text")).alias("words"))
     found = [texts.select("_key", F.size("words").alias("n"), F.posexplode(F.expr(_shingles("words", w))).alias("pos", "h"))
              .join(asked.where(F.col("w") == w), "h").select("_key", "n", "w", "pos", F.explode("sizes").alias("n_words")) for w in widths]
-    hits = reduce(DataFrame.unionByName, found).where("n_words <= n")
+    # A document shorter than the item holds too few shingles below this bound, which similarity cannot pass.
+    enough = F.col("n") - F.col("w") + 1 >= least * (F.col("n_words") - F.col("w") + 1) - 1e-6
+    hits = reduce(DataFrame.unionByName, found).where(enough)
     # All windows of an item's size that hold the shingle found at pos.
     first = F.greatest(F.lit(0), F.col("pos") - (F.col("n_words") - F.col("w")))
-    last = F.least(F.col("pos"), F.col("n") - F.col("n_words"))
+    last = F.least(F.col("pos"), F.greatest(F.lit(0), F.col("n") - F.col("n_words")))
     spans = hits.where(first <= last).groupBy("_key", "n_words", "w").agg(F.collect_set(F.struct(first.alias("a"), last.alias("b"))).alias("spans"))
     starts = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["a"], s["b"]))))
     spans = stored(spans.select(F.col("_key").alias("k"), "n_words", "w", starts.alias("starts")), "spans")
@@ -125,7 +127,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
     hamming = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp")))
     near = near.withColumn("hamming", hamming.cast("int")).where(F.col("hamming") <= radius)
     tested = near.withColumn("similarity", similarity(F.col("x"), F.col("y"))).where(F.col("similarity") >= least)
-    best = F.max_by(F.struct("start", "n_words", "similarity", "hamming", "doc_id"), F.struct("similarity", -F.col("start")))
+    w_words = F.size("x") + F.least(F.col("n_words"), F.lit(width)) - 1
+    best = F.max_by(F.struct("start", w_words.alias("n_words"), "similarity", "hamming", "doc_id"), F.struct("similarity", -F.col("start")))
     return tested.groupBy("_key", "item_id").agg(best.alias("m")).select(
         "_key", "m.doc_id", "item_id", F.col("m.start").cast("long").alias("start"), F.col("m.n_words").cast("long").alias("n_words"),
         "m.similarity", "m.hamming")
