@@ -120,6 +120,15 @@ def test_language(docs):
     assert language_id.fit(data.where("false")) is None
 
 
+def test_language_sample_counts_copies_once(spark):
+    """The bound holds with copies, and a language of copies has rows."""
+    rows = [("en", prose("en", 30, i)) for i in range(900)] + [("en", prose("en", 200, 5000))] * 500
+    rows += [("de", prose("de", 200, i % 3)) for i in range(3000)] + [("fr", " ")] * 5
+    found = language_id.training_windows(spark.createDataFrame(rows, "lang string, text string"), docs_per_label=100)
+    assert found.groupby("label").size()["de"] == 3 * language_id.WINDOWS and set(found["label"]) == {"de", "en"}
+    assert 100 <= found.groupby("label").size()["en"] <= 99 + language_id.WINDOWS
+
+
 def test_language_of_words_in_mixed_text(spark, docs):
     model = language_id.fit(docs)
     text = prose("en", 12, 900) + " " + prose("de", 12, 901)

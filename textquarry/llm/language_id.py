@@ -14,9 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from textquarry.llm.common import document_hash
+from textquarry.llm.common import document_hash, small_side, stored
 from textquarry.llm.text_stats import chunks, word_ids
 
 # The training sample: documents per language, windows per document and words per window, at most.
@@ -210,30 +210,35 @@ class Labeller:
 
 
 def training_windows(docs: DataFrame, lang: str = "lang", docs_per_label: int = DOCS) -> pd.DataFrame:
-    """``label``, ``words``: up to WINDOWS windows of WORDS words from each of up to ``docs_per_label`` documents per
-    label, chosen by a hash of the text, spread evenly over the whole text."""
-    usable = docs.where(F.col(lang).isNotNull() & F.col("text").isNotNull()).select(F.col(lang).alias("label"), "text")
-    sizes = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for label, n in sizes.items():
-        share = F.when(F.col("label") == label, F.lit(int(min(1.0, docs_per_label / n) * (1 << 30)))).otherwise(share)
-    chosen = usable.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= share)
+    """``label``, ``words``: up to WINDOWS windows of WORDS words, spread evenly over the whole text, from each of up to
+    ``docs_per_label`` texts per label, those of the lowest hashes. Copies of a text count once."""
+    usable = docs.where(F.col(lang).isNotNull() & F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(
+        F.col(lang).alias("label"), "text", F.xxhash64("text").alias("h"))
+    # The rank filter is applied before the shuffle too.
+    lowest = Window.partitionBy("label").orderBy("h")
+    chosen = usable.select("label", "h").distinct().withColumn("rank", F.row_number().over(lowest)).where(
+        F.col("rank") <= docs_per_label).drop("rank")
+    rows = usable.join(small_side(stored(chosen, "chosen")), ["label", "h"])
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in chunks(batch):
-                labels, rows = [], []
-                for label, text in zip(part.column("label").to_pylist(), texts):
+                labels, names, places, rows = [], [], [], []
+                for label, h, text in zip(part.column("label").to_pylist(), part.column("h").to_pylist(), texts):
                     words = text.split()
                     n = min(WINDOWS, max(1, len(words) // WORDS))
                     for i in range(n):
                         at = i * max(0, len(words) - WORDS) // max(1, n - 1)
                         if words[at:at + WORDS]:
                             labels.append(label)
+                            names.append(h)
+                            places.append(i)
                             rows.append(b" ".join(words[at:at + WORDS]))
-                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(rows, pa.binary())], ["label", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(names, pa.int64()), pa.array(places, pa.int32()),
+                                                  pa.array(rows, pa.binary())], ["label", "h", "place", "words"])
 
-    return chosen.mapInArrow(windows, "label string, words binary").toPandas()
+    found = rows.mapInArrow(windows, "label string, h long, place int, words binary").distinct()
+    return found.select("label", "words").toPandas()
 
 
 def fit(docs: DataFrame, lang: str = "lang", docs_per_label: int = DOCS) -> Model | None:
