@@ -331,6 +331,16 @@ def test_page(html, text):
     assert page_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<article class='post category-social'><section id=related-work><h2 id=social-policy>S</h2><p id=notice-period>n</p>"
+     "</section><div class=share-buttons>b</div><div class=social-history>h</div></article>", "S\nn\nh"),
+    ("<main class=widget-page><p>m <span class=ad-hoc>x</span></p></main>", "m x"), ("<p id=notice>n</p>", "n"),
+    ("<article><p>a</p><div class=comments><article class=post>c</article></div></article>", "a"),
+    ("<article><p>a</p></article><div id=comments><article>c</article></div>", "a")])
+def test_words_in_names_that_are_content(html, text):
+    assert page_text(html) == text
+
+
 def test_style_tree_cuts_what_repeats(spark):
     """Boilerplate without any mark: the same lines on all pages of a host, in a branch of their own."""
     def page(i):

@@ -47,6 +47,12 @@ NOISE_WORDS = frozenset("ad ads adbox adslot advert adverts advertisement advert
                         "header topbar skip".split())
 # These may name a page's or an article's wrapper or head, and count only outside the article.
 HEAD_WORDS = frozenset({"header", "banner", "masthead"})
+COMMENT_WORDS = frozenset("comment comments commentlist disqus reply replies respond reactions".split())
+# Words that name no content of their own: a class of noise words and these is one whole noise class.
+FRAME_WORDS = frozenset("area bar block box button buttons card container group holder inner item items link links list "
+                        "form outer panel posts row section slot thread unit wrap wrapper".split())
+# Ids of these are targets of links and name their topic.
+NAMED_BY_TOPIC = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
                   r"|<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>", re.S)
@@ -57,8 +63,8 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "parent", "inline", "owner", "mute", "noise", "head", "main", "children", "chars",
-                 "linked", "links")
+    __slots__ = ("tag", "path", "parent", "inline", "owner", "mute", "noise", "head", "main", "inside", "comments",
+                 "children", "chars", "linked", "links")
 
     def __init__(self, tag: str, path: str, parent: "_Node | None", inline: bool = False):
         self.tag, self.path, self.parent, self.inline = tag, path, parent, inline
@@ -66,6 +72,8 @@ class _Node:
         self.mute = inline and parent.mute
         self.noise = self.head = False
         self.main = ""
+        self.inside = parent is not None and (parent.inside or parent.main != "")  # an article or main element
+        self.comments = parent is not None and parent.comments
         self.children: list[str] = []
         self.chars = self.linked = self.links = 0
 
@@ -74,23 +82,42 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(text)} if text else {}  # the last of a name
 
 
+def _noise_classes(classes: str) -> set[str]:
+    """Noise words of the classes that say nothing else."""
+    found: set[str] = set()
+    for name in classes.split():
+        words = set(_WORD.findall(_CAMEL.sub(" ", name).lower()))
+        if words <= NOISE_WORDS | FRAME_WORDS:
+            found |= words & NOISE_WORDS
+    return found
+
+
 def _describe(node: _Node, attributes: dict[str, str]) -> None:
     """What tag, class, id and role say about a node."""
     if not attributes:
-        node.noise, node.head = node.tag in NOISE_TAGS, node.tag == "header"
         node.main = node.tag if node.tag in ("article", "main") else ""
+        node.noise, node.head = node.tag in NOISE_TAGS or (node.main == "article" and node.comments), node.tag == "header"
         return
-    named = attributes.get("class", "") + " " + attributes.get("id", "")
+    classes = attributes.get("class", "")
+    named = classes + " " + ("" if node.tag in NAMED_BY_TOPIC else attributes.get("id", ""))
     words = set(_WORD.findall(_CAMEL.sub(" ", named).lower())) if named != " " else set()
     role = attributes.get("role", "").lower()
     if node.tag == "article" or role == "article":
         node.main = "article"
     elif node.tag == "main" or role == "main":
         node.main = "main"
-    if words and node.tag not in ("html", "body", "main"):
-        plain = words & NOISE_WORDS
-        node.noise = bool(plain - HEAD_WORDS)
-        node.head = bool(plain)
+    if words and node.tag not in ("html", "body"):
+        if node.main:  # only a comment is an article that is none
+            node.noise = node.main == "article" and (node.comments or bool(COMMENT_WORDS & _noise_classes(classes)))
+        elif node.inside:
+            node.noise = node.head = bool(_noise_classes(classes) - HEAD_WORDS)
+        else:
+            plain = words & NOISE_WORDS
+            node.noise = bool(plain - HEAD_WORDS)
+            node.head = bool(plain)
+        node.comments |= not node.main and bool(words & COMMENT_WORDS) and node.noise
+    elif node.main == "article":
+        node.noise = node.comments
     node.noise |= node.tag in NOISE_TAGS or role in NOISE_ROLES - {"banner"}
     node.head |= node.tag == "header" or role == "banner"
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or re.search(
