@@ -136,6 +136,19 @@ def test_language_of_words_in_mixed_text(spark, docs):
     assert [(s["lang"], s["words"]) for s in row["runs"]] == [("en", 12), ("de", 12)] or len(row["runs"]) <= 4
 
 
+def test_language_of_text_without_spaces(spark):
+    """The whole run counts, not its first characters; it stays one word in the runs."""
+    script = {"zh": "的一是不了人我在有他这中大来上", "ja": "のにはをたがでてとしれさいある"}
+    run = lambda lang, n, seed: "".join(random.Random(seed).choices(script[lang], k=n))
+    rows = [(run(lang, 400, i), lang) for i in range(60) for lang in script]
+    model = language_id.fit(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [(i, run("zh", 40, 900 + i) + run("ja", 400, 950 + i)) for i in range(5)]
+    asked += [(9, "https://example.org/" + "x" * 30 + run("zh", 400, 990) + " " + run("zh", 10, 991))]
+    got = {r["doc_id"]: r for r in language_id.predict(spark.createDataFrame(asked, "doc_id long, text string"), model, ["doc_id"], spans=True).collect()}
+    assert all(got[i]["lang_pred"] == "ja" and [s["words"] for s in got[i]["runs"]] == [1] for i in range(5))
+    assert got[9]["lang_pred"] == "zh" and sum(s["words"] for s in got[9]["runs"]) == 2
+
+
 def test_posteriors_against_enumeration():
     rng = np.random.default_rng(3)
     model = language_id.Model(["a", "b"], np.zeros((4, 2), np.float32), rng.standard_normal((2, 2)).astype(np.float32),

@@ -25,20 +25,40 @@ BUCKETS = 1 << 17
 EPOCHS, BATCH, RATE = 4, 64, 0.3
 # Words whose emissions a worker remembers.
 MEMO = 200_000
+# Longer runs without white space are several positions of the chain, each of so many characters at most.
+LONGEST = 40
 LETTER = re.compile(r"[^\W\d_]")
 
 
+def pieces(words: list[bytes]) -> tuple[list[bytes], list[int]]:
+    """The words, those of over LONGEST characters cut into consecutive pieces, and the pieces of every word."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words, [1] * len(words)
+    out: list[bytes] = []
+    sizes = []
+    for word in words:
+        text = word.decode("utf-8", "replace") if len(word) > LONGEST else ""
+        if len(text) <= LONGEST:
+            out.append(word)
+            sizes.append(1)
+        else:
+            cut = [text[i:i + LONGEST].encode() for i in range(0, len(text), LONGEST)]
+            out += cut
+            sizes.append(len(cut))
+    return out, sizes
+
+
 def word_features(word: bytes) -> list[int]:
     """Hashed features of one word."""
     text = word.decode("utf-8", "replace").lower()
     if not LETTER.search(text):
         return [0]
-    framed = f"^{text[:40]}$"
-    parts = [f"w{text[:40]}"]
+    framed = f"^{text}$"
+    parts = [f"w{text}"]
     parts += [f"p{text[:k]}" for k in (1, 2, 3)] + [f"s{text[-k:]}" for k in (1, 2, 3, 4)]
     parts += [framed[i:i + 2] for i in range(len(framed) - 1)] + [framed[i:i + 3] for i in range(len(framed) - 2)]
     if not text.isascii():
-        parts += [f"c{c}" for c in set(text[:40]) if ord(c) > 127]
+        parts += [f"c{c}" for c in set(text) if ord(c) > 127]
     crc = zlib.crc32
     return [crc(p.encode()) % (BUCKETS - 1) + 1 for p in parts]
 
@@ -188,8 +208,9 @@ class Labeller:
 
     def label(self, texts: list[bytes]) -> tuple[list[str], list[float], list[np.ndarray], list[np.ndarray]]:
         """Per text: the language with most posterior weight over its words with a letter, that weight's share, and
-        the words' labels and whether they have a letter."""
-        split = [t.split() for t in texts]
+        the words' labels and whether they have a letter. A long word weighs as its pieces, and has their sum's label."""
+        cut = [pieces(t.split()) for t in texts]
+        split = [words for words, _ in cut]
         lengths = np.array([len(w) for w in split], np.int64)
         ids, words = word_ids(split)
         distinct = words.to_pylist()
@@ -205,7 +226,11 @@ class Labeller:
         best = mass.argmax(1)
         names = [self.model.labels[b] if n > 0 else "und" for b, n in zip(best, total)]
         share = [float(min(1.0, mass[i, b] / n)) if n > 0 else 0.0 for i, (b, n) in enumerate(zip(best, total))]
-        cuts = np.cumsum(lengths)[:-1]
+        sizes = np.fromiter((n for _, s in cut for n in s), np.int64)
+        if len(sizes) < len(owner):
+            first = np.cumsum(sizes) - sizes
+            p, spoken = np.add.reduceat(p, first, axis=0), np.logical_or.reduceat(spoken, first)
+        cuts = np.cumsum([len(s) for _, s in cut])[:-1]
         return names, share, np.split(p.argmax(1), cuts), np.split(spoken, cuts)
 
 
@@ -225,7 +250,7 @@ def training_windows(docs: DataFrame, lang: str = "lang", docs_per_label: int =
             for part, texts in chunks(batch):
                 labels, names, places, rows = [], [], [], []
                 for label, h, text in zip(part.column("label").to_pylist(), part.column("h").to_pylist(), texts):
-                    words = text.split()
+                    words, _ = pieces(text.split())
                     n = min(WINDOWS, max(1, len(words) // WORDS))
                     for i in range(n):
                         at = i * max(0, len(words) - WORDS) // max(1, n - 1)
