@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules,
-                           recurrent_lm, token_counts)
+                           recurrent_lm, spelling, token_counts)
 from textquarry.llm.common import document_hash
 
 QUERIES: dict = {}
@@ -105,3 +105,9 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Histogram of encoded document lengths with its suffix sums."""
     lengths = token_counts.encoded_lengths(load(spark, folder, "documents"), "text", token_counts.Vocabulary(spark))
     return token_counts.histogram(lengths)
+
+
+@query(sql.SPELLING)
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with its likelier spelling one code point away, and where those lead."""
+    return spelling.variants(spelling.word_counts(load(spark, folder, "documents")))

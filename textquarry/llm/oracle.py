@@ -103,3 +103,51 @@ r as (select *, inter / (2.0 * (n - w + 1) - inter) as sim from sm),
 b as (select *, row_number() over (partition by doc_id, item_id order by sim desc, start) as k from r where sim >= 0.75)
 select doc_id, item_id, cast(start as bigint) as start, n as n_words, round(sim, 9) as similarity from b where k = 1
 """
+
+# Checksums byte by byte, through the table of the 256 bytes.
+CRC_TABLE = """
+tab as (
+  select list(list_reduce(list_prepend(i, range(8)), lambda c, x: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)
+              order by i) as t
+  from (select unnest(range(256)) as i))"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned checksum of a string expression; ``tab`` must be among the tables read."""
+    digits = f"hex(encode({text}))"
+    codes = f"list_transform(range(1, strlen({text}) + 1), lambda j: cast('0x' || substr({digits}, cast(2 * j - 1 as int), 2) as bigint))"
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, tab.t[xor(c, b) % 256 + 1])), 4294967295)"
+
+
+SPELLING = rf"""
+with recursive {CRC_TABLE},
+r as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[a-zÀ-ÿ]+')) as run
+  from documents),
+c as (select coalesce(cast(doc_id as varchar), '') || ':' || run as k, run, count(*) as m from r group by all),
+h as (select run, m, {crc32("k")} as h from c, tab),
+w as (
+  select case when h % 97 = 0 then substr(run, 1, cast(h % length(run) as int)) || substr(run, cast(h % length(run) + 2 as int))
+              else run end as word, m
+  from h),
+v as (select word, cast(sum(m) as bigint) as n from w where length(word) >= 5 group by word having sum(m) >= 3),
+gaps as (
+  select word, n, i, substr(word, 1, i - 1) || '_' || substr(word, i + 1) as hole, substr(word, 1, i - 1) || substr(word, i + 1) as less
+  from (select word, n, unnest(range(1, length(word) + 1)) as i from v)),
+less as (select distinct word, n, less from gaps),
+near as (
+  select a.word, b.word as other, b.n from gaps a join gaps b on a.hole = b.hole and a.word <> b.word
+  union all select less.word, v.word, v.n from less join v on less.less = v.word
+  union all select v.word, less.word, less.n from less join v on less.less = v.word),
+k as (select word, n, other, row_number() over (partition by word order by n desc, other) as best, count(*) over (partition by word) as n_near from near),
+f as (
+  select v.word, v.n, coalesce(k.n_near, 0) as n_near, case when k.n >= 2 * v.n then k.other end as form,
+         case when k.n >= 2 * v.n then k.n end as form_n
+  from v left join k on k.word = v.word and k.best = 1),
+path as (
+  select word, word as root from f
+  union all select path.word, f.form from path join f on f.word = path.root where f.form is not null)
+select f.word, f.form, path.root, f.n, cast(f.n_near as bigint) as n_near, cast(f.form_n as bigint) as form_n
+from f join path on path.word = f.word join f e on e.word = path.root where e.form is null
+"""
