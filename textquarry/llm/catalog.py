@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules,
-                           recurrent_lm, spelling, token_counts)
+                           recurrent_lm, repair, spelling, token_counts)
 from textquarry.llm.common import document_hash
 
 QUERIES: dict = {}
@@ -111,3 +111,10 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     """Every word of the documents with its likelier spelling one code point away, and where those lead."""
     return spelling.variants(spelling.word_counts(load(spark, folder, "documents")))
+
+
+@query(sql.REPAIR)
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults, cheapest edits and the repaired rest of every conversation after damage."""
+    talks = load(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.report(talks, repair.Repair(repair.damage(talks)))

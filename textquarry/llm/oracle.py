@@ -151,3 +151,80 @@ path as (
 select f.word, f.form, path.root, f.n, cast(f.n_near as bigint) as n_near, cast(f.form_n as bigint) as form_n
 from f join path on path.word = f.word join f e on e.word = path.root where e.form is null
 """
+
+
+# Costs to go per state (nothing yet, after system, user, assistant) run back over the rows, edits forward.
+REPAIR = rf"""
+with recursive {CRC_TABLE},
+o as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+         coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+  from conversations),
+h as (select *, {crc32("k")} % 20 as h from o, tab),
+d as (
+  select conv_id, turn, case when h = 4 then 'user' else role end as role,
+         case when h = 1 then '' when h = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+         unnest(case when h = 3 then [1, 2] else [1] end) as copy
+  from h where h <> 0),
+p as (
+  select conv_id, turn, role, text, row_number() over w as i, count(*) over (partition by conv_id) as n,
+         lag(substr(role, 1, 1)) over w as before
+  from d window w as (partition by conv_id order by turn nulls first, role, text)),
+q as (select *, row_number() over (partition by conv_id, role, text order by i) as seen from p),
+f as (
+  select *, substr(role, 1, 1) as r,
+         case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 2 when seen > 1 then 3
+              when regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') then 0 else 1 end as fault
+  from q),
+e as (
+  select *, fault >= 2 as gone, case when fault = 1 then 3 else 0 end as stay, 1000000000 as far from f),
+v as (
+  select conv_id, n + 1 as i, cast(0 as bigint) as v0, cast(6 as bigint) as v1, cast(3 as bigint) as v2, cast(0 as bigint) as v3
+  from (select distinct conv_id, n from e)
+  union all
+  select conv_id, i, least(b0, 3 + least(b2, 3 + b3)), least(b1, 3 + least(b2, 3 + b3)), least(b2, 3 + b3), least(b3, 3 + b2)
+  from (
+    select e.conv_id, e.i,
+           least(4 + v0, case when gone then far else stay + least(3 + v2, case r when 's' then v1 when 'u' then v2 else far end) end) as b0,
+           least(4 + v1, case when gone then far else stay + least(3 + v2, case r when 'u' then v2 else far end) end) as b1,
+           least(4 + v2, case when gone then far else stay + least(3 + v3, case r when 'a' then v3 else far end) end) as b2,
+           least(4 + v3, case when gone then far else stay + least(3 + v2, case r when 'u' then v2 else far end) end) as b3
+    from v join e on e.conv_id is not distinct from v.conv_id and e.i = v.i - 1)),
+c as (select conv_id, i, [v0, v1, v2, v3] as v from v),
+rows_ as (
+  select e.conv_id, e.i, e.n, e.role, e.text, e.r, e.gone, e.stay, a.v as here, b.v as there
+  from e join c a on a.conv_id is not distinct from e.conv_id and a.i = e.i
+         join c b on b.conv_id is not distinct from e.conv_id and b.i = e.i + 1),
+-- One edit at a time: state s before it, row i the next one.
+walk as (
+  select distinct conv_id, cast(1 as bigint) as i, 0 as s, '' as audit, cast([] as varchar[]) as said from rows_
+  union all
+  select conv_id, case when edit = 'I' then i else i + 1 end,
+         case edit when 'D' then s when 'K' then kept else turn_to end, audit || edit,
+         case edit when 'D' then said when 'I' then list_append(said, case turn_to when 2 then 'user:' else 'assistant:' end)
+              when 'K' then list_append(said, role || ':' || text)
+              else list_append(said, case turn_to when 2 then 'user:' else 'assistant:' end || text) end
+  from (
+    select *, case when i > n then 'I' when 4 + there[s + 1] = here[s + 1] then 'D' when 3 + here[turn_to + 1] = here[s + 1] then 'I'
+                   when not gone and kept is not null and stay + there[kept + 1] = here[s + 1] then 'K' else 'R' end as edit
+    from (
+      select w.*, x.role, x.text, x.gone, x.stay, x.here, x.there, m.n,
+             case when w.s = 2 then 3 else 2 end as turn_to,
+             case when x.r = 's' and w.s = 0 then 1 when x.r = 'u' and w.s in (0, 1, 3) then 2 when x.r = 'a' and w.s = 2 then 3 end as kept
+      from walk w join (select distinct conv_id, n from rows_) m on m.conv_id is not distinct from w.conv_id
+                  left join rows_ x on x.conv_id is not distinct from w.conv_id and x.i = w.i
+      where w.i <= m.n or w.s in (1, 2)))),
+last_ as (select conv_id, audit, said, row_number() over (partition by conv_id order by length(audit) desc, i desc) as k from walk),
+counts as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 2) as blank,
+         count(*) filter (fault = 3) as duplicate, count(*) filter (fault = 1) as truncated,
+         count(*) filter (before is not null and before || r not in ('su', 'ua', 'au')) as illegal
+  from e group by conv_id)
+select a.conv_id, cast(coalesce(gaps, 0) as bigint) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+       coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(c.v[1], 0) as cost, coalesce(audit, '') as audit,
+       sha256(coalesce(array_to_string(said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) a
+  left join counts on counts.conv_id is not distinct from a.conv_id
+  left join c on c.conv_id is not distinct from a.conv_id and c.i = 1
+  left join last_ on last_.conv_id is not distinct from a.conv_id and last_.k = 1
+"""
