@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, quality_classifier, quality_rules,
+from textquarry.llm import (chat_format, decontamination, html_text, language_id, mixing, ngram_join, oracle as sql, pii, quality_classifier, quality_rules,
                            recurrent_lm, repair, spelling, token_counts)
 from textquarry.llm.common import document_hash
 
@@ -113,6 +113,14 @@ def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(load(spark, folder, "documents")))
 
 
+@query()
+def op12_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    """Base patterns of every document, and all spans that patterns and field find."""
+    found = pii.find(load(spark, folder, "documents"), ["doc_id"])
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]  # noqa: B023
+    return found.select("doc_id", *counts, F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 @query(sql.REPAIR)
 def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Faults, cheapest edits and the repaired rest of every conversation after damage."""
