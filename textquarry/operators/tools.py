@@ -1,4 +1,4 @@
-"""Tool calls as a table: each tool runs once over all of its calls."""
+"""Tool calls as a table: inputs are decoded once, file calls run in order, and each other tool runs once over all of its calls."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textquarry.functions.toolinput import decode_inputs, whole_k
-from textquarry.operators import mutations, upsert
+from textquarry.functions.toolinput import decode_calls, whole_k
+from textquarry.operators import file_calls, mutations, upsert
 from textquarry.operators.ranks import ranked
 from textquarry.operators.vector_search import DEFAULT_K
 from textquarry.plans.search import cascade
 from textquarry.schemas import WEB_RESPONSE
-from textquarry.session import cut_lineage
+from textquarry.session import cut_lineage, stored
 
 # Entries in one directory-listing result row.
 LISTING_PAGE = 10_000
@@ -42,6 +42,8 @@ PURPOSE = {
     "vector_search": "Snippets nearest to a query, or keyword hits if there are none.",
     "vector_upsert": "Store a text with its metadata for later search.",
 }
+# Tools whose calls see each other's work.
+FILE_TOOLS = (file_calls.READ, file_calls.CREATE, file_calls.EDIT)
 _JSON_TYPES = {"string": "string", "int": "integer", "text_map": "object"}
 
 Handler = Callable[[DataFrame], DataFrame]
@@ -101,39 +103,40 @@ class ToolBox:
     names: dict[str, str] = field(default_factory=dict)
     listing_page: int | None = None
 
+    def _offered(self) -> list[str]:
+        more = ["search_web"] * (self.web is not None) + ["vector_search", "vector_upsert"] * (self.snippets is not None)
+        return [*FILE_TOOLS, "list_files", *more]
+
     def handlers(self) -> dict[str, Handler]:
-        offered = {"read_file": self.read_file, "list_files": self.list_files,
-                   "edit_file": self.edit_file, "create_file": self.create_file}
-        if self.web is not None:
-            offered["search_web"] = self.search_web
-        if self.snippets is not None:
-            offered["vector_search"] = self.vector_search
-            offered["vector_upsert"] = self.vector_upsert
-        return {self.names.get(name, name): handler for name, handler in offered.items()}
+        return {self._name(tool): lambda calls, tool=tool: self._answers(self._decoded(calls), [tool]) for tool in self._offered()}
 
     def execute(self, calls: DataFrame, registry: DataFrame | None = None) -> DataFrame:
-        return execute(calls, self.handlers(), registry)
+        """TOOL_CALL rows to TOOL_RESULT rows, as ``execute``; inputs are decoded once for all tools. Calls that read, create and edit files
+        see what the calls before them did; listings and searches see the files as they were at the start."""
+        live = _live(calls, self.handlers(), registry)
+        unknown = calls.join(live, "name", "left_anti").select(
+            "call_id", F.lit("tool not found").alias("content"), F.lit(True).alias("is_error"), *_pages())
+        decoded = stored(self._decoded(calls.join(live, "name", "left_semi")), "decoded")
+        done = self._answers(decoded, self._offered())
+        failed = F.concat(F.lit("Error executing tool '"), "name", F.lit("': "), "error")
+        return unknown.unionByName(done.select(
+            "call_id", F.coalesce(failed, F.col("content")).alias("content"), F.col("error").isNotNull().alias("is_error"), *_pages(done)))
 
     def effects(self, calls: DataFrame, registry: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
         """What the calls leave behind: the next file table, and SNIPPET rows to upsert (None if nothing can be stored).
 
-        Creates take free paths and edits existing ones, so no file has both. A text without a vector is a fallback
-        file; a file of the same name is replaced.
+        A text without a vector is a fallback file; a file of the same name is replaced.
         """
         known = calls.join(_live(calls, self.handlers(), registry), "name", "left_semi")
-        of = lambda tool: known.filter(F.col("name") == self._name(tool))
-        good = lambda tool: self._decode(of(tool), tool).filter("format_error is null")
-        created = mutations.create_files(good("create_file"), self.files)
-        edited = mutations.edit_sequence(
-            good("edit_file").select("seq", "call_id", *FIELDS["edit_file"]), self.files)
-        files = mutations.apply_edits(mutations.apply_creates(self.files, created), edited)
+        decoded = stored(self._decoded(known), "decoded").filter("format_error is null")
+        files = file_calls.apply(self.files, self._file_calls(decoded).contents)
         if self.snippets is None:
             return files, None
-        stored, fallback = self.upserts(of("vector_upsert"))
+        snips, fallback, _ = self._upserts(self._of(decoded, "vector_upsert"))
         body = F.col("content").cast("binary")
         written = fallback.dropDuplicates(["filename"]).select(
             F.col("filename").alias("path"), F.octet_length(body).cast("long").alias("length"), body.alias("content"))
-        return files.join(written.select("path"), "path", "left_anti").unionByName(written), stored
+        return files.join(written.select("path"), "path", "left_anti").unionByName(written), snips
 
     def definitions(self) -> DataFrame:
         """The tools on offer: name, description, input_schema (JSON)."""
@@ -147,53 +150,49 @@ class ToolBox:
     def _name(self, name: str) -> str:
         return self.names.get(name, name)
 
-    def _decode(self, calls: DataFrame, tool: str) -> DataFrame:
-        return decode_inputs(calls, self._name(tool), FIELDS[tool], blank_ok=tool == "list_files")
-
-    def read_file(self, calls: DataFrame) -> DataFrame:
-        asked = self._decode(calls, "read_file")
-        bad = asked.filter("format_error is not null")
-        done = mutations.read_files(asked.filter("format_error is null"), self.files)
-        return (_answer(done, F.make_valid_utf8(F.col("content").cast("string")), F.col("error"))
-                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
-
-    def list_files(self, calls: DataFrame) -> DataFrame:
+    def _decoded(self, calls: DataFrame) -> DataFrame:
+        fields = {self._name(tool): FIELDS[tool] for tool in self._offered()}
+        return decode_calls(calls.select("call_id", "seq", "name", "input"), fields, (self._name("list_files"),)).drop("input")
+
+    def _of(self, decoded: DataFrame, tool: str) -> DataFrame:
+        return decoded.filter(F.col("name") == self._name(tool)).select("call_id", "seq", "name", *FIELDS[tool], "format_error")
+
+    def _answers(self, decoded: DataFrame, tools: list[str]) -> DataFrame:
+        """call_id, name, content, error, page, pages of decoded calls."""
+        bad = decoded.filter("format_error is not null").filter(F.col("name").isin([self._name(t) for t in tools]))
+        out = bad.select("call_id", "name", F.lit(None).cast("string").alias("content"), F.col("format_error").alias("error"), *_pages())
+        good = decoded.filter("format_error is null")
+        if set(tools) & set(FILE_TOOLS):
+            mine = good.filter(F.col("name").isin([self._name(t) for t in tools if t in FILE_TOOLS]))
+            names = F.create_map(*[F.lit(x) for tool in FILE_TOOLS for x in (tool, self._name(tool))])
+            out = out.unionByName(self._file_calls(mine).answers.select("call_id", names[F.col("tool")].alias("name"), "content", "error", *_pages()))
+        answer = {"list_files": self.list_files, "search_web": self.search_web, "vector_search": self.vector_search, "vector_upsert": self.vector_upsert}
+        for tool in tools:
+            if tool in answer:
+                done = answer[tool](self._of(good, tool))
+                out = out.unionByName(done.select("call_id", F.lit(self._name(tool)).alias("name"), "content", "error", *_pages(done)))
+        return out
+
+    def _file_calls(self, decoded: DataFrame) -> file_calls.Done:
+        tools = F.create_map(*[F.lit(x) for tool in FILE_TOOLS for x in (self._name(tool), tool)])
+        mine = decoded.filter(F.col("name").isin([self._name(t) for t in FILE_TOOLS]))
+        return file_calls.run(mine.withColumn("tool", tools[F.col("name")]), self.files)
+
+    def list_files(self, asked: DataFrame) -> DataFrame:
         """JSON lists of paths in order of name, a row per page; a short listing is page 1 of 1.
 
         Places come from ranges of names, so a directory of any size is listed by many tasks.
         """
-        asked = self._decode(calls, "list_files")
-        good = asked.filter("format_error is null")
-        entries = mutations.list_dir(good.select(F.col("call_id").alias("seq"), "path"), self.files)
+        entries = mutations.list_dir(asked.select(F.col("call_id").alias("seq"), "path"), self.files)
         size = self.listing_page or LISTING_PAGE
         listed = (ranked(entries, ["seq"], ["entry"]).withColumn("page", F.floor(F.col("place") / size) + 1)
                   .groupBy("seq", "page").agg(F.to_json(F.array_sort(F.collect_list("entry"))).alias("content"),
                                               F.max("error").alias("error")))
         pages = listed.groupBy(F.col("seq").alias("call_id")).agg(F.max("page").alias("pages"))
         listed = listed.withColumnRenamed("seq", "call_id").join(pages, "call_id")
-        bad = asked.filter("format_error is not null")
-        return (_answer(listed, F.col("content"), F.col("error"), "page", "pages")
-                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error")), allowMissingColumns=True))
-
-    def create_file(self, calls: DataFrame) -> DataFrame:
-        asked = self._decode(calls, "create_file")
-        bad = asked.filter("format_error is not null")
-        done = mutations.create_files(asked.filter("format_error is null"), self.files)
-        return (_answer(done, F.col("message"), F.col("error"))
-                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
-
-    def edit_file(self, calls: DataFrame) -> DataFrame:
-        """Edits in seq order, each seeing the ones before it."""
-        asked = self._decode(calls, "edit_file")
-        bad = asked.filter("format_error is not null")
-        good = asked.filter("format_error is null")
-        done = (mutations.edit_sequence(good.select("seq", "call_id", *FIELDS["edit_file"]), self.files)
-                .filter("call_id is not null").select("call_id", "error").join(good.select("call_id", "path"), "call_id"))
-        return (_answer(done, F.format_string("Successfully edited file '%s'", "path"), F.col("error"))
-                .unionByName(_answer(bad, F.lit(None).cast("string"), F.col("format_error"))))
-
-    def search_web(self, calls: DataFrame) -> DataFrame:
-        asked = self._decode(calls, "search_web")
+        return _answer(listed, F.col("content"), F.col("error"), "page", "pages")
+
+    def search_web(self, asked: DataFrame) -> DataFrame:
         error = F.coalesce("format_error", F.when(
             F.col("query") == "", F.lit(f"query is required for {self._name('search_web')}")))
         checked = asked.withColumn("error", error)
@@ -202,9 +201,8 @@ class ToolBox:
         missing = F.when(F.col("body").isNull(), F.lit("no response for this query"))
         return _answer(found, body, F.coalesce("error", missing))
 
-    def vector_search(self, calls: DataFrame) -> DataFrame:
+    def vector_search(self, asked: DataFrame) -> DataFrame:
         name = self._name("vector_search")
-        asked = self._decode(calls, "vector_search")
         error = F.coalesce("format_error", F.when(F.col("query") == "", F.lit(f"query is required for {name}")))
         checked = asked.withColumn("error", error)
         queries = checked.filter("error is null").select(
@@ -226,21 +224,20 @@ class ToolBox:
         return _answer(checked.join(found, "call_id", "left"),
                        F.coalesce("content", F.lit(nothing)), F.col("error"))
 
-    def vector_upsert(self, calls: DataFrame) -> DataFrame:
+    def vector_upsert(self, asked: DataFrame) -> DataFrame:
         """The answers; ``effects`` gives the rows to write."""
-        snips, fallback, checked = self._upserts(calls)
+        _, _, checked = self._upserts(asked)
         stored = F.concat(F.lit("Successfully upserted content with ID: "), "id")
         fell_back = F.concat(F.lit("Successfully created file '"), "filename", F.lit("'"))
         return _answer(checked, F.when(F.col("embedded"), stored).otherwise(fell_back), F.col("error"))
 
     def upserts(self, calls: DataFrame) -> tuple[DataFrame, DataFrame]:
         """SNIPPET rows to store, and fallback files (filename, content) for texts without a vector."""
-        snips, fallback, _ = self._upserts(calls)
+        snips, fallback, _ = self._upserts(self._of(self._decoded(calls), "vector_upsert"))
         return snips, fallback
 
-    def _upserts(self, calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _upserts(self, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         name = self._name("vector_upsert")
-        asked = self._decode(calls, "vector_upsert")
         error = F.coalesce("format_error", F.when(
             F.col("text_content") == "", F.lit(f"text_content is required for {name}")))
         embedded = upsert.embed_texts(asked.withColumn("error", error), self.model)

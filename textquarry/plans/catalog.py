@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from textquarry.functions import paths, text
 from textquarry.functions.embedding import embed_or_reason, embed_with, hashed
 from textquarry.functions.toolinput import decode_inputs, whole_k
-from textquarry.operators import conversations, mutations, snippets, upsert
+from textquarry.operators import conversations, file_calls, mutations, snippets, upsert
 from textquarry.operators.keyword_search import keyword_search
 from textquarry.operators.tools import ToolBox
 from textquarry.operators.topk import DenseVectors, top_k
@@ -349,6 +349,16 @@ def edit_fold(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("seq", "key", "error", F.md5("content").alias("content_md5"))
 
 
+@query(sql.MIXED_CALLS)
+def mixed_calls(spark: SparkSession, folder: str) -> DataFrame:
+    """Reads, edits and creates on the same paths, each seeing those before, and the files they leave."""
+    files = doc_files(spark, folder)
+    done = file_calls.run(load(spark, folder, "documents").select(F.inline(requests.mixed_calls())), files)
+    row = lambda kind, name, error: [F.lit(kind).alias("kind"), F.col(name).alias("name"), _md5("content").alias("content_md5"), error.alias("error")]
+    return done.answers.select(row("answer", "call_id", F.col("error"))).unionByName(
+        file_calls.apply(files, done.contents).select(row("file", "path", F.lit(None).cast("string"))))
+
+
 # Upserts
 
 @query(sql.UPSERT)

@@ -401,3 +401,26 @@ select 'file' as kind, path as name, md5(new) as content_md5 from e
 union all select 'file', 'bench/' || item_id, md5('again') from benchmark
 union all select distinct 'file', 'vector_store_fallback_' || sha256(text) || '.txt', md5(text) from benchmark where length(text) % 2 = 0
 union all select 'snippet', {_TEXT_ID}, md5(text) from benchmark where length(text) % 2 = 1"""
+
+# A new file lies under an old one where the id divides by three; the end of a text may occur in it again.
+MIXED_CALLS = f"""
+with d as (
+  select doc_id, {DOC_PATH} as path, case when doc_id % 3 = 0 then {DOC_PATH} || '/notes' else 'notes/' || doc_id end as new, source, lang, text,
+         right(text, 12) as tail, doc_id % 3 = 0 as under from documents),
+e as (select *, (strlen(text) - strlen(replace(text, tail, ''))) // nullif(strlen(tail), 0) as n from d),
+f as (select *, case when n = 1 then replace(text, tail, '<<end>>') else text end as after, lang as note,
+             'file not found at path ''' || new || ''' within workspace' as missing from e),
+a as (
+  select doc_id || ':0' as name, null as content, missing as error from f
+  union all select doc_id || ':1', case when n = 1 then 'Successfully edited file ''' || path || '''' end,
+    case when tail = '' then 'path and old_str are required for edit_file' when n = 0 then 'string ''' || tail || ''' not found in file ''' || path || ''''
+         when n > 1 then 'string ''' || tail || ''' found multiple times (' || n || ') in file ''' || path || ''', expected exactly one' end from f
+  union all select doc_id || ':2', after, null from f
+  union all select doc_id || ':3', null, 'file already exists at path ''' || path || '''' from f
+  union all select doc_id || ':4', case when not under then 'Successfully created file ''' || new || '''' end,
+    case when under then 'failed to create parent directory for ''' || new || '''' end from f
+  union all select doc_id || ':5', case when not under then 'Successfully edited file ''' || new || '''' end, case when under then missing end from f
+  union all select doc_id || ':6', case when not under then note end, case when under then missing end from f)
+select 'answer' as kind, name, md5(content) as content_md5, error from a
+union all select 'file', path, md5(after), null from f
+union all select 'file', new, md5(note), null from f where not under"""

@@ -82,3 +82,20 @@ def event_tool() -> Column:
     return (F.when(kind == "click", F.lit("read_file")).when(kind == "view", F.lit("vector_search"))
             .when(kind == "purchase", F.lit("edit_file")).when(kind == "signup", F.lit("vector_upsert"))
             .otherwise(kind))
+
+
+def mixed_calls() -> Column:
+    """Seven calls on two paths of a document: its own file read, edited, read again and created in vain, a new one read too early, then
+    created, edited and read. Every third document's new file lies under its old one and so cannot be made."""
+    tail, id_ = F.expr("right(text, 12)"), F.col("doc_id").cast("string")
+    new = F.when(F.col("doc_id") % 3 == 0, F.concat(doc_path(), F.lit("/notes"))).otherwise(F.concat(F.lit("notes/"), id_))
+    nothing = F.lit(None).cast("string")
+
+    def call(n: int, tool: str, path: Column, content: Column = nothing, old: Column = nothing, new: Column = nothing) -> Column:
+        return F.struct(F.concat(id_, F.lit(f":{n}")).alias("call_id"), (F.col("doc_id") * 10 + n).alias("seq"), F.lit(tool).alias("tool"),
+                        path.alias("path"), content.alias("content"), old.alias("old_str"), new.alias("new_str"))
+
+    return F.array(
+        call(0, "read_file", new), call(1, "edit_file", doc_path(), old=tail, new=F.lit("<<end>>")), call(2, "read_file", doc_path()),
+        call(3, "create_file", doc_path(), F.lit("")), call(4, "create_file", new, F.col("source")),
+        call(5, "edit_file", new, old=F.col("source"), new=F.col("lang")), call(6, "read_file", new))

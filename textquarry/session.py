@@ -37,6 +37,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared scratch folder and read back: what several branches need is worked out once."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 # Below this size per core an input may come in fewer partitions than there are cores.
 SPREAD_BYTES = 128 * 1024 * 1024
 
