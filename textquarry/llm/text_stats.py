@@ -48,8 +48,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def window_hashes(values: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit hash of every ``width`` neighbours; position matters."""
-    n = len(values) - width + 1
-    out = np.zeros(max(n, 0), np.uint64)
+    n = max(0, len(values) - width + 1)
+    out = np.zeros(n, np.uint64)
     for k in range(width):
         out = out * np.uint64(0x9E3779B97F4A7C15) + values[k:k + n]
     return mixed(out)
