@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,6 +14,8 @@ from textquarry.llm.common import stored
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: how this vocabulary cuts text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# Longer white space is taken out before the pattern, which would recurse at every character of it.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
 # Lengths are summed in blocks of this many before the blocks are.
 BLOCK = 1024
 
@@ -29,6 +32,16 @@ def _encoder(vocabulary):
     return _encoders[vocabulary.id]
 
 
+def encoded_length(encoder, text: str) -> int:
+    """Tokens of a text. The pattern takes white space as one piece but for its last character, which goes with what follows."""
+    total = at = 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        total += len(encoder.encode_ordinary(text[at:m.start()])) + len(encoder._encode_single_piece(text[m.start():end]))
+        at = end
+    return total + len(encoder.encode_ordinary(text[at:] if at else text))
+
+
 class Vocabulary:
     """Ranks of a byte-pair vocabulary file, read once on the driver and sent to the workers (size fixed by the file)."""
 
@@ -44,12 +57,13 @@ class Vocabulary:
 
 
 def encoded_lengths(texts: DataFrame, column: str, vocabulary: Vocabulary) -> DataFrame:
-    """One row ``length`` per row: tokens of the whole text, 0 for null."""
+    """One row ``length`` per row: tokens of the whole text, however long, 0 for null and empty. Other columns are left aside; an empty table
+    gives no rows."""
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(vocabulary).encode_ordinary
+        encoder = _encoder(vocabulary)
         for batch in batches:
-            found = [len(encode(x)) if x else 0 for x in (y.as_py() for y in batch.column(0))]
+            found = [encoded_length(encoder, x) if x else 0 for x in (y.as_py() for y in batch.column(0))]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["length"])
 
     return texts.select(F.col(column)).mapInArrow(lengths, "length long")
