@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textquarry.llm.common import document_hash, small_side, stored
 from textquarry.llm.text_stats import chunks, word_ids
@@ -315,12 +315,30 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str], spans: bool =
     return rows.mapInArrow(label, schema).toDF(*keep, "lang_pred", "score", *["runs"] * spans)
 
 
+def spoken(spark: SparkSession, text: Column, model: Model | None) -> Column:
+    """Struct of ``lang`` and ``score`` as ``predict`` gives them. Only the text goes to Python."""
+    shared = spark.sparkContext.broadcast(model and (model.labels, model.emission, model.transition, model.start))
+
+    @F.arrow_udf("lang string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        labeller = Labeller(Model(*shared.value)) if shared.value else None
+        for batch in batches:
+            names, shares = [], []
+            for _, texts in chunks(pa.RecordBatch.from_arrays([batch], ["text"])):
+                name, share, *_ = labeller.label(texts) if labeller else (["und"] * len(texts), [0.0] * len(texts))
+                names += name
+                shares += share
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(shares, pa.float64())], ["lang", "score"])
+
+    return run(text)
+
+
 def keep_spoken(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language: not ``und``, and at least ``least`` of its words'
+    """The rows of ``docs``, all columns whatever their names, whose text has a language: not ``und``, and at least ``least`` of its words'
     weight in one language."""
     columns = [f"d{i}" for i in range(len(docs.columns))]
-    wide = docs.select(*[F.col(c).alias(d) for c, d in zip(docs.columns, columns)], "text")
-    judged = predict(wide, model, columns).where((F.col("lang_pred") != "und") & (F.col("score") >= least))
+    wide = docs.select(*[F.col(c).alias(d) for c, d in zip(docs.columns, columns)], spoken(docs.sparkSession, F.col("text"), model).alias("spoken"))
+    judged = wide.where((F.col("spoken.lang") != "und") & (F.col("spoken.score") >= least))
     return judged.select(*[F.col(d).alias(c) for c, d in zip(docs.columns, columns)])
 
 

@@ -131,6 +131,19 @@ def with_counts(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     return rows.mapInArrow(count, schema).toDF(*keep, *COUNTS)
 
 
+def counted(text: Column) -> Column:
+    """``COUNTS`` of a text as a struct. Only the text goes to Python and only the counts come back; other columns stay where they are."""
+
+    @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [counts(some) for _, some in chunks(pa.RecordBatch.from_arrays([texts], ["text"]))]
+            yield pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found]) if found else [], pa.int64()) for c in COUNTS],
+                                             list(COUNTS))
+
+    return run(text)
+
+
 def features() -> dict[str, Column]:
     """Measures of a text that do not grow with it, from ``COUNTS``; 0 where there is no word."""
     def per(a: str, b: str) -> Column:
