@@ -95,7 +95,8 @@ def _forward_backward(e: np.ndarray, t: np.ndarray, start: np.ndarray) -> tuple[
 
 
 def spliced(windows: list[tuple[int, list[bytes]]], rng: np.random.Generator) -> list[list[tuple[int, bytes]]]:
-    """Sequences of 2 * WORDS words: runs of 3 words or more from windows in random order."""
+    """Sequences of 2 * WORDS words, or of all if there are fewer: runs of 3 words or more from windows in random order. The last
+    sequence reaches back so that no word is left out."""
     words = []
     for i in rng.permutation(len(windows)):
         label, window = windows[i]
@@ -103,8 +104,11 @@ def spliced(windows: list[tuple[int, list[bytes]]], rng: np.random.Generator) ->
         words += [[(label, w) for w in window[:cut]], [(label, w) for w in window[cut:]]]
     order = rng.permutation(len(words))
     flat = [w for i in order for w in words[i]]
-    size = 2 * WORDS
-    return [flat[i:i + size] for i in range(0, len(flat) - size + 1, size)]
+    size = min(2 * WORDS, len(flat))
+    starts = list(range(0, len(flat) - size + 1, size)) if size else []
+    if starts and starts[-1] + size < len(flat):
+        starts.append(len(flat) - size)
+    return [flat[i:i + size] for i in starts]
 
 
 def train(windows: list[tuple[str, list[bytes]]], labels: list[str], seed: int = 7) -> Model:
