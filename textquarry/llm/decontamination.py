@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from textquarry.llm.common import BROADCAST_ROWS, small_side, stored
+from textquarry.llm.common import BROADCAST_ROWS, small_side, stored, unused
 
 WIDTH, SIMILARITY = 5, 0.75
 # Windows at the similarity differ in 11 of 63 bits (deviation 3); RADIUS leaves four deviations.
@@ -34,7 +34,7 @@ def _by_width(words: str, widths: list[int], width: str) -> Column:
 
 def _lane_bits(most: int) -> int:
     """Bits of a counter that ``most`` shingles leave the top bit of free."""
-    return next(b for b in (9, 21) if most < 1 << (b - 1))
+    return next(b for b in (9, 21, 63) if most < 1 << (b - 1))
 
 
 def fingerprint(hashes: str, lane: int) -> Column:
@@ -135,6 +135,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY, ra
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is found."""
-    leaks = stored(matches(docs, benchmark, least).select(F.col("_key")).distinct(), "leaks")
-    return _keyed(docs).join(small_side(leaks), "_key", "left_anti").drop("_key")
+    """The rows of ``docs``, all columns whatever their names, in which no benchmark item is found."""
+    key = unused(docs, "_key")
+    leaks = stored(matches(docs, benchmark, least).select(F.col("_key").alias(key)).distinct(), "leaks")
+    return docs.withColumn(key, F.xxhash64("doc_id", "text")).join(small_side(leaks), key, "left_anti").drop(key)

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textquarry.llm.common import small_side, stored
+from textquarry.llm.common import small_side, stored, unused
 from textquarry.llm.components import components
 from textquarry.llm.shingles import WIDTH, set_key, shingle_sets
 from textquarry.llm.text_stats import chunks
@@ -258,14 +258,15 @@ def join(docs: DataFrame, similarity: int = SIMILARITY, width: int = WIDTH) -> D
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """One row of each component, that of the smallest doc_id; rows with null doc_id stay, of repeated rows one.
 
-    A doc_id is expected to name one text. Only ids travel: those that go are broadcast if they are few by count.
+    A doc_id is expected to name one text. All columns stay, whatever their names. Only ids travel: those that go are broadcast if they are few by count.
     """
+    go, two = unused(docs, "gone"), unused(docs, "twice")
     found = stored(join(docs, similarity).where("doc_id is not null"), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(small_side(stored(gone, "gone")), F.col("doc_id") == F.col("gone"), "left_anti")
-    twice = stored(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("twice")), "twice")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(go)).distinct()
+    left = docs.join(small_side(stored(gone, "gone")), F.col("doc_id") == F.col(go), "left_anti")
+    twice = stored(found.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(two)), "twice")
     if twice.isEmpty():
         return left
     twice = small_side(twice)
-    same = F.col("doc_id") == F.col("twice")
+    same = F.col("doc_id") == F.col(two)
     return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
