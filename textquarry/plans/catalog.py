@@ -9,6 +9,7 @@ from textquarry.functions.embedding import embed_or_reason, embed_with, hashed
 from textquarry.functions.toolinput import decode_inputs, whole_k
 from textquarry.operators import conversations, file_calls, mutations, snippets, upsert
 from textquarry.operators.keyword_search import keyword_search
+from textquarry.operators.postings import indexed_keyword_search, sparse_search
 from textquarry.operators.tools import ToolBox
 from textquarry.operators.topk import DenseVectors, top_k
 from textquarry.operators.vector_search import DEFAULT_K, search, search_buckets, search_text
@@ -113,6 +114,24 @@ def hash_knn(spark: SparkSession, folder: str) -> DataFrame:
     return _scored(search_text(queries, docs, 3))
 
 
+@query(sql.HASH_KNN)
+def sparse_knn(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through posting lists of buckets."""
+    return _sparse(spark, folder, 1536)
+
+
+@query(sql.SPARSE_KNN_WIDE)
+def sparse_knn_wide(spark: SparkSession, folder: str) -> DataFrame:
+    """And with 65,536 buckets, too many for dense vectors."""
+    return _sparse(spark, folder, 65_536)
+
+
+def _sparse(spark: SparkSession, folder: str, dim: int) -> DataFrame:
+    queries = load(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = load(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    return _scored(sparse_search(queries, docs, 3, dim))
+
+
 # Chat
 
 @query(sql.RAG_CONTEXT)
@@ -179,6 +198,14 @@ def keyword_topk(spark: SparkSession, folder: str) -> DataFrame:
         "query_id", F.col("rank").cast("int").alias("rank"), "filename", "relevance", "matched_line")
 
 
+@query(sql.KEYWORD)
+def keyword_postings(spark: SparkSession, folder: str) -> DataFrame:
+    """The same through postings of character runs."""
+    queries = load(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return indexed_keyword_search(queries, _docs(spark, folder)).select(
+        "query_id", F.col("rank").cast("int").alias("rank"), "filename", "relevance", "matched_line")
+
+
 @query(sql.CASCADE)
 def search_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Page titles searched among messages, else by keyword in the documents."""

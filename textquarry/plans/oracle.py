@@ -10,11 +10,11 @@ numbered as (select doc_id, path, ls, unnest(range(1, len(ls) + 1)) as i from pa
 lines as (select printf('%012d:%06d', doc_id, i) as id, path, i, ls[i] as content from numbered where ls[i] <> '')"""
 
 
-def words(name: str, source: str, id: str, text: str) -> str:
+def words(name: str, source: str, id: str, text: str, dim: int = 1536) -> str:
     """Word counts per hashed bucket, and squared lengths."""
     return f"""
 {name}_words as (select {id} as id, unnest(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+')) as w from {source}),
-{name}_b as (select id, ('0x' || substr(md5(w), 1, 8))::bigint % 1536 as b, count(*) as c from {name}_words group by 1, 2),
+{name}_b as (select id, ('0x' || substr(md5(w), 1, 8))::bigint % {dim} as b, count(*) as c from {name}_words group by 1, 2),
 {name}_n as (select id, sum(c * c)::double as n2 from {name}_b group by 1)"""
 
 
@@ -60,6 +60,10 @@ HASH_KNN = f"""
 with {words('q', 'benchmark', 'item_id', 'text')}, {words('d', 'documents', 'doc_id', 'text')}, {nearest('q', 'd', '3')}
 select query_id, rank::int as rank, id, round(score, 6) as score from hits"""
 
+SPARSE_KNN_WIDE = f"""
+with {words('q', 'benchmark', 'item_id', 'text', 65536)}, {words('d', 'documents', 'doc_id', 'text', 65536)}, {nearest('q', 'd', '3')}
+select query_id, rank::int as rank, id, round(score, 6) as score from hits"""
+
 _CONTEXT = f"""
 with turns as (select conv_id || ':' || turn as query_id, conv_id, turn, text from conversations where role = 'user'),
 {LINES}, {words('q', 'turns', 'query_id', 'text')}, {words('l', 'lines', 'id', 'content')}, {nearest('q', 'l', '3')},
