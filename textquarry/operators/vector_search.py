@@ -1,14 +1,11 @@
-"""Nearest neighbours by cosine: exact, by expressions, and bucketed."""
+"""Nearest neighbours by cosine: exact, and within learned cells."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from pyspark.sql import DataFrame
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
-
-from textquarry.operators.topk import DenseVectors, HashedText, cell_scan, keep_best, top_k, with_payload
+from textquarry.operators.cells import RECALL, search_cells
+from textquarry.operators.topk import DenseVectors, HashedText, top_k
 
 # Hits per chat turn and per search call.
 CHAT_K = 3
@@ -27,37 +24,11 @@ def search_text(queries: DataFrame, table: DataFrame, k: int = DEFAULT_K, payloa
     return top_k(queries, table, HashedText(column, dim), k, payload)
 
 
-def _signatures(vector: Column, tables: int, bits: int, seed: int) -> Column:
-    """Per table, the number of the bucket a vector falls into: its sides of random planes."""
-
-    @F.arrow_udf("array<bigint>")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        planes = None
-        for vectors in batches:
-            m = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-            if planes is None and len(vectors):
-                planes = np.random.default_rng(seed).standard_normal((m.shape[1], tables * bits))
-            above = (m @ planes >= 0).reshape(len(vectors), tables, bits) if len(vectors) else np.zeros((0, tables, bits))
-            buckets = (above @ (1 << np.arange(bits)) + (np.arange(tables) << bits)).astype(np.int64)
-            ends = np.arange(len(vectors) + 1, dtype=np.int32) * tables
-            yield pa.ListArray.from_arrays(ends, buckets.ravel())
-
-    return run(vector)
-
-
 def search_buckets(queries: DataFrame, table: DataFrame, k: int = DEFAULT_K, payload: list[str] | None = None,
-                   column: str = "embedding", tables: int = 6, bits: int = 4, seed: int = 7) -> DataFrame:
-    """Approximate nearest rows: only rows on the query's side of random planes are scored.
+                   column: str = "embedding", recall: float = RECALL) -> DataFrame:
+    """Approximate nearest rows: only rows in the learned cells nearest to the query are scored, see ``cells``.
 
-    Each of ``tables`` signatures has ``bits`` planes. A query meets the rows of
-    its own bucket in every signature; hot buckets are cut into bounded cells.
-    Within a bucket nothing is left out. A per-query ``k`` in ``queries`` counts.
+    Looks into as many cells as ``recall`` takes in a sample; vectors without clusters take many. Hot cells are cut into
+    bounded parts, and within a cell nothing is left out. A per-query ``k`` in ``queries`` counts. ``search`` is exact.
     """
-    own = "k" in queries.columns
-    bucketed = lambda df: df.filter(F.col(column).isNotNull()).withColumn(
-        "cell", F.explode(_signatures(F.col(column), tables, bits, seed)))
-    asked = queries.select("query_id", column, (F.col("k") if own else F.lit(k)).cast("int").alias("k"))
-    hits = cell_scan(bucketed(asked), bucketed(table.select("id", column)), DenseVectors(column))
-    best = keep_best(hits.dropDuplicates(["query_id", "id"]), asked if own else k)
-    at_most = asked.agg(F.sum("k")).first()[0] or 0 if payload else 0
-    return with_payload(best, table, payload, at_most)
+    return search_cells(queries, table, k, payload, column, recall)

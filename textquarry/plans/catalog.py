@@ -8,6 +8,7 @@ from textquarry.functions import paths, text
 from textquarry.functions.embedding import embed_or_reason, embed_with, hashed
 from textquarry.functions.toolinput import decode_inputs, whole_k
 from textquarry.operators import conversations, file_calls, mutations, snippets, upsert
+from textquarry.operators.cells import CellTable
 from textquarry.operators.keyword_search import keyword_search
 from textquarry.operators.postings import indexed_keyword_search, sparse_search
 from textquarry.operators.tools import ToolBox
@@ -78,11 +79,19 @@ def vector_topk_per_label(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def vector_topk_buckets(spark: SparkSession, folder: str) -> DataFrame:
-    """Approximate neighbours from random-plane buckets."""
+    """Approximate neighbours from the learned cells nearest to each vector."""
     table = vectors(spark, folder)
     return _scored(search_buckets(table.select(F.col("id").alias("query_id"), "embedding"), table, 3))
 
 
+@query(sql.VECTOR_SELF)
+def vector_topk_all_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors stored by learned cells, and all cells looked into: the exact answer."""
+    table = vectors(spark, folder)
+    cells = CellTable.write(table, scratch_path(spark, "cells"))
+    return _scored(cells.search(table.select(F.col("id").alias("query_id"), "embedding"), 3, probes=len(cells.cells.centres)))
+
+
 # Embedding
 
 @query(sql.HASH_EMBED)
