@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from textquarry.llm.common import document_hash, small_side, stored
-from textquarry.llm.text_stats import chunks, word_ids
+from textquarry.llm.text_stats import chunks, slices, word_ids
 
 # The training sample: documents per language, windows per document and words per window, at most.
 DOCS, WINDOWS, WORDS = 400, 4, 24
@@ -328,7 +328,7 @@ def spoken(spark: SparkSession, text: Column, model: Model | None) -> Column:
         labeller = Labeller(Model(*shared.value)) if shared.value else None
         for batch in batches:
             names, shares = [], []
-            for _, texts in chunks(pa.RecordBatch.from_arrays([batch], ["text"])):
+            for texts in slices(batch):
                 name, share, *_ = labeller.label(texts) if labeller else (["und"] * len(texts), [0.0] * len(texts))
                 names += name
                 shares += share

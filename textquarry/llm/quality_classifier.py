@@ -132,11 +132,12 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column, path: Column, thr
 def keep_good(docs: DataFrame, labels: DataFrame, host: Column, path: Column, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``classify`` keeps, all columns whatever their names. Texts are read once more instead of being shuffled to
     their verdicts, and only they pass through Python. A score equal to the threshold keeps the row."""
-    slim = docs.select("doc_id", "text", host.alias("host"), path.alias("path"))
-    learned = fit(stored(_measured(slim, ["doc_id"]), "measures"), labels)
+    measures = [c.alias(n) for n, c in features().items()]
+    slim = docs.select("doc_id", host.alias("host"), path.alias("path"), counted(F.col("text")).alias("c")).select("doc_id", "host", "path", "c.*")
+    learned = fit(stored(slim.select("doc_id", "host", "path", *measures), "measures"), labels)
     columns = [F.col(c).alias(f"d{i}") for i, c in enumerate(docs.columns)]
     names = [f"d{i}" for i in range(len(docs.columns))]
     wide = docs.select(*columns, host.alias("host"), path.alias("path"), counted(F.col("text")).alias("c")).select(*names, "host", "path", "c.*")
-    wide = wide.select(*names, "host", "path", *[c.alias(n) for n, c in features().items()])
+    wide = wide.select(*names, "host", "path", *measures)
     judged = learned.judged(wide, threshold).where("kept")
     return judged.select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(docs.columns)])

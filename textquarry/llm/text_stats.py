@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -30,6 +31,24 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
             start, held = i + 1, 0
 
 
+# Text that ``slices`` turns into Python values at a time; arrays of the words in it take some forty times as much.
+SLICE_BYTES = 2_000_000
+
+
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The texts as bytes (null as empty), in runs of about ``most`` bytes. Only one run at a time becomes Python values, and what a run took
+    is given back to the system at the end."""
+    raw = texts.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(raw):
+        floor = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, floor + most, side="right")))
+        yield [b"" if t is None else t for t in raw.slice(start, end - start).to_pylist()]
+        start = end
+    pa.default_memory_pool().release_unused()
+
+
 def word_ids(words: list[list[bytes]]) -> tuple[np.ndarray, pa.Array]:
     """Words of several texts as numbers that stand for equal words, and the words by number."""
     if not any(words):
@@ -137,7 +156,7 @@ def counted(text: Column) -> Column:
     @F.arrow_udf(", ".join(f"{c} long" for c in COUNTS))
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [counts(some) for _, some in chunks(pa.RecordBatch.from_arrays([texts], ["text"]))]
+            found = [counts(some) for some in slices(texts)]
             yield pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found]) if found else [], pa.int64()) for c in COUNTS],
                                              list(COUNTS))
 
