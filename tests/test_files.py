@@ -229,3 +229,44 @@ def test_dangling_link_does_not_stop_the_scan(spark, tmp_path):
     (tmp_path / "gone").symlink_to(tmp_path / "nowhere")
     got = {r.path: r.error for r in read_workspace(spark, str(tmp_path)).collect()}
     assert got["a.txt"] is None and "failed to read" in got["gone"]
+
+
+def test_equal_ids_have_a_stated_winner(spark, tmp_path):
+    batch = [("a", f"c{i}", [1.0, float(i)]) for i in range(8)]
+    left = []
+    for run in range(3):
+        rows = snippet_rows(spark, batch[run:] + batch[:run]).repartition(3 + run)
+        table = VectorTable.ensure(spark, str(tmp_path / f"t{run}"), dim=2)
+        table.upsert(rows)
+        left.append([r.content for r in table.read().collect()])
+        table.upsert(rows.withColumn("seq", -F.substring("content", 2, 1).cast("int")))
+        left.append([r.content for r in table.read().collect()])
+    assert left == [["c7"], ["c0"]] * 3
+
+
+def test_an_upsert_leaves_other_buckets_alone(spark, tmp_path):
+    table = VectorTable.ensure(spark, str(tmp_path / "t"), dim=2, buckets=8)
+    table.upsert(snippet_rows(spark, [(f"id{i}", "old", [1.0, 0.0]) for i in range(60)]))
+    files = lambda: {os.path.join(d, f): os.path.getmtime(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "t" / "rows") for f in names if f.startswith("part")}
+    before = files()
+    assert table.upsert(snippet_rows(spark, [("id7", "new", [0.0, 1.0])])) == 2
+    after = files()
+    assert len(set(before) - set(after)) == 1 and all(after[f] == before[f] for f in set(before) & set(after)) and len(before) == 8
+    assert sorted(r.content for r in table.read().collect()) == ["new"] + ["old"] * 59
+    assert table.upsert(snippet_rows(spark, [("n", "x", None)])) == 3 and files() == after
+    table.register("snippets_of_a_test")
+    try:
+        assert spark.table("snippets_of_a_test").filter("content = 'new'").count() == 1
+        shown = {r["key"]: r["value"] for r in spark.sql("SHOW TBLPROPERTIES snippets_of_a_test").collect()}
+        assert (shown["dim"], shown["metric"], shown["buckets"]) == ("2", "cosine", "8")
+    finally:
+        spark.sql("DROP TABLE snippets_of_a_test")
+
+
+def test_search_under_a_condition(spark, tmp_path):
+    table = VectorTable.ensure(spark, str(tmp_path / "t"), dim=2)
+    rows = snippet_rows(spark, [(f"{i}", f"{i}", [1.0, i / 10]) for i in range(10)])
+    table.upsert(rows.withColumn("metadata", F.create_map(F.lit("even"), (F.col("id").cast("int") % 2 == 0).cast("string"))))
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    hits = table.search(queries, 3, where=F.element_at("metadata", "even") == "false")
+    assert [r.id for r in sorted(hits.collect(), key=lambda r: r["rank"])] == ["1", "3", "5"]

@@ -20,6 +20,17 @@ def newest_by_id(rows: DataFrame, order: str = "version") -> DataFrame:
     return rows.withColumn("newest", F.row_number().over(newest)).filter("newest = 1").drop("newest")
 
 
+def newest_row(snips: DataFrame) -> DataFrame:
+    """Per id, the row of the highest ``seq``, of those the last by its values; combined in the tasks before the shuffle."""
+    values = [c for c in snips.columns if c not in ("id", "seq", "metadata")]
+    # Maps cannot be compared; their sorted entries can.
+    entries = F.array_sort(F.map_entries("metadata"))
+    best = F.max(F.struct("seq", *values, entries.alias("entries")))
+    out = snips.groupBy("id").agg(best.alias("best"))
+    return out.select("id", *[F.col(f"best.{c}").alias(c) for c in values], F.when(
+        F.col("best.entries").isNotNull(), F.map_from_entries("best.entries")).alias("metadata"))
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, order: str = "version") -> DataFrame:
     """``old`` with ``new`` inserted or replacing by id; new rows without embedding are skipped."""
     return newest_by_id(old.unionByName(new.filter(F.col("embedding").isNotNull())), order)

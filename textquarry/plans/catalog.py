@@ -426,6 +426,33 @@ def vector_table(spark: SparkSession, folder: str) -> DataFrame:
         F.array_join(F.map_keys("metadata"), ",").alias("keys"), F.element_at("metadata", "label").alias("label"))
 
 
+def _vector_rows(spark: SparkSession, folder: str, id: Column) -> DataFrame:
+    return vectors(spark, folder).select(
+        id.alias("id"), F.format_string("%08d", F.col("id")).alias("content"), F.lit("").alias("file_path"), F.lit(0).cast("long").alias("start_line"),
+        F.lit(0).cast("long").alias("end_line"), F.array(F.lit("v")).alias("symbols"), "embedding",
+        F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), (F.col("id") % 7).alias("seq"))
+
+
+@query(sql.TABLE_ORDER)
+def table_upsert_order(spark: SparkSession, folder: str) -> DataFrame:
+    """Many rows of each id in one upsert, then a second upsert of half of the ids without an order."""
+    table = VectorTable.ensure(spark, scratch_path(spark, "vectors"), dim=64)
+    rows = _vector_rows(spark, folder, F.format_string("%04d", (F.col("id") / 5).cast("long")))
+    table.upsert(rows)
+    table.upsert(rows.filter("id % 2 = 0").drop("seq").withColumn("content", F.concat(F.lit("again "), F.reverse("content"))))
+    return table.read().select("id", "content", F.element_at("metadata", "label").alias("label"))
+
+
+@query(sql.TABLE_SEARCH)
+def table_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector searched in a stored table among the rows of one label."""
+    table = VectorTable.ensure(spark, scratch_path(spark, "vectors"), dim=64)
+    table.upsert(_vector_rows(spark, folder, F.format_string("%08d", F.col("id"))))
+    queries = vectors(spark, folder).select(F.col("id").alias("query_id"), "embedding")
+    hits = table.search(queries, 3, where=F.element_at("metadata", "label") == "3")
+    return _scored(hits, "content")
+
+
 @query(sql.PAYLOAD)
 def payload_clean(spark: SparkSession, folder: str) -> DataFrame:
     """Messages cut at blanks as symbols, with a metadata value that may be empty."""

@@ -428,3 +428,18 @@ a as (
 select 'answer' as kind, name, md5(content) as content_md5, error from a
 union all select 'file', path, md5(after), null from f
 union all select 'file', new, md5(note), null from f where not under"""
+
+# Of one id the highest seq, then the last content; the second upsert has no seq and replaces its ids whole.
+TABLE_ORDER = """
+with r as (select *, printf('%04d', vec_id // 5) as id, printf('%08d', vec_id) as content from embeddings),
+first as (select id, arg_max(content, (vec_id % 7, content)) as content, arg_max(label, (vec_id % 7, content)) as label from r group by id),
+second as (select id, arg_max('again ' || reverse(content), 'again ' || reverse(content)) as content,
+             arg_max(label, 'again ' || reverse(content)) as label from r where (id::int) % 2 = 0 group by id)
+select id, content, label::varchar as label from second
+union all select id, content, label::varchar from first where id not in (select id from second)"""
+
+TABLE_SEARCH = """
+with v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product(embedding::double[], embedding::double[])) as n from embeddings),
+s as (select q.vec_id as query_id, r.vec_id, round(list_dot_product(q.e, r.e) / (q.n * r.n), 9) as score from v q, v r where r.label = 3),
+h as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, rank::int as rank, printf('%08d', vec_id) as id, round(score, 6) as score, printf('%08d', vec_id) as content from h where rank <= 3"""
