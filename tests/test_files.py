@@ -270,3 +270,26 @@ def test_search_under_a_condition(spark, tmp_path):
     queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
     hits = table.search(queries, 3, where=F.element_at("metadata", "even") == "false")
     assert [r.id for r in sorted(hits.collect(), key=lambda r: r["rank"])] == ["1", "3", "5"]
+
+
+def test_files_that_cannot_be_read_are_named(spark, tmp_path):
+    from textquarry.operators.snippets import file_errors, index_summary, snippets
+    from textquarry.plans.index import index_directory
+    root = tmp_path / "w"
+    root.mkdir()
+    (root / "a.txt").write_text("hello")
+    (root / "big.txt").write_text("x" * 50)
+    (root / "gone.txt").symlink_to(root / "nowhere")
+    (root / "gone.go").symlink_to(root / "nowhere")
+    (root / "n.bin").write_bytes(b"\x00" * 40)
+    files = read_workspace(spark, str(root), max_file_bytes=49)
+    summary = {(r.kind, r.name): r.n for r in index_summary(files, max_file_bytes=49).collect()}
+    assert summary[("files", "(all)")] == 5 and summary[("snippets", "(all)")] == 1
+    left_out = {name for kind, name in summary if kind == "left out"}
+    assert len(left_out) == 4 and "file too large (>49 bytes): big.txt" in left_out
+    assert {r.path: r.error.split(":")[0] for r in file_errors(files).collect() if "gone" in r.path} == {
+        "gone.txt": "failed to read file gone.txt", "gone.go": "failed to read file gone.go"}
+    assert [r.file_path for r in snippets(files).collect()] == ["a.txt"]
+    table = VectorTable.ensure(spark, str(tmp_path / "t"))
+    index_directory(spark, str(root), table, max_file_bytes=49)
+    assert [r.file_path for r in table.read().collect()] == ["a.txt"]

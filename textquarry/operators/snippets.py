@@ -139,11 +139,14 @@ def _whole(rows: DataFrame, max_bytes: int, truncate: bool) -> DataFrame:
 
 
 def _parsed(files: DataFrame, parser: Parser, max_file_bytes: int) -> DataFrame:
-    """FILE rows with ext, error, is_go and declarations."""
+    """FILE rows with ext, error, is_go and declarations. A file that came with an error of its own, as one that could not be read, keeps it."""
+    given = F.lit(None).cast("string")
+    if "error" in files.columns:
+        given, files = F.col("read_error"), files.withColumnRenamed("error", "read_error")
     kinds = with_kind(files, max_file_bytes).withColumn("is_go", paths.is_go_file(F.col("path")))
     rows = parser(kinds.withColumn("source", F.when(F.col("is_go"), text.decode_text(F.col("content")))))
     broken = F.when(F.col("declarations").isNull(), F.concat(F.lit("failed to parse file: "), "path"))
-    return rows.withColumn("error", F.when(F.col("is_go"), broken).otherwise(F.col("error")))
+    return rows.withColumn("error", F.coalesce(given, F.when(F.col("is_go"), broken).otherwise(F.col("error"))))
 
 
 def snippets(files: DataFrame, parser: Parser = go_declarations, max_bytes: int = text.MAX_SNIPPET_BYTES,
@@ -151,7 +154,7 @@ def snippets(files: DataFrame, parser: Parser = go_declarations, max_bytes: int
     """FILE rows to SNIPPET rows in one scan: Go files by declaration, all others whole.
 
     A whole file of more than ``max_bytes`` goes on in further snippets; with ``truncate`` it is cut there, with a mark.
-    Unusable files are left out (see ``file_errors``). Go files are neither cut nor tested for being binary.
+    Unusable files are left out (see ``file_errors``), as are those that come with an ``error``. Go files are neither cut nor tested for being binary.
     """
     usable = F.when(~F.col("is_go") & F.col("error").isNull(), F.col("content"))
     rows = _whole(_parsed(files, parser, max_file_bytes).withColumn("content", usable), max_bytes, truncate)
@@ -178,7 +181,8 @@ def file_errors(files: DataFrame, parser: Parser = go_declarations, max_file_byt
 
 
 def index_summary(files: DataFrame, parser: Parser = go_declarations, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
-    """What indexing does with the files: kind, name, n. Files by extension and in all, snippets made, files left out."""
+    """What indexing does with the files: kind, name, n. Files by extension and in all, snippets made, files left out. Rows of ``read_workspace``
+    also tell of files that could not be read."""
     row = lambda kind, name, n: [F.lit(kind).alias("kind"), name.alias("name"), n.alias("n")]
     made = snippets(files, parser, max_file_bytes=max_file_bytes).agg(F.count("*").alias("n"))
     return (extension_stats(files).select(row("files", F.col("ext"), F.col("n_files")))

@@ -23,7 +23,7 @@ from textquarry.session import scratch_path, spread
 from textquarry.sources.vector_table import VectorTable
 from textquarry.sources.web import page_response, page_title, web_results
 from textquarry.sources.workspace import read_workspace, workspace_files, write_workspace
-from textquarry.streaming.jobs import enrich_stream, index_stream
+from textquarry.streaming.jobs import enrich_stream, history_stream, index_stream
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -181,6 +181,21 @@ def history_before_turn(spark: SparkSession, folder: str) -> DataFrame:
     return _history(spark, folder, 4)
 
 
+@query(sql.history(4))
+def stream_history(spark: SparkSession, folder: str) -> DataFrame:
+    """The same from a stream of turns that arrive in six micro-batches, the last messages kept in between."""
+    turns = load(spark, folder, "conversations")
+    arrived, out = scratch_path(spark, "turns"), scratch_path(spark, "histories")
+    for part in range(6):
+        # The last part holds all later turns.
+        some = turns.filter(F.least("turn", F.lit(5)) == part) if part else turns.filter("turn is null or turn <= 0")
+        some.coalesce(1).write.mode("append").parquet(arrived)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    history_stream(stream, 4, out, scratch_path(spark, "offsets")).awaitTermination()
+    said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))
+    return spark.read.parquet(out).select("conv_id", "turn", F.size("history").cast("long").alias("n_before"), F.array_join(said, "\n").alias("history"))
+
+
 @query(sql.history(1000))
 def history_before_turn_long(spark: SparkSession, folder: str) -> DataFrame:
     """Every turn with up to 1,000 messages before it, here all of them."""

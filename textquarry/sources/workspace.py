@@ -71,14 +71,19 @@ def list_workspace(spark: SparkSession, root: str) -> DataFrame:
         frontier = frontier.repartition(spark.sparkContext.defaultParallelism)
 
 
-def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _too_large(path: str, most: int) -> str:
+    limit = f"{most >> 20}MB" if most >= 1 << 20 else f"{most} bytes"
+    return f"file too large (>{limit}): {path}"
+
+
+def _read_contents(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]:
     names = ["path", "length", "content", "error"]
     for batch in batches:
         out, held = [], 0
         for root, path, length in zip(batch["root"], batch["path"], batch["length"]):
             content = error = None
-            if length > MAX_FILE_BYTES and not path.endswith(".go"):
-                error = f"file too large (>10MB): {path}"
+            if length > most and not path.endswith(".go"):
+                error = _too_large(path, most)
             else:
                 try:
                     with open(os.path.join(root, path), "rb") as f:
@@ -94,10 +99,11 @@ def _read_contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(out, columns=names)
 
 
-def read_workspace(spark: SparkSession, root: str) -> DataFrame:
-    """FILE rows plus ``error``: a file that cannot be used has an error and no content."""
+def read_workspace(spark: SparkSession, root: str, max_file_bytes: int = MAX_FILE_BYTES) -> DataFrame:
+    """FILE rows plus ``error``: a file that cannot be used, or is larger than ``max_file_bytes``, has an error and no content. Its rows go into
+    ``snippets``, ``file_errors`` and ``index_summary`` as they are."""
     listed = list_workspace(spark, root).repartition(spark.sparkContext.defaultParallelism)
-    return listed.mapInPandas(_read_contents, "path string, length bigint, content binary, error string")
+    return listed.mapInPandas(lambda batches: _read_contents(batches, max_file_bytes), "path string, length bigint, content binary, error string")
 
 
 def write_workspace(files: DataFrame, root: str) -> DataFrame:
