@@ -20,6 +20,7 @@ from textquarry.plans.index import index_files
 from textquarry.plans.search import cascade
 from textquarry.plans.tables import (as_files, doc_files, doc_path, line_snippets, load, turn_snippets, vectors)
 from textquarry.session import scratch_path, spread
+from textquarry.sources import workspace_source as workspace_format
 from textquarry.sources.vector_table import VectorTable
 from textquarry.sources.web import page_response, page_title, web_results
 from textquarry.sources.workspace import read_workspace, workspace_files, write_workspace
@@ -339,6 +340,17 @@ def workspace_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return workspace_files(read_workspace(spark, root)).select("path", "length", F.md5("content").alias("content_md5"))
 
 
+@query(sql.WORKSPACE_SOURCE)
+def workspace_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents written as files, and those of some length read back through the ``workspace`` format; long ones have an error."""
+    root = scratch_path(spark, "workspace")
+    name = F.concat("source", F.lit("/."), "lang", F.lit("/"), F.col("doc_id").cast("string"))
+    write_workspace(spread(as_files(load(spark, folder, "documents"), name, F.col("text"))), root).agg(F.sum("bytes")).collect()
+    workspace_format.register(spark)
+    files = spark.read.format("workspace").option("maxFileBytes", 5_000).load(root)
+    return files.filter("length > 300").select("path", "length", F.md5("content").alias("content_md5"), "error")
+
+
 # File requests
 
 @query(sql.READ_FILES)

@@ -443,3 +443,9 @@ with v as (select vec_id, label, embedding::double[] as e, sqrt(list_dot_product
 s as (select q.vec_id as query_id, r.vec_id, round(list_dot_product(q.e, r.e) / (q.n * r.n), 9) as score from v q, v r where r.label = 3),
 h as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, printf('%08d', vec_id) as id, round(score, 6) as score, printf('%08d', vec_id) as content from h where rank <= 3"""
+
+WORKSPACE_SOURCE = """
+with f as (select source || '/.' || lang || '/' || doc_id as path, strlen(text)::bigint as length, text from documents)
+select path, length, case when length <= 5000 then md5(text) end as content_md5,
+       case when length > 5000 then 'file too large (>5000 bytes): ' || path end as error
+from f where length > 300"""

@@ -71,7 +71,7 @@ def list_workspace(spark: SparkSession, root: str) -> DataFrame:
         frontier = frontier.repartition(spark.sparkContext.defaultParallelism)
 
 
-def _too_large(path: str, most: int) -> str:
+def too_large(path: str, most: int) -> str:
     limit = f"{most >> 20}MB" if most >= 1 << 20 else f"{most} bytes"
     return f"file too large (>{limit}): {path}"
 
@@ -83,7 +83,7 @@ def _read_contents(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.Da
         for root, path, length in zip(batch["root"], batch["path"], batch["length"]):
             content = error = None
             if length > most and not path.endswith(".go"):
-                error = _too_large(path, most)
+                error = too_large(path, most)
             else:
                 try:
                     with open(os.path.join(root, path), "rb") as f:
