@@ -10,6 +10,7 @@ from textquarry.functions.toolinput import decode_inputs, whole_k
 from textquarry.operators import conversations, file_calls, mutations, snippets, upsert
 from textquarry.operators.cells import CellTable
 from textquarry.operators.keyword_search import keyword_search
+from textquarry.operators.parsers import parsed_snippets, register_parser
 from textquarry.operators.postings import indexed_keyword_search, sparse_search
 from textquarry.operators.tools import ToolBox
 from textquarry.operators.topk import DenseVectors, top_k
@@ -322,6 +323,27 @@ def snippet_spans(spark: SparkSession, folder: str) -> DataFrame:
         "path", "start_line", F.col("end_line").cast("long").alias("end_line"), _md5("content").alias("content_md5"))
 
 
+def _upper_lines(path: str, source: str):
+    """A parser of lines that begin with A-Z, named by their first word; a text without line breaks is an error."""
+    lines = source.split("\n")
+    if len(lines) == 1:
+        raise ValueError("one line")
+    for i, line in enumerate(lines):
+        if line[:1].isascii() and line[:1].isupper():
+            yield i + 1, i + 1, [line.split(" ")[0]], line
+
+
+@query(sql.PARSER)
+def parser_function(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents through a user's parser, called by name in SQL; files it fails on have the error."""
+    register_parser(spark, "upper_lines", _upper_lines)
+    found, failed = parsed_snippets(doc_files(spark, folder), "upper_lines")
+    return found.select("file_path", "start_line", F.array_join("symbols", ",").alias("symbol"), _md5("content").alias("content_md5"),
+                        F.lit(None).cast("string").alias("error")).unionByName(
+        failed.select(F.col("path").alias("file_path"), F.lit(None).cast("long").alias("start_line"), F.lit(None).cast("string").alias("symbol"),
+                      F.lit(None).cast("string").alias("content_md5"), "error"))
+
+
 @query(sql.PATHS)
 def path_normalise(spark: SparkSession, folder: str) -> DataFrame:
     pages = load(spark, folder, "pages").select("page_id", F.explode(requests.path_variants(F.col("url"))).alias("path"))

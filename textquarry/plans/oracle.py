@@ -449,3 +449,10 @@ with f as (select source || '/.' || lang || '/' || doc_id as path, strlen(text):
 select path, length, case when length <= 5000 then md5(text) end as content_md5,
        case when length > 5000 then 'file too large (>5000 bytes): ' || path end as error
 from f where length > 300"""
+
+PARSER = f"""
+with d as (select {DOC_PATH} as path, string_split(text, chr(10)) as ls from documents),
+l as (select path, i, ls[i] as line from (select path, ls, unnest(range(1, len(ls) + 1)) as i from d where len(ls) > 1))
+select path as file_path, i::bigint as start_line, string_split(line, ' ')[1] as symbol, md5(line) as content_md5, null as error
+from l where regexp_matches(line, '^[A-Z]')
+union all select path, null, null, null, 'failed to parse file: ' || path || ': ValueError: one line' from d where len(ls) = 1"""
