@@ -533,6 +533,15 @@ def fallback_store(spark: SparkSession, folder: str) -> DataFrame:
     return upsert.fallback_files(upsert.embed_texts(_texts(spark, folder), lambda texts: [[] for _ in texts]))
 
 
+@query(sql.FALLBACK)
+def fallback_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The fallback files among all others of a file table, those in directories left aside."""
+    kept = fallback_store(spark, folder).distinct()
+    files = as_files(kept, F.col("filename"), F.col("content"))
+    others = as_files(kept, F.concat(F.lit("old/"), "filename"), F.col("content")).unionByName(doc_files(spark, folder))
+    return upsert.fallback_docs(files.unionByName(others))
+
+
 @query(sql.INDEX)
 def index_corpus(spark: SparkSession, folder: str) -> DataFrame:
     """Documents indexed into a stored table, twice: the second run changes nothing."""
