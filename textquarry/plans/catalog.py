@@ -11,7 +11,7 @@ from textquarry.operators import conversations, file_calls, mutations, snippets,
 from textquarry.operators.cells import CellTable
 from textquarry.operators.keyword_search import keyword_search
 from textquarry.operators.parsers import parsed_snippets, register_parser
-from textquarry.operators.postings import indexed_keyword_search, sparse_search
+from textquarry.operators.postings import SparseIndex, indexed_keyword_search, sparse_search
 from textquarry.operators.tools import ToolBox
 from textquarry.operators.topk import DenseVectors, top_k
 from textquarry.operators.vector_search import DEFAULT_K, search, search_buckets, search_text
@@ -169,6 +169,19 @@ def stream_enrich(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(out).select("conv_id", "turn", "prompt")
 
 
+@query(sql.RAG_PROMPT)
+def stream_enrich_indexed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same in two micro-batches against an index that is written once."""
+    turns = load(spark, folder, "conversations")
+    index = SparseIndex.write(line_snippets(spark, folder), scratch_path(spark, "index"), "content", dim=1536, parts=16)
+    arrived, out = scratch_path(spark, "turns"), scratch_path(spark, "prompts")
+    for part in range(2):
+        turns.filter(F.pmod(F.coalesce("turn", F.lit(0)), F.lit(2)) == part).coalesce(1).write.mode("append").parquet(arrived)
+    stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(arrived)
+    enrich_stream(stream, index, out, scratch_path(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).select("conv_id", "turn", "prompt")
+
+
 def _history(spark: SparkSession, folder: str, n: int) -> DataFrame:
     turns = load(spark, folder, "conversations")
     said = F.transform("history", lambda m: F.concat(m["role"], F.lit(": "), m["text"]))

@@ -9,20 +9,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from textquarry.plans.chat import prompts
+from textquarry.operators.context import context_of, enrich
+from textquarry.operators.postings import SparseIndex
+from textquarry.operators.vector_search import CHAT_K
+from textquarry.plans.chat import prompts, user_queries
 from textquarry.plans.index import index_files
+from textquarry.plans.search import PAYLOAD
 from textquarry.sources.vector_table import VectorTable
 
 
-def enrich_stream(turns: DataFrame, snippets: DataFrame, out: str, checkpoint: str, model=None,
+def enrich_stream(turns: DataFrame, snippets: DataFrame | SparseIndex, out: str, checkpoint: str, model=None,
                   trigger: dict | None = None) -> StreamingQuery:
     """Arriving turns leave as prompts under ``out``, one folder per batch.
 
-    A batch run again after a failure overwrites its own folder.
+    ``snippets``: SNIPPET rows, all of which every micro-batch is compared with, or an index of them (text: content), of which a micro-batch reads
+    what its words and hits ask for. A batch run again after a failure overwrites its own folder.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
-        prompts(batch, snippets, model).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        if isinstance(snippets, SparseIndex):
+            queries = user_queries(batch)
+            hits = snippets.search(queries.select("query_id", "text"), CHAT_K, PAYLOAD)
+            made = enrich(queries, context_of(hits)).drop("query_id")
+        else:
+            made = prompts(batch, snippets, model)
+        made.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return (turns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
             .trigger(**(trigger or {"availableNow": True})).start())
