@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from itertools import chain
 
@@ -32,12 +33,21 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK_BYTES)
 
 
 # Text that ``slices`` turns into Python values at a time; arrays of the words in it take some forty times as much.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker lives on after its task, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
-    """The texts as bytes (null as empty), in runs of about ``most`` bytes. Only one run at a time becomes Python values, and what a run took
-    is given back to the system at the end."""
+    """The texts as bytes (null as empty), in runs of about ``most`` bytes. Only one run at a time becomes Python values, and what it took
+    is given back to the system."""
     raw = texts.cast(pa.binary())
     ends = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
@@ -46,7 +56,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[bytes]]:
         end = max(start + 1, int(np.searchsorted(ends, floor + most, side="right")))
         yield [b"" if t is None else t for t in raw.slice(start, end - start).to_pylist()]
         start = end
-    pa.default_memory_pool().release_unused()
+        give_back()
 
 
 def word_ids(words: list[list[bytes]]) -> tuple[np.ndarray, pa.Array]:
