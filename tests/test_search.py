@@ -246,3 +246,32 @@ def test_word_memory_is_bounded():
     buckets = WordBuckets(16, remember=3)
     first = buckets.of("a b c d e f")
     assert len(buckets.bucket) <= 3 and buckets.of("a b c d e f") == first
+
+
+def test_hashed_texts_stay_sparse(spark, monkeypatch):
+    import hashlib
+    import random
+    from collections import Counter
+
+    from textquarry.operators import topk
+    from textquarry.operators.vector_search import search_text
+    # Vectors of so many numbers would not fit; shared columns and several blocks of queries are met.
+    monkeypatch.setattr(topk, "TEXT_QUERIES", 3)
+    monkeypatch.setattr(topk, "OWN_COLUMNS", 2)
+    monkeypatch.setattr(topk, "SHARED_COLUMNS", 3)
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["the", "of", *[f"w{i}" for i in range(40)]], k=rng.randrange(20))) for _ in range(150)] + ["w1 w2"] * 5
+    asked = [" ".join(rng.choices(["the", *[f"w{i}" for i in range(40)]], k=rng.randrange(8))) for _ in range(10)] + ["zzz"]
+    bag = lambda t: Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % (1 << 31) for w in t.split())
+    want = set()
+    for q, text in enumerate(asked):
+        a, scores = bag(text), []
+        for i, b in enumerate(map(bag, texts)):
+            if dot := sum(n * b[w] for w, n in a.items()):
+                scores.append((-round(dot / (sum(n * n for n in a.values()) * sum(n * n for n in b.values())) ** 0.5, 9), i))
+        want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:3])}
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    scorer = lambda: topk.HashedText("text", 1 << 31, 16)
+    for got in (search_text(queries, rows, 3, dim=1 << 31), topk.top_k(queries, rows, scorer(), 3), topk.top_k(queries, rows, scorer(), 3, broadcast_bytes=0)):
+        assert {(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in got.collect()} == want

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions.embedding import Remembered
 from textquarry.functions.text import query_terms
-from textquarry.operators.topk import top_k
+from textquarry.operators.topk import _Best, top_k
 
 # Fixed value: hits per query.
 KEYWORD_K = 5
@@ -68,6 +68,9 @@ class TermCounts:
     def exact(self, q, m, qi: np.ndarray, ri: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", q[0][qi], m[0][ri])
 
+    def holder(self, prepared, query_ids: np.ndarray, k: np.ndarray) -> _Best:
+        return _Best(self, prepared, query_ids, k)
+
     def fit(self, vocabulary: list[str]) -> None:
         """Build the automaton, once per block of queries."""
         if vocabulary is self.vocabulary:
