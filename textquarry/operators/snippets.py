@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions import paths, text
+from textquarry.session import stored
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -149,13 +150,8 @@ def _parsed(files: DataFrame, parser: Parser, max_file_bytes: int) -> DataFrame:
     return rows.withColumn("error", F.coalesce(given, F.when(F.col("is_go"), broken).otherwise(F.col("error"))))
 
 
-def snippets(files: DataFrame, parser: Parser = go_declarations, max_bytes: int = text.MAX_SNIPPET_BYTES,
-             truncate: bool = False, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
-    """FILE rows to SNIPPET rows in one scan: Go files by declaration, all others whole.
-
-    A whole file of more than ``max_bytes`` goes on in further snippets; with ``truncate`` it is cut there, with a mark.
-    Unusable files are left out (see ``file_errors``), as are those that come with an ``error``. Go files are neither cut nor tested for being binary.
-    """
+def _cut(files: DataFrame, parser: Parser, max_bytes: int, truncate: bool, max_file_bytes: int) -> tuple[DataFrame, Column]:
+    """Parsed FILE rows, and their snippets as an array, null for files that have none."""
     usable = F.when(~F.col("is_go") & F.col("error").isNull(), F.col("content"))
     rows = _whole(_parsed(files, parser, max_file_bytes).withColumn("content", usable), max_bytes, truncate)
     metadata = F.create_map(F.lit("file_type"), F.regexp_replace("ext", r"^\.", ""),
@@ -166,8 +162,19 @@ def snippets(files: DataFrame, parser: Parser = go_declarations, max_bytes: int
     whole = F.transform("whole", lambda w: F.struct(
         w["start_line"].alias("start_line"), w["end_line"].alias("end_line"), w["content"].alias("content"),
         w["at"].alias("at"), F.array().cast("array<string>").alias("symbols"), metadata.alias("metadata")))
+    return rows, F.when(F.col("is_go"), declared).otherwise(whole)
+
+
+def snippets(files: DataFrame, parser: Parser = go_declarations, max_bytes: int = text.MAX_SNIPPET_BYTES,
+             truncate: bool = False, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
+    """FILE rows to SNIPPET rows in one scan: Go files by declaration, all others whole.
+
+    A whole file of more than ``max_bytes`` goes on in further snippets; with ``truncate`` it is cut there, with a mark.
+    Unusable files are left out (see ``file_errors``), as are those that come with an ``error``. Go files are neither cut nor tested for being binary.
+    """
+    rows, cut = _cut(files, parser, max_bytes, truncate, max_file_bytes)
     # A filter on the arrays would be pushed below all the columns they are made of, and repeat their work.
-    found = rows.select("path", F.inline_outer(F.when(F.col("is_go"), declared).otherwise(whole))).filter("content is not null")
+    found = rows.select("path", F.inline_outer(cut)).filter("content is not null")
     return found.select(
         text.snippet_id(F.col("path"), F.col("start_line"), F.col("content"), F.col("at")).alias("id"), "content",
         F.col("path").alias("file_path"), "start_line", "end_line", "symbols",
@@ -182,12 +189,15 @@ def file_errors(files: DataFrame, parser: Parser = go_declarations, max_file_byt
 
 def index_summary(files: DataFrame, parser: Parser = go_declarations, max_file_bytes: int = text.MAX_FILE_BYTES) -> DataFrame:
     """What indexing does with the files: kind, name, n. Files by extension and in all, snippets made, files left out. Rows of ``read_workspace``
-    also tell of files that could not be read."""
+    also tell of files that could not be read. The files are parsed once; what is stored of each is its path, error and number of snippets."""
+    rows, cut = _cut(files, parser, text.MAX_SNIPPET_BYTES, False, max_file_bytes)
+    made = F.aggregate(F.transform(cut, lambda s: s["content"].isNotNull().cast("long")), F.lit(0).cast("long"), lambda n, one: n + one)
+    facts = stored(rows.select("path", "error", F.coalesce(made, F.lit(0)).alias("made")), "summary")
     row = lambda kind, name, n: [F.lit(kind).alias("kind"), name.alias("name"), n.alias("n")]
-    made = snippets(files, parser, max_file_bytes=max_file_bytes).agg(F.count("*").alias("n"))
-    return (extension_stats(files).select(row("files", F.col("ext"), F.col("n_files")))
+    made = facts.agg(F.coalesce(F.sum("made"), F.lit(0)).alias("n"))
+    return (extension_stats(facts).select(row("files", F.col("ext"), F.col("n_files")))
             .unionByName(made.select(row("snippets", F.lit("(all)"), F.col("n"))))
-            .unionByName(file_errors(files, parser, max_file_bytes).select(row("left out", F.col("error"), F.lit(1).cast("long")))))
+            .unionByName(facts.filter("error is not null").select(row("left out", F.col("error"), F.lit(1).cast("long")))))
 
 
 def with_embedding_text(snips: DataFrame) -> DataFrame:
