@@ -512,3 +512,15 @@ def test_crc_is_that_of_the_id_as_text(spark):
     frame = spark.createDataFrame([(12,), (None,)], "doc_id long")
     from textquarry.llm.common import document_hash
     assert [r[0] for r in frame.select(document_hash(F.col("doc_id"))).collect()] == [zlib.crc32(b"12"), zlib.crc32(b"")]
+
+
+def test_page_texts_are_stored_once(spark, monkeypatch):
+    kept, stored = {}, html_text.stored
+    monkeypatch.setattr(html_text, "stored", lambda df, name, *more: kept.setdefault(name, stored(df, name, *more)))
+    rows = [(i, f"https://a.b/{i}", f"<body><nav>menu</nav><article><p>text {i}</p><div class='x{i}'>more {i}</div></article></body>") for i in range(8)] + [(8, None, None)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {**{i: f"text {i}\nmore {i}" for i in range(8)}, 8: ""}
+    # Texts outside the main part, and all texts for the style tree, are hashes.
+    assert all(dict(kept[name].dtypes)["blocks"].startswith("array<struct<text:bigint,") for name in ("blocks", "labels"))
+    assert "texts" not in kept["labels"].columns and sum(r["texts"] == [] for r in kept["blocks"].collect()) == 1
+    assert not any("menu" in t for r in kept["blocks"].collect() for t in r["texts"])

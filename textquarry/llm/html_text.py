@@ -303,6 +303,17 @@ def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     return rows.mapInArrow(read, schema).toDF(*others, "blocks", "row")
 
 
+def candidates(read: DataFrame) -> DataFrame:
+    """The rows with ``part``, the main part that the text stands in ('article', 'main' or ''), and ``texts`` of the blocks there that the markup
+    does not call noise. In ``blocks`` a hash stands for every text: the style tree asks only which are equal."""
+    good = F.filter("blocks", lambda b: ~b["noise"])
+    part = (F.when(F.exists(good, lambda b: b["main"] == "article"), "article")
+            .when(F.exists(good, lambda b: b["main"] == "main"), "main").otherwise(""))
+    texts = F.transform(F.filter("blocks", lambda b: ~b["noise"] & (b["main"] == F.col("part"))), lambda b: b["text"])
+    hashed = F.transform("blocks", lambda b: F.struct(F.xxhash64(b["text"]).alias("text"), *[b[c].alias(c) for c in ("path", "noise", "main", "layout")]))
+    return read.withColumn("part", part).withColumn("texts", texts).withColumn("blocks", hashed)
+
+
 def own_classes(read: DataFrame) -> DataFrame:
     """``row`` and ``own``: the classes that only this page of its host has, on hosts with pages enough to be judged.
 
@@ -407,16 +418,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     host's style tree of all blocks finds unimportant. An article or main element that would lose all its text keeps it.
     Blocks are joined by one line feed.
     """
-    read = stored(page_blocks(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")), "blocks")
+    read = stored(candidates(page_blocks(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html"))), "blocks", "zstd")
     own = small_side(stored(own_classes(read), "own"))
-    read = stored(shared_labels(read, own), "labels")
-    low = small_side(stored(unimportant(style_tree(distinct_pages(read))), "branches"))
-    joined = read.join(low, "host", "left")
-    good = F.filter("blocks", lambda b: ~b["noise"])
-    part = (F.when(F.exists(good, lambda b: b["main"] == "article"), "article")
-            .when(F.exists(good, lambda b: b["main"] == "main"), "main").otherwise(""))
-    joined = joined.select("page_id", "url", good.alias("blocks"), part.alias("part"), F.coalesce("cut", F.array().cast("array<string>")).alias("cut"))
-    joined = joined.withColumn("blocks", F.filter("blocks", lambda b: b["main"] == F.col("part")))
+    labels = stored(shared_labels(read.select("host", "row", "blocks"), own), "labels", "zstd")
+    low = small_side(stored(unimportant(style_tree(distinct_pages(labels))), "branches"))
+    joined = shared_labels(read, own).join(low, "host", "left")
+    standing = F.filter("blocks", lambda b: ~b["noise"] & (b["main"] == F.col("part")))
+    blocks = F.zip_with(standing, "texts", lambda b, t: F.struct(b["path"].alias("path"), t.alias("text")))
+    joined = joined.select("page_id", "url", blocks.alias("blocks"), "part", F.coalesce("cut", F.array().cast("array<string>")).alias("cut"))
     chosen = F.filter("blocks", lambda b: ~F.exists(
         "cut", lambda c: F.startswith(F.concat(b["path"], F.lit("/")), F.concat(c, F.lit("/")))))
     joined = joined.withColumn("chosen", F.when(F.size("cut") == 0, F.col("blocks")).otherwise(chosen))
