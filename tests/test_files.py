@@ -293,3 +293,26 @@ def test_files_that_cannot_be_read_are_named(spark, tmp_path):
     table = VectorTable.ensure(spark, str(tmp_path / "t"))
     index_directory(spark, str(root), table, max_file_bytes=49)
     assert [r.file_path for r in table.read().collect()] == ["a.txt"]
+
+
+def test_rows_that_are_there_are_not_written_again(spark, tmp_path):
+    table = VectorTable.ensure(spark, str(tmp_path / "t"), dim=2, buckets=4)
+    schema = "id string, content string, file_path string, start_line long, end_line long, symbols array<string>, embedding array<float>, metadata map<string,string>"
+    rows = [(f"i{i}", f"text {i}", "p", i, i, ["s"], [float(i), 1.0], {"b": "1", "a": str(i)}) for i in range(20)]
+    rows += [("none", None, "", None, 1, [], [0.0, 1.0], None), ("twice", "a", "p", 1, 1, [], [0.0, 1.0], {}), ("twice", "b", "p", 1, 1, [], [0.0, 1.0], {})]
+    files = lambda: {str(f): f.stat().st_mtime_ns for f in (tmp_path / "t" / "rows").rglob("*.parquet")}
+    contents = lambda: sorted((r["id"], str(r.asDict(True))) for r in table.read().collect())
+    assert table.upsert(spark.createDataFrame(rows, schema)) == 1
+    first, kept = files(), contents()
+    assert len(kept) == 22 and dict(kept)["twice"].count("'b'")
+    assert table.upsert(spark.createDataFrame(rows[::-1], schema)) == 2
+    assert files() == first and contents() == kept
+    # A null instead of an empty value, another order of symbols or one other number is a change; only its bucket is rewritten.
+    for i, row in enumerate([("none", "", "", None, 1, [], [0.0, 1.0], None), ("i3", "text 3", "p", 3, 3, ["s", None], [3.0, 1.0], {"a": "3", "b": "1"}),
+                             ("i3", "text 3", "p", 3, 3, [None, "s"], [3.0, 1.0], {"a": "3", "b": "1"}), ("new", "x", "", 1, 1, [], [0.5, 1.0], {})]):
+        before = files()
+        assert table.upsert(spark.createDataFrame([row], schema)) == 3 + i
+        gone = {f.rsplit("/", 2)[1] for f in before if f not in files()}
+        assert len(gone) <= 1 and files() != before
+        assert [r["content"] for r in table.read().filter(F.col("id") == row[0]).collect()] == [row[1]]
+    assert len(contents()) == 23

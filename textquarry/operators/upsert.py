@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textquarry.functions.embedding import embed_or_reason, hashed_unit
 from textquarry.functions.text import snippet_id
+from textquarry.session import stored
 
 METADATA_MARK = "\n\n--- Metadata ---\n"
 
@@ -31,6 +32,26 @@ def newest_row(snips: DataFrame) -> DataFrame:
         F.col("best.entries").isNotNull(), F.map_from_entries("best.entries")).alias("metadata"))
 
 
+def one_row(snips: DataFrame) -> DataFrame:
+    """``newest_row`` of stored rows; only rows whose id comes more than once are shuffled."""
+    repeated = stored(snips.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "repeated")
+    single = snips.join(repeated, "id", "left_anti").drop("seq")
+    single = single.withColumn("metadata", F.map_from_entries(F.array_sort(F.map_entries("metadata"))))
+    return single.unionByName(stored(newest_row(snips.join(repeated, "id", "left_semi")), "newest"))
+
+
+def fingerprint(snips: DataFrame) -> list[Column]:
+    """Two hashes of a row's values, its metadata by sorted entries."""
+    others = [F.array_sort(F.map_entries(c)).alias(c) if c == "metadata" else F.col(c) for c in sorted(snips.columns) if c != "embedding"]
+    # A list of values and names, so that absent and empty ones differ.
+    return [F.xxhash64(F.lit(seed), F.to_json(F.struct(*others)), "embedding", F.size("embedding")).alias(f"h{seed}") for seed in (1, 2)]
+
+
+def unchanged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``id`` of the rows that both have with the same values. Only ids and hashes are shuffled."""
+    return old.select("id", *fingerprint(old)).join(new.select("id", *fingerprint(new)), ["id", "h1", "h2"], "left_semi").select("id")
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, order: str = "version") -> DataFrame:
     """``old`` with ``new`` inserted or replacing by id; new rows without embedding are skipped."""
     return newest_by_id(old.unionByName(new.filter(F.col("embedding").isNotNull())), order)

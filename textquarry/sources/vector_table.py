@@ -1,6 +1,6 @@
 """A snippet table on Parquet: upsert by id, cleaned reads, nearest-neighbour search.
 
-Rows lie in folders by a hash bucket of their id. An upsert rewrites the buckets that its ids fall into, by dynamic partition
+Rows lie in folders by a hash bucket of their id. An upsert rewrites the buckets of the ids that it adds or changes, by dynamic partition
 overwrite, and touches no other file. One writer at a time.
 
     <path>/properties            dim, metric, buckets
@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from textquarry.functions.embedding import DEFAULT_DIM, checked_dim
-from textquarry.operators.upsert import clean_on_read, newest_row, with_id
+from textquarry.operators.upsert import clean_on_read, one_row, unchanged, with_id
 from textquarry.operators.vector_search import DEFAULT_K, search
 from textquarry.schemas import SNIPPET
 from textquarry.session import stored
@@ -84,16 +84,22 @@ class VectorTable:
         """
         batch = with_id(snips.filter(F.col("embedding").isNotNull())).withColumn("embedding", checked_dim(F.col("embedding"), self.dim))
         seq = F.col("seq") if "seq" in snips.columns else F.lit(0)
-        new = newest_row(batch.select(*SNIPPET.fieldNames(), seq.alias("seq")))
-        new = stored(new.withColumn("bucket", self._bucket()), "upsert")
+        batch = stored(batch.select(*SNIPPET.fieldNames(), seq.alias("seq")), "batch")
+        new = one_row(batch).select(*SNIPPET.fieldNames())
+        # Rows that the table has already need no writing.
+        buckets = new.select(self._bucket().alias("bucket")).distinct().collect()  # a row per bucket
+        there = self._rows().filter(F.col("bucket").isin([r["bucket"] for r in buckets])).drop("bucket")
+        same = stored(unchanged(there, new), "unchanged")
+        new = new.join(same, "id", "left_anti").withColumn("bucket", self._bucket())
         sizes = new.groupBy("bucket").agg(F.count("*").alias("n")).collect()  # a row per bucket
         touched = [r["bucket"] for r in sizes]
         if touched:
             old = self._rows().filter(F.col("bucket").isin(touched))
-            whole = stored(old.join(new.select("id"), "id", "left_anti").unionByName(new), "merged")
-            parts = max(1, -(-whole.count() // (FILE_ROWS * len(touched))))
-            (whole.repartition("bucket", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("bucket").parquet(f"{self.path}/rows"))
+            stays = old.join(new.select("id"), "id", "left_anti")
+            parts = max(1, -(-(stays.count() + sum(r["n"] for r in sizes)) // (FILE_ROWS * len(touched))))
+            # Buckets are replaced when all their new files are written, so they can be read until then.
+            (stays.unionByName(new).repartition("bucket", F.pmod(F.xxhash64(F.lit(1), "id"), F.lit(parts))).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/rows"))
         version = self.version + 1
         self.spark.createDataFrame([(version,)], "version int").select(F.col("version").alias("number")).coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}/versions/version={version}")
