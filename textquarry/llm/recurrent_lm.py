@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textquarry.llm.common import stored
 from textquarry.llm.shingles import word_hashes
-from textquarry.llm.text_stats import chunks
+from textquarry.llm.text_stats import chunks, give_back
 
 # Words whose counts are sent to the workers, and words of the network, at most.
 HEAVY, VOCABULARY = 1 << 17, 4096
@@ -31,7 +31,7 @@ BLOCK, WINDOW, BATCH = 512, 16, 128
 ROUNDS, TRAINER_TOKENS = 4, 2_000_000
 RATE = 0.05
 END = int(xxhash.xxh3_64_intdigest(b"\n"))  # no word is a line feed
-SCORED_BYTES = 16_000_000
+SIDE_BY_SIDE = 1024  # documents
 PARTS = 16
 OTHER, STOP = 0, 1
 
@@ -50,14 +50,18 @@ class Weights:
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
 
-    def like(self, flat: np.ndarray) -> "Weights":
+    def on(self, flat: np.ndarray) -> "Weights":
+        """Weights of these shapes that lie in ``flat``."""
         out, at = {}, 0
         for f in fields(self):
             a = getattr(self, f.name)
-            out[f.name] = flat[at:at + a.size].reshape(a.shape).astype(np.float32)
+            out[f.name] = flat[at:at + a.size].reshape(a.shape)
             at += a.size
         return Weights(**out)
 
+    def like(self, flat: np.ndarray) -> "Weights":
+        return self.on(flat.astype(np.float32))
+
 
 @dataclass
 class Vocabulary:
@@ -106,15 +110,6 @@ def initial(v: Vocabulary, seed: int = 11) -> Weights:
                    draw(HIDDEN, k), by_class.astype(np.float32), draw(n, HIDDEN), share.astype(np.float32))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * np.tanh(np.float32(0.5) * x) + np.float32(0.5)
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
-
-
 def _picked(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log softmax at the targets alone, in blocks that fit a cache."""
     out = np.empty(len(target), np.float32)
@@ -131,81 +126,150 @@ def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: W
            ) -> tuple[np.ndarray, np.ndarray | None]:
     """Log probability of every target after state h: of its class, then of the word within the class. With ``grad``
     also collects gradients and returns that of h."""
-    at = np.arange(len(target))
-    cls = v.class_of[target]
-    dh = None
+    cls = v.class_of[target].astype(np.min_scalar_type(len(v.starts)))
+    order = np.argsort(cls, kind="stable")
+    target, cls = target[order], cls[order].astype(np.int64)
+    cuts = np.searchsorted(cls, np.arange(len(v.starts)))
+    inside = [(cuts[c], cuts[c + 1], v.starts[c], v.starts[c + 1]) for c in range(2, len(v.starts) - 1)
+              if cuts[c] < cuts[c + 1] and v.starts[c + 1] - v.starts[c] > 1]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
     if grad is None:
+        h = h[order]
         out = _picked(h, w.classes, w.class_bias, cls)
-    else:
-        logs = _log_softmax(h @ w.classes + w.class_bias)
-        out = logs[at, cls]
-        d = -np.exp(logs)
-        d[at, cls] += 1
-        grad.classes += h.T @ d
-        grad.class_bias += d.sum(0)
-        dh = d @ w.classes.T
-    order = np.argsort(cls, kind="stable")
-    cuts = np.searchsorted(cls[order], np.arange(len(v.starts)))
-    for c in range(2, len(v.starts) - 1):
-        rows = order[cuts[c]:cuts[c + 1]]
-        a, b = v.starts[c], v.starts[c + 1]
-        if not len(rows) or b - a == 1:
-            continue
-        inside, t = h[rows], target[rows] - a
-        if grad is None:
-            out[rows] += _picked(inside, w.words[a:b].T, w.word_bias[a:b], t)
-            continue
-        logs = _log_softmax(inside @ w.words[a:b].T + w.word_bias[a:b])
-        k = np.arange(len(rows))
-        out[rows] += logs[k, t]
-        d = -np.exp(logs)
-        d[k, t] += 1
-        grad.words[a:b] += d.T @ inside
-        grad.word_bias[a:b] += d.sum(0)
-        dh[rows] += d @ w.words[a:b]
-    return out, dh
+        for i, j, a, b in inside:
+            out[i:j] += _picked(h[i:j], w.words[a:b].T, w.word_bias[a:b], target[i:j] - a)
+        return out[back], None
+    # a column is a token here, so that sums over words and classes run along the tokens
+    h = h.T.take(order, axis=1)
+    out, d = _errors(w.classes.T @ h + w.class_bias[:, None], cls)
+    grad.classes += h @ d.T
+    grad.class_bias += d.sum(1)
+    dh = w.classes @ d
+    if inside:
+        # a class narrower than the widest: what it has not got is impossible; biases are weights of a unit that is always 1
+        first, widths = cuts[2], np.diff(v.starts)[2:]
+        words = np.column_stack([w.words, w.word_bias])
+        h1 = np.concatenate([h, np.ones((1, len(order)), np.float32)])
+        x = np.zeros((widths.max(), len(order) - first), np.float32)
+        x[widths.min():] = -np.inf
+        for i, j, a, b in inside:
+            np.matmul(words[a:b], h1[:, i:j], out=x[:b - a, i - first:j - first])
+        logs, d = _errors(x, target[first:] - v.starts[cls[first:]])
+        out[first:] += logs
+        by_word, by_state = np.zeros_like(words), np.zeros_like(h)
+        for i, j, a, b in inside:
+            part = d[:b - a, i - first:j - first]
+            np.matmul(part, h1[:, i:j].T, out=by_word[a:b])
+            np.matmul(w.words[a:b].T, part, out=by_state[:, i:j])
+        grad.words += by_word[:, :-1]
+        grad.word_bias += by_word[:, -1]
+        dh += by_state
+    return out[back], dh.take(back, axis=1).T
+
+
+def _errors(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log softmax of every column at its target, and the gradient by x, which is overwritten."""
+    at = np.arange(len(target))
+    x -= x.max(0)
+    out = x[target, at]
+    np.exp(x, out=x)
+    total = x.sum(0)
+    x /= -total
+    x[target, at] += 1
+    return out - np.log(total), x
 
 
 def _window(w: Weights, v: Vocabulary, ids: np.ndarray, h: np.ndarray, grad: Weights) -> tuple[np.ndarray, int]:
     """Truncated backpropagation through one window: ids is batch x (steps + 1), -1 after the end. Returns the state
-    that goes on to the next window and the tokens learned from."""
-    steps, n = ids.shape[1] - 1, HIDDEN
-    kept, states = [], []
+    that goes on to the next window and the tokens learned from.
+
+    Arrays are units x steps x batch. What needs no other step is worked out for all steps at once.
+    """
+    rows, steps, n = len(ids), ids.shape[1] - 1, HIDDEN
+    half, one = np.float32(0.5), np.float32(1)
+    came = ids[:, :-1].T.ravel()
+    x = w.embed[came]
+    a = w.inputs.T @ x.T
+    a += w.bias[:, None]
+    a[:2 * n] *= half
+    a = a.reshape(3 * n, steps, rows)
+    recurrent = w.recurrent.T.copy()
+    recurrent[:2 * n] *= half
+    before, after = np.empty((2, n, steps, rows), np.float32)
+    un, c = np.empty((2, n, steps, rows), np.float32)
+    gates = np.empty((2 * n, steps, rows), np.float32)
+    h = h.T.copy()
     for t in range(steps):
-        x = w.embed[ids[:, t]]
-        a, u = x @ w.inputs + w.bias, h @ w.recurrent
-        zr = _sigmoid(a[:, :2 * n] + u[:, :2 * n])
-        z, r = zr[:, :n], zr[:, n:]
-        c = np.tanh(a[:, 2 * n:] + r * u[:, 2 * n:])
-        kept.append((x, h, z, r, c, u[:, 2 * n:]))
-        h = c + z * (h - c)
-        states.append(h)
+        before[:, t] = h
+        u = recurrent @ h
+        un[:, t] = u[2 * n:]
+        zr = u[:2 * n]
+        zr += a[:2 * n, t]
+        np.tanh(zr, out=zr)
+        zr *= half
+        zr += half
+        gates[:, t] = zr
+        new = u[2 * n:]
+        new *= zr[n:]
+        new += a[2 * n:, t]
+        np.tanh(new, out=new)
+        c[:, t] = new
+        h -= new
+        h *= zr[:n]
+        h += new
+        after[:, t] = h
     target = ids[:, 1:].T
     live = target >= 0
-    dh_out = np.zeros((*target.shape, n), np.float32)
-    _, d = output(w, v, np.stack(states)[live], target[live], grad)
-    dh_out[live] = d
-    back = np.zeros_like(h)
+    if live.all():
+        dh = output(w, v, after.reshape(n, -1).T, target.ravel(), grad)[1].T.reshape(n, steps, rows)
+    else:
+        dh = np.zeros((n, steps, rows), np.float32)
+        dh[:, live] = output(w, v, after[:, live].T, target[live], grad)[1].T
+    # by how much the state's gradient passes the gates and the candidate
+    z, r = gates[:n], gates[n:]
+    by_input = np.empty((3, n, steps, rows), np.float32)
+    fz, fr, fc = by_input
+    np.subtract(one, z, out=fz)
+    np.multiply(c, c, out=fc)
+    np.subtract(one, fc, out=fc)
+    fc *= fz
+    fz *= z
+    fz *= before - c
+    np.subtract(one, r, out=fr)
+    fr *= r
+    fr *= un
+    fr *= fc
+    by_state = np.concatenate([by_input[:2], (fc * r)[None]])
+    back = np.zeros((n, rows), np.float32)
     for t in range(steps - 1, -1, -1):
-        x, before, z, r, c, un = kept[t]
-        dh = dh_out[t] + back
-        dc = dh * (1 - z) * (1 - c * c)
-        dz = dh * (before - c) * z * (1 - z)
-        dr = dc * un * r * (1 - r)
-        da = np.concatenate([dz, dr, dc], 1)
-        du = np.concatenate([dz, dr, dc * r], 1)
-        grad.inputs += x.T @ da
-        grad.bias += da.sum(0)
-        grad.recurrent += before.T @ du
-        np.add.at(grad.embed, ids[:, t], da @ w.inputs.T)
-        back = dh * z + du @ w.recurrent.T
-    return h, int(live.sum())
+        back += dh[:, t]
+        dh[:, t] = back
+        du = by_state[:, :, t] * back
+        by_state[:, :, t] = du
+        back *= z[:, t]
+        back += w.recurrent @ du.reshape(3 * n, rows)
+    by_input *= dh
+    da, du = by_input.reshape(3 * n, -1), by_state.reshape(3 * n, -1)
+    grad.inputs += x.T @ da.T
+    grad.bias += da.sum(1)
+    grad.recurrent += before.reshape(n, -1) @ du.T
+    dx = da.T @ w.inputs.T
+    order = np.argsort(came.astype(np.min_scalar_type(len(w.embed))), kind="stable")
+    first = np.flatnonzero(np.diff(came[order], prepend=-2))
+    grad.embed[came[order[first]]] += np.add.reduceat(dx[order], first, axis=0)
+    return h.T, int(live.sum())
 
 
 def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Weights:
     """One pass of Adagrad over every token of the blocks (numbers, the first one only read), state carried from window to
     window. Blocks of about the same length run side by side, in random order."""
-    squares = w.like(np.full(w.flat().size, 1e-3, np.float32))
+    values = w.flat()
+    w = w.on(values)
+    squares, steps, tmp = np.full_like(values, 1e-3), np.zeros_like(values), np.empty_like(values)
+    grad, came = w.on(steps), np.zeros(len(w.embed), bool)
+    dense = slice(w.embed.size, None)  # the embeddings come first; those of words that did not come have no gradient
+    embed_squares = w.on(squares).embed
     rng = np.random.default_rng(seed)
     windows = np.array([-(-(len(x) - 1) // WINDOW) for x in blocks], np.int64)
     order = rng.permutation(len(blocks))
@@ -218,13 +282,26 @@ def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Wei
         h = np.zeros((len(batch), HIDDEN), np.float32)
         for start in range(0, batch.shape[1] - 1, WINDOW):
             live = batch[:, start + 1] >= 0
-            batch, h = batch[live], h[live]
-            grad = w.like(np.zeros(w.flat().size, np.float32))
-            h, n = _window(w, v, batch[:, start:start + WINDOW + 1], h, grad)
-            for f in fields(w):
-                g, s = getattr(grad, f.name) / np.float32(np.sqrt(n)), getattr(squares, f.name)
-                s += g * g
-                getattr(w, f.name)[...] += np.float32(RATE) * g / np.sqrt(s)
+            if not live.all():
+                batch, h = batch[live], h[live]
+            ids = batch[:, start:start + WINDOW + 1]
+            h, n = _window(w, v, ids, h, grad)
+            came[ids[:, :-1]] = True
+            some = np.flatnonzero(came)
+            for x, g, s, t in ((values[dense], steps[dense], squares[dense], tmp[dense]), (w.embed, grad.embed[some], embed_squares[some], None)):
+                g /= np.float32(np.sqrt(n))
+                t = np.multiply(g, g, out=t)
+                s += t
+                np.sqrt(s, out=t)
+                g *= np.float32(RATE)
+                g /= t
+                if x is w.embed:
+                    embed_squares[some] = s
+                    x[some] += g
+                else:
+                    x += g
+            came[some] = False
+            steps.fill(0)
     return w
 
 
@@ -232,48 +309,57 @@ def score_ids(w: Weights, v: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -
     """Natural log probability of whole documents (numbers one after the other). Documents run side by side, the longest
     first; outputs are computed window by window, the state goes on to the next window."""
     order = np.argsort(-lengths, kind="stable")
-    ordered = lengths[order]
-    offsets = np.concatenate([[0], np.cumsum(lengths)[:-1]])[order]
-    table = w.embed @ w.inputs + w.bias
-    table[:, :2 * HIDDEN] *= np.float32(0.5)
-    u = w.recurrent.copy()
-    u[:, :2 * HIDDEN] *= np.float32(0.5)
+    offsets = np.cumsum(lengths) - lengths
+    n = HIDDEN
+    table, u = w.embed @ w.inputs + w.bias, w.recurrent.copy()
+    table[:, :2 * n] *= np.float32(0.5)
+    u[:, :2 * n] *= np.float32(0.5)
+    tables = [np.ascontiguousarray(table[:, a:a + n]) for a in (0, n, 2 * n)]
+    recurrent = [np.ascontiguousarray(u[:, a:a + n]) for a in (0, n, 2 * n)]
+    out = np.empty(len(lengths))
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        some = order[at:at + SIDE_BY_SIDE]
+        out[some] = _score_some(w, v, ids, offsets[some], lengths[some], tables, recurrent)
+    return out
+
+
+def _score_some(w: Weights, v: Vocabulary, ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray],
+                recurrent: list[np.ndarray]) -> np.ndarray:
+    """Of documents in falling length; tables and recurrent weights of the two gates, halved, and of the candidate."""
     total = np.zeros(len(lengths))
-    active = int((ordered > 0).sum())
+    active = int((lengths > 0).sum())
     h = np.zeros((active, HIDDEN), np.float32)
     last = np.full(active, STOP, np.int32)
-    n, t = HIDDEN, 0
+    t = 0
     half, one = np.float32(0.5), np.float32(1)
     while active:
         # as many steps as make a good matrix, the window no longer than the shortest document that still runs allows
         stop = t + max(8, min(512, 65536 // active))
         states, targets, owners = [], [], []
         while t < stop and active:
-            g = table[last]
-            r = h @ u
-            zr = np.tanh(g[:, :2 * n] + r[:, :2 * n])
-            zr += one
-            zr *= half
-            c = r[:, 2 * n:]
-            c *= zr[:, n:]
-            c += g[:, 2 * n:]
+            z, r, c = (h @ x for x in recurrent)
+            for gate, x in ((z, tables[0]), (r, tables[1])):
+                gate += x.take(last, axis=0)
+                np.tanh(gate, out=gate)
+                gate += one
+                gate *= half
+            c *= r
+            c += tables[2].take(last, axis=0)
             np.tanh(c, out=c)
-            h -= c
-            h *= zr[:, :n]
+            h = h - c
+            h *= z
             h += c
             last = ids[offsets[:active] + t]
-            states.append(h.copy())
+            states.append(h)
             targets.append(last)
             owners.append(active)
             t += 1
-            left = int(np.searchsorted(-ordered[:active], -t, side="left"))
+            left = int(np.searchsorted(-lengths[:active], -t, side="left"))
             if left < active:
                 active, h, last = left, h[:left], last[:left]
         logs, _ = output(w, v, np.concatenate(states), np.concatenate(targets))
         total += np.bincount(np.concatenate([np.arange(k) for k in owners]), logs, len(lengths))
-    out = np.empty(len(lengths))
-    out[order] = total
-    return out
+    return total
 
 
 def blocks_of(line: np.ndarray) -> list[np.ndarray]:
@@ -304,6 +390,7 @@ def _gathered(docs: DataFrame) -> DataFrame:
                     seen[name] += 1
                     at += k
                 gone = pa.nulls(len(spans), pa.int64())
+                give_back()
                 yield pa.RecordBatch.from_arrays([gone, gone, pa.array(spans, pa.binary()), pa.array(shards, pa.int64())], names)
             if not found:
                 continue
@@ -370,7 +457,7 @@ def _scored(docs: DataFrame, w: Weights, v: Vocabulary) -> DataFrame:
         log_counts = np.log10(v.counts + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part, texts in chunks(batch, most=SCORED_BYTES):
+            for part, texts in chunks(batch):
                 hashes, lengths = word_hashes(texts)
                 with_end = lengths + 1
                 ends = np.cumsum(with_end) - 1
@@ -398,6 +485,7 @@ def _scored(docs: DataFrame, w: Weights, v: Vocabulary) -> DataFrame:
                     pa.ListArray.from_arrays(offsets, pa.array(line[order[first]].view(np.int64))),
                     pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], columns)
                 row += len(texts)
+                give_back()
 
     id_type = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(score, f"row long, doc_id {id_type}, held_out boolean, n_tokens long, n_rare long, base double, network double, "
