@@ -524,3 +524,51 @@ def test_page_texts_are_stored_once(spark, monkeypatch):
     assert all(dict(kept[name].dtypes)["blocks"].startswith("array<struct<text:bigint,") for name in ("blocks", "labels"))
     assert "texts" not in kept["labels"].columns and sum(r["texts"] == [] for r in kept["blocks"].collect()) == 1
     assert not any("menu" in t for r in kept["blocks"].collect() for t in r["texts"])
+
+
+def test_language_model_holds_the_words_of_few_texts(monkeypatch):
+    texts = [prose("en", 20 + i, i).encode() for i in range(60)] + [b"", b"rare odd", b" "]
+    ids, table, lengths = recurrent_lm.hashed_words(texts)
+    words = np.sort(np.append(table[:12], np.uint64(recurrent_lm.END)))
+    v = recurrent_lm.make_vocabulary(words, np.arange(5, 5 + len(words)), 999, 40)
+    w = recurrent_lm.initial(v)
+    whole = recurrent_lm.score_texts(texts, w, v)
+    held, real = [], recurrent_lm.hashed_words
+    monkeypatch.setattr(recurrent_lm, "hashed_words", lambda some: held.append(sum(map(len, some))) or real(some))
+    monkeypatch.setattr(recurrent_lm, "COUNTED_BYTES", 500)
+    parts = recurrent_lm.score_texts(texts, w, v)
+    assert len(held) > 5 and max(held) < 500 + max(map(len, texts))
+    assert whole.keys() == parts.keys()
+    for name in whole:
+        a, b = whole[name].to_pylist(), parts[name].to_pylist()
+        assert [sorted(x) for x in a] == [sorted(x) for x in b] if name in ("rare", "times") else a == pytest.approx(b)
+
+
+def test_language_model_shuffles_numbers(spark, docs, monkeypatch):
+    kept, stored = {}, recurrent_lm.stored
+    monkeypatch.setattr(recurrent_lm, "stored", lambda df, name, *more: kept.setdefault(name, stored(df, name, *more)))
+    recurrent_lm.score(docs.select("doc_id", "text").where("doc_id < 20").withColumn("held_out", F.lit(False)))
+    spans = kept["gathered"].where("span is not null")
+    assert kept["numbered"].columns == ["numbers", "shard"]
+    assert kept["numbered"].agg(F.sum(F.length("numbers"))).first()[0] * 4 == spans.agg(F.sum(F.length("span"))).first()[0] > 0
+
+
+def test_language_model_gradients_of_ended_documents():
+    """Documents that end within a window give what they give alone, the last word of the network too."""
+    rng = np.random.default_rng(8)
+    v = recurrent_lm.make_vocabulary(np.sort(rng.integers(0, 1 << 62, 200).astype(np.uint64)), rng.integers(1, 50, 200), 999, 300)
+    w = recurrent_lm.initial(v)
+    n = len(v.number_mass)
+    ids = rng.integers(0, n, (4, 7))
+    ids[0] = [1, n - 1, 5, 9, n - 1, 3, 4]
+    ids[1, 3:], ids[2, 5:] = -1, -1
+
+    def grads(rows):
+        grad = w.like(np.zeros(w.flat().size))
+        _, tokens = recurrent_lm._window(w, v, rows, np.zeros((len(rows), recurrent_lm.HIDDEN), np.float32), grad)
+        return grad.flat(), tokens
+
+    alone = [grads(ids[i:i + 1, :(k := int((ids[i] >= 0).sum()))]) for i in range(4)]
+    together, tokens = grads(ids)
+    assert tokens == sum(t for _, t in alone) == 6 + 2 + 4 + 6
+    assert together == pytest.approx(sum(g for g, _ in alone), abs=1e-5)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from textquarry.llm.common import stored
-from textquarry.llm.shingles import word_hashes
+from textquarry.llm.shingles import hashed_words
 from textquarry.llm.text_stats import chunks, give_back
 
 # Words whose counts are sent to the workers, and words of the network, at most.
@@ -30,10 +31,15 @@ BLOCK, WINDOW, BATCH = 512, 16, 128
 # Rounds between which the trainers' weights are averaged; tokens a trainer is made for.
 ROUNDS, TRAINER_TOKENS = 4, 2_000_000
 RATE = 0.05
+CACHED = 1 << 14  # values updated at a time
 END = int(xxhash.xxh3_64_intdigest(b"\n"))  # no word is a line feed
-SIDE_BY_SIDE = 1024  # documents
+# Documents the network runs on side by side, the longest first; taken from so much text.
+SIDE_BY_SIDE, SCORED_BYTES = 1024, 16_000_000
+# Text whose words a worker holds at a time: they take some forty times as much.
+COUNTED_BYTES = 2_000_000
 PARTS = 16
 OTHER, STOP = 0, 1
+NUMBER = np.uint16  # two bytes hold any number below VOCABULARY
 
 
 @dataclass
@@ -113,12 +119,13 @@ def initial(v: Vocabulary, seed: int = 11) -> Weights:
 def _picked(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log softmax at the targets alone, in blocks that fit a cache."""
     out = np.empty(len(target), np.float32)
-    for a in range(0, len(target), 2048):
-        x = h[a:a + 2048] @ weights
-        x += bias
-        x -= x.max(1, keepdims=True)
-        pick = x[np.arange(len(x)), target[a:a + 2048]]
-        out[a:a + 2048] = pick - np.log(np.exp(x, out=x).sum(1))
+    for a in range(0, len(target), 1024):
+        t = target[a:a + 1024]
+        x = weights.T @ h[a:a + 1024].T  # a column is a token, so that maxima and sums run along the tokens
+        x += bias[:, None]
+        x -= x.max(0)
+        pick = x[t, np.arange(len(t))]
+        out[a:a + 1024] = pick - np.log(np.exp(x, out=x).sum(0))
     return out
 
 
@@ -184,81 +191,78 @@ def _window(w: Weights, v: Vocabulary, ids: np.ndarray, h: np.ndarray, grad: Wei
     """Truncated backpropagation through one window: ids is batch x (steps + 1), -1 after the end. Returns the state
     that goes on to the next window and the tokens learned from.
 
-    Arrays are units x steps x batch. What needs no other step is worked out for all steps at once.
+    Arrays are steps x units x batch. What needs no other step is worked out for all steps at once.
     """
     rows, steps, n = len(ids), ids.shape[1] - 1, HIDDEN
     half, one = np.float32(0.5), np.float32(1)
-    came = ids[:, :-1].T.ravel()
-    x = w.embed[came]
-    a = w.inputs.T @ x.T
+    came = np.maximum(ids[:, :-1].T.ravel(), OTHER)  # after the end any word will do: it has no gradient
+    x = w.embed.take(came, axis=0).reshape(steps, rows, EMBED)
+    a = np.matmul(w.inputs.T, x.transpose(0, 2, 1))
     a += w.bias[:, None]
-    a[:2 * n] *= half
-    a = a.reshape(3 * n, steps, rows)
+    a[:, :2 * n] *= half
     recurrent = w.recurrent.T.copy()
     recurrent[:2 * n] *= half
-    before, after = np.empty((2, n, steps, rows), np.float32)
-    un, c = np.empty((2, n, steps, rows), np.float32)
-    gates = np.empty((2 * n, steps, rows), np.float32)
-    h = h.T.copy()
+    states, c = np.empty((steps + 1, n, rows), np.float32), np.empty((steps, n, rows), np.float32)
+    u = np.empty((steps, 3 * n, rows), np.float32)  # the two gates, and what the state adds to the candidate
+    states[0] = h.T
     for t in range(steps):
-        before[:, t] = h
-        u = recurrent @ h
-        un[:, t] = u[2 * n:]
-        zr = u[:2 * n]
-        zr += a[:2 * n, t]
+        before, after, both, new, add = states[t], states[t + 1], u[t], c[t], a[t]
+        np.matmul(recurrent, before, out=both)
+        zr = both[:2 * n]
+        zr += add[:2 * n]
         np.tanh(zr, out=zr)
         zr *= half
         zr += half
-        gates[:, t] = zr
-        new = u[2 * n:]
-        new *= zr[n:]
-        new += a[2 * n:, t]
+        np.multiply(both[2 * n:], zr[n:], out=new)
+        new += add[2 * n:]
         np.tanh(new, out=new)
-        c[:, t] = new
-        h -= new
-        h *= zr[:n]
-        h += new
-        after[:, t] = h
+        np.subtract(before, new, out=after)
+        after *= zr[:n]
+        after += new
     target = ids[:, 1:].T
     live = target >= 0
+    across = states[1:].transpose(1, 0, 2)
     if live.all():
-        dh = output(w, v, after.reshape(n, -1).T, target.ravel(), grad)[1].T.reshape(n, steps, rows)
+        dh = output(w, v, across.reshape(n, -1).T, target.ravel(), grad)[1].T.reshape(n, steps, rows).transpose(1, 0, 2).copy()
     else:
-        dh = np.zeros((n, steps, rows), np.float32)
-        dh[:, live] = output(w, v, after[:, live].T, target[live], grad)[1].T
+        dh = np.zeros((steps, n, rows), np.float32)
+        dh.transpose(1, 0, 2)[:, live] = output(w, v, across[:, live].T, target[live], grad)[1].T
     # by how much the state's gradient passes the gates and the candidate
-    z, r = gates[:n], gates[n:]
-    by_input = np.empty((3, n, steps, rows), np.float32)
-    fz, fr, fc = by_input
+    z, r, un = u[:, :n], u[:, n:2 * n], u[:, 2 * n:]
+    by_input = np.empty((steps, 3, n, rows), np.float32)
+    fz, fr, fc = by_input[:, 0], by_input[:, 1], by_input[:, 2]
     np.subtract(one, z, out=fz)
     np.multiply(c, c, out=fc)
     np.subtract(one, fc, out=fc)
     fc *= fz
     fz *= z
-    fz *= before - c
+    fz *= states[:-1] - c
     np.subtract(one, r, out=fr)
     fr *= r
     fr *= un
     fr *= fc
-    by_state = np.concatenate([by_input[:2], (fc * r)[None]])
+    by_state = by_input.copy()
+    by_state[:, 2] *= r
     back = np.zeros((n, rows), np.float32)
+    passed = np.empty_like(back)
     for t in range(steps - 1, -1, -1):
-        back += dh[:, t]
-        dh[:, t] = back
-        du = by_state[:, :, t] * back
-        by_state[:, :, t] = du
-        back *= z[:, t]
-        back += w.recurrent @ du.reshape(3 * n, rows)
-    by_input *= dh
-    da, du = by_input.reshape(3 * n, -1), by_state.reshape(3 * n, -1)
-    grad.inputs += x.T @ da.T
-    grad.bias += da.sum(1)
-    grad.recurrent += before.reshape(n, -1) @ du.T
-    dx = da.T @ w.inputs.T
+        now, part = dh[t], by_state[t]
+        now += back
+        part *= now
+        np.multiply(now, z[t], out=passed)
+        np.matmul(w.recurrent, part.reshape(3 * n, rows), out=back)
+        back += passed
+    by_input *= dh[:, None]
+    da, du = by_input.reshape(steps, 3 * n, rows).transpose(0, 2, 1), by_state.reshape(steps, 3 * n, rows).transpose(0, 2, 1)
+    grad.inputs += np.matmul(x.transpose(0, 2, 1), da).sum(0)
+    grad.bias += by_input.sum(3).sum(0).ravel()
+    grad.recurrent += np.matmul(states[:-1], du).sum(0)
+    dx = np.matmul(da, w.inputs.T).reshape(-1, EMBED)
     order = np.argsort(came.astype(np.min_scalar_type(len(w.embed))), kind="stable")
-    first = np.flatnonzero(np.diff(came[order], prepend=-2))
-    grad.embed[came[order[first]]] += np.add.reduceat(dx[order], first, axis=0)
-    return h.T, int(live.sum())
+    sorted_ids = came[order]
+    first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
+    grad.embed[sorted_ids[first]] += np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+    return states[-1].T, int(live.sum())
 
 
 def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Weights:
@@ -266,9 +270,8 @@ def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Wei
     window. Blocks of about the same length run side by side, in random order."""
     values = w.flat()
     w = w.on(values)
-    squares, steps, tmp = np.full_like(values, 1e-3), np.zeros_like(values), np.empty_like(values)
+    squares, steps = np.full_like(values, 1e-3), np.zeros_like(values)
     grad, came = w.on(steps), np.zeros(len(w.embed), bool)
-    dense = slice(w.embed.size, None)  # the embeddings come first; those of words that did not come have no gradient
     embed_squares = w.on(squares).embed
     rng = np.random.default_rng(seed)
     windows = np.array([-(-(len(x) - 1) // WINDOW) for x in blocks], np.int64)
@@ -287,76 +290,79 @@ def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Wei
             ids = batch[:, start:start + WINDOW + 1]
             h, n = _window(w, v, ids, h, grad)
             came[ids[:, :-1]] = True
+            # the embeddings come first in the values; those of words that did not come have no gradient
             some = np.flatnonzero(came)
-            for x, g, s, t in ((values[dense], steps[dense], squares[dense], tmp[dense]), (w.embed, grad.embed[some], embed_squares[some], None)):
-                g /= np.float32(np.sqrt(n))
-                t = np.multiply(g, g, out=t)
-                s += t
-                np.sqrt(s, out=t)
-                g *= np.float32(RATE)
-                g /= t
-                if x is w.embed:
-                    embed_squares[some] = s
-                    x[some] += g
-                else:
-                    x += g
             came[some] = False
+            x, s = w.embed[some], embed_squares[some]
+            _adagrad(x, s, grad.embed[some], n)
+            w.embed[some], embed_squares[some] = x, s
+            for a in range(w.embed.size, len(values), CACHED):
+                _adagrad(values[a:a + CACHED], squares[a:a + CACHED], steps[a:a + CACHED], n)
             steps.fill(0)
     return w
 
 
+def _adagrad(values: np.ndarray, squares: np.ndarray, grad: np.ndarray, n: int) -> None:
+    """One step by the gradient of n tokens, which is overwritten."""
+    grad /= np.float32(np.sqrt(n))
+    root = grad * grad
+    squares += root
+    np.sqrt(squares, out=root)
+    grad *= np.float32(RATE)
+    grad /= root
+    values += grad
+
+
 def score_ids(w: Weights, v: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Natural log probability of whole documents (numbers one after the other). Documents run side by side, the longest
     first; outputs are computed window by window, the state goes on to the next window."""
     order = np.argsort(-lengths, kind="stable")
     offsets = np.cumsum(lengths) - lengths
-    n = HIDDEN
     table, u = w.embed @ w.inputs + w.bias, w.recurrent.copy()
-    table[:, :2 * n] *= np.float32(0.5)
-    u[:, :2 * n] *= np.float32(0.5)
-    tables = [np.ascontiguousarray(table[:, a:a + n]) for a in (0, n, 2 * n)]
-    recurrent = [np.ascontiguousarray(u[:, a:a + n]) for a in (0, n, 2 * n)]
+    table[:, :2 * HIDDEN] *= np.float32(0.5)
+    u[:, :2 * HIDDEN] *= np.float32(0.5)
     out = np.empty(len(lengths))
     for at in range(0, len(order), SIDE_BY_SIDE):
         some = order[at:at + SIDE_BY_SIDE]
-        out[some] = _score_some(w, v, ids, offsets[some], lengths[some], tables, recurrent)
+        out[some] = _score_some(w, v, ids, offsets[some], lengths[some], table, u)
     return out
 
 
-def _score_some(w: Weights, v: Vocabulary, ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, tables: list[np.ndarray],
-                recurrent: list[np.ndarray]) -> np.ndarray:
-    """Of documents in falling length; tables and recurrent weights of the two gates, halved, and of the candidate."""
+def _score_some(w: Weights, v: Vocabulary, ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, table: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of documents in falling length. What a word adds to gates and candidate, and the recurrent weights, the gates' halved."""
     total = np.zeros(len(lengths))
     active = int((lengths > 0).sum())
+    offsets = offsets[:active]
     h = np.zeros((active, HIDDEN), np.float32)
     last = np.full(active, STOP, np.int32)
-    t = 0
+    falling, n, t = -lengths, HIDDEN, 0
     half, one = np.float32(0.5), np.float32(1)
     while active:
         # as many steps as make a good matrix, the window no longer than the shortest document that still runs allows
         stop = t + max(8, min(512, 65536 // active))
         states, targets, owners = [], [], []
         while t < stop and active:
-            z, r, c = (h @ x for x in recurrent)
-            for gate, x in ((z, tables[0]), (r, tables[1])):
-                gate += x.take(last, axis=0)
-                np.tanh(gate, out=gate)
-                gate += one
-                gate *= half
-            c *= r
-            c += tables[2].take(last, axis=0)
-            np.tanh(c, out=c)
+            g = table.take(last, axis=0)
+            r = h @ u
+            zr = g[:, :2 * n] + r[:, :2 * n]
+            np.tanh(zr, out=zr)
+            zr += one
+            zr *= half
+            c = r[:, 2 * n:]
+            c *= zr[:, n:]
+            c += g[:, 2 * n:]
+            c = np.tanh(c)
             h = h - c
-            h *= z
+            h *= zr[:, :n]
             h += c
-            last = ids[offsets[:active] + t]
+            last = ids.take(offsets + t)
             states.append(h)
             targets.append(last)
             owners.append(active)
             t += 1
-            left = int(np.searchsorted(-lengths[:active], -t, side="left"))
-            if left < active:
-                active, h, last = left, h[:left], last[:left]
+            if lengths[active - 1] <= t:
+                active = int(falling[:active].searchsorted(-t))
+                h, last, offsets = h[:active], last[:active], offsets[:active]
         logs, _ = output(w, v, np.concatenate(states), np.concatenate(targets))
         total += np.bincount(np.concatenate([np.arange(k) for k in owners]), logs, len(lengths))
     return total
@@ -377,9 +383,9 @@ def _gathered(docs: DataFrame) -> DataFrame:
             found, seen = [], Counter()
             for part, texts in chunks(batch):
                 spans, shards = [], []
-                hashes, lengths = word_hashes(texts)
-                words, n = np.unique(hashes, return_counts=True)
-                found.append((np.append(words, np.uint64(END)), np.append(n, len(texts))))
+                ids, words, lengths = hashed_words(texts)
+                hashes = words[ids]
+                found.append((np.append(words, np.uint64(END)), np.append(np.bincount(ids, minlength=len(words)), len(texts))))
                 at = 0
                 for doc, text, k in zip(part.column("doc_id").to_pylist(), texts, lengths):
                     line = np.concatenate([[np.uint64(END)], hashes[at:at + k], [np.uint64(END)]])
@@ -419,15 +425,29 @@ def fit(spans: DataFrame, v: Vocabulary, tokens: int) -> Weights:
     trainers = int(max(1, min(4096, tokens // TRAINER_TOKENS)))
     vocabulary = spark.sparkContext.broadcast(v)
     w = initial(v)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                spans = part.column("span").to_pylist()
+                place, known = v.look_up(np.frombuffer(b"".join(spans), np.uint64))
+                numbers = np.full(len(place), OTHER, NUMBER)
+                numbers[known] = v.numbers[place[known]]
+                cuts = np.cumsum([0, *map(len, spans)]) // 8
+                yield pa.RecordBatch.from_arrays([pa.array([numbers[i:j].tobytes() for i, j in pairwise(cuts.tolist())], pa.binary()),
+                                                  part.column("shard")], ["numbers", "shard"])
+
+    numbered = stored(spans.mapInArrow(number, "numbers binary, shard long"), "numbered")
     for turn in range(ROUNDS if tokens else 0):
         now = spark.sparkContext.broadcast(w)
 
         def run(rows: pd.DataFrame) -> pd.DataFrame:  # used up within this turn
             v = vocabulary.value
-            rows = rows.sort_values(["shard", "span"])
-            lengths = rows["span"].map(len).to_numpy() // 8
-            at, known = v.look_up(np.frombuffer(b"".join(rows["span"]), np.uint64))
-            numbers = np.where(known, v.numbers[at], OTHER).astype(np.int32)
+            rows = rows.sort_values(["shard", "numbers"])
+            lengths = rows["numbers"].map(len).to_numpy() // 2
+            numbers = np.frombuffer(b"".join(rows["numbers"]), NUMBER).astype(np.int32)
             start = now.value.like(now.value.flat())
             flat = train(start, v, np.split(numbers, np.cumsum(lengths)[:-1]), 1000 * turn + int(rows["trainer"].iloc[0])).flat()
             return pd.DataFrame({"part": np.arange(PARTS), "weight": float((lengths - 1).sum()),
@@ -437,7 +457,7 @@ def fit(spans: DataFrame, v: Vocabulary, tokens: int) -> Weights:
             total = sum(weight * np.frombuffer(values, np.float32).astype(float) for weight, values in zip(rows["weight"], rows["values"]))
             return pd.DataFrame({"part": rows["part"].iloc[:1], "values": [(total / rows["weight"].sum()).astype(np.float32).tobytes()]})
 
-        mine = spans.where(F.col("shard") % ROUNDS == turn)
+        mine = numbered.where(F.col("shard") % ROUNDS == turn)
         trained = mine.withColumn("trainer", F.floor(F.col("shard") / ROUNDS) % trainers).groupBy("trainer").applyInPandas(
             run, "part int, weight double, values binary")
         found = trained.groupBy("part").applyInPandas(average, "part int, values binary").toPandas().sort_values("part")
@@ -450,41 +470,16 @@ def _scored(docs: DataFrame, w: Weights, v: Vocabulary) -> DataFrame:
     """Per document what frequent words and the network give, and its other words as (hash, times)."""
     rows = docs.select("doc_id", "held_out", "text")
     shared = docs.sparkSession.sparkContext.broadcast((w, v))
-    columns = ["row", "doc_id", "held_out", "n_tokens", "n_rare", "base", "network", "outside", "n_outside", "rare", "times"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, v = shared.value
-        log_counts = np.log10(v.counts + 1.0)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for part, texts in chunks(batch):
-                hashes, lengths = word_hashes(texts)
-                with_end = lengths + 1
-                ends = np.cumsum(with_end) - 1
-                line = np.full(int(with_end.sum()), END, np.uint64)
-                is_word = np.ones(len(line), bool)
-                is_word[ends] = False
-                line[is_word] = hashes
-                owner = np.repeat(np.arange(len(texts)), with_end)
-                at, known = v.look_up(line)
-                numbers = np.where(known, v.numbers[at], OTHER).astype(np.int32) if len(v.hashes) else np.zeros(len(line), np.int32)
-                network = score_ids(w, v, numbers, with_end) / np.log(10)
-                sums = lambda x, m: np.bincount(owner[m], x[m], len(texts)).astype(float)
-                logs = np.where(known, log_counts[at], 0.0) if len(v.hashes) else np.zeros(len(line))
-                outside = known & (numbers == OTHER)
-                rare = np.flatnonzero(~known)
-                order = rare[np.lexsort((line[rare], owner[rare]))]
-                new = np.concatenate([[True], (line[order][1:] != line[order][:-1]) | (owner[order][1:] != owner[order][:-1])])[:len(order)]
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(order)))
-                offsets = pa.array(np.searchsorted(owner[order[first]], np.arange(len(texts) + 1)), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row + np.arange(len(texts))), part.column("doc_id"), part.column("held_out"), pa.array(with_end),
-                    pa.array(np.bincount(owner[rare], minlength=len(texts))), pa.array(sums(logs, known)), pa.array(network),
-                    pa.array(sums(logs, outside)), pa.array(np.bincount(owner[numbers == OTHER], minlength=len(texts))),
-                    pa.ListArray.from_arrays(offsets, pa.array(line[order[first]].view(np.int64))),
-                    pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))], columns)
+            for part, texts in chunks(batch, most=SCORED_BYTES):
+                found = score_texts(texts, *shared.value)
+                yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(len(texts))), part.column("doc_id"), part.column("held_out"),
+                                                  *found.values()], ["row", "doc_id", "held_out", *found])
                 row += len(texts)
+                del part, texts, found
                 give_back()
 
     id_type = dict(rows.dtypes)["doc_id"]
@@ -492,6 +487,47 @@ def _scored(docs: DataFrame, w: Weights, v: Vocabulary) -> DataFrame:
                                   "outside double, n_outside long, rare array<bigint>, times array<int>")
 
 
+def score_texts(texts: list[bytes], w: Weights, v: Vocabulary) -> dict[str, pa.Array]:
+    """What ``_scored`` gives of every text. Only COUNTED_BYTES of text at a time become words; the network runs on all texts' numbers."""
+    found, at, held = [], 0, 0
+    for i, text in enumerate(texts):
+        held += len(text)
+        if held >= COUNTED_BYTES or i + 1 == len(texts):
+            found.append(_counted(texts[at:i + 1], v))
+            at, held = i + 1, 0
+    numbers = np.concatenate([n for n, _ in found])
+    out = {name: pa.concat_arrays([f[name] for _, f in found]) for name in found[0][1]}
+    out["network"] = pa.array(score_ids(w, v, numbers, out["n_tokens"].to_numpy()) / np.log(10))
+    return out
+
+
+def _counted(texts: list[bytes], v: Vocabulary) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """The texts' words and ends as numbers, and what needs no network. A distinct word is looked up once; the end comes after all words."""
+    ids, table, lengths = hashed_words(texts)
+    table = np.append(table, np.uint64(END))
+    at, known = v.look_up(table)
+    numbers, logs = np.full(len(table), OTHER, NUMBER), np.zeros(len(table))
+    numbers[known], logs[known] = v.numbers[at[known]], np.log10(v.counts[at[known]] + 1.0)
+    outside = numbers == OTHER
+    with_end = lengths + 1
+    ends = np.cumsum(with_end) - 1
+    line = np.full(int(with_end.sum()), len(table) - 1, np.int64)
+    is_word = np.ones(len(line), bool)
+    is_word[ends] = False
+    line[is_word] = ids
+    first = ends - lengths
+    sums = lambda x: np.add.reduceat(x[line], first)
+    n_rare = sums((~known).astype(np.int64))
+    rare = line[~known[line]] + np.repeat(np.arange(len(texts)), n_rare) * len(table)
+    rare, times = np.unique(rare, return_counts=True)
+    offsets = pa.array(np.searchsorted(rare, np.arange(len(texts) + 1) * len(table)), pa.int32())
+    return numbers[line], {
+        "n_tokens": pa.array(with_end), "n_rare": pa.array(n_rare), "base": pa.array(sums(logs)), "network": pa.nulls(len(texts), pa.float64()),
+        "outside": pa.array(sums(np.where(outside, logs, 0.0))), "n_outside": pa.array(sums(outside.astype(np.int64))),
+        "rare": pa.ListArray.from_arrays(offsets, pa.array(table[rare % len(table)].view(np.int64))),
+        "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))}
+
+
 def score(docs: DataFrame) -> DataFrame:
     """Log10 probabilities of whole texts by smoothed counts and by the network.
 

@@ -12,13 +12,19 @@ from textquarry.llm.text_stats import window_hashes, word_ids
 WIDTH = 5
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every word, A-Z lower-cased, equal in every task; and the words per text."""
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Every word, A-Z lower-cased, as its place among the distinct ones; their hashes, equal in every task; the words per text."""
     split = [t.lower().split() for t in texts]
     ids, words = word_ids(split)
     one = xxhash.xxh3_64_intdigest
     table = np.fromiter((one(w) for w in words.to_pylist()), np.uint64, len(words))
-    return table[ids] if len(ids) else np.zeros(0, np.uint64), np.array([len(w) for w in split], np.int64)
+    return ids, table, np.array([len(w) for w in split], np.int64)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every word, and the words per text."""
+    ids, table, lengths = hashed_words(texts)
+    return table[ids], lengths
 
 
 def shingle_sets(texts: list[bytes], width: int = WIDTH) -> list[np.ndarray]:
