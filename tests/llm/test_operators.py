@@ -526,6 +526,24 @@ def test_page_texts_are_stored_once(spark, monkeypatch):
     assert not any("menu" in t for r in kept["blocks"].collect() for t in r["texts"])
 
 
+def test_word_features_are_made_for_all_words_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(33, 127, rng.integers(1, 41)).astype(np.uint8)) for _ in range(300)] + [b"a", b"AB", b"abc", b"x" * 40]
+    odd = [b"12", b"_", "é".encode(), "Über".encode(), b"\xff", b"\xffa"]
+    assert language_id.have_letter(words + odd).tolist() == [bool(language_id.LETTER.search(w.decode("utf-8", "replace"))) for w in words + odd]
+    assert language_id.have_letter([]).tolist() == []
+    plain = [w for w in words if language_id.LETTER.search(w.decode())]
+    ids, sizes = language_id.ascii_features(plain)
+    assert ids.tolist() == [x for w in plain for x in language_id.word_features(w)]
+    assert sizes.tolist() == [len(language_id.word_features(w)) for w in plain]
+    model = language_id.Model(["a", "b"], rng.standard_normal((language_id.BUCKETS, 2)).astype(np.float32), np.zeros((2, 2), np.float32), np.zeros(2, np.float32))
+    want = [model.emission[language_id.word_features(w)].sum(0) for w in words + odd]
+    assert language_id.Labeller(model).emissions(words + odd) == pytest.approx(np.array(want), abs=1e-4)
+    want = language_id.Labeller(model).emissions(plain)
+    monkeypatch.setattr(language_id, "word_features", None)
+    assert (language_id.Labeller(model).emissions(plain) == want).all()
+
+
 def test_language_model_holds_the_words_of_few_texts(monkeypatch):
     texts = [prose("en", 20 + i, i).encode() for i in range(60)] + [b"", b"rare odd", b" "]
     ids, table, lengths = recurrent_lm.hashed_words(texts)

@@ -63,6 +63,75 @@ def word_features(word: bytes) -> list[int]:
     return [crc(p.encode()) % (BUCKETS - 1) + 1 for p in parts]
 
 
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1).astype(np.uint32)
+
+
+def _on(state: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """States of crc32 after one more byte each."""
+    return CRC[(state ^ byte) & np.uint32(255)] ^ state >> np.uint32(8)
+
+
+def _begun(lead: bytes, n: int) -> np.ndarray:
+    return np.full(n, zlib.crc32(lead) ^ 0xFFFFFFFF, np.uint32)
+
+
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of all words one after the other, where each begins, and their lengths."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths
+
+
+def have_letter(words: list[bytes]) -> np.ndarray:
+    if not words:
+        return np.zeros(0, bool)
+    text, starts, _ = joined(words)
+    out = np.logical_or.reduceat((text | 32) - np.uint8(97) < 26, starts)
+    for i in np.flatnonzero(np.logical_or.reduceat(text > 127, starts)):
+        out[i] = LETTER.search(words[i].decode("utf-8", "replace")) is not None
+    return out
+
+
+def ascii_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_features`` of ASCII words with a letter one after the other, and how many each has; made for all words at once."""
+    text, starts, lengths = joined([w.lower() for w in words])
+    n = len(words)
+    sizes = 2 * lengths + 9  # the word, 3 beginnings, 4 ends, pairs and triples of the framed word
+    base = np.cumsum(sizes) - sizes
+    out = np.empty(int(sizes.sum()), np.uint32)
+    state, order = _begun(b"w", n), np.argsort(-lengths, kind="stable")
+    longer = np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")  # words with more than t bytes
+    for t, k in enumerate(longer):
+        some = order[:k]
+        state[some] = _on(state[some], text[starts[some] + t])
+    out[base] = state
+    state = _begun(b"p", n)
+    for k in (1, 2, 3):
+        some = np.flatnonzero(lengths >= k)
+        state[some] = _on(state[some], text[starts[some] + k - 1])
+        out[base + k] = state
+    for k in (1, 2, 3, 4):
+        state = _begun(b"s", n)
+        for t in range(k, 0, -1):
+            some = np.flatnonzero(lengths >= t)
+            state[some] = _on(state[some], text[(starts + lengths)[some] - t])
+        out[base + 3 + k] = state
+    framed = np.full(len(text) + 2 * n, ord("$"), np.uint8)
+    firsts = starts + 2 * np.arange(n)
+    framed[firsts] = ord("^")
+    owner = np.repeat(np.arange(n), lengths)
+    framed[np.arange(len(text)) + 2 * owner + 1] = text
+    pairs = _on(_on(_begun(b"", len(framed)), framed), np.append(framed[1:], np.uint8(0)))
+    triples = _on(pairs, np.append(framed[2:], np.zeros(2, np.uint8))[:len(framed)])
+    place = np.arange(len(text)) - starts[owner]  # of all pairs but the last, and of all triples
+    at, to = firsts[owner] + place, base[owner] + 8 + place
+    out[to] = pairs[at]
+    out[base + 8 + lengths] = pairs[firsts + lengths]
+    out[to + lengths[owner] + 1] = triples[at]
+    return (out ^ np.uint32(0xFFFFFFFF)) % np.uint32(BUCKETS - 1) + np.uint32(1), sizes
+
+
 @dataclass
 class Model:
     labels: list[str]
@@ -156,8 +225,25 @@ class Labeller:
         self.memo: dict[bytes, int] = {}
         self.known = np.zeros((1024, len(model.labels)), np.float32)
 
+    def scores(self, words: list[bytes]) -> np.ndarray:
+        """Sums of the emissions of every word's features."""
+        out = np.empty((len(words), self.known.shape[1]), np.float32)
+        plain = np.fromiter(map(bytes.isascii, words), bool, len(words)) & have_letter(words)
+        at = np.flatnonzero(plain)
+        for i in range(0, len(at), 1 << 13):
+            some = at[i:i + (1 << 13)]
+            ids, sizes = ascii_features([words[j] for j in some])
+            out[some] = np.add.reduceat(self.model.emission.take(ids, axis=0), np.cumsum(sizes) - sizes, axis=0)
+        at = np.flatnonzero(~plain)
+        for i in range(0, len(at), 1 << 13):
+            some = at[i:i + (1 << 13)]
+            found = [word_features(words[j]) for j in some]
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            out[some] = np.add.reduceat(self.model.emission[np.concatenate(found)], np.cumsum(sizes) - sizes, axis=0)
+        return out
+
     def emissions(self, words: list[bytes]) -> np.ndarray:
-        """Scores of distinct words, and in the last column whether a word has a letter."""
+        """Scores of distinct words."""
         get = self.memo.get
         at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         out = np.zeros((len(words), self.known.shape[1]), np.float32)
@@ -165,10 +251,7 @@ class Labeller:
         out[old] = self.known[at[old]]
         new = np.flatnonzero(~old)
         if len(new):
-            found = [word_features(words[i]) for i in new]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            scores = np.add.reduceat(self.model.emission[np.concatenate(found)], starts, axis=0)
+            scores = self.scores([words[i] for i in new])
             out[new] = scores
             room = max(0, min(MEMO - len(self.memo), len(new)))
             if room:
@@ -218,7 +301,7 @@ class Labeller:
         lengths = np.array([len(w) for w in split], np.int64)
         ids, words = word_ids(split)
         distinct = words.to_pylist()
-        has_letter = np.fromiter((bool(LETTER.search(w.decode("utf-8", "replace"))) for w in distinct), bool, len(distinct))
+        has_letter = have_letter(distinct)
         p = self.posteriors(ids, lengths, self.emissions(distinct))
         spoken = has_letter[ids] if len(ids) else np.zeros(0, bool)
         owner = np.repeat(np.arange(len(texts)), lengths)
