@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -590,3 +591,60 @@ def test_language_model_gradients_of_ended_documents():
     together, tokens = grads(ids)
     assert tokens == sum(t for _, t in alone) == 6 + 2 + 4 + 6
     assert together == pytest.approx(sum(g for g, _ in alone), abs=1e-5)
+
+
+def test_language_model_window_takes_no_new_memory():
+    """A window works in the arrays of the one before; before, it took 6 MB anew."""
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    v = recurrent_lm.make_vocabulary(np.sort(rng.integers(0, 1 << 62, 200).astype(np.uint64)), rng.integers(1, 50, 200), 999, 300)
+    blocks = [rng.integers(0, len(v.number_mass), 513) for _ in range(recurrent_lm.BATCH)]
+    peaks, real = [], recurrent_lm._window
+
+    def window(*args):
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        found = real(*args)
+        peaks.append(tracemalloc.get_traced_memory()[1] - held)
+        return found
+
+    recurrent_lm._window = window
+    tracemalloc.start()
+    try:
+        recurrent_lm.train(recurrent_lm.initial(v), v, blocks, 1)
+    finally:
+        tracemalloc.stop()
+        recurrent_lm._window = real
+    assert len(peaks) == 32 and max(peaks[1:]) < 1_500_000
+
+
+def test_language_model_large_logits():
+    """Outputs far beyond what float32 holds as exponentials."""
+    rng = np.random.default_rng(6)
+    v = recurrent_lm.make_vocabulary(np.sort(rng.integers(0, 1 << 62, 200).astype(np.uint64)), rng.integers(1, 50, 200), 999, 300)
+    w, h, n = recurrent_lm.initial(v), rng.standard_normal((1, recurrent_lm.HIDDEN)).astype(np.float32), len(v.number_mass)
+    for shift in (1000, -1000):
+        w.class_bias[:] += shift
+        w.word_bias[:] += shift
+        logs, _ = recurrent_lm.output(w, v, np.repeat(h, n, 0), np.arange(n))
+        assert np.exp(logs.astype(float)).sum() == pytest.approx(1, abs=1e-2)
+        grad = w.like(np.zeros(w.flat().size))
+        recurrent_lm._window(w, v, rng.integers(0, n, (4, 9)), np.zeros((4, recurrent_lm.HIDDEN), np.float32), grad)
+        assert np.isfinite(grad.flat()).all() and np.abs(grad.flat()).max() > 0
+
+
+def test_words_are_hashed_without_a_value_per_word():
+    """Texts go to Arrow as they are; words are what Python splits and lower-cases."""
+    class Text(bytes):
+        def lower(self):
+            raise AssertionError("a value per word")
+
+    rng = np.random.default_rng(7)
+    signs = np.frombuffer(b" \t\n\x0b\x0c\rabAB\x00\x1c\x1f\x85\xa0\xc2\xff", np.uint8)
+    texts = [bytes(rng.choice(signs, rng.integers(0, 30))) for _ in range(500)] + [b"", b" ", " É x\u2003y ".encode()]
+    for some in (texts, [b"", b" \n"], []):
+        ids, table, lengths = recurrent_lm.hashed_words([Text(t) for t in some])
+        words = [w for t in some for w in t.lower().split()]
+        assert table[ids].tolist() == [xxhash.xxh3_64_intdigest(w) for w in words] and len(table) == len(set(words))
+        assert lengths.tolist() == [len(t.split()) for t in some]

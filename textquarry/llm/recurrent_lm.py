@@ -7,9 +7,10 @@ probability of such a word, times the word's share among them by smoothed counts
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, fields, replace
 from itertools import pairwise
 
 import numpy as np
@@ -35,6 +36,7 @@ CACHED = 1 << 14  # values updated at a time
 END = int(xxhash.xxh3_64_intdigest(b"\n"))  # no word is a line feed
 # Documents the network runs on side by side, the longest first; taken from so much text.
 SIDE_BY_SIDE, SCORED_BYTES = 1024, 16_000_000
+WIDE = 1 << 16  # states kept until their outputs are worked out together
 # Text whose words a worker holds at a time: they take some forty times as much.
 COUNTED_BYTES = 2_000_000
 PARTS = 16
@@ -44,14 +46,20 @@ NUMBER = np.uint16  # two bytes hold any number below VOCABULARY
 
 @dataclass
 class Weights:
+    """Biases are the weights of a unit that is always 1: the last row of ``inputs1`` and ``classes1``, the last column of ``words1``."""
+
     embed: np.ndarray
-    inputs: np.ndarray
+    inputs1: np.ndarray
     recurrent: np.ndarray
-    bias: np.ndarray
-    classes: np.ndarray
-    class_bias: np.ndarray
-    words: np.ndarray
-    word_bias: np.ndarray
+    classes1: np.ndarray
+    words1: np.ndarray
+
+    inputs = property(lambda self: self.inputs1[:-1])
+    bias = property(lambda self: self.inputs1[-1])
+    classes = property(lambda self: self.classes1[:-1])
+    class_bias = property(lambda self: self.classes1[-1])
+    words = property(lambda self: self.words1[:, :-1])
+    word_bias = property(lambda self: self.words1[:, -1])
 
     def flat(self) -> np.ndarray:
         return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
@@ -112,101 +120,141 @@ def initial(v: Vocabulary, seed: int = 11) -> Weights:
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
     share = np.log(v.number_mass / v.number_mass.sum())
     by_class = np.logaddexp.reduceat(share, v.starts[:-1])
-    return Weights(draw(n, EMBED), draw(EMBED, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN), np.zeros(3 * HIDDEN, np.float32),
-                   draw(HIDDEN, k), by_class.astype(np.float32), draw(n, HIDDEN), share.astype(np.float32))
+    embed, inputs, recurrent, classes, words = draw(n, EMBED), draw(EMBED, 3 * HIDDEN), draw(HIDDEN, 3 * HIDDEN), draw(HIDDEN, k), draw(n, HIDDEN)
+    return Weights(embed, np.vstack([inputs, np.zeros(3 * HIDDEN, np.float32)]), recurrent,
+                   np.vstack([classes, by_class.astype(np.float32)]), np.column_stack([words, share.astype(np.float32)]))
+
+
+class Room:
+    """Arrays that are used again under their names: fresh memory for every window takes longer than what is worked out in it. A name is
+    asked for again when what it held is no longer needed, so that all of it fits a cache."""
 
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
 
-def _picked(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log softmax at the targets alone, in blocks that fit a cache."""
-    out = np.empty(len(target), np.float32)
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if name not in self.held or self.held[name].size < size:
+            self.held[name] = np.empty(size, np.float32)
+        return self.held[name][:size].reshape(shape)
+
+
+def _by_class(v: Vocabulary, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]]]:
+    """Order of the targets by class, their classes in it, and of every class of several words where its targets and its words begin and end."""
+    cls = v.class_of.take(target).astype(np.min_scalar_type(len(v.starts)))
+    order = np.argsort(cls, kind="stable")
+    cls = cls.take(order)
+    cuts, starts = np.searchsorted(cls, np.arange(len(v.starts), dtype=cls.dtype)).tolist(), v.starts.tolist()
+    return order, cls.astype(np.int64), [x for x in zip(cuts[2:], cuts[3:], starts[2:], starts[3:]) if x[0] < x[1] and x[3] - x[2] > 1]
+
+
+def _picked(h1: np.ndarray, weights1: np.ndarray, target: np.ndarray, out: np.ndarray) -> None:
+    """Add the log softmax at the targets alone, in blocks that fit a cache. A column of ``h1`` is a token, so that maxima and sums run along
+    the tokens; biases are in the weights."""
     for a in range(0, len(target), 1024):
         t = target[a:a + 1024]
-        x = weights.T @ h[a:a + 1024].T  # a column is a token, so that maxima and sums run along the tokens
-        x += bias[:, None]
-        x -= x.max(0)
-        pick = x[t, np.arange(len(t))]
-        out[a:a + 1024] = pick - np.log(np.exp(x, out=x).sum(0))
+        x = weights1 @ h1[:, a:a + 1024]
+        _shift(x)
+        out[a:a + 1024] += x.reshape(-1).take(t * len(t) + np.arange(len(t)))
+        out[a:a + 1024] -= np.log(np.exp(x, out=x).sum(0))
+
+
+def _shift(x: np.ndarray) -> None:
+    """Take the columns' maxima off where float32 would not hold the exponentials."""
+    top = x.max(0)
+    if max(top.max(), -top.min()) > 60:
+        x -= top
+
+
+def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log probability of every target after state h (tokens x units): of its class, then of the word within the class. And the classes."""
+    h1 = np.column_stack([h, np.ones(len(h), np.float32)]).T
+    return _output(w, v, h1, target, np.arange(len(h))), v.class_of[target]
+
+
+def _output(w: Weights, v: Vocabulary, h1: np.ndarray, target: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``output``, of the states in the columns ``at`` of ``h1``, whose last unit is 1."""
+    order, cls, inside = _by_class(v, target)
+    h1 = h1.take(at.take(order), axis=1)
+    logs = np.zeros(len(order), np.float32)
+    _picked(h1, w.classes1.T, cls, logs)
+    target = target.take(order).astype(np.int64)
+    for i, j, a, b in inside:
+        _picked(h1[:, i:j], w.words1[a:b], target[i:j] - a, logs[i:j])
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
-def output(w: Weights, v: Vocabulary, h: np.ndarray, target: np.ndarray, grad: Weights | None = None
-           ) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log probability of every target after state h: of its class, then of the word within the class. With ``grad``
-    also collects gradients and returns that of h."""
-    cls = v.class_of[target].astype(np.min_scalar_type(len(v.starts)))
-    order = np.argsort(cls, kind="stable")
-    target, cls = target[order], cls[order].astype(np.int64)
-    cuts = np.searchsorted(cls, np.arange(len(v.starts)))
-    inside = [(cuts[c], cuts[c + 1], v.starts[c], v.starts[c + 1]) for c in range(2, len(v.starts) - 1)
-              if cuts[c] < cuts[c + 1] and v.starts[c + 1] - v.starts[c] > 1]
-    back = np.empty(len(order), np.int64)
-    back[order] = np.arange(len(order))
-    if grad is None:
-        h = h[order]
-        out = _picked(h, w.classes, w.class_bias, cls)
-        for i, j, a, b in inside:
-            out[i:j] += _picked(h[i:j], w.words[a:b].T, w.word_bias[a:b], target[i:j] - a)
-        return out[back], None
-    # a column is a token here, so that sums over words and classes run along the tokens
-    h = h.T.take(order, axis=1)
-    out, d = _errors(w.classes.T @ h + w.class_bias[:, None], cls)
-    grad.classes += h @ d.T
-    grad.class_bias += d.sum(1)
-    dh = w.classes @ d
+def _errors(x: np.ndarray, target: np.ndarray) -> None:
+    """Turn every column into the gradient of its log softmax at its target."""
+    _shift(x)
+    np.exp(x, out=x)
+    x *= np.float32(-1) / x.sum(0)
+    x.reshape(-1)[target * len(target) + np.arange(len(target))] += 1
+
+
+def _outputs_back(w: Weights, v: Vocabulary, states1: np.ndarray, target: np.ndarray, grad: Weights, room: Room) -> np.ndarray:
+    """Write the outputs' gradients; return that of the states after every step (units x steps x batch). ``states1`` is units x
+    (steps + 1) x batch, targets step by step, -1 where there is none."""
+    n, rows = HIDDEN, states1.shape[2]
+    live = np.flatnonzero(target >= 0)
+    target = target.take(live)
+    order, cls, inside = _by_class(v, target)
+    target, live, tokens = target.take(order), live.take(order), len(order)
+    h1 = np.take(states1.reshape(n + 1, -1), live + rows, axis=1, out=room("h1", n + 1, tokens), mode="clip")
+    x = np.matmul(w.classes1.T, h1, out=room("wide", w.classes1.shape[1], tokens))
+    _errors(x, cls)
+    np.matmul(h1, x.T, out=grad.classes1)
+    dh = room("dh", n, tokens + 1)  # the last column is for where there is no target
+    dh[:, -1] = 0
+    np.matmul(w.classes, x, out=dh[:, :-1])
     if inside:
-        # a class narrower than the widest: what it has not got is impossible; biases are weights of a unit that is always 1
-        first, widths = cuts[2], np.diff(v.starts)[2:]
-        words = np.column_stack([w.words, w.word_bias])
-        h1 = np.concatenate([h, np.ones((1, len(order)), np.float32)])
-        x = np.zeros((widths.max(), len(order) - first), np.float32)
+        # a class narrower than the widest: what it has not got is impossible
+        first, widths = inside[0][0], np.diff(v.starts)[2:]
+        x = room("wide", widths.max(), tokens - first)
+        x[0] = 0  # of a class of one word
         x[widths.min():] = -np.inf
         for i, j, a, b in inside:
-            np.matmul(words[a:b], h1[:, i:j], out=x[:b - a, i - first:j - first])
-        logs, d = _errors(x, target[first:] - v.starts[cls[first:]])
-        out[first:] += logs
-        by_word, by_state = np.zeros_like(words), np.zeros_like(h)
+            np.matmul(w.words1[a:b], h1[:, i:j], out=x[:b - a, i - first:j - first])
+        _errors(x, target[first:] - v.starts[cls[first:]])
+        by_state = room("narrow", n, tokens - first)
+        if widths.min() == 1:
+            by_state.fill(0)
         for i, j, a, b in inside:
-            part = d[:b - a, i - first:j - first]
-            np.matmul(part, h1[:, i:j].T, out=by_word[a:b])
-            np.matmul(w.words[a:b].T, part, out=by_state[:, i:j])
-        grad.words += by_word[:, :-1]
-        grad.word_bias += by_word[:, -1]
-        dh += by_state
-    return out[back], dh.take(back, axis=1).T
-
-
-def _errors(x: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log softmax of every column at its target, and the gradient by x, which is overwritten."""
-    at = np.arange(len(target))
-    x -= x.max(0)
-    out = x[target, at]
-    np.exp(x, out=x)
-    total = x.sum(0)
-    x /= -total
-    x[target, at] += 1
-    return out - np.log(total), x
+            part = x[:b - a, i - first:j - first]
+            np.matmul(part, h1[:, i:j].T, out=grad.words1[a:b])
+            np.matmul(w.words[a:b].T, part, out=by_state[:, i - first:j - first])
+        dh[:, first:-1] += by_state
+    back = np.full(states1.shape[1] * rows - rows, tokens)
+    back[live] = np.arange(tokens)
+    return np.take(dh, back, axis=1, out=room("narrow", n, len(back)), mode="clip").reshape(n, -1, rows)
 
 
-def _window(w: Weights, v: Vocabulary, ids: np.ndarray, h: np.ndarray, grad: Weights) -> tuple[np.ndarray, int]:
-    """Truncated backpropagation through one window: ids is batch x (steps + 1), -1 after the end. Returns the state
-    that goes on to the next window and the tokens learned from.
+def _window(w: Weights, v: Vocabulary, ids: np.ndarray, h: np.ndarray, grad: Weights, room: Room | None = None) -> tuple[np.ndarray, int]:
+    """Truncated backpropagation through one window: ids is batch x (steps + 1), -1 after the end; the gradients go into ``grad``,
+    which is all 0. Returns the state that goes on to the next window and the tokens learned from.
 
-    Arrays are steps x units x batch. What needs no other step is worked out for all steps at once.
+    Arrays are steps x units x batch, those of the states units x steps x batch. What needs no other step is worked out for all steps at once.
     """
     rows, steps, n = len(ids), ids.shape[1] - 1, HIDDEN
+    room = room or Room()
     half, one = np.float32(0.5), np.float32(1)
     came = np.maximum(ids[:, :-1].T.ravel(), OTHER)  # after the end any word will do: it has no gradient
-    x = w.embed.take(came, axis=0).reshape(steps, rows, EMBED)
-    a = np.matmul(w.inputs.T, x.transpose(0, 2, 1))
-    a += w.bias[:, None]
-    a[:, :2 * n] *= half
-    recurrent = w.recurrent.T.copy()
+    x = room("x", steps, rows, EMBED + 1)
+    x[..., :-1] = w.embed.take(came, axis=0).reshape(steps, rows, EMBED)
+    x[..., -1] = 1
+    inputs, recurrent = w.inputs1.T.copy(), w.recurrent.T.copy()
+    inputs[:2 * n] *= half
     recurrent[:2 * n] *= half
-    states, c = np.empty((steps + 1, n, rows), np.float32), np.empty((steps, n, rows), np.float32)
-    u = np.empty((steps, 3 * n, rows), np.float32)  # the two gates, and what the state adds to the candidate
-    states[0] = h.T
+    a = np.matmul(inputs, x.transpose(0, 2, 1), out=room("wide", steps, 3 * n, rows))
+    c = room("c", steps, n, rows)
+    u = room("u", steps, 3 * n, rows)  # the two gates, and what the state adds to the candidate
+    states, gap = room("states", n + 1, steps + 1, rows), room("gap", n, rows)
+    states[-1] = 1
+    states[:-1, 0] = h.T
     for t in range(steps):
-        before, after, both, new, add = states[t], states[t + 1], u[t], c[t], a[t]
+        before, after, both, new, add = states[:-1, t], states[:-1, t + 1], u[t], c[t], a[t]
         np.matmul(recurrent, before, out=both)
         zr = both[:2 * n]
         zr += add[:2 * n]
@@ -216,53 +264,51 @@ def _window(w: Weights, v: Vocabulary, ids: np.ndarray, h: np.ndarray, grad: Wei
         np.multiply(both[2 * n:], zr[n:], out=new)
         new += add[2 * n:]
         np.tanh(new, out=new)
-        np.subtract(before, new, out=after)
-        after *= zr[:n]
-        after += new
-    target = ids[:, 1:].T
-    live = target >= 0
-    across = states[1:].transpose(1, 0, 2)
-    if live.all():
-        dh = output(w, v, across.reshape(n, -1).T, target.ravel(), grad)[1].T.reshape(n, steps, rows).transpose(1, 0, 2).copy()
-    else:
-        dh = np.zeros((steps, n, rows), np.float32)
-        dh.transpose(1, 0, 2)[:, live] = output(w, v, across[:, live].T, target[live], grad)[1].T
-    # by how much the state's gradient passes the gates and the candidate
-    z, r, un = u[:, :n], u[:, n:2 * n], u[:, 2 * n:]
-    by_input = np.empty((steps, 3, n, rows), np.float32)
-    fz, fr, fc = by_input[:, 0], by_input[:, 1], by_input[:, 2]
+        np.subtract(before, new, out=gap)
+        gap *= zr[:n]
+        np.add(gap, new, out=after)
+    target = ids[:, 1:].T.ravel()
+    dh = _outputs_back(w, v, states, target, grad, room)
+    # by how much the state's gradient passes the candidate, the gates, and the candidate by way of the state
+    z, r, un, before = u[:, :n], u[:, n:2 * n], u[:, 2 * n:], states[:-1, :-1].transpose(1, 0, 2)
+    passes = room("wide", steps, 4, n, rows)
+    fc, fz, fr, fu = (passes[:, i] for i in range(4))
     np.subtract(one, z, out=fz)
     np.multiply(c, c, out=fc)
     np.subtract(one, fc, out=fc)
     fc *= fz
     fz *= z
-    fz *= states[:-1] - c
+    np.subtract(before, c, out=c)
+    fz *= c
+    np.multiply(fc, r, out=fu)
     np.subtract(one, r, out=fr)
-    fr *= r
     fr *= un
-    fr *= fc
-    by_state = by_input.copy()
-    by_state[:, 2] *= r
-    back = np.zeros((n, rows), np.float32)
-    passed = np.empty_like(back)
+    fr *= fu
+    now, passed = np.zeros((n, rows), np.float32), room("passed", n, rows)
     for t in range(steps - 1, -1, -1):
-        now, part = dh[t], by_state[t]
-        now += back
+        now += dh[:, t]
+        part = passes[t]
         part *= now
         np.multiply(now, z[t], out=passed)
-        np.matmul(w.recurrent, part.reshape(3 * n, rows), out=back)
-        back += passed
-    by_input *= dh[:, None]
-    da, du = by_input.reshape(steps, 3 * n, rows).transpose(0, 2, 1), by_state.reshape(steps, 3 * n, rows).transpose(0, 2, 1)
-    grad.inputs += np.matmul(x.transpose(0, 2, 1), da).sum(0)
-    grad.bias += by_input.sum(3).sum(0).ravel()
-    grad.recurrent += np.matmul(states[:-1], du).sum(0)
-    dx = np.matmul(da, w.inputs.T).reshape(-1, EMBED)
-    order = np.argsort(came.astype(np.min_scalar_type(len(w.embed))), kind="stable")
-    sorted_ids = came[order]
-    first = np.flatnonzero(np.append(True, sorted_ids[1:] != sorted_ids[:-1]))
-    grad.embed[sorted_ids[first]] += np.add.reduceat(dx.take(order, axis=0), first, axis=0)
-    return states[-1].T, int(live.sum())
+        np.matmul(w.recurrent, part[1:].reshape(3 * n, rows), out=now)
+        now += passed
+    da, du = passes[:, :3].reshape(steps, 3 * n, rows), passes[:, 1:].reshape(steps, 3 * n, rows)
+    by_input = np.matmul(da, x).sum(0).T  # the candidate's columns come first
+    grad.inputs1[:, 2 * n:] += by_input[:, :n]
+    grad.inputs1[:, :2 * n] += by_input[:, n:]
+    grad.recurrent += np.matmul(before, du.transpose(0, 2, 1)).sum(0)
+    dx = np.matmul(da.transpose(0, 2, 1), np.roll(w.inputs, n, axis=1).T, out=room("h1", steps, rows, EMBED))
+    some, place = _distinct(came, len(w.embed))
+    into = place.take(came)[:, None] * EMBED + np.arange(EMBED)
+    grad.embed[some] += np.bincount(into.ravel(), dx.ravel(), len(some) * EMBED).reshape(-1, EMBED)
+    return states[:-1, -1].T, len(target) - int((target < 0).sum())
+
+
+def _distinct(ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of numbers below ``most``, sorted, and the place of each among them."""
+    came = np.zeros(most, bool)
+    came[ids] = True
+    return np.flatnonzero(came), came.cumsum() - 1
 
 
 def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Weights:
@@ -271,7 +317,7 @@ def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Wei
     values = w.flat()
     w = w.on(values)
     squares, steps = np.full_like(values, 1e-3), np.zeros_like(values)
-    grad, came = w.on(steps), np.zeros(len(w.embed), bool)
+    grad, room = w.on(steps), Room()
     embed_squares = w.on(squares).embed
     rng = np.random.default_rng(seed)
     windows = np.array([-(-(len(x) - 1) // WINDOW) for x in blocks], np.int64)
@@ -288,24 +334,23 @@ def train(w: Weights, v: Vocabulary, blocks: list[np.ndarray], seed: int) -> Wei
             if not live.all():
                 batch, h = batch[live], h[live]
             ids = batch[:, start:start + WINDOW + 1]
-            h, n = _window(w, v, ids, h, grad)
-            came[ids[:, :-1]] = True
+            h, n = _window(w, v, ids, h, grad, room)
             # the embeddings come first in the values; those of words that did not come have no gradient
-            some = np.flatnonzero(came)
-            came[some] = False
-            x, s = w.embed[some], embed_squares[some]
-            _adagrad(x, s, grad.embed[some], n)
+            some, _ = _distinct(ids[:, :-1], len(w.embed))
+            x, s = w.embed.take(some, axis=0), embed_squares.take(some, axis=0)
+            _adagrad(x, s, grad.embed.take(some, axis=0), n, np.empty_like(x))
             w.embed[some], embed_squares[some] = x, s
             for a in range(w.embed.size, len(values), CACHED):
-                _adagrad(values[a:a + CACHED], squares[a:a + CACHED], steps[a:a + CACHED], n)
+                part = steps[a:a + CACHED]
+                _adagrad(values[a:a + CACHED], squares[a:a + CACHED], part, n, room("root", len(part)))
             steps.fill(0)
     return w
 
 
-def _adagrad(values: np.ndarray, squares: np.ndarray, grad: np.ndarray, n: int) -> None:
-    """One step by the gradient of n tokens, which is overwritten."""
-    grad /= np.float32(np.sqrt(n))
-    root = grad * grad
+def _adagrad(values: np.ndarray, squares: np.ndarray, grad: np.ndarray, n: int, root: np.ndarray) -> None:
+    """One step by the gradient of n tokens, which is overwritten, as is ``root``."""
+    grad *= np.float32(1 / np.sqrt(n))
+    np.multiply(grad, grad, out=root)
     squares += root
     np.sqrt(squares, out=root)
     grad *= np.float32(RATE)
@@ -318,9 +363,9 @@ def score_ids(w: Weights, v: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -
     first; outputs are computed window by window, the state goes on to the next window."""
     order = np.argsort(-lengths, kind="stable")
     offsets = np.cumsum(lengths) - lengths
-    table, u = w.embed @ w.inputs + w.bias, w.recurrent.copy()
-    table[:, :2 * HIDDEN] *= np.float32(0.5)
-    u[:, :2 * HIDDEN] *= np.float32(0.5)
+    # what a word adds to gates and candidate, and the recurrent weights; the gates' are halved, the gate the candidate's meets is twice itself
+    table, u = (w.embed @ w.inputs + w.bias).T.copy(), w.recurrent.T * np.float32(0.5)
+    table[:2 * HIDDEN] *= np.float32(0.5)
     out = np.empty(len(lengths))
     for at in range(0, len(order), SIDE_BY_SIDE):
         some = order[at:at + SIDE_BY_SIDE]
@@ -329,42 +374,50 @@ def score_ids(w: Weights, v: Vocabulary, ids: np.ndarray, lengths: np.ndarray) -
 
 
 def _score_some(w: Weights, v: Vocabulary, ids: np.ndarray, offsets: np.ndarray, lengths: np.ndarray, table: np.ndarray, u: np.ndarray) -> np.ndarray:
-    """Of documents in falling length. What a word adds to gates and candidate, and the recurrent weights, the gates' halved."""
+    """Of documents in falling length. Columns are tokens: a step writes the states after it behind those before it, and takes what they begin
+    with, as many as there are documents that still run."""
     total = np.zeros(len(lengths))
     active = int((lengths > 0).sum())
-    offsets = offsets[:active]
-    h = np.zeros((active, HIDDEN), np.float32)
-    last = np.full(active, STOP, np.int32)
-    falling, n, t = -lengths, HIDDEN, 0
+    if not active:
+        return total
+    n, t = HIDDEN, 0
     half, one = np.float32(0.5), np.float32(1)
+    falling, offsets = -lengths, offsets[:active]
+    room = Room()
+    states = np.empty((n + 1, (WIDE + 2 * active) // 32 * 32 + 16), np.float32)  # rows an odd number of cache lines apart
+    states[n] = 1
+    states[:n, :active] = 0
+    last = np.full(active, STOP, ids.dtype)
     while active:
-        # as many steps as make a good matrix, the window no longer than the shortest document that still runs allows
-        stop = t + max(8, min(512, 65536 // active))
-        states, targets, owners = [], [], []
-        while t < stop and active:
-            g = table.take(last, axis=0)
-            r = h @ u
-            zr = g[:, :2 * n] + r[:, :2 * n]
+        at, end, first, targets = 0, active, active, []
+        while end < WIDE and active:
+            before, gap = states[:n, at:at + active], room("gap", n, active)
+            word, added = table.take(last, axis=1), np.matmul(u, before, out=room("added", 3 * n, active))
+            zr, c = added[:2 * n], added[2 * n:]
+            zr += word[:2 * n]
             np.tanh(zr, out=zr)
             zr += one
-            zr *= half
-            c = r[:, 2 * n:]
-            c *= zr[:, n:]
-            c += g[:, 2 * n:]
-            c = np.tanh(c)
-            h = h - c
-            h *= zr[:, :n]
-            h += c
+            c *= zr[n:]
+            c += word[2 * n:]
+            np.tanh(c, out=c)
+            z = zr[:n]
+            z *= half
+            np.subtract(before, c, out=gap)
+            gap *= z
+            np.add(gap, c, out=states[:n, end:end + active])
             last = ids.take(offsets + t)
-            states.append(h)
             targets.append(last)
-            owners.append(active)
+            at, end = end, end + active
             t += 1
             if lengths[active - 1] <= t:
                 active = int(falling[:active].searchsorted(-t))
-                h, last, offsets = h[:active], last[:active], offsets[:active]
-        logs, _ = output(w, v, np.concatenate(states), np.concatenate(targets))
-        total += np.bincount(np.concatenate([np.arange(k) for k in owners]), logs, len(lengths))
+                last, offsets = last[:active], offsets[:active]
+        logs = _output(w, v, states, np.concatenate(targets), np.arange(first, end))
+        done = 0
+        for k in map(len, targets):
+            total[:k] += logs[done:done + k]
+            done += k
+        states[:n, :active] = states[:n, at:at + active]
     return total
 
 
@@ -423,7 +476,8 @@ def fit(spans: DataFrame, v: Vocabulary, tokens: int) -> Weights:
     averaged in between. Trainers grow in number with the tokens."""
     spark = spans.sparkSession
     trainers = int(max(1, min(4096, tokens // TRAINER_TOKENS)))
-    vocabulary = spark.sparkContext.broadcast(v)
+    inside = v.numbers != OTHER  # other words need not be looked up
+    vocabulary = spark.sparkContext.broadcast(replace(v, hashes=v.hashes[inside], counts=v.counts[inside], numbers=v.numbers[inside]))
     w = initial(v)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

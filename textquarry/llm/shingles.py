@@ -5,20 +5,29 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
-from textquarry.llm.text_stats import window_hashes, word_ids
+from textquarry.llm.text_stats import window_hashes
 
 WIDTH = 5
 
 
 def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Every word, A-Z lower-cased, as its place among the distinct ones; their hashes, equal in every task; the words per text."""
-    split = [t.lower().split() for t in texts]
-    ids, words = word_ids(split)
-    one = xxhash.xxh3_64_intdigest
-    table = np.fromiter((one(w) for w in words.to_pylist()), np.uint64, len(words))
-    return ids, table, np.array([len(w) for w in split], np.int64)
+    low = pc.ascii_trim_whitespace(pc.ascii_lower(pa.array(texts, pa.binary()).view(pa.string())))
+    split = pc.ascii_split_whitespace(low)
+    lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = split.flatten()
+    empty = pc.equal(pc.binary_length(low), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # split into one empty word
+        lengths[empty] = 0
+        words = words.filter(pc.greater(pc.binary_length(words), 0))
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.view(pa.binary()).to_numpy(zero_copy_only=False)
+    table = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))
+    return coded.indices.to_numpy().astype(np.int64), table, lengths
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
