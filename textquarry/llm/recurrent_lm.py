@@ -562,22 +562,20 @@ def _counted(texts: list[bytes], v: Vocabulary) -> tuple[np.ndarray, dict[str, p
     at, known = v.look_up(table)
     numbers, logs = np.full(len(table), OTHER, NUMBER), np.zeros(len(table))
     numbers[known], logs[known] = v.numbers[at[known]], np.log10(v.counts[at[known]] + 1.0)
-    outside = numbers == OTHER
     with_end = lengths + 1
     ends = np.cumsum(with_end) - 1
-    line = np.full(int(with_end.sum()), len(table) - 1, np.int64)
-    is_word = np.ones(len(line), bool)
-    is_word[ends] = False
-    line[is_word] = ids
-    first = ends - lengths
-    sums = lambda x: np.add.reduceat(x[line], first)
-    n_rare = sums((~known).astype(np.int64))
-    rare = line[~known[line]] + np.repeat(np.arange(len(texts)), n_rare) * len(table)
-    rare, times = np.unique(rare, return_counts=True)
+    line = np.insert(ids, np.cumsum(lengths), len(table) - 1)
+    base = np.add.reduceat(logs.take(line), ends - lengths)
+    numbers = numbers.take(line)
+    outside = np.flatnonzero(numbers == OTHER)  # few; the others need no sums of their own
+    text, word = np.searchsorted(ends, outside), line.take(outside)
+    sums = lambda at, x=None: np.bincount(text[at], x, len(texts))
+    is_rare = ~known.take(word)
+    rare, times = np.unique(word[is_rare] + text[is_rare] * len(table), return_counts=True)
     offsets = pa.array(np.searchsorted(rare, np.arange(len(texts) + 1) * len(table)), pa.int32())
-    return numbers[line], {
-        "n_tokens": pa.array(with_end), "n_rare": pa.array(n_rare), "base": pa.array(sums(logs)), "network": pa.nulls(len(texts), pa.float64()),
-        "outside": pa.array(sums(np.where(outside, logs, 0.0))), "n_outside": pa.array(sums(outside.astype(np.int64))),
+    return numbers, {
+        "n_tokens": pa.array(with_end), "n_rare": pa.array(sums(is_rare)), "base": pa.array(base), "network": pa.nulls(len(texts), pa.float64()),
+        "outside": pa.array(sums(slice(None), logs.take(word)), pa.float64()), "n_outside": pa.array(sums(slice(None))),
         "rare": pa.ListArray.from_arrays(offsets, pa.array(table[rare % len(table)].view(np.int64))),
         "times": pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32)))}
 
