@@ -1,6 +1,7 @@
 """Top-k search, keyword search and the cascade against brute force."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -275,3 +276,63 @@ def test_hashed_texts_stay_sparse(spark, monkeypatch):
     scorer = lambda: topk.HashedText("text", 1 << 31, 16)
     for got in (search_text(queries, rows, 3, dim=1 << 31), topk.top_k(queries, rows, scorer(), 3), topk.top_k(queries, rows, scorer(), 3, broadcast_bytes=0)):
         assert {(r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in got.collect()} == want
+
+
+def scanned(asked, texts, k):
+    """Query, score and row by brute force; ties to the lower id."""
+    from collections import Counter
+    import hashlib
+    bag = lambda t: Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1536 for w in t.split())
+    want, bags = [], [bag(t) for t in texts]
+    for q, a in enumerate(map(bag, asked)):
+        hits = [(dot, sum(n * n for n in b.values()), i) for i, b in enumerate(bags) if (dot := sum(n * b[w] for w, n in a.items()))]
+        length = sum(n * n for n in a.values())
+        want += [(q, -s, i) for s, i in sorted((-dot / np.sqrt(float(length * norm2)), i) for dot, norm2, i in hits)[:k]]
+    return want
+
+
+@pytest.mark.parametrize("sizes", [{}, {"FIRST_ROWS": 3, "MEET_ROWS": 40, "GROWTH": 2, "PAIRS": 5, "SCORED": 3, "FINE_COLUMNS": 2, "TEXT_QUERIES": 4},
+                                   {"MEET_ENTRIES": 20, "FINE_COLUMNS": 0}, {"BYTE_WORDS": 0}, {"BYTE_WORDS": 9}, {"BYTE_CELLS": 10}])
+def test_bytes_give_the_exact_hits(monkeypatch, sizes):
+    import random
+
+    from textquarry.operators import topk
+    for name, value in sizes.items():
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(7)
+    words = ["the"] * 30 + ["of"] * 15 + [f"w{i}" for i in range(300)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(60))) for _ in range(700)] + ["the of w1", "w1 of the"] * 9 + ["the " * 400, "w2"] + [f"w3 x{i}" for i in range(50)]
+    asked = [" ".join(rng.choices(words, k=rng.randrange(1, 64))) for _ in range(25)] + ["w3", "the the the", "", "zzz", "w2 " * 63, "the of w1", texts[0] or "w9"]
+    scorer = topk.HashedText()
+    table = pd.DataFrame({"id": [f"{i:04d}" for i in range(len(texts))], "text": texts})
+    best = scorer.holder(scorer.queries(pd.DataFrame({"text": asked})), np.arange(len(asked)), np.full(len(asked), 3))
+    # Few words, and no more buckets than a table holds: then no matrix is made.
+    few = [q for b in getattr(best, "bytes", []) for q in b.query_ids]
+    limit = sizes.get("BYTE_WORDS", 64) if sizes.get("BYTE_CELLS") != 10 else 0
+    assert sorted(few) == [q for q, t in enumerate(asked) if 0 < len(t.split()) <= limit]
+    for part in (table[500:], table[:200], table[200:500]):
+        best.add(part)
+    got = sorted((r.query_id, -r.score, int(r.id)) for hits in best.hits() for r in hits.itertuples())
+    want = sorted((q, -s, i) for q, s, i in scanned(asked, texts, 3))
+    assert [(q, i) for q, _, i in got] == [(q, i) for q, _, i in want]
+    assert np.allclose([s for _, s, _ in got], [s for _, s, _ in want], rtol=1e-12, atol=0)
+
+
+def test_queries_beyond_a_broadcast_go_in_shares(spark, monkeypatch):
+    from textquarry.operators import topk
+    texts = [f"w{i % 7} w{i % 11} w{i}" for i in range(90)]
+    asked = [f"w{i} w{i % 5}" for i in range(40)] + [None]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string").withColumn("k", (F.col("query_id") % 3).cast("int"))
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    want = ranked(topk.top_k(queries, rows, topk.HashedText(), 3))
+    monkeypatch.setattr(topk, "cell_scan", None)  # no text is shuffled
+    assert ranked(topk.top_k(queries, rows, topk.HashedText(), 3, broadcast_bytes=1000)) == want and want
+
+
+def test_texts_are_counted_in_parts(monkeypatch):
+    from textquarry.functions import embedding
+    texts = ["a b a", None, "", "c", "b b b a", "..."]
+    want = [x.tolist() for x in WordBuckets(1536).counts(texts)]
+    assert want[0] == [0, 0, 3, 4, 4] and sorted(want[2]) == [1, 1, 1, 2, 3]
+    monkeypatch.setattr(embedding, "COUNT_WORDS", 2)
+    assert [x.tolist() for x in WordBuckets(1536).counts(texts)] == want and [len(x) for x in WordBuckets(9).counts([])] == [0, 0, 0]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textquarry.functions.embedding import Remembered
 from textquarry.functions.text import query_terms
-from textquarry.operators.topk import _Best, top_k
+from textquarry.operators.topk import TASKS_PER_CORE, _Best, top_k
 
 # Fixed value: hits per query.
 KEYWORD_K = 5
@@ -32,6 +32,7 @@ class TermCounts:
     positive_only = True
     slack = 0.5
     queries_per_cell = 500
+    shares, tasks_per_core = 1, TASKS_PER_CORE
 
     def __init__(self, column: str = "terms", text: str = "content"):
         self.column = column
